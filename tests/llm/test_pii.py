@@ -1,0 +1,75 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from corvane.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card":
+                doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits[::-1])]
+                if not 14 <= len(digits) <= 19 or sum(doubled) % 10:
+                    continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(5)
+    parts = ["a@b.com", "a@b@c.org", "x@y.", "1.2.3.4", "1.2.3.4.5", "256.1.1.1", "001.02.3.4", "4111 1111 1111 1111", "4111-1111-1111-1111 7", "4111111111111112", "+1 (017) 555-7713", "+49 30 1234", "+1 (377) 555-0271 9807915762804490", " ", "é", "漢", "@", "+", ".", "call (212) 555-1234", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "ssn 123-45-6789", "0", "12", "a.b%c", "😀"]
+    return ["".join(r.choice(parts) + r.choice(["", " ", ", "]) for _ in range(r.randrange(12))) for _ in range(1500)] + ["", None, "9" * 6000, "a" * 50_000, "@" * 3000, "1." * 3000, "0" * 5000 + ".1.1.1"]
+
+
+def test_base_spans_equal_the_plain_patterns(texts):
+    for t in texts:
+        if t and len(t) >= 5000 and t[0] == "0":
+            continue
+        assert [f"{pii.KINDS[k]}:{a}:{b}" for k, a, b, _, base in pii.spans(t) if base] == brute(t), t
+
+
+def test_query_columns(spark, texts):
+    rows = [(i, t, None) for i, t in enumerate(texts[:200] + ["", None])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in pii.digest(pii.find(d)).collect()}
+    for i, t, _ in rows:
+        base = brute(t)
+        assert [got[i][f"n_{k}"] for k in PATTERNS] == [sum(x.startswith(k) for x in base) for k in PATTERNS]
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(got[i].spans.split(",")) or not base
+    assert pii.find(d.limit(0)).count() == 0
+
+
+def test_method_adds_confirmed_spans():
+    def kinds(t):
+        return [(pii.KINDS[k], t[a:b]) for k, a, b, _, base in pii.spans(t) if not base]
+
+    assert kinds("iban GB82 WEST 1234 5698 7654 32.") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert kinds("iban GB82 WEST 1234 5698 7654 33.") == []
+    assert kinds("ssn 123-45-6789 and") == [("ssn", "123-45-6789")]
+    assert kinds("no. 123-45-6789 and") == []
+    assert ("card", "4111111111111111") in kinds("id 88123 4111111111111111 x")
+    assert kinds("+1 (377) 555-0271 9807915762804490")[0] == ("phone", "+1 (377) 555-0271")
+
+
+def test_redact_keeps_rows_and_columns(spark):
+    d = spark.createDataFrame([(1, "mail a@b.com now", "x"), (2, None, None), (2, "clean", "y")], "doc_id long, text string, lang string")
+    got = sorted(map(tuple, pii.redact(d).collect()), key=str)
+    assert got == [(1, "mail [EMAIL] now", "x"), (2, "clean", "y"), (2, None, None)]
