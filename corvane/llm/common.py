@@ -104,3 +104,40 @@ def safe_pieces(text: str) -> list[str]:
     if _ODD_BLANK.search(text):
         return [text]
     return _PIECES.findall(text)
+
+
+def bounded_sample(rows: DataFrame, class_col: str, most: int, *key_cols: str) -> DataFrame:
+    """At most ``most`` rows of each class, those with the smallest hash of ``key_cols``.
+
+    The classes are counted first, so that a hash threshold thins every partition before the exact
+    cut; what is ranked is about 1.25 times the bound for each class, whatever the input's size.
+    """
+    from pyspark.sql import Window
+
+    counts = [r for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()]
+    if not counts:
+        return rows.limit(0)
+    place = F.pmod(F.xxhash64(F.lit("sample"), *key_cols), F.lit(1 << 30)) / float(1 << 30)
+    wanted = F.lit(False)
+    for r in counts:
+        share = min(1.0, (1.25 * most + 40) / r["count"])
+        wanted = wanted | ((F.col(class_col) == r[class_col]) & (place < share))
+    ranked = rows.where(wanted).withColumn("_rank", F.row_number().over(Window.partitionBy(class_col).orderBy(place, *key_cols)))
+    return ranked.where(F.col("_rank") <= most).drop("_rank")
+
+
+def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct lower-case words (runs of letters and marks) of the texts, each word's code in text
+    order, and the rows' offsets into the codes. Rows without words hold the empty word."""
+    import pyarrow.compute as pc
+
+    lower = pc.utf8_lower(pc.fill_null(column, "").cast(pa.large_string()))
+    parts = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(lower, r"[^\pL\pM]+", " "), " "), " ")
+    offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    coded = parts.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False), offsets.astype(np.int64)
+
+
+def row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` over each row's run; every run holds at least one value."""
+    return np.add.reduceat(values, offsets[:-1], axis=0) if len(offsets) > 1 else values[:0]
