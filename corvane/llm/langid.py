@@ -33,6 +33,9 @@ ORDER = 5
 SAMPLE = 600
 CALIBRATION = 0.2
 SLACK = 1.5
+#: Nats a symbol above the mean below which no text of 200 symbols or more is rejected: mixtures of two
+#: learned languages stay, other scripts and random letters go.
+LEAST_EXCESS = 1.5
 #: Characters that share the uniform distribution below order 1.
 ALPHABET = 4096
 UNKNOWN = "und"
@@ -147,7 +150,7 @@ class Models:
             self.hash.append(h)
             self.log_p.append(np.log(p).astype(np.float32))
             below = p
-        self.temperature, self.mean, self.most = 1.0, np.zeros(n), np.full(n, np.inf)
+        self.temperature, self.mean, self.most = 1.0, np.zeros(n), np.full(n, LEAST_EXCESS)
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities (words x languages) and symbols of each word; the empty word has none."""
@@ -215,7 +218,7 @@ class Models:
             if mine.sum() >= 5:
                 self.mean[i] = own[mine].mean()
                 excess = (own[mine] - self.mean[i]) / np.maximum(1, np.sqrt(200 / size[mine]))
-                self.most[i] = SLACK * max(0.5, excess.max())
+                self.most[i] = max(LEAST_EXCESS, SLACK * excess.max())
 
 
 def fit(training: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> Models | None:

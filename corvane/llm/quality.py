@@ -4,7 +4,7 @@ Each text becomes ``len(FEATURES)`` numbers: counts of bytes by class, words, re
 closer to normal (logarithms of sizes, square roots of shares) and standardised. A class's covariance is shrunk towards
 the pooled one (``POOL``) and that towards its diagonal (``RIDGE``); both Cholesky factors are kept, so a score needs
 two triangular solves. The log-density difference becomes a probability by a logistic curve that is fitted on the
-sample with the classes at their shares.
+sample, its offset then moved from the sample's class odds to those of all labels.
 
 Learning reads at most ``SAMPLE`` labelled rows a class, those of the smallest hashes.
 
@@ -15,6 +15,8 @@ results; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,7 +78,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
 class Discriminant:
     """Two shrunk normal densities with cached Cholesky factors, and the logistic curve over their difference."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, odds: float | None = None):
         self.prior = float(y.mean()) if len(y) else 0.5
         self.ready = len(np.unique(y)) == 2 and min(np.bincount(y)) >= 2
         if not self.ready:
@@ -93,7 +95,9 @@ class Discriminant:
             shrunk = (1 - RIDGE) * shrunk + RIDGE * np.diag(np.diag(shrunk) + 0.05)
             self.factors.append(np.linalg.cholesky(shrunk))
         self.half_logs = [np.log(np.diag(f)).sum() for f in self.factors]
-        self.curve = _logistic(_squash(self._difference(x)), y)
+        slope, offset = _logistic(_squash(self._difference(x)), y)
+        own = math.log(y.mean() / (1 - y.mean()))
+        self.curve = slope, offset + ((own if odds is None else odds) - own)
 
     def _difference(self, x: np.ndarray) -> np.ndarray:
         """Log-density of class 1 minus that of class 0."""
@@ -130,19 +134,22 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents a class; labels other than 0 and 1 are left out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
+    """(text, label) of at most ``most`` labelled documents a class, and the log-odds of label 1 among all labels
+    (0 unless both occur); labels other than 0 and 1 are left out.
 
     The labels are cut to the bound before they meet the texts, so the side that is broadcast never grows.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
+    counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
+    odds = math.log(counts[1] / counts[0]) if len(counts) == 2 else 0.0
     chosen = bounded_sample(usable, "_label", most, id_col)
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "_label")
+    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "_label"), odds
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
     """Learn from the rows of ``labels``; the statistics are taken on the executors."""
-    sample = labelled_sample(docs, labels, label_col, SAMPLE, id_col, text_col)
+    sample, odds = labelled_sample(docs, labels, label_col, SAMPLE, id_col, text_col)
 
     def run(batches):
         for part in slices(batches, text_col):
@@ -154,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("_label").to_pylist(), int)
     order = np.lexsort([*x.T, y])  # sums don't depend on the order in which rows came
-    return Discriminant(x[order], y[order])
+    return Discriminant(x[order], y[order], odds)
 
 
 def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,9 +3,9 @@
 Labels are of documents, so token labels are made first: a word of a toxic document is labelled toxic if one of
 its features (the word, its prefixes of ``PREFIXES`` letters) stands in so many more toxic than clean documents that the
 smoothed log-odds reach ``LOG_ODDS``. The field (weights of features, state bias, four transitions) is then fitted to the
-labelled chains by gradient steps on the penalised conditional likelihood, with forward-backward sums. It learns on one half
-of the sample; on the other half a logistic curve turns a document's aggregated marginals (their sum, largest and share)
-into its score.
+labelled chains by gradient steps on the penalised conditional likelihood, with forward-backward sums. A logistic curve
+turns a document's aggregated marginals (their sum, largest and share) into its score; it is fitted on marginals that each half
+of the sample gets from a field of the other half, while the final field learns from all of it.
 
 Forward and backward messages are scans of 2x2 matrices over all words of a slice at once: chunks of ``CHUNK`` words are
 multiplied side by side, the chunk ends follow one by one, and a document's first word resets the message. Cost is linear
@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from corvane.llm.common import distinct_words, slices
 from corvane.llm.quality import labelled_sample
 
-SAMPLE = 2500
+SAMPLE = 1500
 PREFIXES = (4, 5, 6)
 LOG_ODDS = 1.5
 #: Toxic documents in which a feature must stand to get a weight.
 LEAST = 4
 CHUNK = 128
 SPAN_LEVEL = 0.5
-_STEPS, _PENALTY = 60, 1e-3
+_STEPS, _PENALTY = 40, 1e-3
 
 
 def features(word: str) -> list[str]:
@@ -124,7 +124,8 @@ class Field:
         p, _ = forward_backward(self._emissions(words)[codes], first, self.start, self.move)
         return p, words, codes, offsets
 
-    def aggregates(self, p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def aggregates(p: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """A row for each document: sum, largest and share of its marginals, and its length."""
         total = np.add.reduceat(p, offsets[:-1])
         most = np.maximum.reduceat(p, offsets[:-1])
@@ -155,46 +156,52 @@ def token_labels(words: list[str], codes: np.ndarray, offsets: np.ndarray, y: np
 
 
 def train(texts: list[str], y: np.ndarray) -> Field:
-    """Fit field and curve; even rows serve the field, odd ones the curve."""
-    field = Field()
-    field.share = float(y.mean()) if len(y) else 0.0
-    halves = [np.arange(len(y)) % 2 == k for k in (0, 1)]
+    """The field of all texts, and the curve of the aggregates that two halves give each other."""
+    halves = [np.flatnonzero(np.arange(len(y)) % 2 == k) for k in (0, 1)]
     if any(len(np.unique(y[h])) < 2 for h in halves):
+        field = Field()
+        field.share = float(y.mean()) if len(y) else 0.0
         return field
-    chosen = np.flatnonzero(halves[0])
-    words, codes, offsets = distinct_words(pa.array([texts[i] for i in chosen], pa.string()))
-    labels, odds = token_labels(words, codes, offsets, y[chosen])
+    arrays = [pa.array([texts[i] for i in h], pa.string()) for h in halves]
+    x = []
+    for own, other in ((1, 0), (0, 1)):
+        p, _, _, offsets = train_field(arrays[other], y[halves[other]]).marginals(arrays[own])
+        x.append(Field.aggregates(p, offsets))
+    field = train_field(pa.array(texts, pa.string()), y)
+    field.curve = _newton(np.vstack(x), np.concatenate([y[halves[1]], y[halves[0]]]))
+    return field
+
+
+def train_field(texts: pa.Array, y: np.ndarray) -> Field:
+    """Weights, bias, start and transitions from documents and their labels."""
+    field = Field()
+    words, codes, offsets = distinct_words(texts)
+    labels, odds = token_labels(words, codes, offsets, y)
     names = [f for f, v in odds.items() if v > 0.5]
     place = {f: i for i, f in enumerate(names)}
     pairs = [(w, place[f]) for w, word in enumerate(words) for f in features(word) if f in place]
     rows, columns = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    first = np.zeros(len(codes), bool)
+    n, k = len(codes), len(names)
+    first = np.zeros(n, bool)
     first[offsets[:-1]] = True
-    n = len(codes)
     target = np.bincount(codes, labels, len(words))
-    before = np.concatenate([[False], labels[:-1]])
-    seen = np.array([[np.sum(~before & ~labels & ~first), np.sum(~before & labels & ~first)], [np.sum(before & ~labels & ~first), np.sum(before & labels & ~first)]], float)
-    theta = np.concatenate([np.zeros(len(names)), [-4.0, 0.0], np.zeros(4)])
-    square = np.zeros_like(theta)
-    momentum = np.zeros_like(theta)
+    before, later = np.concatenate([[False], labels[:-1]]), ~first
+    seen = np.array([np.sum(a & b & later) for a in (~before, before) for b in (~labels, labels)], float)
+    shrink = np.concatenate([np.full(k, _PENALTY * n / 100), np.zeros(6)])
+    theta = np.concatenate([np.zeros(k), [-4.0, 0.0], np.zeros(4)])
+    square, momentum = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, _STEPS + 1):
-        w, (bias, start), move = theta[: len(names)], theta[len(names) : len(names) + 2], theta[-4:].reshape(2, 2)
-        emission = np.bincount(rows, w[columns], len(words)) + bias
-        p, pair = forward_backward(emission[codes], first, start, move)
+        emission = np.bincount(rows, theta[:k][columns], len(words)) + theta[k]
+        p, pair = forward_backward(emission[codes], first, theta[k + 1], theta[-4:].reshape(2, 2))
         off = target - np.bincount(codes, p, len(words))
-        gradient = np.concatenate([
-            np.bincount(columns, off[rows], len(names)) if len(names) else np.zeros(0),
-            [off.sum(), (labels[first] - p[first]).sum()],
-            (seen - pair.sum(axis=0).reshape(2, 2)).ravel(),
-        ]) - _PENALTY * n / 100 * theta * np.concatenate([np.full(len(names), 1.0), np.zeros(6)])
+        by_feature = np.bincount(columns, off[rows], k) if k else np.zeros(0)
+        gradient = np.concatenate([by_feature, [off.sum(), labels[first].sum() - p[first].sum()], seen - pair.sum(axis=0)]) - shrink * theta
         momentum = 0.9 * momentum + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
-        theta = theta + 0.3 * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8) * min(1.0, 12 / step)
-    field.weights = {f: float(v) for f, v in zip(names, theta[: len(names)], strict=True) if abs(v) > 1e-3}
-    field.bias, field.start, field.move = float(theta[len(names)]), float(theta[len(names) + 1]), theta[-4:].reshape(2, 2)
-    rest = np.flatnonzero(halves[1])
-    p, _, _, offsets = field.marginals(pa.array([texts[i] for i in rest], pa.string()))
-    field.curve = _newton(field.aggregates(p, offsets), y[rest])
+        rate = 0.3 * min(1.0, 12 / step)
+        theta = theta + rate * (momentum / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    field.weights = {f: float(v) for f, v in zip(names, theta[:k], strict=True) if abs(v) > 1e-3}
+    field.bias, field.start, field.move = float(theta[k]), float(theta[k + 1]), theta[-4:].reshape(2, 2)
     return field
 
 
@@ -212,9 +219,14 @@ def _newton(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Learn from the rows of ``labels``, at most ``SAMPLE`` documents a class."""
-    rows = labelled_sample(docs, labels, label_col, SAMPLE, id_col, text_col).toArrow()
+    sample, odds = labelled_sample(docs, labels, label_col, SAMPLE, id_col, text_col)
+    rows = sample.toArrow()
     got = sorted(zip(rows.column(text_col).to_pylist(), rows.column("_label").to_pylist(), strict=True), key=lambda r: (r[1], r[0] or ""))
-    return train([t or "" for t, _ in got], np.array([y for _, y in got], int))
+    y = np.array([y for _, y in got], int)
+    field = train([t or "" for t, _ in got], y)
+    if field.curve is not None:  # from the sample's class odds to those of all labels
+        field.curve[-1] += odds - np.log(y.mean() / (1 - y.mean()))
+    return field
 
 
 def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
