@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, pii, quality, token_counts, toxicity
+from corvane.llm import bpe, decontaminate, langid, pii, quality, token_counts, toxicity, vptree
 from corvane.llm.common import documents, held_out
 
 
@@ -28,6 +28,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels.where(~held_out("doc_id", 5, 0)), "quality")
@@ -52,6 +56,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op5_quality, op6_pii, op8_byte_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op8_byte_bpe, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
