@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, pii, quality, token_counts, toxicity, vptree
+from corvane.llm import bpe, decontaminate, langid, neardup, pii, quality, token_counts, toxicity, vptree
 from corvane.llm.common import documents, held_out
 
 
@@ -43,6 +43,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(documents(spark, sf_dir)))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op8_byte_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
