@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, neardup, pii, quality, token_counts, toxicity, vptree
+from corvane.llm import bpe, decontaminate, langid, neardup, pii, quality, suffix_dedup, token_counts, toxicity, vptree
 from corvane.llm.common import documents, held_out
 
 
@@ -53,6 +53,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.fit(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic")
@@ -60,6 +64,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op9_suffix_dedup, op10_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
