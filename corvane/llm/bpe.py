@@ -1,34 +1,41 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Documents are dealt into batches of about ``BATCH_BYTES`` by a hash of their id and text. Each
-   batch gives its distinct pre-tokens ("words"), so a word crosses the network once a batch at
-   most, however often it stands there.
-2. The words of all batches are made distinct; each is encoded once, its ids are joined back to the
-   batches that hold it, and the ids' bytes come from the token-byte table.
-3. Batches meet their words again (both sides are dealt by batch) and every document is put together
-   by position. The exchange of the documents serves steps 1 and 3.
-
-Decoding maps ids to bytes with the same table, whose size is that of the vocabulary file.
-
-Defined results: null and empty texts give no ids and empty decoded bytes; repeated rows stay
-repeated; an empty table gives an empty result; columns besides id and text are ignored.
+1. Documents are packed into blocks of about ``BLOCK_BYTES`` of text, compressed, each named by a digest of its
+   content, and dealt out by that name. This exchange serves steps 2 and 4.
+2. Each block gives its distinct pre-tokens ("words") in the order of their first positions. They are exploded into
+   buckets by a hash of the word, so that a word crosses the network once a block at most, however often it
+   stands there.
+3. The words of a bucket meet from all blocks; each distinct one is encoded once, and its ids go back to the
+   blocks that hold it.
+4. Blocks meet the ids of their words again (both sides are dealt by block), and every document is put together by
+   position. The ids' bytes come from the token-byte table, whose size is that of the vocabulary file.
+
+The number of buckets follows the input's size. Nothing is collected but that size.
+
+Defined results: null and empty texts give no ids and empty decoded bytes; repeated rows stay repeated; an empty
+table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import safe_pieces
+from corvane.llm.common import safe_pieces, slices
 
-BATCH_BYTES = 2 << 20
-#: Distinct pieces whose cut is kept while one batch is read.
-_CACHE = 400_000
+BLOCK_BYTES = 8 << 20
+#: Text bytes for each word bucket, and the fewest and most buckets.
+BUCKET_BYTES, BUCKETS = 32 << 20, (16, 4096)
+#: Words that a task remembers while it encodes buckets.
+_REMEMBERED = 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,40 +44,58 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """BPE of one pre-token: again and again the leftmost pair of the lowest rank is merged.
+def word_encoder(path: str, pattern: str):
+    """The ids of one pre-token, by the library's merge loop on its bytes."""
+    import tiktoken
 
-    A heap of candidate pairs over a linked list keeps very long words at n log n.
-    """
-    import heapq
-
-    if word in ranks:
-        return [ranks[word]]
-    n = len(word)
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, size = heapq.heappop(heap)
-        left, j = parts[i], after[i]
-        if left is None or j >= n or len(left) + len(parts[j]) != size:
-            continue
-        parts[i], parts[j] = left + parts[j], None
-        after[i] = k = after[j]
-        if k < n:
-            before[k] = i
-            if (r := ranks.get(parts[i] + parts[k])) is not None:
-                heapq.heappush(heap, (r, i, len(parts[i]) + len(parts[k])))
-        if (h := before[i]) >= 0 and (r := ranks.get(parts[h] + parts[i])) is not None:
-            heapq.heappush(heap, (r, h, len(parts[h]) + len(parts[i])))
-    return [ranks[p] for p in parts if p is not None]
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})._core_bpe.encode_single_piece
 
 
 def decode(ids: Iterable[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
+def _pack(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def _own_words(texts: list[str | None], find) -> tuple[np.ndarray, np.ndarray, list[list[str]], dict[str, int]]:
+    """Each text's pieces as codes (with the texts' offsets), the words of each distinct piece, and the distinct
+    words' numbers, in the order of their first positions."""
+    cut = [safe_pieces(t) if t else [] for t in texts]
+    offsets = np.cumsum([0, *map(len, cut)])
+    coded = pa.array([p for own in cut for p in own], pa.large_string()).dictionary_encode()
+    pieces = [
+        [p] if p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p)
+        for p in coded.dictionary.to_pylist()
+    ]
+    words = dict.fromkeys(w for own in pieces for w in own)
+    return coded.indices.to_numpy(zero_copy_only=False), offsets, pieces, dict(zip(words, range(len(words)), strict=True))
+
+
+def _bucketed(words: Iterable[str], n: int) -> dict[int, list[bytes]]:
+    out: dict[int, list[bytes]] = {}
+    for w in words:
+        raw = w.encode()
+        out.setdefault(zlib.crc32(raw) % n, []).append(raw)
+    return out
+
+
+def _ints(values) -> bytes:
+    return pa.compress(np.asarray(values, np.int32).tobytes(), "zstd", asbytes=True)
+
+
+def _read_ints(data: bytes, n: int) -> list[int]:
+    return np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.int32).tolist()
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and with ``with_ids`` also the array
     ``ids`` and the binary ``decoded``.
@@ -79,70 +104,116 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     Pre-tokens are the matches of ``pattern``; ``ranks_path`` must be readable on every executor.
     """
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_batches = int(max(1, -(-size // BATCH_BYTES), 1))
-    dealt = docs.select(
-        id_col, text_col, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_batches)).cast("int").alias("_batch")
-    )
+    n_buckets = int(min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def words(table: pa.Table) -> pa.Table:
-        import regex
+    def pack(batches):
+        for part in slices(batches, text_col, BLOCK_BYTES):
+            data = _pack(part)
+            name = hashlib.blake2b(data, digest_size=16).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.large_binary()).cast(pa.binary())], ["_block", "_data"])
 
-        find, pieces = regex.compile(pattern).findall, set()
-        for t in table.column(text_col).to_pylist():
-            if t:
-                pieces.update(safe_pieces(t))
-        own = sorted(set().union(*map(find, pieces)))
-        return pa.table({"_batch": pa.array([table.column("_batch")[0].as_py()] * len(own), pa.int32()), "_word": pa.array(own, pa.string())})
+    blocks = docs.select(id_col, text_col).mapInArrow(pack, "_block string, _data binary").repartition("_block")
 
-    held = dealt.groupBy("_batch").applyInArrow(words, "_batch int, _word string")
+    def explode(batches):
+        import regex
 
-    def encode(batches):
-        ranks = read_ranks(ranks_path)
-        table = {i: b for b, i in ranks.items()}
+        find = regex.compile(pattern).findall
         for batch in batches:
-            ids = [merge(w.encode(), ranks) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([decode(i, table) for i in ids], pa.binary())],
-                ["_word", "_ids", "_bytes"],
-            )
-
-    # A word of no letters is never null; distinct() combines before it shuffles.
-    known = held.select("_word").distinct().mapInArrow(encode, "_word string, _ids array<int>, _bytes binary")
-    back = held.join(known, "_word")
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                *_, words = _own_words(_unpack(data.as_py()).column(text_col).to_pylist(), find)
+                rows = sorted(_bucketed(words, n_buckets).items())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([name.as_py()] * len(rows), pa.string()),
+                        pa.array([k for k, _ in rows], pa.int32()),
+                        pa.array([len(w) for _, w in rows], pa.int32()),
+                        pa.array([_ints([len(x) for x in w]) for _, w in rows], pa.binary()),
+                        pa.array([sum(map(len, w)) for _, w in rows], pa.int32()),
+                        pa.array([pa.compress(b"".join(w), "zstd", asbytes=True) for _, w in rows], pa.binary()),
+                    ],
+                    ["_block", "_bucket", "_n", "_lengths", "_size", "_words"],
+                )
+
+    exploded = blocks.mapInArrow(explode, "_block string, _bucket int, _n int, _lengths binary, _size int, _words binary")
 
-    def assemble(own: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    def encode(batches):
+        one, known = word_encoder(ranks_path, pattern), {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                raw, ids, counts, at = pa.decompress(row["_words"], row["_size"], "zstd", asbytes=True), [], [], 0
+                for n in _read_ints(row["_lengths"], row["_n"]):
+                    word = raw[at : at + n]
+                    at += n
+                    got = known.get(word)
+                    if got is None:
+                        got = known[word] = one(word)
+                    ids += got
+                    counts.append(len(got))
+                if len(known) > _REMEMBERED:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["_block"]]), pa.array([row["_bucket"]], pa.int32()), pa.array([row["_n"]], pa.int32()), pa.array([_ints(counts)], pa.binary()), pa.array([len(ids)], pa.int32()), pa.array([_ints(ids)], pa.binary())],
+                    ["_block", "_bucket", "_n", "_counts", "_size", "_ids"],
+                )
+
+    # All rows of a bucket are in one partition, so a word is encoded once however many blocks hold it.
+    back = exploded.repartition("_bucket").mapInArrow(encode, "_block string, _bucket int, _n int, _counts binary, _size int, _ids binary")
+
+    def assemble(own: pa.Table, returned: pa.Table) -> pa.Table:
         import regex
 
         find = regex.compile(pattern).findall
-        ids = dict(zip(vocabulary.column("_word").to_pylist(), vocabulary.column("_ids").to_pylist(), strict=True))
-        raw = dict(zip(vocabulary.column("_word").to_pylist(), vocabulary.column("_bytes").to_pylist(), strict=True))
-        seen: dict[str, tuple[int, str, bytes]] = {}
-        rows = ([], [], [], [], [])
-        for t in own.column(text_col).to_pylist():
-            pieces = safe_pieces(t) if t else []
-            for p in set(pieces).difference(seen):
-                cut = find(p)
-                flat = [i for w in cut for i in ids[w]]
-                seen[p] = (len(flat), " ".join(map(str, flat)), b"".join(map(raw.__getitem__, cut)))
-            got = [seen[p] for p in pieces]
-            written = " ".join([x[1] for x in got])
-            whole = b"".join([x[2] for x in got])
-            rows[0].append(sum([x[0] for x in got]))
-            rows[1].append(hashlib.sha256(written.encode()).hexdigest())
-            rows[2].append(hashlib.sha256(whole).hexdigest())
-            if with_ids:
-                rows[3].append([int(x) for x in written.split()])
-                rows[4].append(whole)
-            if len(seen) > _CACHE:
-                seen.clear()
-        out = {id_col: own.column(id_col), "n_tokens": pa.array(rows[0], pa.int64()), "ids_sha256": pa.array(rows[1], pa.string()), "decoded_sha256": pa.array(rows[2], pa.string())}
-        if with_ids:
-            out |= {"ids": pa.array(rows[3], pa.list_(pa.int32())), "decoded": pa.array(rows[4], pa.binary())}
-        return pa.table(out)
+        table = {i: b for b, i in read_ranks(ranks_path).items()}
+        ids_of: dict[int, tuple[list[int], list[int]]] = {}
+        for row in returned.to_pylist():
+            ids_of[row["_bucket"]] = _read_ints(row["_counts"], row["_n"]), _read_ints(row["_ids"], row["_size"])
+        out = []
+        for data in own.column("_data").to_pylist():
+            block = _unpack(data)
+            out.append(_assembled(block, find, ids_of, table, n_buckets, id_col, text_col, with_ids))
+        return pa.concat_tables(out)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return dealt.groupBy("_batch").cogroup(back.groupBy("_batch")).applyInArrow(assemble, schema)
+    return blocks.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(assemble, schema)
+
+
+def _assembled(block: pa.Table, find, ids_of, table, n_buckets: int, id_col: str, text_col: str, with_ids: bool) -> pa.Table:
+    codes, offsets, pieces, words = _own_words(block.column(text_col).to_pylist(), find)
+    order: dict[int, list[str]] = {}
+    for w in words:
+        order.setdefault(zlib.crc32(w.encode()) % n_buckets, []).append(w)
+    number, written, raw, ids_by_word = {}, {}, {}, {}
+    for k, own in order.items():
+        counts, ids = ids_of[k]
+        names, at = list(map(str, ids)), 0
+        for w, n in zip(own, counts, strict=True):
+            number[w], written[w], raw[w] = n, " ".join(names[at : at + n]), decode(ids[at : at + n], table)
+            if with_ids:
+                ids_by_word[w] = ids[at : at + n]
+            at += n
+    sizes = np.array([sum(map(number.__getitem__, own)) for own in pieces], np.int64)
+    texts = pa.array([" ".join(map(written.__getitem__, own)) if len(own) > 1 else written[own[0]] for own in pieces], pa.large_string())
+    parts = pa.array([b"".join(map(raw.__getitem__, own)) if len(own) > 1 else raw[own[0]] for own in pieces], pa.large_binary())
+
+    def by_row(values: pa.Array, between):
+        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values.take(pa.array(codes)))
+        return pc.binary_join(lists, pa.scalar(between, values.type)).to_pylist()
+
+    before = np.concatenate([[0], np.cumsum(sizes[codes])])
+    joined, decoded = by_row(texts, " "), by_row(parts, b"")
+    out = {
+        id_col: block.column(id_col),
+        "n_tokens": pa.array(before[offsets[1:]] - before[offsets[:-1]], pa.int64()),
+        "ids_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined], pa.string()),
+        "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string()),
+    }
+    if with_ids:
+        flat = pa.array([i for own in pieces for w in own for i in ids_by_word[w]], pa.int32())
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
+        taken = lists.take(pa.array(codes)).flatten()
+        out |= {"ids": pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), taken), "decoded": pa.array(decoded, pa.binary())}
+    return pa.table(out)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -69,12 +69,3 @@ def test_empty_tables(spark):
 @given(st.text())
 def test_pieces_concatenate(text):
     assert "".join(safe_pieces(text)) == text
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcde .'", max_size=60))
-def test_merge_is_the_librarys(library, word):
-    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")) if not hasattr(test_merge_is_the_librarys, "r") else test_merge_is_the_librarys.r
-    test_merge_is_the_librarys.r = ranks
-    if word:
-        assert bpe.merge(word.encode(), ranks) == library._encode_single_piece(word)
