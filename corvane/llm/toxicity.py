@@ -35,6 +35,8 @@ LOG_ODDS = 1.5
 #: Toxic documents in which a feature must stand to get a weight.
 LEAST = 4
 CHUNK = 128
+#: Words of training documents whose messages are held at once.
+WORDS_AT_ONCE = 150_000
 SPAN_LEVEL = 0.5
 _STEPS, _PENALTY = 40, 1e-3
 
@@ -165,8 +167,10 @@ def train(texts: list[str], y: np.ndarray) -> Field:
     arrays = [pa.array([texts[i] for i in h], pa.string()) for h in halves]
     x = []
     for own, other in ((1, 0), (0, 1)):
-        p, _, _, offsets = train_field(arrays[other], y[halves[other]]).marginals(arrays[own])
-        x.append(Field.aggregates(p, offsets))
+        half = train_field(arrays[other], y[halves[other]])
+        for at in range(0, len(arrays[own]), 200):
+            p, _, _, offsets = half.marginals(arrays[own].slice(at, 200))
+            x.append(Field.aggregates(p, offsets))
     field = train_field(pa.array(texts, pa.string()), y)
     field.curve = _newton(np.vstack(x), np.concatenate([y[halves[1]], y[halves[0]]]))
     return field
@@ -190,12 +194,18 @@ def train_field(texts: pa.Array, y: np.ndarray) -> Field:
     shrink = np.concatenate([np.full(k, _PENALTY * n / 100), np.zeros(6)])
     theta = np.concatenate([np.zeros(k), [-4.0, 0.0], np.zeros(4)])
     square, momentum = np.zeros_like(theta), np.zeros_like(theta)
+    # Whole documents of about WORDS_AT_ONCE words together bound the messages' memory.
+    cuts = sorted({*offsets[np.minimum(np.searchsorted(offsets, np.arange(0, n, WORDS_AT_ONCE)), len(offsets) - 1)].tolist(), n})
     for step in range(1, _STEPS + 1):
         emission = np.bincount(rows, theta[:k][columns], len(words)) + theta[k]
-        p, pair = forward_backward(emission[codes], first, theta[k + 1], theta[-4:].reshape(2, 2))
-        off = target - np.bincount(codes, p, len(words))
+        off, begun, pairs_sum = target.copy(), 0.0, np.zeros(4)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            p, pair = forward_backward(emission[codes[a:b]], first[a:b], theta[k + 1], theta[-4:].reshape(2, 2))
+            off -= np.bincount(codes[a:b], p, len(words))
+            begun += p[first[a:b]].sum()
+            pairs_sum += pair.sum(axis=0)
         by_feature = np.bincount(columns, off[rows], k) if k else np.zeros(0)
-        gradient = np.concatenate([by_feature, [off.sum(), labels[first].sum() - p[first].sum()], seen - pair.sum(axis=0)]) - shrink * theta
+        gradient = np.concatenate([by_feature, [off.sum(), labels[first].sum() - begun], seen - pairs_sum]) - shrink * theta
         momentum = 0.9 * momentum + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient**2
         rate = 0.3 * min(1.0, 12 / step)
