@@ -167,6 +167,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return state.mapInArrow(run, schema)
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, in which no window occurs. Nothing is shuffled."""
+    context = docs.sparkSession.sparkContext
+
+    def without(kept: DataFrame, chunk: list) -> DataFrame:
+        sent = [context.broadcast(b) for b in chunk]
+
+        def run(batches):
+            search = [t for b in sent for t in tables(b.value)]
+            for part in slices(batches, text_col):
+                hit = [any(next(t.find(own), None) for t in search) for own in map(words, part.column(text_col).to_pylist())]
+                yield part.filter(pa.array([not x for x in hit], pa.bool_()))
+
+        return kept.mapInArrow(run, docs.schema)
+
+    chunk: list = []
+    for block in _blocks(benchmark, item_col, item_text_col):
+        if len(chunk) == BLOCKS_A_PASS:
+            docs, chunk = stored(without(docs, chunk)), []
+        chunk.append(block)
+    return without(docs, chunk) if chunk else docs
+
+
 def _result(part: pa.RecordBatch, rows: list, id_col: str, text_col: str | None) -> pa.RecordBatch:
     offsets = [0]
     for _, runs, _ in rows:

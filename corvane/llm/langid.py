@@ -150,7 +150,7 @@ class Models:
             self.hash.append(h)
             self.log_p.append(np.log(p).astype(np.float32))
             below = p
-        self.temperature, self.mean, self.most = 1.0, np.zeros(n), np.full(n, LEAST_EXCESS)
+        self.temperature, self.mean, self.most = 1.0, np.zeros(n), np.full(n, np.inf)
 
     def word_scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-probabilities (words x languages) and symbols of each word; the empty word has none."""
@@ -215,7 +215,8 @@ class Models:
         self.temperature = min([2.0**x for x in range(-2, 9)], key=loss)
         for i in range(len(self.languages)):
             mine = (truth == i) & (size > 0)
-            if mine.sum() >= 5:
+            mine = mine if mine.sum() >= 5 else size > 0  # too few texts of a language: those of all
+            if mine.any():
                 self.mean[i] = own[mine].mean()
                 excess = (own[mine] - self.mean[i]) / np.maximum(1, np.sqrt(200 / size[mine]))
                 self.most[i] = max(LEAST_EXCESS, SLACK * excess.max())
