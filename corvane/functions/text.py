@@ -5,7 +5,7 @@ Patterns run in Java: ``(?U)`` makes blanks and digits those of Unicode, ``(?d)`
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,11 +35,15 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return found
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` uses it, also within lambdas."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """Overlapping n-grams of the text without blanks; empty if it is shorter."""
     t = without_blanks(text)
-    size = F.char_length(t)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return array_ngrams(F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "")), n, "")
 
 
 def _punctuation() -> str:
@@ -64,10 +68,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
-def array_ngrams(tokens: Column, n: int) -> Column:
-    """Overlapping runs of n tokens as strings; token borders are marked, so runs differ if their tokens do."""
-    count = F.size(tokens) - (n - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))).otherwise(F.array().cast("array<string>"))
+def array_ngrams(tokens: Column, n: int, between: str = "\x01") -> Column:
+    """Overlapping runs of n tokens as strings; by default token borders are marked, so runs differ if their tokens do."""
+    none = F.array().cast("array<string>")
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), between))
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(none))
 
 
 def hamming(a: Column, b: Column) -> Column:

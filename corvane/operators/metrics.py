@@ -27,8 +27,8 @@ def rates(items: DataFrame) -> DataFrame:
 
 def distinct_n(df: DataFrame, tokens: Column, n: int) -> DataFrame:
     """(distinct_n): mean share of distinct n-grams over the rows of at least n tokens; 0 if there are none."""
-    grams = X.array_ngrams(tokens, n)
-    return df.select(F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams)).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias(f"distinct_{n}"))
+    share = lambda grams: F.when(F.size(grams) > 0, F.size(F.array_distinct(grams)) / F.size(grams))
+    return df.select(X.bound(X.array_ngrams(tokens, n), share).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias(f"distinct_{n}"))
 
 
 def distinct_n_corpus(df: DataFrame, text: str, order: str, n: int) -> DataFrame:

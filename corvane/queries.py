@@ -88,8 +88,12 @@ _CHARS = rf"regexp_replace(regexp_replace(coalesce(text, ''), '\s+', '', 'g'), '
 
 
 def _distinct_chars_sql(n: int) -> str:
-    return f"""WITH t AS (SELECT {_CHARS} AS t FROM documents),
-r AS (SELECT len(list_distinct(list_transform(range(1, length(t) - {n - 2}), lambda i: substr(t, i::INTEGER, {n}))))::DOUBLE / (length(t) - {n - 1}) AS r FROM t WHERE length(t) >= {n})
+    lead = "".join(f", lead(w, {s}) OVER o" for s in range(1, n))
+    last = f"lead(w, {n - 1}) OVER o IS NOT NULL" if n > 1 else "true"
+    return f"""WITH t AS (SELECT doc_id, string_split({_CHARS}, '') AS c FROM documents),
+u AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS w FROM t),
+g AS (SELECT doc_id, concat_ws(chr(1), w{lead}) AS g, {last} AS whole FROM u WHERE w <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT count(DISTINCT g)::DOUBLE / count(*) AS r FROM g WHERE whole GROUP BY doc_id)
 SELECT coalesce(avg(r), 0)::DOUBLE AS distinct_{n} FROM r"""
 
 
@@ -346,7 +350,7 @@ def aimd_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
   {{'n': least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) - CASE WHEN least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) >= 1 THEN 1 ELSE 0 END, 't': e.t / 1e6,
    'g': s.g + CASE WHEN least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) >= 1 THEN 1 ELSE 0 END}}, {{'n': 6::DOUBLE, 't': NULL::DOUBLE, 'g': 0::BIGINT}}) AS s FROM l)""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = limiter.token_bucket(F.col("_events"), lambda e: F.unix_micros(e["ts"]) / 1e6, 6.0)
+    state = limiter.token_bucket(F.col("_events"), lambda e: F.unix_micros(e["ts"].cast("timestamp")) / 1e6, 6.0)
     return _by_user(spark, sf_dir).select("user_id", state.alias("s")).select("user_id", "s.tokens", "s.granted")
 
 

@@ -65,7 +65,7 @@ def sliding_counts(events: DataFrame, key: str, ts: str, violation: Column, seco
     """``events`` with successes and violations of their key within the last ``seconds``, the row included."""
     from pyspark.sql import Window
 
-    micros = F.unix_micros(ts)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     last = Window.partitionBy(key).orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
     return events.withColumns({"successes": F.sum((~violation).cast("long")).over(last), "violations": F.sum(violation.cast("long")).over(last)})
 
