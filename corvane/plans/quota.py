@@ -74,7 +74,7 @@ def schedule(spark: SparkSession, n: int, mix: dict[str, float] | None = None, s
     if not size:
         raise ValueError("the quota has no slots")
     joined = rows.withColumn("pos", F.pmod("id", F.lit(size))).join(quota, "pos")
-    return joined.select((F.col("id") + 1).alias("sid"), F.col("slot").withField("目标学术水平", level).alias("slot"))
+    return joined.select((F.col("id") + 1).alias("sid"), F.col("slot").withField("`目标学术水平`", level).alias("slot"))
 
 
 def round_robin_levels(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:

@@ -67,7 +67,7 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("run_id", F.element_at(F.split("path", "/"), -2))
 
 
-_SLOT = "struct<年级:string,性别:string,优势学科偏向:array<string>,目标学术水平:string>"
+_SLOT = "struct<`年级`:string,`性别`:string,`优势学科偏向`:array<string>,`目标学术水平`:string>"
 
 
 def read_schedule(spark: SparkSession, path: str) -> DataFrame:
