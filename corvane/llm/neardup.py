@@ -5,10 +5,11 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
 (i, value), so that the population count of two sketches' XOR estimates the share of samples that differ.
 
 1. Documents of equal sets fold into the one of smallest id, by counting sums that combine before the shuffle.
-2. In every band bucket each member is compared with the bucket's smallest id only. Sizes and sketches filter, full sets
-   confirm; connected components follow.
+2. Each member of a band bucket is compared with the smallest id of all its buckets, and then with those of its buckets that
+   are in another component. Sizes and sketches filter, full sets confirm; connected components follow.
 3. Buckets whose members are then all in one component are done: no link between them could change it. In the others,
-   members of different components are compared; sketches are tested inside the join, so only survivors come out of it.
+   members of different components are compared; sketches, now also finer ones, are tested inside the join, so only survivors
+   come out of it.
    Components are computed once more with the links found.
 
 A pair at the level is missed by all bands with probability (1 - level^ROWS)^BANDS, 6e-6 for 0.75, and by its sketches with at
@@ -34,9 +35,13 @@ SHINGLE = 5
 LEVEL = 75  # in hundredths
 BANDS, ROWS, BITS = 32, 4, 512
 SKETCH_MISS = 1e-6
+#: Samples and bits of the finer sketches of documents in unsettled buckets.
+FINE_SAMPLES, FINE_BITS = 1024, 4096
+#: Logarithm of the most bits of the bitmap of wanted documents: 32 MB.
+MOST_BITS = 28
 
-_MULTIPLY = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_MULTIPLY = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,26 +93,40 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two order-free fingerprints, band keys and odd sketches of non-empty sets, as signed 64-bit rows."""
+def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
+    """The first ``n`` MinHash samples of non-empty sets, a row for each set."""
     flat = np.concatenate(sets)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    least = np.empty((len(sets), BANDS * ROWS), np.uint64)
+    least = np.empty((len(sets), n), np.uint64)
     buffer = np.empty_like(flat)
     with np.errstate(over="ignore"):
-        names = np.column_stack([np.add.reduceat(_mix(flat + np.uint64(s)), starts) for s in (11, 29)])
-        for i in range(BANDS * ROWS):
+        for i in range(n):
             np.multiply(flat, _MULTIPLY[i], out=buffer)
             np.add(buffer, _ADD[i], out=buffer)
             least[:, i] = np.minimum.reduceat(buffer, starts)
+    return least
+
+
+def odd_sketches(least: np.ndarray, bits: int) -> np.ndarray:
+    """The samples folded into ``bits`` parities, as rows of signed 64-bit words."""
+    with np.errstate(over="ignore"):
+        bit = _mix(least + np.arange(least.shape[1], dtype=np.uint64) * _BASE) % np.uint64(bits)
+    place = np.arange(len(least))[:, None] * bits + bit.astype(np.int64)
+    parity = np.bincount(place.ravel(), minlength=len(least) * bits).reshape(-1, bits) & 1
+    return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two order-free fingerprints, band keys and odd sketches of non-empty sets, as signed 64-bit rows."""
+    flat = np.concatenate(sets)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    least = samples(sets, BANDS * ROWS)
+    with np.errstate(over="ignore"):
+        names = np.column_stack([np.add.reduceat(_mix(flat + np.uint64(s)), starts) for s in (11, 29)])
         keys = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
             keys = _mix(keys * _BASE + least[:, r::ROWS])
-        bit = _mix(least + np.arange(BANDS * ROWS, dtype=np.uint64) * _BASE) % np.uint64(BITS)
-    place = np.arange(len(sets))[:, None] * BITS + bit.astype(np.int64)
-    parity = np.bincount(place.ravel(), minlength=len(sets) * BITS).reshape(-1, BITS) & 1
-    sketch = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
-    return names.view(np.int64), keys.view(np.int64), sketch
+    return names.view(np.int64), keys.view(np.int64), odd_sketches(least, BITS)
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,16 +152,38 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, "_id long, _n long, _k1 long, _k2 long, _keys array<long>, _sketch array<long>")
 
 
+def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap with a set bit for each id's hash, of at most 2^``MOST_BITS`` bits whatever the number of ids, and its size in bits."""
+    wanted = min(1 << MOST_BITS, max(1 << 18, 1 << (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("_id"), F.lit(wanted)) + 1  # both functions count places from 1
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    bits = np.zeros(wanted // 8 + 4096, np.uint8)
+    for k, own in rows:
+        at = (k - 1) * 4096
+        bits[at : at + 4096] |= np.frombuffer(own, np.uint8)
+    return wanted, bits
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, _set array<long>) of the documents that ``ids`` (_id) names."""
+    """(_id, _set array<long>) of the documents that ``ids`` (_id) names, and of a few others.
+
+    Texts aren't shuffled: a bitmap of bounded size says on the spot which texts can be wanted. If there are so many ids that
+    the bitmap fills, more sets than needed are made, and the joins that follow leave them out.
+    """
+    wanted, bits = _bitmap(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
+        own = sent.value
         for part in slices(batches, text_col):
+            place = part.column("_place").to_numpy()
+            part = part.filter(pa.array((own[place >> 3] >> (place & 7)) & 1 == 1))
             sets = [s.view(np.int64) for s in shingle_sets(part.column(text_col).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(sets, pa.list_(pa.int64()))], ["_id", "_set"])
 
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col))
-    return own.join(ids, "_id", "left_semi").mapInArrow(run, "_id long, _set array<long>")
+    ident = F.col(id_col).cast("long")
+    own = docs.where(ident.isNotNull()).select(ident.alias("_id"), F.pmod(F.xxhash64(ident), F.lit(wanted)).alias("_place"), F.col(text_col))
+    return own.mapInArrow(run, "_id long, _set array<long>")
 
 
 def _close(a: str, b: str) -> Column:
@@ -152,10 +193,33 @@ def _close(a: str, b: str) -> Column:
     return (small * 100 >= large * LEVEL) & (differing <= sketch_limit(LEVEL / 100, BANDS * ROWS, BITS, SKETCH_MISS))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(_id, _fine array<long>) of full sets (_id, _set)."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [np.asarray(x, np.int64).view(np.uint64) for x in part.column("_set").to_numpy(zero_copy_only=False)]
+                full = [i for i, x in enumerate(own) if len(x)]
+                if full:
+                    words = odd_sketches(samples([own[i] for i in full], FINE_SAMPLES), FINE_BITS)
+                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(full)), pa.array(list(words), pa.list_(pa.int64()))], ["_id", "_fine"])
+
+    return sets.mapInArrow(run, "_id long, _fine array<long>")
+
+
+def _finely_close(a: str, b: str) -> Column:
+    """Whether the finer sketches of two rows leave the level possible."""
+    each = F.zip_with(f"{a}._fine", f"{b}._fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda n, c: n + c) <= sketch_limit(LEVEL / 100, FINE_SAMPLES, FINE_BITS, SKETCH_MISS)
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sets: DataFrame | None = None) -> DataFrame:
     """The (a, b) among ``pairs`` whose full sets reach the level."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    sets = stored(full_sets(docs, ids, id_col, text_col))
+    if sets is None:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        sets = stored(full_sets(docs, ids, id_col, text_col))
     both = (
         pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a")
         .join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
@@ -193,30 +257,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(own.where("_n > 0 and _id is not null").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep")))
     whole = own.join(sets.select(F.col("_rep").alias("_id")).distinct(), "_id", "left_semi").where("_n > 0")
     reps = whole.select("_id", "_n", "_sketch")
-    band = whole.select("_id", F.explode("_keys").alias("_key"))
-    shared = band.groupBy("_key").agg(F.min("_id").alias("_hub"), F.max("_id").alias("_last")).where("_hub < _last")
+    band = whole.select("_id", F.posexplode("_keys").alias("_band", "_key"))
+    shared = stored(band.groupBy("_key").agg(F.min("_id").alias("_hub"), F.max("_id").alias("_last")).where("_hub < _last").select("_key", "_hub"))
     # Members of the buckets that hold two documents or more, with the bucket's smallest id.
-    members = stored(band.join(shared.select("_key", "_hub"), "_key"))
+    members = stored(band.join(shared, "_key"))
 
     def filtered(pairs: DataFrame) -> DataFrame:
         a, b = reps.alias("ra"), reps.alias("rb")
         near = pairs.join(a, pairs["a"] == F.col("ra._id")).join(b, pairs["b"] == F.col("rb._id")).where(_close("ra", "rb"))
         return near.select("a", "b").distinct()
 
-    to_hub = members.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b")).distinct()
-    links = stored(_confirmed(docs, stored(filtered(to_hub)), id_col, text_col))
-    label = components(links)
+    def linked(label: DataFrame | None, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
+        """The components once the confirmed ones of ``pairs`` are added."""
+        pairs = stored(pairs)
+        if pairs.isEmpty():
+            return label
+        links = _confirmed(docs, pairs, id_col, text_col, sets)
+        return components(links if label is None else links.unionByName(label.select(F.col("_id").alias("a"), F.col("_component").alias("b"))))
+
+    none = own.sparkSession.createDataFrame([], "_id long, _component long")
+
+    def placed(label: DataFrame | None) -> DataFrame:
+        return members.join(none if label is None else label, "_id", "left").select("_key", "_band", "_id", "_hub", F.coalesce("_component", "_id").alias("_component"))
+
+    # First each member with the smallest id of all its buckets: one pair a member joins most of a large group.
+    first = members.where("_id != _hub").groupBy(F.col("_id").alias("a")).agg(F.min("_hub").alias("b"))
+    label = linked(None, filtered(first))
+    # Then with the smallest id of each bucket, where that one is in another component.
+    now = placed(label)
+    hubs = now.select(F.col("_id").alias("b"), F.col("_component").alias("_of_hub")).distinct()
+    apart = now.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b"), "_component").distinct().join(hubs, "b").where("_component != _of_hub").select("a", "b")
+    label = linked(label, filtered(apart.join(first, ["a", "b"], "left_anti")))
 
     # What is left: buckets of three or more whose members aren't in one component.
-    placed = members.join(label, "_id", "left").select("_key", "_id", "_hub", F.coalesce("_component", "_id").alias("_component"))
-    parted = placed.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key")
-    rest = stored(placed.where("_id != _hub").join(parted, "_key").join(reps, "_id"))
+    now = stored(placed(label))
+    parted = stored(now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key"))
+    rest = stored(now.where("_id != _hub").join(parted, "_key"))
+    full = stored(full_sets(docs, rest.select("_id").distinct(), id_col, text_col))
+    rest = stored(rest.join(whole.select("_id", "_n", "_sketch", "_keys"), "_id").join(fine_sketches(full), "_id"))
     x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x._component") < F.col("y._component")) & _close("x", "y"))
-    more = stored(across.select(F.greatest("x._id", "y._id").alias("a"), F.least("x._id", "y._id").alias("b")).distinct())
-    if not more.isEmpty():
-        links = links.unionByName(_confirmed(docs, more, id_col, text_col))
-        label = components(links)
+    # A pair comes out of the first of its common bands alone.
+    first_band = F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1
+    across = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x._component") < F.col("y._component")) & _close("x", "y") & first_band & _finely_close("x", "y"))
+    label = linked(label, across.select(F.greatest("x._id", "y._id").alias("a"), F.least("x._id", "y._id").alias("b")).distinct(), full)
+    label = none if label is None else label
 
     by_set = sets.join(label.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_k1", "_k2", "_n", F.coalesce("_component", "_rep").alias("_c"))
     out = own.select("_id", "_k1", "_k2", "_n").join(by_set, ["_k1", "_k2", "_n"], "left")
