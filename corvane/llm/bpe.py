@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import safe_pieces, slices
+from corvane.llm.common import safe_pieces, slices, trim
 
 BLOCK_BYTES = 8 << 20
 #: Text bytes for each word bucket, and the fewest and most buckets.
@@ -96,10 +96,11 @@ def _read_ints(data: bytes, n: int) -> list[int]:
     return np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.int32).tolist()
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and with ``with_ids`` also the array
     ``ids`` and the binary ``decoded``.
 
+    ``block_bytes`` bounds the text that a task puts together at once: less takes less memory and repeats more words.
     ``ids_sha256`` is of the decimal ids joined by one blank, ``decoded_sha256`` of the decoded bytes.
     Pre-tokens are the matches of ``pattern``; ``ranks_path`` must be readable on every executor.
     """
@@ -108,7 +109,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches):
-        for part in slices(batches, text_col, BLOCK_BYTES):
+        for part in slices(batches, text_col, block_bytes):
             data = _pack(part)
             name = hashlib.blake2b(data, digest_size=16).hexdigest()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.large_binary()).cast(pa.binary())], ["_block", "_data"])
@@ -172,6 +173,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         for data in own.column("_data").to_pylist():
             block = _unpack(data)
             out.append(_assembled(block, find, ids_of, table, n_buckets, id_col, text_col, with_ids))
+        del own, returned, ids_of
+        trim()
         return pa.concat_tables(out)
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -31,7 +34,10 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut record batches into runs of rows whose texts hold about ``most`` bytes together."""
+    """Cut record batches into runs of rows whose texts hold about ``most`` bytes together.
+
+    At the end of the task the worker's unused memory goes back to the system, since workers live on between stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -42,6 +48,16 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

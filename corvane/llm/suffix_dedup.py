@@ -205,12 +205,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("_d"), F.hash(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text")
     )
     rows = stored(block_rows(own.where(F.octet_length("_text") >= LENGTH).select("_d", "_h", "_text")))
-    shared = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_low"), F.max("_rank").alias("_high")).where("_c > 1").drop("_c")
+    # Counts are written before they are joined, so that either side of the join is an exchange whose hot keys can be split.
+    shared = stored(rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_c"), F.min("_rank").alias("_low"), F.max("_rank").alias("_high")).where("_c > 1").drop("_c"))
     meet = stored(rows.join(shared, "_bucket").withColumn("_same", F.col("_low") == F.col("_high")).drop("_low", "_high"))
     several = meet.where("not _same")
     code = F.xxhash64("_d", "_h", "_first")
-    distinct = several.groupBy("_bucket", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.min(code).alias("_code"))
-    large = distinct.groupBy("_bucket").agg((F.count(F.lit(1)) > LARGE).alias("_large"))
+    distinct = stored(several.groupBy("_bucket", "_rank").agg(F.count(F.lit(1)).alias("_n"), F.min(code).alias("_code")))
+    large = stored(distinct.groupBy("_bucket").agg((F.count(F.lit(1)) > LARGE).alias("_large")))
     judged = stored(several.join(distinct, ["_bucket", "_rank"]).where((F.col("_n") > 1) | (F.col("_code") == code)).withColumn("_one", F.col("_code") == code).drop("_code", "_same"))
     whole = meet.where("_same").select("_d", "_h", "_first", "_last").unionByName(judged.where("_n > 1").select("_d", "_h", "_first", "_last"))
     chosen = judged.where("_one").join(large, "_bucket")
