@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
 Kinds in their order: email, ip, card (Luhn), phone, iban (mod-97), ssn. Base spans of the first four are always
-kept. The method adds: cards and phones inside longer digit runs that fail as a whole, IBANs whose mod-97 is 1,
+kept. The method adds: cards and phones inside longer digit runs that fail as a whole, IBANs of their country's length whose mod-97 is 1,
 social security numbers and phones without country code where a context word stands near. An added span is kept
 when its score is at least ``THRESHOLD``; spans that an equal or longer span of the same kind overlaps aren't added.
 
@@ -35,7 +35,18 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _PHONE_INSIDE = re.compile(r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,3}(?![0-9])")
 _PHONE_NATIONAL = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_GROUP = re.compile(r"\x20?[A-Z0-9]+")
+#: Countries by the letters and digits of their IBANs; Burundi has an old and a new form.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTHS = {c: sorted(n for n, own in _IBAN_COUNTRIES.items() if c in own.split()) for c in " ".join(_IBAN_COUNTRIES.values()).split()}
+_ALNUM = _LOCAL_CHARS - frozenset("._%+-")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _GROUP = re.compile(r"[0-9]+")
 
@@ -122,6 +133,29 @@ def _cards_inside(text: str):
             i += 1
 
 
+def _iban_ends(text: str, start: int):
+    """Ends, longest first, at which an IBAN from ``start`` may end: group ends that give its country's length. Of
+    letters that no country has, only the whole candidate is tried."""
+    lengths = _IBAN_LENGTHS.get(text[start : start + 2])
+    if lengths is None:
+        m = _IBAN.match(text, start)
+        return [m.end()] if m and 15 <= len(m[0].replace(" ", "")) <= 34 else []
+    ends, at, n = [], start, 0
+    while n < lengths[-1] and (m := _IBAN_GROUP.match(text, at, at + 36)):
+        at, n = m.end(), n + len(m[0].strip(" "))
+        if n in lengths and not (at < len(text) and text[at] in _ALNUM):
+            ends.append(at)
+    return ends[::-1]
+
+
+def _ibans(text: str):
+    free = 0
+    for m in _IBAN_HEAD.finditer(text):
+        if m.start() >= free and (end := next((b for b in _iban_ends(text, m.start()) if mod97(text[m.start() : b])), None)):
+            yield m.start(), end
+            free = end
+
+
 def spans(text: str | None) -> list[tuple[int, int, int, float, bool]]:
     """(kind's index, start, end, score, base) of all spans, by start and then kind."""
     if not text:
@@ -132,7 +166,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, float, bool]]:
     if "+" in text:
         added += [(3, *m.span()) for m in _PHONE_INSIDE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     added += [(3, *m.span()) for m in _PHONE_NATIONAL.finditer(text) if _CONTEXT["phone"].search(text, max(0, m.start() - NEAR), m.start())]
-    added += [(4, *m.span()) for m in _IBAN.finditer(text) if 15 <= len(m[0].replace(" ", "")) <= 34 and mod97(m[0])]
+    added += [(4, a, b) for a, b in _ibans(text)]
     added += [(5, *m.span()) for m in _SSN.finditer(text)]
     for k, a, b in added:
         if (s := _score(text, k, a, b)) >= THRESHOLD and not any(x[0] == k and x[1] < b and a < x[2] for x in out):

@@ -69,6 +69,24 @@ def test_method_adds_confirmed_spans():
     assert kinds("+1 (377) 555-0271 9807915762804490")[0] == ("phone", "+1 (377) 555-0271")
 
 
+def test_ibans_end_at_their_countrys_length():
+    def ibans(t):
+        return [t[a:b] for k, a, b, _, _ in pii.spans(t) if pii.KINDS[k] == "iban"]
+
+    # A last group of one character, and national groups.
+    for x in ("CH93 0076 2011 6238 5295 7", "LI21 0881 0000 2324 013A A", "BR18 0036 0305 0000 1000 9795 493C 1", "EG38 0019 0005 0000 0000 2631 8000 2", "IT60 X 05428 11101 000000123456", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "CH9300762011623852957"):
+        assert ibans(x) == ibans(f"pay {x}, now") == [x], x
+    # Upper-case words, digits, dates and IBANs after it.
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00"
+    for after in ("BIC NWBKGB2L", "EUR 50", "2024-01-05", "A", "7", "BIC NWBKGB2L OF THE BANK"):
+        assert ibans(f"{gb} {after}") == [gb] and ibans(f"{de} {after}") == [de], after
+    assert ibans(f"{gb} {de} {gb}") == [gb, de, gb] and ibans(f"AB12 {gb}") == [gb]
+    # Wrong check digits, an end within a group, a length that the country doesn't have.
+    assert ibans("CH93 0076 2011 6238 5295 8 EUR") == ibans("DE89 3704 0044 0532 0130 00EUR") == ibans("DE89 3704 0044 0532 0130 00x") == []
+    assert ibans("DE51 3704 0044 0532 0130 0") == [] and pii.mod97("DE51 3704 0044 0532 0130 0")
+    assert pii.masked(f"to {gb} BIC NWBKGB2L") == "to [IBAN] BIC NWBKGB2L"
+
+
 def test_redact_keeps_rows_and_columns(spark):
     d = spark.createDataFrame([(1, "mail a@b.com now", "x"), (2, None, None), (2, "clean", "y")], "doc_id long, text string, lang string")
     got = sorted(map(tuple, pii.redact(d).collect()), key=str)
