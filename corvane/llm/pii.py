@@ -49,6 +49,8 @@ _IBAN_LENGTHS = {c: sorted(n for n, own in _IBAN_COUNTRIES.items() if c in own.s
 _ALNUM = _LOCAL_CHARS - frozenset("._%+-")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _GROUP = re.compile(r"[0-9]+")
+#: First digits and lengths of the large issuers' cards.
+_ISSUER = re.compile(r"4[0-9]{15}(?:[0-9]{3})?|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|35[0-9]{14}|6[0-9]{15,18}")
 
 _PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
 _CONTEXT = {
@@ -115,22 +117,26 @@ def _score(text: str, kind: int, start: int, end: int) -> float:
 
 
 def _cards_inside(text: str):
-    """Cards among the separated groups of digit runs that fail as a whole."""
+    """Cards among the separated groups of digit runs that fail as a whole. Of cards that overlap, those of an issuer's
+    digits and length come first, then those of at most six groups, then the leftmost, then the shortest."""
     for m in _CARD.finditer(text):
         if m.end() - m.start() < 15 or (14 <= len(d := _digits(m[0])) <= 19 and luhn(d)):
             continue
         groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-        i = 0
-        while i < len(groups):
-            for j in range(i, min(i + 6, len(groups))):
-                d = _digits(text[groups[i][0] : groups[j][1]])
+        found = []
+        for i in range(len(groups)):
+            d = ""
+            for j in range(i, len(groups)):
+                d += text[groups[j][0] : groups[j][1]]
                 if len(d) > 19:
                     break
                 if len(d) >= 14 and luhn(d):
-                    yield groups[i][0], groups[j][1]
-                    i = j
-                    break
-            i += 1
+                    found.append((not _ISSUER.fullmatch(d), j - i >= 6, i, j))
+        taken = set()
+        for _, _, i, j in sorted(found):
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                yield groups[i][0], groups[j][1]
 
 
 def _iban_ends(text: str, start: int):

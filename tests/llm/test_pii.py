@@ -87,6 +87,19 @@ def test_ibans_end_at_their_countrys_length():
     assert pii.masked(f"to {gb} BIC NWBKGB2L") == "to [IBAN] BIC NWBKGB2L"
 
 
+def test_cards_of_many_groups_inside_runs():
+    def cards(t):
+        return [t[a:b] for k, a, b, _, _ in pii.spans(t) if pii.KINDS[k] == "card"]
+
+    for card in ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "41 11 11 11 11 11 11 11", "5-5-5-5-5-5-5-5-5-5-5-5-4-4-4-4", "378 28 22 46 31 00 05"):
+        for before in ("12 ", "8 7 ", "123456-", "99999999999999999999 "):
+            assert cards(before + card) == [card], before + card
+        assert cards(f"{card} 99999999999999999999 {card}") == [card, card]
+    assert pii.masked("12 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1") == "12 [CARD]"
+    # Cards of few groups stay as they were.
+    assert cards("88123 4111 1111 1111 1111") == cards("7 7 7 7 7 7 7 7 4111 1111 1111 1111") == ["4111 1111 1111 1111"]
+
+
 def test_redact_keeps_rows_and_columns(spark):
     d = spark.createDataFrame([(1, "mail a@b.com now", "x"), (2, None, None), (2, "clean", "y")], "doc_id long, text string, lang string")
     got = sorted(map(tuple, pii.redact(d).collect()), key=str)
