@@ -9,8 +9,10 @@ characters and word ends; distinct words of a slice are scored once.
 
 The language of the lowest cross-entropy wins. ``score`` is its softmax over minus the cross-entropies at a
 temperature fitted on ``CALIBRATION`` of the sampled documents, which the counts leave out. A text is rejected
-if it has no letter, or if its cross-entropy is above the winner's mean by more than ``SLACK`` times the largest
-excess among calibration documents (more for texts of few characters).
+if it has no letter, or if its cross-entropy is above the winner's mean by more than ``SLACK`` times the excess that
+a share of ``QUANTILE`` of the language's calibration documents stays below (more for texts of few characters). Only
+documents that the models assign to their own label count, so that wrong labels and garbled rows don't set the limit;
+without any calibration document there is no limit.
 
 Learning reads at most ``SAMPLE`` documents a language, those of the smallest hashes.
 
@@ -33,6 +35,7 @@ ORDER = 5
 SAMPLE = 600
 CALIBRATION = 0.2
 SLACK = 1.5
+QUANTILE = 0.95
 #: Nats a symbol above the mean below which no text of 200 symbols or more is rejected: mixtures of two
 #: learned languages stay, other scripts and random letters go.
 LEAST_EXCESS = 1.5
@@ -201,7 +204,7 @@ class Models:
         return np.log(np.exp(-self.temperature * (entropy - low[:, None])).sum(axis=1))
 
     def calibrate(self, texts: pa.Array, languages: list[str]) -> None:
-        """Fit the temperature, and each language's mean and largest excess of the cross-entropy."""
+        """Fit the temperature, and each language's mean and limit of the cross-entropy's excess."""
         entropy, size = self.entropies(texts)
         truth = np.array([self.languages.index(x) for x in languages])
         if not len(truth):
@@ -213,13 +216,16 @@ class Models:
             return float(np.mean(t * (own - low) + np.log(np.exp(-t * (entropy - low[:, None])).sum(axis=1))))
 
         self.temperature = min([2.0**x for x in range(-2, 9)], key=loss)
+        usable = size > 0
+        fitting = usable & (entropy.argmin(axis=1) == truth)
+        fitting = fitting if fitting.any() else usable
         for i in range(len(self.languages)):
-            mine = (truth == i) & (size > 0)
-            mine = mine if mine.sum() >= 5 else size > 0  # too few texts of a language: those of all
+            mine = (truth == i) & fitting
+            mine = mine if mine.sum() >= 5 else fitting  # too few texts of a language: those of all
             if mine.any():
                 self.mean[i] = own[mine].mean()
                 excess = (own[mine] - self.mean[i]) / np.maximum(1, np.sqrt(200 / size[mine]))
-                self.most[i] = max(LEAST_EXCESS, SLACK * excess.max())
+                self.most[i] = max(LEAST_EXCESS, SLACK * np.quantile(excess, QUANTILE))
 
 
 def fit(training: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> Models | None:

@@ -81,6 +81,31 @@ def test_language_held_out_accuracy_and_odd_rows(spark, docs):
     assert langid.keep_identified(docs, models).where("doc_id < 10000000").count() == docs.where("doc_id < 10000000").count()
 
 
+FOREIGN = [
+    "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä",
+    "minden emberi lény szabadon születik és egyenlő méltósága és joga van az emberek ésszel és lelkiismerettel bírván egymással szemben testvéri szellemben kell hogy viseltessenek",
+    "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+]
+
+
+def test_wrong_labels_and_garbled_rows_dont_widen_the_rejection_limit(spark, docs):
+    rng = np.random.default_rng(3)
+    rows = [tuple(r) for r in docs.where("doc_id < 10000000 and lang is not null").collect()]
+    names = sorted({r[2] for r in rows})
+    noisy = []
+    for i, t, lang in rows:
+        kind = zlib.crc32(f"noise {i}".encode()) % 50
+        if kind == 0:
+            lang = names[(names.index(lang) + 1) % len(names)]
+        if kind == 1:
+            t = " ".join("".join(chr(c) for c in rng.integers(ord("a"), ord("z") + 1, 7)) for _ in range(60))
+        noisy.append((i, t, lang))
+    models = langid.fit(spark.createDataFrame(noisy, "doc_id long, text string, lang string"))
+    assert all(models.decide(pa.array(FOREIGN))[2])
+    assert not any(models.decide(pa.array([r[1] for r in rows]))[2])
+
+
 def test_nothing_to_learn(spark, docs, labels):
     none = docs.limit(0)
     assert langid.fit(none) is None
