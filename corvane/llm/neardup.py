@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import ASCII_LOWER, slices, stored
+from corvane.sources.records import numbered
 
 SHINGLE = 5
 LEVEL = 75  # in hundredths
@@ -311,10 +312,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that stand for their component; one row of each id.
+    """The rows of ``docs``, with all their columns, that stand for their component; one row of each id and text.
 
-    Rows without id all stay, for they stand alone.
+    Rows without id all stay, for they stand alone. Where an id comes with several texts, each of its texts is a document of
+    its own: ids and texts are numbered in the order of the ids, and the numbers take the ids' place.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-    named = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull())
+    content = F.xxhash64(text_col, F.lit(0)), F.xxhash64(F.lit(1), text_col)
+    several = named.groupBy(id_col).agg(*(f(c).alias(f"_{f.__name__}{i}") for i, c in enumerate(content) for f in (F.min, F.max))).where("_min0 < _max0 or _min1 < _max1")
+    if several.isEmpty():
+        kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
+        return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    own = named.withColumns({"_c0": content[0], "_c1": content[1]})
+    keys = numbered(own.select(F.struct(F.col(id_col).alias("_i"), "_c0", "_c1").alias("_key")).distinct(), "_key", "_number").select(F.col("_key._i").alias(id_col), "_key._c0", "_key._c1", "_number")
+    single = stored(own.dropDuplicates([id_col, "_c0", "_c1"]).join(keys, [id_col, "_c0", "_c1"]).drop("_c0", "_c1"))
+    kept = near_duplicates(single, "_number", text_col).where("kept").select("_number")
+    return single.join(kept, "_number", "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

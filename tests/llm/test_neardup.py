@@ -63,6 +63,16 @@ def test_equals_brute_force(spark, rows):
     assert sorted(map(tuple, N.near_duplicates(d).collect()), key=str) == brute(rows)
 
 
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    r = random.Random(11)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a, "x"), (5, a, "y"), (5, b, "z"), (5, b, "z"), (7, b, "x"), (8, c, "x"), (8, d, "x"), (8, None, "x"), (9, c + " end", "x"), (None, a, "x"), (None, a, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, a, "x"), (5, b, "z"), (8, c, "x"), (8, d, "x"), (8, None, "x"), (None, a, "x"), (None, a, "x")]
+    got = N.keep_representatives(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
