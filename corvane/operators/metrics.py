@@ -112,6 +112,32 @@ def self_bleu(df: DataFrame, tokens: Column, id_col: str, candidates: int = 2000
     return scored.select((brevity * F.exp(logs)).alias("b")).agg(F.coalesce(F.avg("b"), F.lit(0.0)).alias("self_bleu"))
 
 
+def self_bleu_of_all(df: DataFrame, tokens: Column, id_col: str, max_n: int = 2) -> DataFrame:
+    """(self_bleu): as :func:`self_bleu`, with every row as a candidate against all others, without forming pairs.
+
+    A row's n-grams are clipped only where it alone holds an n-gram's highest count, to the second highest, so an n-gram
+    takes something from one row at most. The closest length is the row's own if another row has it, else a neighbouring one.
+    """
+    own = df.select(F.col(id_col).alias("_id"), tokens.alias("_t")).where(F.size("_t") > 0).withColumn("_size", F.size("_t"))
+    lengths = own.groupBy("_size").agg(F.count(F.lit(1)).alias("_c"))
+    beside = Window.orderBy("_size")
+    near = lengths.select("_size", "_c", F.lag("_size").over(beside).alias("_lower"), F.lead("_size").over(beside).alias("_upper"))
+    upper = F.col("_lower").isNull() | (F.col("_upper") - F.col("_size") < F.col("_size") - F.col("_lower"))
+    closest = near.select("_size", F.when(F.col("_c") > 1, F.col("_size")).otherwise(F.when(upper, F.coalesce("_upper", "_lower")).otherwise(F.col("_lower"))).alias("_len"))
+    scored = own.select("_id", "_size").join(closest.where("_len is not null"), "_size")
+    for k in range(1, max_n + 1):
+        mine = own.select("_id", F.explode(X.array_ngrams(F.col("_t"), k)).alias("g")).groupBy("_id", "g").agg(F.count(F.lit(1)).alias("c"))
+        levels = mine.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("who"))
+        top = levels.groupBy("g").agg(F.max(F.struct("c", "n", "who")).alias("top"), F.sort_array(F.collect_list("c"), False).alias("counts"))
+        second = F.when(F.size("counts") > 1, F.get("counts", F.lit(1))).otherwise(F.lit(0))
+        lost = top.where("top.n = 1").groupBy(F.col("top.who").alias("_id")).agg(F.sum(F.col("top.c") - second).alias(f"_lost{k}"))
+        scored = scored.join(lost, "_id", "left")
+    share = [F.when(F.col("_size") >= k, 1 - F.coalesce(F.col(f"_lost{k}"), F.lit(0)) / (F.col("_size") - k + 1)).otherwise(F.lit(0.0)) for k in range(1, max_n + 1)]
+    logs = sum((F.log(F.when(p > 0, p).otherwise(1e-9)) for p in share), F.lit(0.0)) / max_n
+    brevity = F.when(F.col("_size") > F.col("_len"), 1.0).otherwise(F.exp(1 - F.col("_len") / F.col("_size")))
+    return scored.select((brevity * F.exp(logs)).alias("b")).agg(F.coalesce(F.avg("b"), F.lit(0.0)).alias("self_bleu"))
+
+
 def kl_divergence(counts: DataFrame, prior: DataFrame) -> DataFrame:
     """(kl): of (key, count) against (key, q), with one added to each count over the union of keys and q at least 1e-8.
 

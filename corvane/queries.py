@@ -137,7 +137,7 @@ def jaccard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def self_bleu2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.self_bleu(_table(spark, sf_dir, "benchmark"), X.char_tokens(F.coalesce("text", F.lit(""))), "item_id")
+    return metrics.self_bleu_of_all(_table(spark, sf_dir, "benchmark"), X.char_tokens(F.coalesce("text", F.lit(""))), "item_id")
 
 
 # --- distributions, correlation, lengths ------------------------------------------------------------------------------------------

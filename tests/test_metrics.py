@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.operators import dedup, metrics
+from corvane.queries import QUERIES
 
 
 def distance(a, b):
@@ -97,6 +98,32 @@ def test_self_bleu_against_all_others(spark):
     assert metrics.self_bleu(df.limit(1), X.char_tokens(F.col("t")), "i").first()[0] == 0.0
 
 
+def test_self_bleu_query_is_of_all_pairs(spark, tmp_path):
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnop"[: r.choice([3, 16])]) for _ in range(r.choice([0, 1, 2, 5, 9, 30, r.randrange(60)]))) for _ in range(70)]
+
+    def grams(t, n):
+        return Counter(t[i : i + n] for i in range(len(t) - n + 1))
+
+    want = []
+    for i, c in enumerate(texts):
+        refs = [x for j, x in enumerate(texts) if j != i and x]
+        if c:
+            size = min((len(x) for x in refs), key=lambda n: (abs(n - len(c)), n))
+            logs = 0.0
+            for n in (1, 2):
+                most = Counter()
+                for x in refs:
+                    most |= grams(x, n)
+                p = sum(min(k, most[g]) for g, k in grams(c, n).items()) / max(1, len(c) - n + 1)
+                logs += math.log(p if p > 1e-12 else 1e-9)
+            want.append((1.0 if len(c) > size else math.exp(1 - size / len(c))) * math.exp(logs / 2))
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert QUERIES["self_bleu2"](spark, str(tmp_path)).first()[0] == pytest.approx(sum(want) / len(want))
+    one = spark.createDataFrame([(1, "abc"), (2, "")], "i long, t string")
+    assert metrics.self_bleu_of_all(one, X.char_tokens(F.col("t")), "i").first()[0] == 0.0
+
+
 def test_kl_pearson_histogram(spark):
     counts = spark.createDataFrame([("a", 3), ("z", 1)], "key string, count long")
     prior = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "key string, q double")
