@@ -12,7 +12,8 @@ from corvane.functions import text as X
 from corvane.functions.simhash import simhash64
 from corvane.operators import dedup, metrics, rules
 from corvane.operators.materialise import stored
-from corvane.sources.records import normalised, numbered, read_records, read_run_records
+from corvane.sources.records import list_runs, normalised, numbered, read_records
+from corvane.sources.sinks import save_report
 
 
 @dataclass
@@ -83,7 +84,14 @@ def evaluate(spark: SparkSession, directory: str, profile: str = "full", thresho
     return Evaluation(summary, items, near_named, metrics.suspicious(items, "row_idx", top), buckets)
 
 
-def evaluate_runs(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id, records, error_rate, warning_rate) of every run below ``root``, in one job."""
-    items = rules.per_item(normalised(read_run_records(spark, root)), "chunk")
-    return items.groupBy("run_id").agg(F.count(F.lit(1)).alias("records"), F.avg((F.size("errors") > 0).cast("double")).alias("error_rate"), F.avg((F.size("warnings") > 0).cast("double")).alias("warning_rate"))
+def evaluate_runs(spark: SparkSession, root: str, reports: str | None = None, threshold: int = 3, top: int = 100) -> DataFrame:
+    """The index of all runs below ``root`` that hold records, a run after the other; each one's report set goes below
+    ``reports``, if that is given."""
+    rows = []
+    for (run,) in list_runs(spark, root).collect():
+        e = evaluate(spark, f"{root}/{run}", "chunk", threshold, top, limit=None)
+        if e.summary["n"]:
+            if reports:
+                save_report(f"{reports}/{run}", e.summary, e.items, e.near, e.suspicious, e.buckets)
+            rows.append((run, *(e.summary[k] for k in ("n", "error_rate", "warning_rate", "distinct_1", "distinct_2", "near_duplicate_pairs", "score"))))
+    return spark.createDataFrame(rows, "run_id string, records long, error_rate double, warning_rate double, distinct_1 double, distinct_2 double, near_duplicate_pairs long, score_overall_0_100 double")

@@ -56,6 +56,19 @@ def test_runs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out" / "_index.json")).count() == 2
 
 
+def test_index_of_runs_has_all_measures(spark, tmp_path):
+    write(tmp_path / "a" / "students_chunk_1.jsonl", [good(1), good(2, 学术水平="x"), good(1)])
+    write(tmp_path / "b" / "students_chunk_1.jsonl", [good(3)])
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "students_chunk_1.jsonl").write_text("bad{\n")
+    rows = {r.run_id: r for r in evaluate.evaluate_runs(spark, str(tmp_path), str(tmp_path / "eval")).collect()}
+    assert sorted(rows) == ["a", "b"] and rows["a"].near_duplicate_pairs >= 1 and rows["b"].near_duplicate_pairs == 0
+    for run, r in rows.items():
+        s = evaluate.evaluate(spark, str(tmp_path / run), "chunk").summary
+        assert (r.distinct_1, r.distinct_2, r.score_overall_0_100) == (s["distinct_1"], s["distinct_2"], s["score"])
+        assert spark.read.json(str(tmp_path / "eval" / run / "per_item.jsonl")).count() == r.records
+
+
 def test_schedules(spark, tmp_path):
     slot = {"年级": "初一", "性别": "男", "优势学科偏向": ["理科向"], "目标学术水平": S.LEVELS[0]}
     write(tmp_path / "ui.json", [json.dumps([{"sid": 1, "slot": slot}, {"sid": "2", "slot": slot}, {"sid": 3, "slot": None}, 5, {"sid": 1, "slot": slot | {"年级": "初二"}}])])
