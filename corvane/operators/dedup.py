@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.text import hamming
+from corvane.operators.materialise import stored
 
 BITS = 64
 
@@ -14,36 +17,63 @@ def band(h: Column, i: int, width: int) -> Column:
     return F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def near_pairs(hashed: DataFrame, threshold: int = 3, mode: str = "compat", id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
-    """(id_i, id_j, distance) with id_i < id_j and a distance of at most ``threshold``.
+def _block(h: Column, low: int, high: int) -> Column:
+    """Bits ``low`` to ``high`` - 1."""
+    return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+
+
+def _edges(bits: int, blocks: int) -> list[tuple[int, int]]:
+    ends = [bits * i // blocks for i in range(blocks + 1)]
+    return list(zip(ends, ends[1:], strict=False))
+
 
-    ``compat`` compares within buckets of the top 16 bits and misses pairs that differ there. ``exact`` finds all: of
-    ``threshold`` + 1 bands one must be equal, and a pair is given by its first equal band alone, so no distinct follows.
-    Equal hashes fold before the join; ids are spread out after it, since the result is of pairs of ids.
+def near_values(values: DataFrame, threshold: int, mode: str) -> DataFrame:
+    """(x, y) of the distinct hashes ``values`` (_h) at a distance of 1 to ``threshold``, x < y.
+
+    ``threshold`` + 2 blocks leave two of them equal in every such pair, so pairs of blocks are keys: 26 bits of 64 for a threshold
+    of 3. A pair comes out of its first two equal blocks alone, so no distinct follows. In ``compat`` mode the top 16 bits must be equal and
+    are part of each key, beside one of ``threshold`` + 1 blocks of the others.
     """
-    own = hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h"))
-    values = own.select("_h").distinct()
     if mode == "compat":
-        keyed = values.withColumn("_key", F.shiftrightunsigned("_h", 48)).withColumn("_band", F.lit(0))
-        bands = []
+        parts, top, equal = _edges(48, threshold + 1), [F.shiftrightunsigned("_h", 48)], 1
     else:
-        width = BITS // (threshold + 1)
-        bands = [width] * (threshold + 1)
-        keyed = values.select("_h", F.posexplode(F.array(*(band(F.col("_h"), i, width) for i in range(threshold + 1)))).alias("_band", "_key"))
+        parts, top, equal = _edges(BITS, threshold + 2), [], 2
+    chosen = list(combinations(range(len(parts)), equal))
+    blocks = F.array(*(_block(F.col("_h"), *p) for p in parts))
+    keys = F.array(*(F.xxhash64(F.lit(n), *top, *(_block(F.col("_h"), *parts[i]) for i in c)) for n, c in enumerate(chosen)))
+    keyed = values.select("_h", blocks.alias("_blocks"), F.posexplode(keys).alias("_n", "_key"))
     a, b = keyed.alias("a"), keyed.alias("b")
-    on = (F.col("a._key") == F.col("b._key")) & (F.col("a._band") == F.col("b._band")) & (F.col("a._h") < F.col("b._h")) & (hamming(F.col("a._h"), F.col("b._h")) <= threshold)
-    for i, width in enumerate(bands[:-1]):
-        earlier = band(F.col("a._h"), i, width) == band(F.col("b._h"), i, width)
-        on = on & ~((F.col("a._band") > i) & earlier)
-    unequal = a.join(b, on).select(F.col("a._h").alias("_x"), F.col("b._h").alias("_y"))
-    same = values.select(F.col("_h").alias("_x"), F.col("_h").alias("_y"))
-    left, right = own.toDF("_i", "_x"), own.toDF("_j", "_y")
-    pairs = unequal.join(left, "_x").join(right, "_y").unionByName(same.join(left, "_x").join(right, "_y").where("_i < _j"))
-    return pairs.select(F.least("_i", "_j").alias("id_i"), F.greatest("_i", "_j").alias("id_j"), hamming(F.col("_x"), F.col("_y")).alias("distance"))
-
-
-def first_pairs(pairs: DataFrame, hashed: DataFrame, k: int, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
-    """The first ``k`` compat pairs in the order in which buckets first occur, then by the ids."""
+    agree = F.zip_with("a._blocks", "b._blocks", lambda p, q: p == q)
+    first = F.slice(F.filter(F.transform(agree, lambda same, i: F.when(same, i)), lambda i: i.isNotNull()), 1, equal)
+    of_key = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in chosen)), F.col("a._n") + 1)
+    on = (F.col("a._key") == F.col("b._key")) & (F.col("a._h") < F.col("b._h")) & (hamming(F.col("a._h"), F.col("b._h")) <= threshold) & (first == of_key)
+    if mode == "compat":
+        on = on & (F.shiftrightunsigned("a._h", 48) == F.shiftrightunsigned("b._h", 48))
+    return a.join(b, on).select(F.col("a._h").alias("x"), F.col("b._h").alias("y"))
+
+
+def near_pairs(hashed: DataFrame, threshold: int = 3, mode: str = "compat", id_col: str = "doc_id", hash_col: str = "h", first: int | None = None) -> DataFrame:
+    """(id_i, id_j, distance) with id_i < id_j and a distance of at most ``threshold``.
+
+    ``compat`` compares within buckets of the top 16 bits and misses pairs that differ there. ``exact`` finds all. Equal hashes fold
+    before the join, and the hashes are computed once and stored. Ids are spread out after it, since the result is of pairs of
+    ids; with ``first`` no more than the ``first`` + 1 smallest ids of a hash are, which are all that the ``first`` pairs in the order
+    of the ids can hold: each further id of a hash comes after as many pairs. An id that comes with several hashes pairs with others, never with itself.
+    """
+    own = stored(hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h")).where("_id is not null and _h is not null").distinct())
+    if first is not None:
+        own = own.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("_id"))).where(F.col("_r") <= first + 1).drop("_r")
+    values = own.select("_h").distinct()
+    left, right = own.toDF("_i", "x"), own.toDF("_j", "y")
+    unequal = near_values(values, threshold, mode).join(left, "x").join(right, "y").where("_i != _j")
+    same = left.join(right, (F.col("x") == F.col("y")) & (F.col("_i") < F.col("_j")))
+    pairs = unequal.unionByName(same).select(F.least("_i", "_j").alias("id_i"), F.greatest("_i", "_j").alias("id_j"), hamming(F.col("x"), F.col("y")).alias("distance"))
+    return pairs
+
+
+def first_pairs(hashed: DataFrame, k: int, threshold: int = 3, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
+    """The first ``k`` compat pairs in the order in which buckets first occur, then by the ids; ids are distinct."""
+    pairs = near_pairs(hashed, threshold, "compat", id_col, hash_col, first=k)
     buckets = hashed.select(F.col(id_col).alias("id_i"), F.shiftrightunsigned(hash_col, 48).alias("_key"))
     order = buckets.groupBy("_key").agg(F.min("id_i").alias("_first"))
     keyed = pairs.join(buckets, "id_i").join(order, "_key")
@@ -51,30 +81,33 @@ def first_pairs(pairs: DataFrame, hashed: DataFrame, k: int, id_col: str = "doc_
 
 
 def gate(hashed: DataFrame, threshold: int = 3, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
-    """(id, accepted): rows in the order of their ids, each rejected if an earlier accepted one is near.
+    """(id, accepted) for each row, in the order of ids and then hashes: rejected if an earlier accepted row is near.
 
-    Equal hashes first fold to their smallest id: later copies are always rejected if the first is accepted, and fail with
-    it otherwise. On the conflict edges among the rest, rows without an earlier neighbour are accepted, their later neighbours are
-    rejected and leave, and so on until no edge is left; every round settles at least the smallest row of each component.
+    Rows of equal hashes fold to the first one: those after it are rejected if it is accepted, and fail with it otherwise. Hashes
+    stand for the rows that are left, so ids may repeat. On the edges between near ones, hashes without an earlier neighbour are accepted, their later
+    neighbours are rejected and leave, and so on until no edge is left. Every round settles the first hash of each
+    component at least, so the rounds are at most as many as the longest chain of neighbours in their order, and few where the order has nothing to do
+    with the hashes. Null ids come first; a null hash is near nothing and accepted.
     """
-    from corvane.operators.materialise import stored
-
-    own = hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h"))
-    firsts = own.groupBy("_h").agg(F.min("_id").alias("_id"))
-    edges = stored(near_pairs(firsts, threshold, "exact", "_id", "_h").select("id_i", "id_j"))
-    settled = None
+    own = stored(hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h")).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_c")))
+    firsts = stored(own.where("_h is not null").groupBy("_h").agg(F.min(F.struct("_id"))["_id"].alias("_first")))
+    near = near_values(firsts.select("_h"), threshold, "exact")
+    met = near.join(firsts.toDF("x", "_i"), "x").join(firsts.toDF("y", "_j"), "y")
+    a, b = F.struct(F.col("_i"), F.col("x")), F.struct(F.col("_j"), F.col("y"))
+    edges = stored(met.select(F.when(a < b, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(a < b, F.col("y")).otherwise(F.col("x")).alias("late")))
+    rejected = None
     while not edges.isEmpty():
-        later = edges.select(F.col("id_j").alias("_id")).distinct()
-        accepted = edges.select(F.col("id_i").alias("_id")).distinct().join(later, "_id", "left_anti")
-        rejected = edges.join(accepted.withColumnRenamed("_id", "id_i"), "id_i").select(F.col("id_j").alias("_id")).distinct()
-        rejected = stored(rejected)
-        settled = rejected if settled is None else settled.unionByName(rejected)
-        gone = rejected.unionByName(stored(accepted))
-        edges = stored(edges.join(gone.withColumnRenamed("_id", "id_i"), "id_i", "left_anti").join(rejected.withColumnRenamed("_id", "id_j"), "id_j", "left_anti"))
-    out = firsts.select("_id").withColumn("_first", F.lit(True))
-    verdict = own.select("_id").join(out, "_id", "left")
-    if settled is not None:
-        verdict = verdict.join(settled.distinct().withColumn("_near", F.lit(True)), "_id", "left")
+        accepted = edges.select("early").distinct().join(edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
+        gone = stored(edges.join(accepted, "early", "left_semi").select("late").distinct())
+        rejected = gone if rejected is None else rejected.unionByName(gone)
+        left = edges.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
+        # Edges of accepted hashes have gone with their later ends.
+        edges = stored(left)
+    verdict = own.join(firsts, "_h", "left")
+    if rejected is not None:
+        verdict = verdict.join(rejected.select(F.col("late").alias("_h"), F.lit(True).alias("_near")), "_h", "left")
     else:
         verdict = verdict.withColumn("_near", F.lit(None).cast("boolean"))
-    return verdict.select(F.col("_id").alias(id_col), (F.col("_first").isNotNull() & F.col("_near").isNull()).alias("accepted"))
+    ok = F.col("_h").isNull() | (F.col("_near").isNull() & F.col("_id").eqNullSafe(F.col("_first")))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_c").cast("int")))
+    return verdict.select("_id", "_h", ok.alias("_ok"), copies.alias("_n")).select(F.col("_id").alias(id_col), (F.col("_ok") & (F.col("_h").isNull() | (F.col("_n") == 1))).alias("accepted"))

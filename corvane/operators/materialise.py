@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only a local session without that setting, as in tests on one machine, gets
+    one of its own; on a cluster, whose machines don't see each other's folders, that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
 
-    Only a session without that setting, as in tests on one machine, gets a folder of its own.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and prunes columns."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        base = context._jsc.sc().getCheckpointDir().get()
-    path = f"{base}/corvane-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

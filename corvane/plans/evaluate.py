@@ -45,8 +45,7 @@ def evaluate(spark: SparkSession, directory: str, profile: str = "full", thresho
         records = records.where(F.col("row_idx") < limit)
     f = stored(features(records, profile))
     rates = metrics.rates(f).first().asDict()
-    pairs = dedup.near_pairs(f, threshold, "compat", "row_idx", "h")
-    near = stored(dedup.first_pairs(pairs, f, top, "row_idx", "h"))
+    near = stored(dedup.first_pairs(f, top, threshold, "row_idx", "h"))
     names = f.select(F.col("row_idx"), F.col("id"), F.col("`姓名`"))
     near_named = near.join(names.toDF("id_i", "record_i", "姓名_i"), "id_i").join(names.toDF("id_j", "record_j", "姓名_j"), "id_j").select(F.col("id_i").alias("i"), F.col("id_j").alias("j"), F.col("record_i").alias("id_i"), F.col("record_j").alias("id_j"), "姓名_i", "姓名_j")
     text = F.concat_ws("", *(F.col(f"`{k}`") for k in (*S.PARAGRAPHS, "社交关系")))

@@ -69,11 +69,14 @@ def near_pairs_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_pairs(_hashed(spark, sf_dir), 3, "compat")
 
 
-@query()
+# Documents one by one in the order of their ids, with the list of the hashes accepted so far.
+@query(f"""WITH RECURSIVE {_HASHES}, o AS MATERIALIZED (SELECT doc_id, h, row_number() OVER (ORDER BY doc_id) AS k FROM hashed),
+g AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS doc_id, false AS accepted, []::BIGINT[] AS kept
+  UNION ALL SELECT s.k, s.doc_id, s.ok, CASE WHEN s.ok THEN list_append(s.kept, s.h) ELSE s.kept END
+  FROM (SELECT o.k, o.doc_id, o.h, g.kept, len(list_filter(g.kept, lambda x: bit_count(xor(x, o.h)) <= 3)) = 0 AS ok FROM g JOIN o ON o.k = g.k + 1) s)
+SELECT doc_id, accepted FROM g WHERE k > 0""")
 def similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corvane.operators.materialise import stored
-
-    return dedup.gate(stored(_hashed(spark, sf_dir)), 3)
+    return dedup.gate(_hashed(spark, sf_dir), 3)
 
 
 @query(f"WITH {_HASHES} SELECT count(*)::BIGINT AS pairs, avg({_DISTANCE})::DOUBLE AS mean FROM hashed a JOIN hashed b ON a.doc_id < b.doc_id")

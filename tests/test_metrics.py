@@ -43,7 +43,32 @@ def test_near_pairs(spark, hashes):
     for i, x in hashes:
         first.setdefault(x >> 48, i)
     want = sorted(top, key=lambda p: (first[h[p[0]] >> 48], p[0], p[1]))[:10]
-    assert [tuple(r) for r in dedup.first_pairs(compat, frame(spark, hashes), 10).collect()] == want
+    for k in (1, 10):
+        assert [tuple(r) for r in dedup.first_pairs(frame(spark, hashes), k).collect()] == want[:k]
+
+
+def test_first_pairs_of_many_equal_hashes(spark):
+    rows = [(i, 7 if i % 3 else 5) for i in range(60)]
+    want = [(i, j, distance(dict(rows)[i], dict(rows)[j])) for i in range(60) for j in range(i + 1, 60)]
+    for k in (1, 5, 59, 60, 130):
+        assert [tuple(r) for r in dedup.first_pairs(frame(spark, rows), k).collect()] == want[:k]
+
+
+def test_repeated_ids(spark):
+    """Ids with several hashes, near ones among them, and rows that come twice."""
+    r = random.Random(4)
+    rows = [(r.randrange(25), r.choice([0, 1, 3, 255, 254, -1, -2, 1 << 40])) for _ in range(80)]
+    exact = {(min(i, j), max(i, j), distance(a, b)) for i, a in rows for j, b in rows if i != j and distance(a, b) <= 3}
+    assert {tuple(x) for x in dedup.near_pairs(frame(spark, rows), 3, "exact").collect()} == exact
+    kept, want = [], []
+    for i, h in sorted(rows):
+        ok = all(distance(h, x) > 3 for x in kept)
+        kept += [h] * ok
+        want.append((i, ok))
+    assert sorted(map(tuple, dedup.gate(frame(spark, rows), 3).collect())) == sorted(want)
+    assert sorted(map(tuple, dedup.gate(frame(spark, [(1, 0), (1, 1)]), 3).collect())) == [(1, False), (1, True)]
+    odd = spark.createDataFrame([(1, None), (1, None), (None, 8), (None, 8), (7, 8), (2, 9), (3, -1)], "doc_id long, h long")
+    assert sorted(map(tuple, dedup.gate(odd, 3).collect()), key=str) == [(1, True), (1, True), (2, False), (3, True), (7, False), (None, False), (None, True)]
 
 
 def test_gate_is_greedy_in_id_order(spark, hashes):
