@@ -17,15 +17,22 @@ def repaired(text: Column, fences: bool = True) -> Column:
     return F.coalesce(F.try_parse_json(bare), F.try_parse_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1)))
 
 
-def response_content(body: Column, strict: bool = False) -> Column:
-    """The generated text in a response body; ``strict`` knows only the first choice's message."""
-    first = F.get_json_object(body, "$.choices[0].message.content")
-    if strict:
-        return first
-    parts = F.from_json(first, "array<struct<text:string>>")
-    joined = F.when(F.substring(F.ltrim(first), 1, 1) == "[", F.array_join(F.transform(parts, lambda p: p["text"]), ""))
-    others = [F.get_json_object(body, p) for p in ("$.choices[0].text", "$.output_text", "$.text", "$.result", "$.output")]
-    return F.coalesce(joined, first, *others, body)
+def response_content(body: Column) -> Column:
+    """The generated text in a response body: the first choice's content, a list of parts joined; else one of the keys under which text
+    comes; else the body itself."""
+    v = F.try_parse_json(body)
+    first = F.coalesce(*(F.try_variant_get(v, f"$.choices[0]{p}", "variant") for p in (".message.content", ".content")))
+
+    def text(value: Column) -> Column:
+        return F.when(kind_of(value) == "string", F.try_variant_get(value, "$", "string"))
+
+    def of_part(part: Column) -> Column:
+        return F.coalesce(text(part), text(F.try_variant_get(part, "$.text", "variant")), text(F.try_variant_get(part, "$.content", "variant")))
+
+    parts = F.filter(F.transform(F.try_variant_get(first, "$", "array<variant>"), of_part), lambda p: p.isNotNull())
+    joined = F.when(kind_of(first) == "array", F.array_join(parts, ""))
+    others = [text(F.try_variant_get(v, f"$.{k}", "variant")) for k in ("output_text", "text", "result", "output")]
+    return F.coalesce(text(first), joined, *others, body)
 
 
 def field(record: Column | str, name: str, kind: str = "variant") -> Column:

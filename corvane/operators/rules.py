@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane import schema as S
+from corvane.functions import json_text as J
 from corvane.functions import text as X
 
 SYLLABLE = "[a-z]+[1-5]"
@@ -202,20 +203,69 @@ def online_reasons() -> Column:
     )
 
 
-def baseline_reasons(extra_paragraphs: tuple[str, ...] = ("人格", "社交关系")) -> Column:
-    """Reasons of the single-prompt generator's validator: presence, level, name, gender, grade, age 6 to 18, subjects, stages, five paragraphs."""
-    whole = F.coalesce(F.col("年龄"), F.try_variant_get(F.try_variant_get("record", '$["年龄"]', "variant"), "$", "string").try_cast("double").cast("long"))
+def truthy(value: Column) -> Column:
+    """False if a value is missing, null, false, zero, or an empty string, list or object."""
+    kind = J.kind_of(value)
+    return (
+        F.when(kind.isin("missing", "null"), False)
+        .when(kind == "string", F.try_variant_get(value, "$", "string") != "")
+        .when(kind.isin("array", "object"), ~F.to_json(value).isin("[]", "{}"))
+        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean"))
+        .otherwise(F.coalesce(F.try_variant_get(value, "$", "double") != 0, F.lit(True)))
+    )
+
+
+def whole_number(value: Column) -> Column:
+    """What reading a value as a whole number gives: numbers are cut, texts must hold digits only; else null."""
+    kind, text = J.kind_of(value), F.trim(F.try_variant_get(value, "$", "string"))
+    return (
+        F.when(kind == "string", F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long")))
+        .when(kind == "boolean", F.try_variant_get(value, "$", "boolean").cast("long"))
+        .when(kind.isin("integer", "other"), F.coalesce(F.try_variant_get(value, "$", "long"), F.try_variant_get(value, "$", "double").try_cast("long")))
+    )
+
+
+def baseline_reasons(paragraph_fields: tuple[str, ...] = ("人格", "价值观", "社交关系", "创造力", "心理健康")) -> Column:
+    """Reasons of the single-prompt generator's validator, from ``record``: a value in each field that counts as true; of fields that are there,
+    a strict level, an agent name, gender and grade from the lists, an age that reads as 6 to 18, subject lists that hold something and don't
+    overlap, an object of the three stages, and paragraphs that are one."""
+    at = lambda k: J.field_by_alias("record", k)
+    there = lambda k: at(k).isNotNull()
+    is_ = lambda k, kind: J.kind_of(at(k)) == kind
+    strict = lambda k, values: is_(k, "string") & F.coalesce(F.try_variant_get(at(k), "$", "string").isin(values), F.lit(False))
+    both = there("擅长科目") & there("薄弱科目")
+    good, weak = (F.coalesce(J.strings(at(k)), F.array().cast("array<string>")) for k in ("擅长科目", "薄弱科目"))
+    age = whole_number(at("年龄"))
     cases = [
-        (~_col("学术水平").isin(S.LEVELS), "academic level"), (~name_ok_online(_col("代理名")), "agent name"), (~_col("性别").isin(S.GENDERS), "gender"), (~_col("年级").isin(S.GRADES), "grade"),
-        (F.coalesce(~whole.between(6, 18), F.lit(True)), "age"), (F.coalesce(F.size("擅长科目"), F.lit(0)) < 1, "good subjects"), (F.coalesce(F.size("薄弱科目"), F.lit(0)) < 1, "weak subjects"),
-        *((F.coalesce(_col(k) == "", F.lit(True)), f"stage {k}") for k in S.STAGE_FIELDS),
-        *((F.contains(_col(k), F.lit("\n\n")) | _col(k).rlike(r"(?Udm)^\s*[-•\d]+\."), f"paragraph {k}") for k in (*S.PARAGRAPHS, *extra_paragraphs)),
+        *((~truthy(at(k)), f"missing {k}") for k in S.REQUIRED),
+        (there("学术水平") & ~strict("学术水平", S.LEVELS), "academic level"),
+        (there("代理名") & ~name_ok_online(J.as_text(at("代理名"))), "agent name"),
+        (there("性别") & ~strict("性别", S.GENDERS), "gender"),
+        (there("年级") & ~strict("年级", S.GRADES), "grade"),
+        (there("年龄") & age.isNull(), "age not whole"),
+        (there("年龄") & F.coalesce(~age.between(6, 18), F.lit(False)), "age out of range"),
+        (both & ((F.size(good) == 0) | (F.size(weak) == 0)), "subjects empty"),
+        (both & (F.size(F.array_intersect(good, weak)) > 0), "subjects overlap"),
+        (there("发展阶段") & ~is_("发展阶段", "object"), "stages not an object"),
+        *((is_("发展阶段", "object") & J.field(at("发展阶段"), k).isNull(), f"stage {k}") for k in S.STAGE_FIELDS),
     ]
-    return F.concat(required(S.REQUIRED, "missing "), when(*cases))
+    for k in paragraph_fields:
+        text = F.try_variant_get(at(k), "$", "string")
+        blank = F.coalesce(~is_(k, "string") | (X.stripped(text) == ""), F.lit(True))
+        listed = F.contains(text, F.lit("\n\n")) | text.rlike(r"(?Udm)^\s*[-•\d]+\.")
+        cases += [(there(k) & blank, f"no text in {k}"), (there(k) & ~blank & listed, f"paragraph {k}")]
+    return when(*cases)
 
 
-def constraint(age: int = 15, grade: str = "初二") -> Column:
-    return F.coalesce((F.col("年龄") == age) & (_col("年级") == grade), F.lit(False))
+def constraint(mode: str) -> Column:
+    """Whether a record meets the constraint of a mode: ``age_15``, ``grade_chu2``, or none."""
+    if mode == "age_15":
+        age = J.field_by_alias("record", "年龄")
+        return F.coalesce(J.kind_of(age).isin("integer", "other") & (F.try_variant_get(age, "$", "double") == 15), F.lit(False))
+    if mode == "grade_chu2":
+        grade = J.field_by_alias("record", "年级")
+        return F.coalesce((J.kind_of(grade) == "string") & (F.try_variant_get(grade, "$", "string") == "初二"), F.lit(False))
+    return F.lit(True)
 
 
 def deep_issues() -> Column:

@@ -16,17 +16,21 @@ from corvane.functions import json_text as J
 from corvane.functions.text import stripped
 from corvane.operators.materialise import stored
 
-MERGED, CHUNKS = "merged_students.jsonl", "students_chunk_*.jsonl"
+#: Chunks are files, or directories of parts that the append sink writes.
+MERGED, CHUNKS = "merged_students.jsonl", "*students_chunk_*.jsonl"
+_RUN = r"([^/]+)/[^/]*students_chunk_\d+\.jsonl"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, place, line) of all non-blank lines. ``place`` orders lines of all files as lexicographic paths do.
+    """(path, place, line) of all non-blank lines; of a chunk that is a directory, the directory's path. ``place`` orders lines of all files as lexicographic paths do.
 
     Lines keep their order through their split's offset and their number within it; nothing is sorted here.
     """
     lines = spark.read.text(path)
+    chunk = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*students_chunk_\d+\.jsonl)/", 1)
+    own = F.when(chunk != "", chunk).otherwise(F.col("_metadata.file_path"))
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return lines.select(F.col("_metadata.file_path").alias("path"), place.alias("place"), F.col("value").alias("line")).where(stripped(F.col("line")) != "")
+    return lines.select(own.alias("path"), place.alias("place"), F.col("value").alias("line")).where(stripped(F.col("line")) != "")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -57,14 +61,14 @@ def line_counts(spark: SparkSession, directory: str) -> DataFrame:
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
     """(run_id) of the directories below ``root`` that hold chunks, by name."""
     files = spark.read.format("binaryFile").load(f"{root}/*/{CHUNKS}").select("path")
-    return files.select(F.element_at(F.split("path", "/"), -2).alias("run_id")).distinct().orderBy("run_id")
+    return files.select(F.regexp_extract("path", _RUN, 1).alias("run_id")).distinct().orderBy("run_id")
 
 
 def read_run_records(spark: SparkSession, root: str) -> DataFrame:
     """(run_id, path, place, record) of all runs below ``root`` in one scan."""
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = parsed(read_lines(spark, f"{root}/*/{CHUNKS}")).where(J.kind_of(F.col("record")) == "object")
-    return rows.withColumn("run_id", F.element_at(F.split("path", "/"), -2))
+    return rows.withColumn("run_id", F.regexp_extract("path", _RUN, 1))
 
 
 _SLOT = "struct<`年级`:string,`性别`:string,`优势学科偏向`:array<string>,`目标学术水平`:string>"

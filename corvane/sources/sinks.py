@@ -35,15 +35,15 @@ def canonical(record: Column | str = "record") -> Column:
 def append_records(records: DataFrame, completed: DataFrame, directory: str, chunk_size: int, keep_as_is: bool = False) -> DataFrame:
     """Append the records (sid, record) whose sid isn't in ``completed`` (sid), one of each sid, to the chunk of its number.
 
-    Chunks are directories ``students_chunk_<n>.jsonl`` of part files, so that writers never share a file. Gives the sids written.
+    Chunks are directories ``chunk=students_chunk_<n>.jsonl`` of part files, so that writers never share a file, and all are written by one job.
+    Gives the sids written.
     """
     from corvane.operators.materialise import stored
 
     line = F.to_json("record") if keep_as_is else canonical("record")
     fresh = records.select("sid", line.alias("value")).dropDuplicates(["sid"]).join(completed.select("sid"), "sid", "left_anti")
-    fresh = stored(fresh.withColumn("chunk", chunk_no(F.col("sid"), chunk_size)))
-    for (n,) in fresh.select("chunk").distinct().toLocalIterator():
-        fresh.where(F.col("chunk") == n).select("value").write.mode("append").text(f"{directory}/students_chunk_{n}.jsonl")
+    fresh = stored(fresh.withColumn("chunk", F.format_string("students_chunk_%d.jsonl", chunk_no(F.col("sid"), chunk_size))))
+    fresh.repartition("chunk").select("chunk", "value").write.mode("append").partitionBy("chunk").text(directory)
     return fresh.select("sid")
 
 
@@ -69,34 +69,40 @@ def save_meta(spark, directory: str, total: int, chunk_size: int, **more) -> Non
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/meta.json")
 
 
+def _save_lines(path: str, head: list[str], rows: DataFrame, order: list[str], tail: list[str]) -> None:
+    """Text of ``head``, the lines in ``rows`` (line) in their order, and ``tail``. Written in order by Spark, so that no number of lines is too large."""
+    spark = rows.sparkSession
+    ends = [(k, i, x) for k, part in ((0, head), (2, tail)) for i, x in enumerate(part)]
+    fixed = spark.createDataFrame(ends, "_k int, _i int, line string")
+    own = rows.select(F.lit(1).alias("_k"), F.lit(0).alias("_i"), "line", F.struct(*order).alias("_o"))
+    both = own.unionByName(fixed, allowMissingColumns=True)
+    both.orderBy("_k", "_i", "_o").select("line").write.mode("overwrite").text(path)
+
+
 def save_report(directory: str, summary: dict, items: DataFrame, near: DataFrame, suspicious: DataFrame, buckets: DataFrame) -> None:
-    """The report set of one run. Item-sized parts are written by Spark, the summary and the dashboard are small."""
+    """The report set of one run, written by Spark: the summary, the items, near pairs, suspicious items, buckets, and a dashboard of all of the buckets."""
     spark = items.sparkSession
     items.write.mode("overwrite").json(f"{directory}/per_item.jsonl")
     near.write.mode("overwrite").json(f"{directory}/near_duplicates.json")
     suspicious.write.mode("overwrite").json(f"{directory}/suspicious_samples.json")
     buckets.write.mode("overwrite").option("header", True).csv(f"{directory}/buckets.csv")
-    shares = buckets.withColumn("share", F.col("count") / F.greatest(F.sum("count").over(_by_bucket()), F.lit(1)))
-    lines = shares.orderBy("bucket", F.desc("count"), "key").select(F.concat_ws(" ", "bucket", "key", ascii_bar(F.col("share"), 30), F.col("count").cast("string"))).limit(500).collect()
-    board = ["# Dashboard", "", *(f"- {k}: {round(v, 4) if isinstance(v, float) else v}" for k, v in summary.items()), "", "```", *(r[0] for r in lines), "```"]
-    for name, text in (("summary.json", json.dumps(summary, ensure_ascii=False)), ("dashboard.md", "\n".join(board))):
-        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/{name}")
-
-
-def _by_bucket():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("bucket")
+    totals = buckets.groupBy("bucket").agg(F.greatest(F.sum("count"), F.lit(1)).alias("_total"))
+    share = F.col("count") / F.col("_total")
+    line = F.concat_ws(" ", "bucket", "key", ascii_bar(share, 30), F.col("count").cast("string"))
+    lines = buckets.join(totals, "bucket").select(line.alias("line"), "bucket", (-F.col("count")).alias("_less"), "key")
+    board = ["# Dashboard", "", *(f"- {k}: {round(v, 4) if isinstance(v, float) else v}" for k, v in summary.items()), "", "```"]
+    _save_lines(f"{directory}/dashboard.md", board, lines, ["bucket", "_less", "key"], ["```"])
+    spark.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/summary.json")
 
 
 def save_index(runs: DataFrame, directory: str) -> None:
-    """One row for each run, as CSV, JSON and an overview."""
+    """One row for each run, as CSV, JSON and an overview of all of them."""
     runs.write.mode("overwrite").option("header", True).csv(f"{directory}/_index.csv")
     runs.write.mode("overwrite").json(f"{directory}/_index.json")
-    rows = [r.asDict() for r in runs.orderBy("run_id").limit(1000).collect()]
-    head = list(rows[0]) if rows else []
-    text = "\n".join(["# Runs", "", "| " + " | ".join(head) + " |", "|" + "-|" * len(head), *("| " + " | ".join(str(r[k]) for k in head) + " |" for r in rows)])
-    runs.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{directory}/overview.md")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in runs.columns]
+    lines = runs.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"), "run_id")
+    head = ["# Runs", "", "| " + " | ".join(runs.columns) + " |", "|" + "-|" * len(runs.columns)]
+    _save_lines(f"{directory}/overview.md", head, lines, ["run_id"], [])
 
 
 def unhealthy(counts: DataFrame, threshold: int = 5) -> DataFrame:

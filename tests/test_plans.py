@@ -65,25 +65,70 @@ def test_generation_with_the_stub(spark):
     assert G.used_names(out.accepted).count() >= 1
 
 
-def test_revision_and_failure(spark):
-    def bad_level(agent, facts):
-        """Gives a wrong level until it is asked a second time."""
-        text = G.stub_model(agent, facts)
-        if agent == "学业画像" and "学术水平" not in facts:
-            return json.dumps(json.loads(text) | {"学术水平": "高"}, ensure_ascii=False)
-        return text
-
-    def never_json(agent, facts):
-        return "sorry"
+def test_revision_sees_the_issues(spark):
+    def bad_level(call):
+        """Answers as a server does, in a fence; gives a wrong name and a level in other words until an issue reaches it."""
+        if call.agent == "fast":
+            return json.dumps({"issues": [{"code": "F1", "owner": "学籍与发展阶段"}]})
+        text = G.stub_model(call)
+        if call.agent == "学业画像":
+            text = json.dumps(json.loads(text) | {"学术水平": "很差"}, ensure_ascii=False)
+        if call.agent == "学籍与发展阶段" and call.mode == "propose":
+            text = json.dumps(json.loads(text) | {"代理名": "Zhao"}, ensure_ascii=False)
+        if call.mode == "revise":
+            assert [(x["code"], x["fields"]) for x in call.issues] == [("R6", ["代理名"])] and "zhang1" in call.issues[0]["hint"] and call.agent == "学籍与发展阶段"
+        return {"choices": [{"message": {"content": [{"type": "text", "text": "```json\n"}, {"text": text}, "\n```"]}}]}
 
     slots = Q.schedule(spark, 4)
     revised = G.orchestrate(slots, bad_level).collect()
-    assert all(json.loads(r.facts)["学术水平"] in S.LEVELS and not r.issues for r in revised)
-    out = G.generate(slots, never_json, attempts=2, max_rounds=1)
+    assert len(revised) == 4 and not any(r.issues for r in revised)
+    for r in revised:
+        facts = json.loads(r.facts)
+        assert facts["代理名"] != "Zhao" and facts["学术水平"] == facts["_采样约束"]["目标学术水平"] and facts["id"] == r.sid
+
+
+def test_agents_answer_one_after_another_as_configured(spark):
+    def check(call):
+        order = [a.name for a in G.AGENTS]
+        if call.agent in order:
+            i = order.index(call.agent)
+            assert (call.temperature, call.max_tokens) == (G.AGENTS[i].temperature, G.AGENTS[i].max_tokens) and call.seed.startswith("SEED-")
+            assert {k for a in G.AGENTS[:i] for k in a.fields} <= set(call.facts) and not set(G.AGENTS[i].fields) & set(call.facts)
+        return G.stub_model(call)
+
+    assert {len(json.loads(r.facts)) for r in G.orchestrate(Q.schedule(spark, 2), check).collect()} == {16}
+
+
+def test_failure(spark):
+    slots = Q.schedule(spark, 4)
+    out = G.generate(slots, lambda call: "sorry", attempts=2, max_rounds=1)
     assert out.accepted.count() == 0 and {r.attempts for r in out.failures.collect()} == {2}
     retry, final = G.route_failures(spark.createDataFrame([(1, "SimHash", 1), (2, "x", 1), (3, "x", 4)], "sid long, error string, attempts int"), 4)
     assert [r.sid for r in retry.collect()] == [2] and sorted(r.sid for r in final.collect()) == [1, 3]
-    assert G.single_shot(slots).accepted.count() == 4
+    assert G.generate(slots.limit(0)).accepted.count() == 0
+
+    def dies(call):
+        raise OSError("no server")
+
+    assert G.generate(slots, dies, attempts=1, max_rounds=1).failures.count() == 4
+
+
+def test_single_shot_modes(spark):
+    slots = Q.schedule(spark, 6)
+    for mode, key, value in (("unconstrained", "id", None), ("age_15", "年龄", 15), ("grade_chu2", "年级", "初二")):
+        out = G.single_shot(slots, mode)
+        facts = [json.loads(r.facts) for r in out.accepted.collect()]
+        assert len(facts) == 6 and out.failures.count() == 0 and (value is None or {f[key] for f in facts} == {value})
+    seeds = spark.sparkContext.accumulator(0)
+
+    def deaf(call):
+        """Ignores the constraint, and counts its calls."""
+        seeds.add(1)
+        return G.stub_model(G.Call(call.agent, call.facts, call.seed, call.temperature, call.max_tokens))
+
+    out = G.single_shot(Q.schedule(spark, 96), "grade_chu2", deaf, retries=2)
+    assert 0 < out.accepted.count() < 96 and {r.error for r in out.failures.collect()} == {"constraint grade_chu2"}
+    assert G.single_shot(slots.limit(0)).accepted.count() == 0
 
 
 def plain_limiter(events, start=6, most=180):

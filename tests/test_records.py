@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corvane import schema as S
 from corvane.operators import rules
 from corvane.plans import evaluate
-from corvane.plans.generate import AGENTS, stub_model
+from corvane.plans.generate import AGENTS, Call, stub_model
 from corvane.sources import records as R
 from corvane.sources import sinks as K
 
@@ -14,7 +14,7 @@ from corvane.sources import sinks as K
 def good(i=1, **changes):
     facts = {"id": i}
     for a in AGENTS:
-        facts |= json.loads(stub_model(a.name, {"id": i, "_采样约束": {"年级": "五年级", "性别": "女", "目标学术水平": S.LEVELS[1]}}))
+        facts |= json.loads(stub_model(Call(a.name, {"id": i, "_采样约束": {"年级": "五年级", "性别": "女", "目标学术水平": S.LEVELS[1]}}, "", 1.0, 1)))
     facts |= changes
     return {k: v for k, v in facts.items() if v != "gone"}
 
@@ -85,6 +85,25 @@ def test_a_good_record_passes_all_rules(spark):
     assert frame(spark, [good()]).select(rules.baseline_reasons()).first()[0] == []
 
 
+@pytest.mark.parametrize(
+    ("change", "reasons"),
+    [
+        ({"年龄": "15"}, []), ({"年龄": 15.7}, []), ({"年龄": "15.7"}, ["age not whole"]), ({"年龄": 0}, ["missing 年龄", "age out of range"]), ({"年龄": 19}, ["age out of range"]), ({"年龄": None}, ["missing 年龄", "age not whole"]),
+        ({"年龄": "gone"}, ["missing 年龄"]), ({"id": 0}, ["missing id"]), ({"擅长科目": "数学"}, ["subjects empty"]), ({"擅长科目": ["数学"], "薄弱科目": ["数学"]}, ["subjects overlap"]), ({"发展阶段": "x"}, ["stages not an object"]),
+        ({"发展阶段": dict.fromkeys(S.STAGE_FIELDS[:2])}, [f"stage {S.STAGE_FIELDS[2]}"]), ({"人格": " "}, ["no text in 人格"]), ({"人格": ["x"]}, ["no text in 人格"]), ({"社交关系": "a\n 1. b"}, ["paragraph 社交关系"]), ({"社交关系": "a\n\nb"}, ["paragraph 社交关系"]),
+        ({"性别": "x", "年级": 3, "学术水平": "高", "代理名": "li"}, ["academic level", "agent name", "gender", "grade"]),
+    ],
+)
+def test_baseline_validator(spark, change, reasons):
+    assert frame(spark, [good(**change)]).select(rules.baseline_reasons()).first()[0] == reasons
+
+
+def test_constraints(spark):
+    rows = frame(spark, [good(年龄=15), good(年龄=15.0), good(年龄="15"), good(年级="初二"), good(年龄=True)])
+    got = rows.orderBy("row_idx").select(rules.constraint("age_15"), rules.constraint("grade_chu2"), rules.constraint("unconstrained")).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (True, False, True), (False, False, True), (False, True, True), (False, False, True)]
+
+
 @pytest.mark.parametrize(
     ("change", "word", "severity"),
     [

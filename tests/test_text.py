@@ -85,8 +85,8 @@ def test_key_text_reads_null_as_none(spark):
 def test_json_repair_and_content(spark):
     texts = ['```json\n{"a": 1}\n```', 'so: {"a": 1}, ok', "none", '{"a": 1}']
     assert one(spark, texts, J.field(J.repaired(T), "a", "long")) == [1, 1, None, 1]
-    bodies = ['{"choices":[{"message":{"content":"x"}}]}', '{"output_text":"y"}', '{"choices":[{"message":{"content":[{"text":"a"},{"text":"b"}]}}]}', "plain"]
-    assert one(spark, bodies, J.response_content(T)) == ["x", "y", "ab", "plain"]
+    bodies = ['{"choices":[{"message":{"content":"x"}}]}', '{"output_text":"y"}', '{"choices":[{"message":{"content":[{"text":"a"},{"text":"b"}]}}]}', "plain", '{"choices":[{"content":["p",{"content":"q"},{"text":1},5]}]}', '{"choices":[],"text":3,"result":"r"}', '{"a":1}']
+    assert one(spark, bodies, J.response_content(T)) == ["x", "y", "ab", "plain", "pq", "r", '{"a":1}']
 
 
 def test_kinds_and_presence(spark):
