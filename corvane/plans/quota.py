@@ -48,8 +48,7 @@ def shuffled_place(n: int, position: Column, seed: int) -> Column:
             left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(seed * 4 + r)).bitwiseAND(mask))
         return F.shiftleft(left, half).bitwiseOR(right)
 
-    # At most three quarters of the values are out of range, so 64 steps leave none but with a chance below 1e-7;
-    # a row still outside keeps walking in a second bounded pass.
+    # At most three quarters of the values are out of range, so 128 steps leave one with a chance below 1e-15.
     steps = F.sequence(F.lit(1), F.lit(128))
     return F.aggregate(steps, once(position.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
 
@@ -92,6 +91,11 @@ def pending(spark: SparkSession, n: int, completed: DataFrame) -> DataFrame:
     return spark.range(1, n + 1).select(F.col("id").alias("sid")).join(completed.select("sid"), "sid", "left_anti")
 
 
+def slots_of(sids: DataFrame, schedule: DataFrame) -> DataFrame:
+    """``sids`` (sid) with their slot; null for those that the schedule lacks."""
+    return sids.join(schedule.select("sid", "slot"), "sid", "left")
+
+
 def next_batch(waiting: DataFrame, size: int) -> DataFrame:
     """The ``size`` smallest waiting sids: gaps are filled first."""
     return waiting.orderBy("sid").limit(size)

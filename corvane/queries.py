@@ -138,7 +138,14 @@ def jaccard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(after, ["conv_id", "turn"]).select("conv_id", "turn", X.jaccard(F.col("c"), F.col("d")).alias("jaccard"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT item_id, string_split({_CHARS}, '') AS c FROM benchmark), u AS (SELECT item_id, generate_subscripts(c, 1) AS i, unnest(c) AS w FROM t),
+v AS (SELECT item_id, w, lead(w) OVER (PARTITION BY item_id ORDER BY i) AS x FROM u WHERE w <> ''), s AS (SELECT item_id, count(*) AS n FROM v GROUP BY 1),
+g AS (SELECT item_id, 1 AS k, w AS g, count(*) AS c FROM v GROUP BY 1, 3 UNION ALL SELECT item_id, 2, w || chr(1) || x, count(*) FROM v WHERE x IS NOT NULL GROUP BY 1, 3),
+m AS (SELECT a.item_id, a.k, a.c, coalesce(max(b.c), 0) AS o FROM g a LEFT JOIN g b ON a.k = b.k AND a.g = b.g AND a.item_id <> b.item_id GROUP BY a.item_id, a.k, a.g, a.c),
+p AS (SELECT item_id, k, sum(least(c, o))::DOUBLE / sum(c) AS p FROM m GROUP BY 1, 2),
+r AS (SELECT a.item_id, a.n, min(abs(a.n - b.n) * 1000000 + b.n) % 1000000 AS len FROM s a JOIN s b ON a.item_id <> b.item_id GROUP BY 1, 2),
+l AS (SELECT r.item_id, r.n, r.len, sum(ln(CASE WHEN p > 0 THEN p ELSE 1e-9 END)) / 2 AS l FROM (SELECT r.*, k FROM r, (VALUES (1), (2)) k(k)) r LEFT JOIN p ON p.item_id = r.item_id AND p.k = r.k GROUP BY 1, 2, 3)
+SELECT coalesce(avg(CASE WHEN n > len THEN 1 ELSE exp(1 - len::DOUBLE / n) END * exp(l)), 0)::DOUBLE AS self_bleu FROM l""")
 def self_bleu2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.self_bleu_of_all(_table(spark, sf_dir, "benchmark"), X.char_tokens(F.coalesce("text", F.lit(""))), "item_id")
 
@@ -246,9 +253,13 @@ def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(metrics.quality_score(F.col("m"), F.col("a"), F.col("p"), F.col("l"), *d).alias("score"))
 
 
-@query(r"SELECT page_id, NOT regexp_matches(html, '(\n\s*\n)|(^\s*[-•\d]+\.)') AS single FROM pages")
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN '12. ' || html WHEN 1 THEN html || chr(10) || ' ' || chr(10) WHEN 2 THEN '- ' || html WHEN 3 THEN '  •. ' || html WHEN 4 THEN '12.5 ' || html ELSE html END AS t FROM pages)
+SELECT page_id, NOT regexp_matches(t, '(\n\s*\n)|(^\s*[-•\d]+\.)') AS single FROM p""")
 def single_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", X.is_single_paragraph(F.col("html")).alias("single"))
+    """Pages behind bullets and numbers of several forms, or with a blank line."""
+    html, kind = F.col("html"), F.col("page_id") % 6
+    text = F.when(kind == 0, F.concat(F.lit("12. "), html)).when(kind == 1, F.concat(html, F.lit("\n \n"))).when(kind == 2, F.concat(F.lit("- "), html)).when(kind == 3, F.concat(F.lit("  •. "), html)).when(kind == 4, F.concat(F.lit("12.5 "), html)).otherwise(html)
+    return _table(spark, sf_dir, "pages").select("page_id", X.is_single_paragraph(text).alias("single"))
 
 
 @query("""SELECT p_partkey, list_bool_or(list_transform(string_split(p_name, ' '), lambda s: contains(lower(p_type || ' ' || p_brand || ' ' || p_name[3:]), s))) AS mentioned FROM part""")

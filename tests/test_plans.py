@@ -191,5 +191,5 @@ def test_provider_scores(spark):
 def test_entry_without_optional_parts(spark):
     import __spark_entry__ as entry
 
-    assert {"rule_reasons", "near_pairs_exact"} <= entry.queries().keys() and set(entry.oracle_sql()) <= set(entry.queries())
+    assert {"rule_reasons", "near_pairs_exact", "record_items", "run_records"} <= entry.queries().keys() and set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["doc_id", "errors", "warnings"]
