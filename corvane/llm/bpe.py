@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import safe_pieces, slices, trim
+from corvane.llm.common import batched, safe_pieces, slices, trim
 
 BLOCK_BYTES = 8 << 20
 #: Text bytes for each word bucket, and the fewest and most buckets.
@@ -114,7 +114,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
             name = hashlib.blake2b(data, digest_size=16).hexdigest()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.large_binary()).cast(pa.binary())], ["_block", "_data"])
 
-    blocks = docs.select(id_col, text_col).mapInArrow(pack, "_block string, _data binary").repartition("_block")
+    blocks = batched(docs.select(id_col, text_col)).mapInArrow(pack, "_block string, _data binary").repartition("_block")
 
     def explode(batches):
         import regex
@@ -136,7 +136,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                     ["_block", "_bucket", "_n", "_lengths", "_size", "_words"],
                 )
 
-    exploded = blocks.mapInArrow(explode, "_block string, _bucket int, _n int, _lengths binary, _size int, _words binary")
+    exploded = batched(blocks).mapInArrow(explode, "_block string, _bucket int, _n int, _lengths binary, _size int, _words binary")
 
     def encode(batches):
         one, known = word_encoder(ranks_path, pattern), {}
@@ -159,7 +159,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
                 )
 
     # All rows of a bucket are in one partition, so a word is encoded once however many blocks hold it.
-    back = exploded.repartition("_bucket").mapInArrow(encode, "_block string, _bucket int, _n int, _counts binary, _size int, _ids binary")
+    back = batched(exploded.repartition("_bucket")).mapInArrow(encode, "_block string, _bucket int, _n int, _counts binary, _size int, _ids binary")
 
     def assemble(own: pa.Table, returned: pa.Table) -> pa.Table:
         import regex

@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators.materialise import stored as stored
+
 #: Most text bytes that one slice hands to a Python function, unless a single text is longer.
 SLICE_BYTES = 4 << 20
 
@@ -38,6 +38,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 
     At the end of the task the worker's unused memory goes back to the system, since workers live on between stages.
     """
+    lean()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -52,6 +53,42 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
     trim()
 
 
+#: Most bytes of an Arrow batch between the JVM and a worker.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on bounds Arrow batches by bytes; a smaller bound that is set already stays.
+
+    The default bounds rows alone in effect, so that batches of long texts hold more than a worker's share of memory.
+    """
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH).lower().rstrip("b")
+    if now.isdigit() and int(now) > BATCH_BYTES:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+_lean = False
+
+
+def lean() -> None:
+    """Let a worker's large arrays come from the system and go back to it when they are freed.
+
+    Otherwise the allocator raises its thresholds with the first large array and keeps all that follow, for as long as the worker lives.
+    Arrays of a few MB are kept for the next ones, which costs less than asking the system for zeroed pages each time.
+    """
+    global _lean
+    if not _lean:
+        _lean = True
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 32 << 20)  # M_TRIM_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def trim() -> None:
     """Give freed memory back to the system where the C library can."""
     gc.collect()
@@ -71,34 +108,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through files in the shared folder that ``spark.checkpoint.dir`` names.
-
-    A folder is made up only if the session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
-        )
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet below the checkpoint folder and read it back: column-pruned rereads."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        base = context._jsc.sc().getCheckpointDir().get()
-    path = f"{base}/corvane-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 

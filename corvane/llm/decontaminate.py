@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import ASCII_LOWER, slices, stored
+from corvane.llm.common import ASCII_LOWER, batched, slices, stored
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
@@ -161,10 +161,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in blocks:
         if len(chunks[0]) == BLOCKS_A_PASS:
             schema, run = step(chunks[0], first, last=False)
-            state, first, chunks = stored(state.mapInArrow(run, schema)), False, [[]]
+            state, first, chunks = stored(batched(state).mapInArrow(run, schema)), False, [[]]
         chunks[0].append(block)
     schema, run = step(chunks[0], first, last=True)
-    return state.mapInArrow(run, schema)
+    return batched(state).mapInArrow(run, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 hit = [any(next(t.find(own), None) for t in search) for own in map(words, part.column(text_col).to_pylist())]
                 yield part.filter(pa.array([not x for x in hit], pa.bool_()))
 
-        return kept.mapInArrow(run, docs.schema)
+        return batched(kept).mapInArrow(run, docs.schema)
 
     chunk: list = []
     for block in _blocks(benchmark, item_col, item_text_col):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_sample, distinct_words, row_sums, slices
+from corvane.llm.common import batched, bounded_sample, distinct_words, row_sums, slices
 
 ORDER = 5
 SAMPLE = 600
@@ -269,7 +269,7 @@ def identify(docs: DataFrame, models: Models | None, id_col: str = "doc_id", tex
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
@@ -281,7 +281,7 @@ def keep_identified(docs: DataFrame, models: Models | None, text_col: str = "tex
         for part in slices(batches, text_col):
             yield part.filter(pa.array(~np.asarray(_decide(own, part.column(text_col))[2], bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def _decide(models: Models | None, texts: pa.Array):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_sample, slices, text_bytes
+from corvane.llm.common import batched, bounded_sample, slices, text_bytes
 
 SAMPLE = 4000
 POOL, RIDGE = 0.2, 0.05
@@ -174,4 +174,4 @@ def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.array(own.score(statistics(part.column(text_col))))], [id_col, "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")

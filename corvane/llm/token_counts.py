@@ -16,7 +16,7 @@ import os
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import byte_lengths, safe_pieces, slices
+from corvane.llm.common import batched, byte_lengths, safe_pieces, slices
 
 CACHE = 400_000
 OVER = 512
@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             )
 
     out = f"`{id_col}` {id_type.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, out)
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, out)
 
 
 def byte_level(path: str) -> bool:

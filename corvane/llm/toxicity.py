@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corvane.llm.common import distinct_words, slices
+from corvane.llm.common import batched, distinct_words, slices
 from corvane.llm.quality import labelled_sample
 
 SAMPLE = 1500
@@ -260,4 +260,4 @@ def score(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double" + ", spans array<struct<start:int,end:int,word:string>>" * with_spans)
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double" + ", spans array<struct<start:int,end:int,word:string>>" * with_spans)
