@@ -5,12 +5,15 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
 (i, value), so that the population count of two sketches' XOR estimates the share of samples that differ.
 
 1. Documents of equal sets fold into the one of smallest id, by counting sums that combine before the shuffle.
-2. Each member of a band bucket is compared with the smallest id of all its buckets, and then with those of its buckets that
-   are in another component. Sizes and sketches filter, full sets confirm; connected components follow.
+2. Each member of a band bucket is compared with the smallest id, the hub, of each of its buckets. Sizes and sketches filter, full sets
+   confirm; connected components follow.
 3. Buckets whose members are then all in one component are done: no link between them could change it. In the others,
-   members of different components are compared; sketches, now also finer ones, are tested inside the join, so only survivors
-   come out of it.
-   Components are computed once more with the links found.
+   members of different components are compared inside the join. There the parities of whole sets decide: the population count
+   of their XOR never exceeds the number of shingles in one set alone, so no link is lost, and of ``SET_BITS`` parities few are
+   hit twice, so what comes out of the join is links and next to nothing else.
+   A sample of the pairs, chosen by a hash of the pair, shows how many links there are. Where they are more than ``GROWTH`` a
+   member, those found are contracted first, then those of a sample ``GROWTH`` times as large, and so on; by the sampling lemma
+   for spanning forests about ``GROWTH`` links a member at most are left for any round to find, however many a bucket holds.
 
 A pair at the level is missed by all bands with probability (1 - level^ROWS)^BANDS, 6e-6 for 0.75, and by its sketches with at
 most ``SKETCH_MISS``; above the level both fall fast. Nothing is collected to the driver but counts.
@@ -25,24 +28,27 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ASCII_LOWER, slices, stored
+from corvane.llm.common import ASCII_LOWER, batched, slices, stored
 from corvane.sources.records import numbered
 
 SHINGLE = 5
 LEVEL = 75  # in hundredths
 BANDS, ROWS, BITS = 32, 4, 512
 SKETCH_MISS = 1e-6
-#: Samples and bits of the finer sketches of documents in unsettled buckets.
-FINE_SAMPLES, FINE_BITS = 1024, 4096
+#: Parities of whole sets, for documents in unsettled buckets.
+SET_BITS = 8192
+#: Each sample of the pairs in unsettled buckets holds so many times the pairs of the one before.
+GROWTH = 16
 #: Logarithm of the most bits of the bitmap of wanted documents: 32 MB.
 MOST_BITS = 28
 
-_MULTIPLY = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, FINE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, FINE_SAMPLES, np.uint64)
+_MULTIPLY = np.random.Generator(np.random.PCG64(1)).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,7 +156,7 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 ["_id", "_n", "_k1", "_k2", "_keys", "_sketch"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, "_id long, _n long, _k1 long, _k2 long, _keys array<long>, _sketch array<long>")
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, "_id long, _n long, _k1 long, _k2 long, _keys array<long>, _sketch array<long>")
 
 
 def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
@@ -184,7 +190,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
 
     ident = F.col(id_col).cast("long")
     own = docs.where(ident.isNotNull()).select(ident.alias("_id"), F.pmod(F.xxhash64(ident), F.lit(wanted)).alias("_place"), F.col(text_col))
-    return own.mapInArrow(run, "_id long, _set array<long>")
+    return batched(own).mapInArrow(run, "_id long, _set array<long>")
 
 
 def _close(a: str, b: str) -> Column:
@@ -194,40 +200,52 @@ def _close(a: str, b: str) -> Column:
     return (small * 100 >= large * LEVEL) & (differing <= sketch_limit(LEVEL / 100, BANDS * ROWS, BITS, SKETCH_MISS))
 
 
-def fine_sketches(sets: DataFrame) -> DataFrame:
-    """(_id, _fine array<long>) of full sets (_id, _set)."""
+def set_parities(sets: DataFrame) -> DataFrame:
+    """(_id, _parity array<long>) of full sets (_id, _set): ``SET_BITS`` parities, flipped by each member's hash."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                own = [np.asarray(x, np.int64).view(np.uint64) for x in part.column("_set").to_numpy(zero_copy_only=False)]
-                full = [i for i, x in enumerate(own) if len(x)]
-                if full:
-                    words = odd_sketches(samples([own[i] for i in full], FINE_SAMPLES), FINE_BITS)
-                    yield pa.RecordBatch.from_arrays([part.column("_id").take(pa.array(full)), pa.array(list(words), pa.list_(pa.int64()))], ["_id", "_fine"])
+                column = part.column("_set")
+                size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                bit = (_mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(SET_BITS)).astype(np.int64)
+                parity = np.bincount(np.repeat(np.arange(len(size)), size) * SET_BITS + bit, minlength=len(size) * SET_BITS) & 1
+                words = np.packbits(parity.astype(np.uint8).reshape(-1, SET_BITS), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(list(words), pa.list_(pa.int64()))], ["_id", "_parity"])
 
-    return sets.mapInArrow(run, "_id long, _fine array<long>")
+    return batched(sets).mapInArrow(run, "_id long, _parity array<long>")
 
 
-def _finely_close(a: str, b: str) -> Column:
-    """Whether the finer sketches of two rows leave the level possible."""
-    each = F.zip_with(f"{a}._fine", f"{b}._fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    return F.aggregate(each, F.lit(0), lambda n, c: n + c) <= sketch_limit(LEVEL / 100, FINE_SAMPLES, FINE_BITS, SKETCH_MISS)
+def _reach(a: str, b: str) -> Column:
+    """Whether the sets of two rows can reach the level, by their sizes and parities: false only for pairs that don't."""
+    each = F.zip_with(f"{a}._parity", f"{b}._parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(each, F.lit(0), lambda n, c: n + c) * (100 + LEVEL) <= (F.col(f"{a}._n") + F.col(f"{b}._n")) * (100 - LEVEL)
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, sets: DataFrame | None = None) -> DataFrame:
-    """The (a, b) among ``pairs`` whose full sets reach the level."""
-    if sets is None:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        sets = stored(full_sets(docs, ids, id_col, text_col))
+def _shares(widest: int) -> list[float]:
+    """The shares of pairs in the samples, and 1: the first one holds ``GROWTH`` pairs a member of the widest bucket at most."""
+    rounds = max(math.ceil(math.log(max(widest, 1), GROWTH) - 1e-9) - 1, 0)
+    return [float(GROWTH) ** -k for k in range(rounds, -1, -1)]
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) among ``pairs`` whose full sets (_id, _set) reach the level."""
     both = (
         pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a")
         .join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
         .withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
     )
     union = F.size("_sa") + F.size("_sb") - F.col("_common")
-    return both.where(F.col("_common") * 100 >= union * LEVEL).select("a", "b").distinct()
+    return both.where(F.col("_common") * 100 >= union * LEVEL).select("a", "b")
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end of ``edges`` (a > b) has one smaller end, which is no larger end itself."""
+    ends = edges.select(F.col("a").alias("v"), "b").unionByName(edges.select(F.col("b").alias("v"), F.lit(None).cast("long").alias("b")))
+    node = ends.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.count("b").alias("up"), F.min("b").alias("low"), F.max("b").alias("high"))
+    odd = (F.col("up") > 0) & ((F.col("up") < F.col("n")) | (F.col("low") < F.col("high")))
+    return not node.agg(F.max(odd)).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -236,22 +254,47 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until the edges are stars; every step shuffles the edges only.
     """
     now = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before:
-            break
-        before = mark
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("_m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("_m"))
-        small = large.join(small_least, "a")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("_m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("_m")), "a")
         small = small.select("a", F.col("_m").alias("b")).unionByName(small.where("b != _m").select(F.col("b").alias("a"), F.col("_m").alias("b")))
         now = stored(small.where("a != b").distinct())
     return now.select(F.col("a").alias("_id"), F.col("b").alias("_component")).unionByName(now.select(F.col("b").alias("_id"), F.col("b").alias("_component")).distinct())
 
 
+def _rows(df: DataFrame) -> int:
+    return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def _contracted(rest: DataFrame, widest: int, members: int, full: DataFrame, label: DataFrame) -> DataFrame:
+    """``label`` (_id, _component) once all links between different components in the buckets of ``rest`` are contracted."""
+    # A pair comes out of the first of its common bands alone.
+    first_band = F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1
+    low, high = F.least("x._id", "y._id"), F.greatest("x._id", "y._id")
+    place = F.pmod(F.xxhash64(low, high), F.lit(1 << 40)) / float(1 << 40)
+    same = (F.col("x._key") == F.col("y._key")) & (F.col("x._component") < F.col("y._component"))
+
+    def links(share: float) -> DataFrame:
+        now = rest.join(label, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
+        near = now.alias("x").join(now.alias("y"), same & (place < share) & _close("x", "y") & first_band & _reach("x", "y"))
+        return stored(near.select(high.alias("a"), low.alias("b")))
+
+    def added(pairs: DataFrame) -> DataFrame:
+        return components(_confirmed(pairs, full).unionByName(label.select(F.col("_id").alias("a"), F.col("_component").alias("b"))))
+
+    *samples, whole = _shares(widest)
+    for share in samples:
+        found = links(share)
+        n = _rows(found)
+        if n <= share * GROWTH * members:
+            break
+        label = added(found)
+    found = links(whole)
+    return added(found) if _rows(found) else label
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row. Ids are whole numbers."""
     own = stored(features(docs, id_col, text_col))
@@ -263,45 +306,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Members of the buckets that hold two documents or more, with the bucket's smallest id.
     members = stored(band.join(shared, "_key"))
 
-    def filtered(pairs: DataFrame) -> DataFrame:
-        a, b = reps.alias("ra"), reps.alias("rb")
-        near = pairs.join(a, pairs["a"] == F.col("ra._id")).join(b, pairs["b"] == F.col("rb._id")).where(_close("ra", "rb"))
-        return near.select("a", "b").distinct()
-
-    def linked(label: DataFrame | None, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
-        """The components once the confirmed ones of ``pairs`` are added."""
-        pairs = stored(pairs)
-        if pairs.isEmpty():
-            return label
-        links = _confirmed(docs, pairs, id_col, text_col, sets)
-        return components(links if label is None else links.unionByName(label.select(F.col("_id").alias("a"), F.col("_component").alias("b"))))
-
     none = own.sparkSession.createDataFrame([], "_id long, _component long")
 
-    def placed(label: DataFrame | None) -> DataFrame:
-        return members.join(none if label is None else label, "_id", "left").select("_key", "_band", "_id", "_hub", F.coalesce("_component", "_id").alias("_component"))
-
-    # First each member with the smallest id of all its buckets: one pair a member joins most of a large group.
-    first = members.where("_id != _hub").groupBy(F.col("_id").alias("a")).agg(F.min("_hub").alias("b"))
-    label = linked(None, filtered(first))
-    # Then with the smallest id of each bucket, where that one is in another component.
-    now = placed(label)
-    hubs = now.select(F.col("_id").alias("b"), F.col("_component").alias("_of_hub")).distinct()
-    apart = now.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b"), "_component").distinct().join(hubs, "b").where("_component != _of_hub").select("a", "b")
-    label = linked(label, filtered(apart.join(first, ["a", "b"], "left_anti")))
+    # Each member with the hub of each of its buckets: few different ones in a group of near copies, and never more than bands.
+    ra, rb = reps.alias("ra"), reps.alias("rb")
+    hubs = members.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b")).distinct()
+    near = stored(hubs.join(ra, hubs["a"] == F.col("ra._id")).join(rb, hubs["b"] == F.col("rb._id")).where(_close("ra", "rb")).select("a", "b"))
+    label = none
+    if _rows(near):
+        ids = near.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        label = components(_confirmed(near, stored(full_sets(docs, ids, id_col, text_col))))
 
     # What is left: buckets of three or more whose members aren't in one component.
-    now = stored(placed(label))
-    parted = stored(now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key"))
-    rest = stored(now.where("_id != _hub").join(parted, "_key"))
-    full = stored(full_sets(docs, rest.select("_id").distinct(), id_col, text_col))
-    rest = stored(rest.join(whole.select("_id", "_n", "_sketch", "_keys"), "_id").join(fine_sketches(full), "_id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    # A pair comes out of the first of its common bands alone.
-    first_band = F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1
-    across = x.join(y, (F.col("x._key") == F.col("y._key")) & (F.col("x._component") < F.col("y._component")) & _close("x", "y") & first_band & _finely_close("x", "y"))
-    label = linked(label, across.select(F.greatest("x._id", "y._id").alias("a"), F.least("x._id", "y._id").alias("b")).distinct(), full)
-    label = none if label is None else label
+    now = stored(members.join(label, "_id", "left").select("_key", "_band", "_id", "_hub", F.coalesce("_component", "_id").alias("_component")))
+    parted = stored(now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key", "_c"))
+    rest = stored(now.where("_id != _hub").join(parted.select("_key"), "_key").select("_key", "_band", "_id"))
+    apart = stored(rest.select("_id").distinct())
+    if _rows(apart):
+        full = stored(full_sets(docs, apart, id_col, text_col))
+        rest = stored(rest.join(whole.select("_id", "_n", "_sketch", "_keys"), "_id").join(set_parities(full), "_id"))
+        label = _contracted(rest, parted.agg(F.max("_c")).first()[0], _rows(apart), full, label)
 
     by_set = sets.join(label.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_k1", "_k2", "_n", F.coalesce("_component", "_rep").alias("_c"))
     out = own.select("_id", "_k1", "_k2", "_n").join(by_set, ["_k1", "_k2", "_n"], "left")
@@ -314,17 +338,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component; one row of each id and text.
 
-    Rows without id all stay, for they stand alone. Where an id comes with several texts, each of its texts is a document of
-    its own: ids and texts are numbered in the order of the ids, and the numbers take the ids' place.
+    Rows without id all stay, for they stand alone. Where ids repeat, each text of an id is a document of its own: ids and texts are
+    numbered in the order of the ids, and the numbers take the ids' place. Of several rows of one id and text the one stays whose
+    columns have the smallest hash; where those are equal too, so are the rows. Texts are shuffled once, where no id repeats.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    content = F.xxhash64(text_col, F.lit(0)), F.xxhash64(F.lit(1), text_col)
-    several = named.groupBy(id_col).agg(*(f(c).alias(f"_{f.__name__}{i}") for i, c in enumerate(content) for f in (F.min, F.max))).where("_min0 < _max0 or _min1 < _max1")
-    if several.isEmpty():
-        kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
-        return named.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
-    own = named.withColumns({"_c0": content[0], "_c1": content[1]})
-    keys = numbered(own.select(F.struct(F.col(id_col).alias("_i"), "_c0", "_c1").alias("_key")).distinct(), "_key", "_number").select(F.col("_key._i").alias(id_col), "_key._c0", "_key._c1", "_number")
-    single = stored(own.dropDuplicates([id_col, "_c0", "_c1"]).join(keys, [id_col, "_c0", "_c1"]).drop("_c0", "_c1"))
-    kept = near_duplicates(single, "_number", text_col).where("kept").select("_number")
-    return single.join(kept, "_number", "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    if named.groupBy(id_col).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").isEmpty():
+        kept = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col(id_col).isNotNull()).select(id_col)
+        return named.join(kept, id_col, "left_semi").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    each = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    content = F.xxhash64(text_col, F.lit(0)).alias("_c0"), F.xxhash64(F.lit(1), text_col).alias("_c1")
+    one = named.groupBy(F.col(id_col).alias("_i"), *content).agg(F.min_by(each, F.xxhash64(F.to_json(each))).alias("_row"))
+    one = stored(one)
+    keys = numbered(one.select(F.struct("_i", "_c0", "_c1").alias("_key")), "_key", "_number").select("_key._i", "_key._c0", "_key._c1", "_number")
+    single = stored(one.join(keys, ["_i", "_c0", "_c1"]).select("_number", "_row"))
+    kept = near_duplicates(single.select("_number", F.col(f"_row.`{text_col}`").alias("_text")), "_number", "_text").where("kept").select("_number")
+    return single.join(kept, "_number", "left_semi").select("_row.*").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
