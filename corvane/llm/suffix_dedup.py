@@ -5,18 +5,22 @@ by content: of the ``LENGTH`` - ``GRAM`` + 1 grams in a window of ``LENGTH`` byt
 sample, so two equal windows always have their sample at the same distance, and about one position in 85 is a
 sample instead of every one. Windows of one sample are consecutive and make a block.
 
-1. Every block gets two ranks: of its sample's gram (the suffix bucket) and of all its bytes.
+1. Every block gets two ranks beforehand: of its sample's gram (the suffix bucket) and of all its bytes (the cover's rank, 64-bit
+   hashes, for only equality matters).
 2. Buckets of one block have no repeat. In buckets where all blocks have the same rank, long ties are settled by it: every
    window repeats. So does every window of a block whose rank comes twice.
-3. The distinct blocks of the other buckets are brought together bucket by bucket, in sorted order, and their windows compared
-   there. A bucket of more than ``LARGE`` distinct blocks is compared by counts of window hashes instead, which combine before
-   they are shuffled, so that no bucket needs one task's memory.
+3. The distinct blocks of the other buckets are brought together, and one bucket after another is sorted: the suffixes that
+   begin in its blocks by their first two bytes, and where these tie by the ranks (hashes) of their first ``LENGTH`` bytes. Neighbours of
+   equal rank are compared byte by byte; should one of them differ, the bucket is ranked by its bytes alone, by doubling.
+   What a task holds is a bucket, or several small ones together.
+4. A bucket of more than ``LARGE`` distinct blocks, which no task should hold, is dealt out once more by hashes of its windows, which
+   are counted within it; counts combine before they are shuffled. Both ways give the same rows.
 
-Counts, joins and sorts are of blocks or of doubtful windows, never of all positions. Ranks are 64-bit hashes, windows are compared
-within their bucket only. Texts are shuffled once, compressed.
+Counts, joins and sorts are of blocks or of doubtful windows, never of all positions. Texts are shuffled once, compressed.
 
 Defined results: null and empty texts have no bytes; texts below ``LENGTH`` stay whole; two rows of the same text are copies of each
-other; rows without id are treated as any other; empty tables give empty results; other columns are ignored.
+other; rows without id are treated as any other; ids of any type that can be cast to a string will do; very long texts are
+cut to overlapping segments of ``SEGMENT`` window starts; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import slices, stored, text_bytes
+from corvane.llm.common import batched, slices, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
-LARGE = 20_000
-#: Window starts that are worked on at once.
-SEGMENT = 1 << 21
+#: Distinct blocks of a bucket, of 368 bytes at most, beyond which it is dealt out.
+LARGE = 8_000
+#: Window starts that are worked on at once, and bytes of small buckets that are sorted together.
+SEGMENT, TOGETHER = 1 << 16, 1 << 18
 
 _B = 0x9E3779B97F4A7C15
 
@@ -68,6 +73,47 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept[GRAM], whole
 
 
+_EIGHT = 8
+
+
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as a number that orders as they do."""
+    word = np.zeros(max(len(data) - _EIGHT + 1, 0), np.uint64)
+    for i in range(_EIGHT):
+        word <<= np.uint64(8)
+        word |= data[i : i + len(word)]
+    return word
+
+
+def window_ranks(data: np.ndarray) -> np.ndarray:
+    """The ranks of the ``LENGTH`` bytes from each place: equal for equal strings, and in the strings' order."""
+    if len(data) < LENGTH:
+        return np.zeros(0, np.int64)
+    rank, size = eight_bytes(data), _EIGHT
+    while size < LENGTH:
+        rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+        step = min(size, LENGTH - size)
+        rank = (rank[:-step] << np.uint64(32)) | rank[step:]
+        size += step
+    return np.unique(rank, return_inverse=True)[1]
+
+
+def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether the ``LENGTH`` bytes from each of ``starts`` come from another one of them too."""
+    word, (_, whole) = eight_bytes(data), window_hashes(data)
+    key = (word[starts] >> np.uint64(48) << np.uint64(48)) | (whole[starts] >> np.uint64(16))
+    order = np.argsort(key)
+    at, key = starts[order], key[order]
+    same = key[1:] == key[:-1]
+    out = np.zeros(len(starts), bool)
+    a, b = at[:-1][same], at[1:][same]
+    if all((word[a + i] == word[b + i]).all() for i in range(0, LENGTH, _EIGHT)):
+        out[order[:-1][same]] = out[order[1:][same]] = True
+        return out
+    rank = window_ranks(data)[starts]
+    return np.bincount(rank)[rank] > 1
+
+
 def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """Row, bucket, rank, first and last window start (in the row) of every block of the texts data[starts:ends]."""
     gram, whole = window_hashes(data)
@@ -121,7 +167,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
                 at = rows[row]
                 yield pa.RecordBatch.from_arrays([pa.array(d[at]), pa.array(h[at]), pa.array(bucket), pa.array(rank), pa.array(first + shift), pa.array(last + shift)], ["_d", "_h", "_bucket", "_rank", "_first", "_last"])
 
-    return docs.mapInArrow(run, "_d long, _h int, _bucket long, _rank long, _first long, _last long")
+    return batched(docs).mapInArrow(run, "_d long, _h int, _bucket long, _rank long, _first long, _last long")
 
 
 def _runs(flags: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,10 +180,11 @@ def _runs(flags: np.ndarray, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarra
     return row[hit[new]], at[hit[new]], at[hit[end]]
 
 
-def _doubtful(packed: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The bytes of the chosen blocks of ordinary buckets, and the window hashes of those of large ones."""
-    lists = chosen.groupBy("_d", "_h").agg(F.collect_list(F.struct("_first", "_last", "_bucket", "_large")).alias("_blocks"))
+def _doubtful(packed: DataFrame, chosen: DataFrame, hashes: bool) -> DataFrame:
+    """The bytes of the chosen blocks, or the hashes of their windows: (_d, _h, _first, _bucket, _bytes or _hashes)."""
+    lists = chosen.groupBy("_d", "_h").agg(F.collect_list(F.struct("_first", "_last", "_bucket")).alias("_blocks"))
     joined = packed.join(lists, ["_d", "_h"]).select("_d", "_h", "_size", "_zip", "_blocks")
+    name, kind = ("_hashes", pa.list_(pa.int64())) if hashes else ("_bytes", pa.binary())
 
     def run(batches):
         for batch in batches:
@@ -146,28 +193,25 @@ def _doubtful(packed: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFram
                 out = []
                 for b in row["_blocks"]:
                     own = text[b["_first"] : b["_last"] + LENGTH]
-                    hashes = window_hashes(np.frombuffer(own, np.uint8))[1].view(np.int64) if b["_large"] else None
-                    out.append((row["_d"], row["_h"], b["_first"], b["_bucket"], None if b["_large"] else own, hashes))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["_d", "_h", "_first", "_bucket", "_bytes", "_hashes"])
+                    out.append((row["_d"], row["_h"], b["_first"], b["_bucket"], window_hashes(np.frombuffer(own, np.uint8))[1].view(np.int64) if hashes else own))
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["_d", "_h", "_first", "_bucket", name])
 
-    found = joined.mapInArrow(run, "_d long, _h int, _first long, _bucket long, _bytes binary, _hashes array<long>")
-    return found.where("_bytes is not null").drop("_hashes"), found.where("_hashes is not null").drop("_bytes")
+    return batched(joined).mapInArrow(run, f"_d long, _h int, _first long, _bucket long, {name} {'array<long>' if hashes else 'binary'}")
 
 
 def _repeats_in_buckets(rows: DataFrame) -> DataFrame:
-    """(_d, _h, _start, _end): bytes of repeated windows among the blocks of one bucket, bucket after bucket."""
+    """(_d, _h, _start, _end): bytes of repeated windows among the blocks of one bucket, bucket after bucket.
+
+    Equal windows have equal samples and so one bucket; small buckets can be sorted together.
+    """
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         data, offsets = text_bytes_of_binary(table.column("_bytes").combine_chunks())
-        _, whole = window_hashes(data)
-        row = np.repeat(np.arange(table.num_rows), np.diff(offsets))[: len(whole)]
-        place = np.arange(len(whole)) - offsets[row]
-        valid = place + LENGTH <= np.diff(offsets)[row]
-        whole, row, place = whole[valid], row[valid], place[valid]
-        bucket = table.column("_bucket").to_numpy().view(np.uint64)
-        _, inverse, count = np.unique(_mix(whole + np.uint64(5)) ^ _mix(bucket[row]), return_inverse=True, return_counts=True)
-        at, first, last = _runs(count[inverse] > 1, place, row)
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(table.num_rows), np.maximum(size - LENGTH + 1, 0))
+        starts = np.arange(len(row)) + (offsets[:-1] - np.cumsum(np.maximum(size - LENGTH + 1, 0)) + np.maximum(size - LENGTH + 1, 0))[row]
+        at, first, last = _runs(repeated_windows(data, starts), starts - offsets[row], row)
         start = table.column("_first").to_numpy()[at] + first
         return pa.RecordBatch.from_arrays(
             [pa.array(table.column("_d").to_numpy()[at]), pa.array(table.column("_h").to_numpy()[at]), pa.array(start), pa.array(start + (last - first) + LENGTH)], ["_d", "_h", "_start", "_end"]
@@ -176,10 +220,10 @@ def _repeats_in_buckets(rows: DataFrame) -> DataFrame:
     def run(batches):
         held: list[pa.RecordBatch] = []
         size = 0
-        for batch in batches:
+        for batch in slices(batches, "_bytes", TOGETHER):
             held.append(batch)
             size += batch.nbytes
-            if size < 4 << 20:
+            if size < TOGETHER:
                 continue
             table = pa.Table.from_batches(held)
             buckets = table.column("_bucket").to_numpy()
@@ -190,7 +234,7 @@ def _repeats_in_buckets(rows: DataFrame) -> DataFrame:
         if held:
             yield compare(pa.Table.from_batches(held))
 
-    return rows.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(run, "_d long, _h int, _start long, _end long")
+    return batched(rows.repartition("_bucket").sortWithinPartitions("_bucket")).mapInArrow(run, "_d long, _h int, _start long, _end long")
 
 
 def text_bytes_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +246,7 @@ def text_bytes_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row, and with ``with_kept`` the binary ``kept``."""
     own = docs.select(
-        F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text_col)).alias("_d"), F.hash(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text")
+        F.col(id_col), F.xxhash64(F.col(id_col).cast("string"), F.lit("id"), text_col).alias("_d"), F.hash(text_col).alias("_h"), F.coalesce(text_col, F.lit("")).alias("_text")
     )
     rows = stored(block_rows(own.where(F.octet_length("_text") >= LENGTH).select("_d", "_h", "_text")))
     # Counts are written before they are joined, so that either side of the join is an exchange whose hot keys can be split.
@@ -217,13 +261,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chosen = judged.where("_one").join(large, "_bucket")
 
     packed = _packed(own, id_col)
-    ordinary, hashed = _doubtful(packed, chosen)
-    windows = hashed.select("_d", "_h", F.posexplode("_hashes").alias("_i", "_w"), "_first").withColumn("_start", F.col("_first") + F.col("_i"))
-    twice = windows.groupBy("_w").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_w")
+    ordinary, hashed = _doubtful(packed, chosen.where("not _large"), False), _doubtful(packed, chosen.where("_large"), True)
+    windows = hashed.select("_d", "_h", "_bucket", F.posexplode("_hashes").alias("_i", "_w"), "_first").withColumn("_start", F.col("_first") + F.col("_i"))
+    twice = windows.groupBy("_bucket", "_w").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_bucket", "_w")
     spans = (
         whole.select("_d", "_h", F.col("_first").alias("_start"), (F.col("_last") + LENGTH).alias("_end"))
         .unionByName(_repeats_in_buckets(ordinary))
-        .unionByName(windows.join(twice, "_w").select("_d", "_h", "_start", (F.col("_start") + LENGTH).alias("_end")))
+        .unionByName(windows.join(twice, ["_bucket", "_w"]).select("_d", "_h", "_start", (F.col("_start") + LENGTH).alias("_end")))
     )
     lists = spans.groupBy("_d", "_h").agg(F.collect_list(F.struct("_start", "_end")).alias("_spans"))
     joined = packed.join(lists, ["_d", "_h"], "left").select(id_col, "_size", "_zip", "_spans")
@@ -240,13 +284,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(text[at:a])
                     at = b
                 kept = b"".join([*kept, text[at:]])
-                out.append((size, size - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((size, size - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept if with_kept else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_kept]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 4 + with_kept]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *(pa.array([x[k] for x in out], t) for k, t in enumerate(kinds))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
+    return batched(joined).mapInArrow(cut, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept)
 
 
 def _packed(own: DataFrame, id_col: str) -> DataFrame:
@@ -261,7 +305,7 @@ def _packed(own: DataFrame, id_col: str) -> DataFrame:
             )
 
     kind = own.schema[id_col].dataType.simpleString()
-    return own.mapInArrow(run, f"`{id_col}` {kind}, _d long, _h int, _size long, _zip binary").repartition("_d", "_h")
+    return batched(own).mapInArrow(run, f"`{id_col}` {kind}, _d long, _h int, _size long, _zip binary").repartition("_d", "_h")
 
 
 def _merged(spans: pa.Scalar) -> list[tuple[int, int]]:

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corvane.llm import suffix_dedup as S
@@ -40,7 +41,7 @@ def rows():
     return out + [(900, None), (901, ""), (902, "x" * 199), (903, "y" * 200), (904, "z" * 201), (905, "ab" * 400), (906, text(300) * 2), (None, text(500)), (None, passages[4])]
 
 
-@pytest.mark.parametrize(("large", "segment"), [(20_000, 1 << 21), (3, 700)])
+@pytest.mark.parametrize(("large", "segment"), [(8_000, 1 << 16), (3, 700)])
 def test_equals_brute_force(spark, rows, large, segment, monkeypatch):
     monkeypatch.setattr(S, "LARGE", large)
     monkeypatch.setattr(S, "SEGMENT", segment)
@@ -48,6 +49,22 @@ def test_equals_brute_force(spark, rows, large, segment, monkeypatch):
     assert sorted(map(tuple, S.remove_repeats(d).collect()), key=str) == brute(rows)
 
 
+def test_windows_are_confirmed_on_bytes(monkeypatch):
+    r = np.random.default_rng(3)
+    data = r.integers(97, 99, 3000).astype(np.uint8)
+    data[1500:2000] = data[100:600]
+    starts = np.flatnonzero(r.random(len(data) - 199) < 0.9)
+    count = Counter(data[i : i + 200].tobytes() for i in starts)
+    want = [count[data[i : i + 200].tobytes()] > 1 for i in starts]
+    assert any(want) and S.repeated_windows(data, starts).tolist() == want
+    rank = S.window_ranks(data)
+    order = sorted(range(len(rank)), key=lambda i: data[i : i + 200].tobytes())
+    assert (np.diff(rank[order]) >= 0).all()
+    hashes = S.window_hashes
+    monkeypatch.setattr(S, "window_hashes", lambda d: (hashes(d)[0], hashes(d)[1] & np.uint64(3 << 40)))  # nearly all collide
+    assert S.repeated_windows(data, starts).tolist() == want
+
+
 def test_empty_and_short_tables(spark):
     d = spark.createDataFrame([(1, "short"), (2, None)], "doc_id long, text string")
     assert sorted(tuple(r)[:4] for r in S.remove_repeats(d).collect()) == [(1, 5, 0, 0), (2, 0, 0, 0)]
