@@ -1,9 +1,10 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Kinds in their order: email, ip, card (Luhn), phone, iban (mod-97), ssn. Base spans of the first four are always
+Kinds in their order: email, ip, card (Luhn), phone, iban (mod-97), ssn, secret. Base spans of the first four are always
 kept. The method adds: cards and phones inside longer digit runs that fail as a whole, IBANs of their country's length whose mod-97 is 1,
-social security numbers and phones without country code where a context word stands near. An added span is kept
-when its score is at least ``THRESHOLD``; spans that an equal or longer span of the same kind overlaps aren't added.
+social security numbers and phones without country code where a context word stands near, private keys and tokens of known
+forms, and other runs of mixed characters whose length and entropy are a secret's where a context word stands before them. An added
+span is kept when its score is at least ``THRESHOLD``; spans that an equal or longer span of the same kind overlaps aren't added.
 
 Offsets are code points, the end exclusive. Patterns are anchored so that a run of letters or digits is read
 once, which keeps very long runs linear.
@@ -14,15 +15,18 @@ empty result; other columns pass through :func:`redact` unchanged and are ignore
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, insort
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import slices
+from corvane.llm.common import batched, slices
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 THRESHOLD = 0.5
 #: Characters before and after a span in which context words count.
@@ -52,7 +56,16 @@ _GROUP = re.compile(r"[0-9]+")
 #: First digits and lengths of the large issuers' cards.
 _ISSUER = re.compile(r"4[0-9]{15}(?:[0-9]{3})?|5[1-5][0-9]{14}|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(?:0[0-5]|[689][0-9])[0-9]{11}|35[0-9]{14}|6[0-9]{15,18}")
 
-_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3}
+#: Secrets that their form gives away: private keys, and tokens with an issuer's prefix.
+_SECRET_FORM = re.compile(
+    r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----(?:[A-Za-z0-9+/=\s]*+-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----)?"
+    r"|(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9_-])"
+)
+_SECRET_RUN = re.compile(r"(?<![A-Za-z0-9+_-])[A-Za-z0-9+_-]{16,}+={0,2}")
+_SECRET_MOST = 512
+_HEX = re.compile(r"[0-9a-fA-F]+")
+
+_PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 _CONTEXT = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact)\b", re.I),
     "ip": re.compile(r"\b(?:ip|host|server|address)\b", re.I),
@@ -60,6 +73,7 @@ _CONTEXT = {
     "phone": re.compile(r"\b(?:phone|tel|telephone|call|mobile|fax)\b", re.I),
     "iban": re.compile(r"\b(?:iban|account|bank|konto)\b", re.I),
     "ssn": re.compile(r"\b(?:ssn|social\s+security)\b", re.I),
+    "secret": re.compile(r"(?<![A-Za-z])(?:api[-_ ]?key|key|secret|token|password|passwd|pwd|bearer|credentials?|auth)(?![A-Za-z])", re.I),
 }
 
 
@@ -162,20 +176,65 @@ def _ibans(text: str):
             free = end
 
 
+def entropy(text: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
+def _secret(run: str) -> bool:
+    """Whether a run of 16 to ``_SECRET_MOST`` characters is as mixed as random ones: letters and digits, of at least 3 bits a
+    character in hexadecimal and 3.5 in others, these with a fifth of digits or with both cases."""
+    letters, digits = sum(map(str.isalpha, run)), sum(map(str.isdigit, run))
+    if not letters or digits < 2 or len(run) > _SECRET_MOST:
+        return False
+    if _HEX.fullmatch(run):
+        return entropy(run) >= 3
+    return (5 * digits >= len(run) or (run.upper() != run and run.lower() != run)) and entropy(run) >= 3.5
+
+
+def _secrets(text: str):
+    """(start, end, score) of secrets."""
+    for m in _SECRET_FORM.finditer(text):
+        yield *m.span(), 0.9
+    for m in _SECRET_RUN.finditer(text):
+        if _CONTEXT["secret"].search(text, max(0, m.start() - NEAR), m.start()) and _secret(m[0].rstrip("=")):
+            yield *m.span(), _score(text, 6, *m.span())
+
+
+class _Taken:
+    """Spans of one kind, none of which overlap."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.end_of: dict[int, int] = {}
+
+    def free(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return not at or self.end_of[self.starts[at - 1]] <= start
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.starts, start)
+        self.end_of[start] = end
+
+
 def spans(text: str | None) -> list[tuple[int, int, int, float, bool]]:
     """(kind's index, start, end, score, base) of all spans, by start and then kind."""
     if not text:
         return []
-    base = base_spans(text)
-    out = [(k, a, b, _score(text, k, a, b), True) for k, a, b in base]
+    taken = [_Taken() for _ in KINDS]
+    out = [(k, a, b, _score(text, k, a, b), True) for k, a, b in base_spans(text)]
+    for k, a, b, *_ in out:
+        taken[k].add(a, b)
     added = [(2, a, b) for a, b in _cards_inside(text)]
     if "+" in text:
         added += [(3, *m.span()) for m in _PHONE_INSIDE.finditer(text) if 10 <= len(_digits(m[0])) <= 15]
     added += [(3, *m.span()) for m in _PHONE_NATIONAL.finditer(text) if _CONTEXT["phone"].search(text, max(0, m.start() - NEAR), m.start())]
     added += [(4, a, b) for a, b in _ibans(text)]
     added += [(5, *m.span()) for m in _SSN.finditer(text)]
-    for k, a, b in added:
-        if (s := _score(text, k, a, b)) >= THRESHOLD and not any(x[0] == k and x[1] < b and a < x[2] for x in out):
+    scored = [(k, a, b, _score(text, k, a, b)) for k, a, b in added] + [(6, *x) for x in _secrets(text)]
+    for k, a, b, s in scored:
+        if s >= THRESHOLD and taken[k].free(a, b):
+            taken[k].add(a, b)
             out.append((k, a, b, s, False))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
@@ -197,7 +256,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([part.column(id_col), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows)], [id_col, "spans"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int,score:double,base:boolean>>")
+    return batched(docs.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int,score:double,base:boolean>>")
 
 
 def masked(text: str | None) -> str | None:
@@ -223,11 +282,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             at = part.schema.get_field_index(text_col)
             yield part.set_column(at, part.schema.field(at), pa.array(map(masked, part.column(at).to_pylist()), part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return batched(docs).mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of base spans and the joined forms of all spans, from :func:`find`'s rows."""
+    """Counts of base spans, the joined forms of all spans, and the counts of secrets and of all spans, from :func:`find`'s rows."""
 
     def joined(of: Column) -> Column:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -237,4 +296,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     base = F.filter("spans", lambda s: s["base"])
     counts = [count(base, k) for k in BASE_KINDS]
-    return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(id_col, *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), count(F.col("spans"), "secret"), F.size("spans").cast("long").alias("n_spans"))
