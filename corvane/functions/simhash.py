@@ -18,12 +18,12 @@ _KNOWN = 200_000
 def simhash64(text: Column, n: int = 3) -> Column:
     """Bit b is 1 unless more of the n-grams' MD5 values (low 64 bits) have it 0; a text without n-grams gives -1.
 
-    Digests of n-grams are remembered within a worker, at most ``_KNOWN`` of them.
+    Digests of n-grams are remembered within a task, at most ``_KNOWN`` of them.
     """
+    known: dict[str, bytes] = {}
 
     @F.pandas_udf("long")
     def run(column: pd.Series) -> pd.Series:
-        known: dict[str, bytes] = {}
         out = np.empty(len(column), np.int64)
         for i, t in enumerate(column):
             t = _BLANKS.sub("", t) if t is not None else "None"
@@ -36,8 +36,8 @@ def simhash64(text: Column, n: int = 3) -> Column:
             for g in grams.keys() - known.keys():
                 known[g] = hashlib.md5(g.encode()).digest()[8:]
             bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, grams)), np.uint8).reshape(-1, 8), axis=1)
-            votes = np.fromiter(grams.values(), np.int64, len(grams)) @ (2 * bits.astype(np.int64) - 1)
-            out[i] = np.packbits(votes >= 0).view(">i8")[0]
+            counts = np.fromiter(grams.values(), np.float64, len(grams))  # whole numbers, exact in double precision
+            out[i] = np.packbits(2 * (counts @ bits) >= counts.sum()).view(">i8")[0]
         return pd.Series(out)
 
     return run(text)

@@ -71,7 +71,13 @@ def jaccard(a: Column, b: Column) -> Column:
 def array_ngrams(tokens: Column, n: int, between: str = "\x01") -> Column:
     """Overlapping runs of n tokens as strings; by default token borders are marked, so runs differ if their tokens do."""
     none = F.array().cast("array<string>")
-    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), between))
+
+    def runs(t: Column) -> Column:
+        out = t
+        for k in range(1, n):  # each step appends the k-th next token to all runs
+            out = F.zip_with(F.slice(out, F.lit(1), F.size(t) - k), F.slice(t, F.lit(k + 1), F.size(t) - k), lambda a, b: F.concat(a, F.lit(between), b))
+        return out
+
     return bound(tokens, lambda t: F.when(F.size(t) >= n, runs(t)).otherwise(none))
 
 

@@ -348,29 +348,30 @@ def next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ORDERED = "l AS (SELECT user_id, list({'t': epoch_us(ts), 'bad': event_type = 'error', 'v': value} ORDER BY ts, event_type, value) AS l FROM events GROUP BY user_id)"
 
 
-def _by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return limiter.events_in_order(_table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "value")
+_ORDER = ["ts", "event_type", "value"]
 
 
 @query(f"""WITH {_ORDERED} SELECT user_id, s.c::BIGINT AS capacity, s.k::BIGINT AS streak, s.x::BIGINT AS violations FROM (SELECT user_id, list_reduce(l, lambda s, e:
   {{'c': CASE WHEN e.bad THEN greatest(1, floor(s.c * 0.7::DOUBLE))::BIGINT WHEN s.k + 1 >= 20 THEN least(s.c + 1, 180) ELSE s.c END, 'k': CASE WHEN e.bad OR s.k + 1 >= 20 THEN 0 ELSE s.k + 1 END, 'x': s.x + e.bad::INT}},
   {{'c': 6::BIGINT, 'k': 0::BIGINT, 'x': 0::BIGINT}}) AS s FROM l)""")
 def aimd_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = limiter.aimd(F.col("_events"), lambda e: e["event_type"] == "error", 6, 180)
-    return _by_user(spark, sf_dir).select("user_id", state.alias("s")).select("user_id", "s.capacity", "s.streak", "s.violations")
+    e = _table(spark, sf_dir, "events").withColumn("bad", F.col("event_type") == "error")
+    return limiter.folded(e, "user_id", _ORDER, ["bad"], (6, 0, 0), limiter.aimd(180), limiter.AIMD)
 
 
 @query(f"""WITH {_ORDERED} SELECT user_id, s.n AS tokens, s.g::BIGINT AS granted FROM (SELECT user_id, list_reduce(l, lambda s, e:
   {{'n': least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) - CASE WHEN least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) >= 1 THEN 1 ELSE 0 END, 't': e.t / 1e6,
    'g': s.g + CASE WHEN least(6::DOUBLE, s.n + (e.t / 1e6 - coalesce(s.t, e.t / 1e6)) * 0.1::DOUBLE) >= 1 THEN 1 ELSE 0 END}}, {{'n': 6::DOUBLE, 't': NULL::DOUBLE, 'g': 0::BIGINT}}) AS s FROM l)""")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = limiter.token_bucket(F.col("_events"), lambda e: F.unix_micros(e["ts"].cast("timestamp")) / 1e6, 6.0)
-    return _by_user(spark, sf_dir).select("user_id", state.alias("s")).select("user_id", "s.tokens", "s.granted")
+    e = _table(spark, sf_dir, "events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    state = limiter.folded(e, "user_id", _ORDER, ["seconds"], (6.0, None, 0), lambda s, t: limiter.token_bucket(s, t, 6.0), limiter.BUCKET)
+    return state.select("user_id", "tokens", "granted")
 
 
 @query(f"WITH {_ORDERED} SELECT user_id, list_reduce(list_transform(l, lambda e: e.v::DOUBLE), lambda a, v: a * 0.8::DOUBLE + v * 0.2::DOUBLE) AS latency FROM l")
 def ewma_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _by_user(spark, sf_dir).select("user_id", limiter.ewma(F.col("_events"), lambda e: e["value"]).alias("latency"))
+    e = _table(spark, sf_dir, "events").select("user_id", *_ORDER)
+    return limiter.folded(e, "user_id", _ORDER, ["value"], (None,), lambda s, v: (limiter.ewma(s[0], v),), "latency double")
 
 
 @query("""SELECT event_id, sum((event_type <> 'error')::INT) OVER w::BIGINT AS successes, sum((event_type = 'error')::INT) OVER w::BIGINT AS violations FROM events

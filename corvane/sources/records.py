@@ -18,6 +18,8 @@ from corvane.operators.materialise import stored
 
 #: Chunks are files, or directories of parts that the append sink writes.
 MERGED, CHUNKS = "merged_students.jsonl", "*students_chunk_*.jsonl"
+#: Most names of providers: failures are matched against each of them.
+MOST_NAMES = 10_000
 _RUN = r"([^/]+)/[^/]*students_chunk_\d+\.jsonl"
 
 
@@ -135,8 +137,10 @@ def read_meta(spark: SparkSession, directory: str) -> dict:
 def failures_by_provider(failures: DataFrame, names: DataFrame, error: str = "error") -> DataFrame:
     """(name, failures): rows of ``failures`` whose text holds a provider's name in any case, most first; names without failures have 0.
 
-    ``names`` is a configured list of a few names and is broadcast.
+    ``names`` is a configured list and is broadcast; one of more than ``MOST_NAMES`` names is refused.
     """
+    if len(names.select("name").take(MOST_NAMES + 1)) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} provider names")
     hit = failures.join(F.broadcast(names.select("name")), F.contains(F.lower(F.col(error)), F.lower(F.col("name"))))
     counts = hit.groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
     return names.select("name").join(counts, "name", "left").select("name", F.coalesce("failures", F.lit(0)).cast("long").alias("failures")).orderBy(F.desc("failures"), "name")
@@ -219,6 +223,7 @@ def numbered(records: DataFrame, order: str = "place", name: str = "row_idx") ->
     own = stored(dealt).withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
     sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    # One row for each partition of the exchange.
     return own.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 

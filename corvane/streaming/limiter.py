@@ -1,7 +1,8 @@
 """Rate-limit state in event time: additive increase, multiplicative decrease, token bucket, moving averages, provider scores.
 
-Batch forms fold a key's ordered events with ``aggregate``; a key's history is split into blocks of bounded length by the caller if it
-can grow without bound. Streaming forms keep the same state in the state store.
+A state is a tuple, and a step takes it past one event. The batch form folds a key's events in their order within sorted partitions, so
+a task holds one batch of events and one state, however long a key's history is; a key's events follow one another by
+nature, so one key is one task's work. The streaming form keeps the same states in the state store.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,45 +22,81 @@ RISE_AFTER, FALL = 20, 0.7
 EWMA_WEIGHT = 0.2
 
 
-def events_in_order(events: DataFrame, key: str, ts: str, *values: str) -> DataFrame:
-    """(key, _events): a key's events as structs in the order of their time."""
-    return events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, *values))).alias("_events"))
+def folded(events: DataFrame, key: str, order: list[str], values: list[str], start: tuple, step: Callable[..., tuple], state: str) -> DataFrame:
+    """(key, state...): each key's state after all its events, taken in the order of the columns ``order``.
 
+    ``step`` gets the state and an event's ``values``; ``state`` is the DDL of the states' fields. A null key is a key.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    columns = list(dict.fromkeys([key, *order, *values]))
+    rows = events.select(*columns).repartition(key).sortWithinPartitions(key, *order).select(key, *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values)))
+    names = [x.split()[0] for x in state.split(",")]
+    schema = f"`{key}` {kind}, {state}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, now, any_ = None, start, False
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{key: last} | dict(zip(names, now, strict=True))], schema=out)
+
+        out = None
+        for batch in batches:
+            out = out or _arrow(schema, batch.schema.field(key).type)
+            found: list[dict] = []
+            for k, *v in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
+                if any_ and k != last:
+                    found.append({key: last} | dict(zip(names, now, strict=True)))
+                    now = start
+                last, any_ = k, True
+                now = step(now, *v)
+            if found:
+                yield pa.RecordBatch.from_pylist(found, schema=out)
+        if any_:
+            yield done()
+
+    return rows.mapInArrow(run, schema)
+
+
+_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
 
-def aimd(events: Column, violation: Callable[[Column], Column], start: int, most: int) -> Column:
-    """struct<capacity, streak, violations> after all events: one more for 20 successes in a row, times 0.7 (at least 1) for a violation."""
-    zero = F.struct(F.lit(start).cast("long").alias("capacity"), F.lit(0).cast("long").alias("streak"), F.lit(0).cast("long").alias("violations"))
 
-    def step(s: Column, e: Column) -> Column:
-        bad = violation(e)
-        full = s["streak"] + 1 >= RISE_AFTER
-        rise = F.least(s["capacity"] + F.when(full, 1).otherwise(0), F.lit(most))
-        fall = F.greatest(F.lit(1), F.floor(s["capacity"] * FALL))
-        return F.struct(
-            F.when(bad, fall).otherwise(rise).cast("long").alias("capacity"), F.when(bad | full, 0).otherwise(s["streak"] + 1).cast("long").alias("streak"),
-            (s["violations"] + F.when(bad, 1).otherwise(0)).cast("long").alias("violations"),
-        )
+def _arrow(schema: str, key: pa.DataType) -> pa.Schema:
+    first, *rest = schema.split(", ")
+    fields = [f.split() for f in ", ".join(rest).replace(", ", ",").split(",")]
+    return pa.schema([(first.split("`")[1], key), *((n, _ARROW[t]) for n, t in fields)])
 
-    return F.aggregate(events, zero, step)
 
+AIMD = "capacity long, streak long, violations long"
 
-def token_bucket(events: Column, seconds: Callable[[Column], Column], capacity: float) -> Column:
-    """struct<tokens, last, granted> after all events: tokens refill by capacity / 60 a second up to the capacity, an event takes one if
-    there is one."""
-    zero = F.struct(F.lit(float(capacity)).alias("tokens"), F.lit(None).cast("double").alias("last"), F.lit(0).cast("long").alias("granted"))
 
-    def step(s: Column, e: Column) -> Column:
-        now = seconds(e)
-        level = F.least(F.lit(float(capacity)), s["tokens"] + (now - F.coalesce(s["last"], now)) * (capacity / 60))
-        ok = level >= 1
-        return F.struct(F.when(ok, level - 1).otherwise(level).alias("tokens"), now.alias("last"), (s["granted"] + ok.cast("long")).alias("granted"))
+def aimd(most: int) -> Callable[..., tuple]:
+    """A step of (capacity, streak, violations) past an event, by whether it is a violation: one more for 20 successes in a row, times 0.7
+    (at least 1) for a violation."""
 
-    return F.aggregate(events, zero, step)
+    def step(state: tuple, bad: bool | None) -> tuple:
+        capacity, streak, violations = state
+        if bad:
+            return max(1, int(capacity * FALL)), 0, violations + 1
+        if streak + 1 >= RISE_AFTER:
+            return min(capacity + 1, most), 0, violations
+        return min(capacity, most), streak + 1, violations
 
+    return step
 
-def ewma(events: Column, value: Callable[[Column], Column], weight: float = EWMA_WEIGHT) -> Column:
-    """The moving average after all events; it begins with the first value."""
-    return F.aggregate(events, F.lit(None).cast("double"), lambda a, e: F.when(a.isNull(), value(e)).otherwise(a * (1 - weight) + value(e) * weight))
+
+BUCKET = "tokens double, last double, granted long"
+
+
+def token_bucket(state: tuple, seconds: float, capacity: float) -> tuple:
+    """(tokens, last, granted) past an event: tokens refill by capacity / 60 a second up to the capacity, an event takes one if there is one."""
+    tokens, last, granted = state
+    level = min(capacity, tokens + (0.0 if last is None else seconds - last) * (capacity / 60))
+    return (level - 1, seconds, granted + 1) if level >= 1 else (level, seconds, granted)
+
+
+def ewma(state: float | None, value: float, weight: float = EWMA_WEIGHT) -> float:
+    """The moving average past a value; it begins with the first one."""
+    return value if state is None else state * (1 - weight) + value * weight
 
 
 def sliding_counts(events: DataFrame, key: str, ts: str, violation: Column, seconds: int = 60) -> DataFrame:
@@ -82,44 +120,45 @@ def pick_provider(scores: DataFrame, name: str, score: str) -> DataFrame:
 
 
 class LimiterProcessor(StatefulProcessor):
-    """Streaming twin of :func:`aimd` and :func:`token_bucket`: state (capacity, streak, violations, tokens, last) by provider.
+    """Streaming twin of :func:`aimd`, :func:`token_bucket` and :func:`ewma`: the state of a provider.
 
-    Rows of one batch are taken in the order of their time.
+    Rows of one batch are taken in the order of their time, then of all their values. The bucket's capacity is the one that the
+    limiter has reached; calls that lie before the last one refill nothing.
     """
 
     def __init__(self, start: int = 6, most: int = 180):
         self.start, self.most = start, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("limiter", "capacity long, streak long, violations long, tokens double, last double")
+        self.state = handle.getValueState("limiter", "capacity long, streak long, violations long, tokens double, last double, latency double, success double, calls long")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        capacity, streak, violations, tokens, last = self.state.get() if self.state.exists() else (self.start, 0, 0, float(self.start), None)
-        events = pd.concat(list(rows)).sort_values("seconds")
-        granted = 0
-        for now, bad in zip(events["seconds"].tolist(), events["violation"].tolist(), strict=True):
-            tokens = min(float(capacity), tokens + (0 if last is None else max(0.0, now - last)) * capacity / 60)
-            last = now if last is None else max(last, now)
-            if tokens >= 1:
-                tokens, granted = tokens - 1, granted + 1
-            if bad:
-                capacity, streak, violations = max(1, int(capacity * FALL)), 0, violations + 1
-            elif streak + 1 >= RISE_AFTER:
-                capacity, streak = min(capacity + 1, self.most), 0
-            else:
-                streak += 1
-        self.state.update((capacity, streak, violations, tokens, last))
-        yield pd.DataFrame({"provider": [key[0]], "capacity": [capacity], "streak": [streak], "violations": [violations], "tokens": [tokens], "granted": [granted]})
+        kept = self.state.get() if self.state.exists() else (self.start, 0, 0, float(self.start), None, None, None, 0)
+        limit, (tokens, last, latency, success, calls), granted = tuple(kept[:3]), kept[3:], 0
+        step = aimd(self.most)
+        events = pd.concat(list(rows)).sort_values(["seconds", "violation", "latency"], kind="stable")
+        for now, bad, took in zip(events["seconds"].tolist(), events["violation"].tolist(), events["latency"].tolist(), strict=True):
+            now = now if last is None else max(last, now)
+            tokens, last, got = token_bucket((tokens, last, 0), now, float(limit[0]))
+            granted += got
+            limit = step(limit, bad)
+            latency, success, calls = ewma(latency, took), ewma(success, 0.0 if bad else 1.0), calls + 1
+        self.state.update((*limit, tokens, last, latency, success, calls))
+        used = 1.0 - min(1.0, tokens / max(1.0, float(limit[0])))
+        row = (key[0], *limit, tokens, granted, latency, success, calls, used, score_value(latency, success, used, calls, calls))
+        yield pd.DataFrame([row], columns=[x.split()[0] for x in SNAPSHOT.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+SNAPSHOT = "provider string, capacity long, streak long, violations long, tokens double, granted long, latency double, success double, calls long, used double, score double"
+
+
 def limiter_stream(events: DataFrame, start: int = 6, most: int = 180) -> DataFrame:
-    """Limiter snapshots from a stream (provider, seconds double, violation boolean)."""
-    return events.groupBy("provider").transformWithStateInPandas(
-        LimiterProcessor(start, most), "provider string, capacity long, streak long, violations long, tokens double, granted long", "Update", "None"
-    )
+    """Snapshots of providers (``SNAPSHOT``) from a stream (provider, seconds double, violation boolean, latency double): the limiter, moving averages of
+    latency and success, the share of the bucket that is used, and the score, with a provider's own calls in place of all."""
+    return events.groupBy("provider").transformWithStateInPandas(LimiterProcessor(start, most), SNAPSHOT, "Update", "None")
 
 
 def with_backoff(call: Callable[[], tuple[int, Any, float | None]], tries: int = 4, first: float = 0.8, factor: float = 1.8, sleep: Callable[[float], None] = time.sleep) -> Any:

@@ -132,8 +132,8 @@ def test_single_shot_modes(spark):
 
 
 def plain_limiter(events, start=6, most=180):
-    capacity, streak, violations, tokens, last, granted = start, 0, 0, float(start), None, 0
-    for now, bad in sorted(events):
+    capacity, streak, violations, tokens, last, granted, latency, success = start, 0, 0, float(start), None, 0, None, None
+    for now, bad, took in sorted(events):
         tokens = min(float(capacity), tokens + (0 if last is None else now - last) * capacity / 60)
         last = now
         if tokens >= 1:
@@ -144,23 +144,58 @@ def plain_limiter(events, start=6, most=180):
             capacity, streak = min(capacity + 1, most), 0
         else:
             streak += 1
-    return capacity, streak, violations, tokens, granted
+        latency = took if latency is None else 0.8 * latency + 0.2 * took
+        success = float(not bad) if success is None else 0.8 * success + 0.2 * (not bad)
+    return capacity, streak, violations, tokens, granted, latency, success
 
 
 def test_streaming_limiter_equals_the_fold(spark, tmp_path):
-    events = [(p, float(i * (p + 1)), i % 23 == 22) for p in range(2) for i in range(90)]
-    for k, part in enumerate((events[:45] + events[90:120], events[45:90] + events[120:])):
-        pd.DataFrame([(f"p{p}", s, b) for p, s, b in part], columns=["provider", "seconds", "violation"]).to_parquet(tmp_path / f"{k}.parquet")
+    events = [(p, float(i * (p + 1) // 2 * 2), i % 23 == 22, float(i % 7)) for p in range(2) for i in range(90)]
+    for k, part in enumerate((events[:46] + events[90:120], events[46:90] + events[120:])):
+        pd.DataFrame([(f"p{p}", *x) for p, *x in part[::-1]], columns=["provider", "seconds", "violation", "latency"]).to_parquet(tmp_path / f"{k}.parquet")
         time.sleep(0.05)
-    stream = spark.readStream.schema("provider string, seconds double, violation boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    stream = spark.readStream.schema("provider string, seconds double, violation boolean, latency double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     out = []
     q = L.limiter_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda b, _: out.append(b.collect())).trigger(availableNow=True).start()
     q.awaitTermination(120)
     for p in range(2):
-        capacity, streak, violations, tokens, granted = plain_limiter([(s, b) for x, s, b in events if x == p])
+        capacity, streak, violations, tokens, granted, latency, success = plain_limiter([x for y, *x in events if y == p])
         rows = [r for batch in out for r in batch if r.provider == f"p{p}"]
-        assert tuple(rows[-1])[1:4] == (capacity, streak, violations) and rows[-1].tokens == pytest.approx(tokens) and sum(r.granted for r in rows) == granted
+        last = rows[-1]
+        assert tuple(last)[1:4] == (capacity, streak, violations) and last.tokens == pytest.approx(tokens) and sum(r.granted for r in rows) == granted
+        assert (last.latency, last.success, last.calls) == (pytest.approx(latency), pytest.approx(success), 90)
+        assert last.used == pytest.approx(1 - min(1, tokens / capacity)) and last.score == pytest.approx(L.score_value(last.latency, last.success, last.used, 90, 90))
+
+
+def test_folds_carry_states_over_batches(spark):
+    rows = [(i % 3 if i % 7 else None, i // 2, i % 5 == 0) for i in range(900)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = L.folded(spark.createDataFrame(rows, "k long, t long, bad boolean"), "k", ["t", "bad"], ["bad"], (6, 0, 0), L.aimd(9), L.AIMD).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    step = L.aimd(9)
+    for k in (0, 1, 2, None):
+        state = (6, 0, 0)
+        for _, _, bad in sorted((x for x in rows if x[0] == k), key=lambda x: x[1:]):
+            state = step(state, bad)
+        assert [tuple(r)[1:] for r in got if r.k == k] == [state]
+    assert L.folded(spark.createDataFrame([], "k long, t long"), "k", ["t"], ["t"], (0,), lambda s, t: s, "n long").count() == 0
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from corvane.operators import materialise
+
+    kept = materialise._written[:]
+    materialise._written.clear()
+    try:
+        df = materialise.stored(spark.range(3))
+        assert df.count() == 3 and materialise.clear(spark) == 1 and materialise.clear(spark) == 0
+        with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+            spark.read.parquet(df.inputFiles()[0]).count()
+    finally:
+        materialise._written.extend(kept)
 
 
 def test_gated_stream_writes_each_record_once(spark, tmp_path):
