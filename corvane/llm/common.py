@@ -33,10 +33,10 @@ def byte_lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES, tidy: bool = True) -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows whose texts hold about ``most`` bytes together.
 
-    At the end of the task the worker's unused memory goes back to the system, since workers live on between stages.
+    At the end of the task, with ``tidy``, the worker's unused memory goes back to the system, since workers live on between stages.
     """
     lean()
     for batch in batches:
@@ -50,7 +50,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield batch.slice(start, stop - start)
             start = stop
         del batch
-    trim()
+    if tidy:
+        trim()
 
 
 #: Most bytes of an Arrow batch between the JVM and a worker.
@@ -115,24 +116,40 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 #: A run of blanks with the run of other characters after it. Between two such pieces the left
 #: neighbour is no white space and the right one is, where byte-level pre-tokenizers always cut.
 _PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+#: White space on which libraries differ: no cut is made after it.
 _ODD_BLANK = re.compile(r"[^\S \t\n\r]")
+#: Between a letter and a sentence's punctuation they cut too.
+_LETTER_THEN_SIGN = re.compile(r"(?<=[A-Za-z\u3041-\u3096\u30a1-\u30fa\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3])(?=[,.;:?!()\u3001\u3002\uff0c\uff1a\uff1b\uff1f\uff01\uff08\uff09\u300c\u300d])")
+_LONG_PIECE = 256
 
 
 def safe_pieces(text: str) -> list[str]:
     """Split ``text`` where every byte-level pre-tokenizer splits it too; concatenation gives it back.
 
-    Texts with white space other than blank, tab, line feed and carriage return stay whole, since
-    libraries differ on which of those characters count as white space.
+    It is cut before blanks, tabs and line ends, unless other white space stands there; what is still long, such as text in scripts
+    without blanks, is cut before the punctuation that follows a letter.
     """
     if not text:
         return []
+    pieces = _PIECES.findall(text)
     if _ODD_BLANK.search(text):
-        return [text]
-    return _PIECES.findall(text)
-
-
-def bounded_sample(rows: DataFrame, class_col: str, most: int, *key_cols: str) -> DataFrame:
-    """At most ``most`` rows of each class, those with the smallest hash of ``key_cols``.
+        joined: list[str] = []
+        open_ = False
+        for p in pieces:
+            if open_:
+                joined[-1] += p
+            else:
+                joined.append(p)
+            open_ = bool(_ODD_BLANK.match(p[-1]))
+        pieces = joined
+    if len(text) > _LONG_PIECE and max(map(len, pieces)) > _LONG_PIECE:
+        return [q for p in pieces for q in (_LETTER_THEN_SIGN.split(p) if len(p) > _LONG_PIECE else (p,))]
+    return pieces
+
+
+def bounded_sample(rows: DataFrame, class_col: str, most: int, *key_cols: str, rank: str | None = None, size: Column | None = None, most_bytes: int = 0) -> DataFrame:
+    """At most ``most`` rows of each class, those with the smallest hash of ``key_cols``; with ``size`` no more of them than those
+    whose sizes come to ``most_bytes``, and one at least. ``rank`` names a column for their places from 1.
 
     The classes are counted first, so that a hash threshold thins every partition before the exact
     cut; what is ranked is about 1.25 times the bound for each class, whatever the input's size.
@@ -141,14 +158,25 @@ def bounded_sample(rows: DataFrame, class_col: str, most: int, *key_cols: str) -
 
     counts = [r for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()]
     if not counts:
-        return rows.limit(0)
+        return rows.limit(0).withColumn(rank, F.lit(0)) if rank else rows.limit(0)
     place = F.pmod(F.xxhash64(F.lit("sample"), *key_cols), F.lit(1 << 30)) / float(1 << 30)
     wanted = F.lit(False)
     for r in counts:
         share = min(1.0, (1.25 * most + 40) / r["count"])
         wanted = wanted | ((F.col(class_col) == r[class_col]) & (place < share))
-    ranked = rows.where(wanted).withColumn("_rank", F.row_number().over(Window.partitionBy(class_col).orderBy(place, *key_cols)))
-    return ranked.where(F.col("_rank") <= most).drop("_rank")
+    order = Window.partitionBy(class_col).orderBy(place, *key_cols)
+    ranked = rows.where(wanted).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most)
+    if size is not None:
+        before = Window.partitionBy(class_col).orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = ranked.withColumn("_before", F.coalesce(F.sum(F.coalesce(size, F.lit(0))).over(before), F.lit(0))).where(F.col("_before") < most_bytes).drop("_before")
+    return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 64-bit number: shifts and products, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def distinct_words(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -14,10 +14,12 @@ a share of ``QUANTILE`` of the language's calibration documents stays below (mor
 documents that the models assign to their own label count, so that wrong labels and garbled rows don't set the limit;
 without any calibration document there is no limit.
 
-Learning reads at most ``SAMPLE`` documents a language, those of the smallest hashes.
+Learning reads at most ``SAMPLE`` documents a language, those of the smallest hashes, and no more of them than come to
+``SAMPLE_BYTES``; all are read whole.
 
 Defined results: texts that are null or without letters, and all texts if nothing was learned, get ``und`` and
-score 0; repeated rows give repeated rows; empty tables give empty results; other columns are ignored.
+score 0; of equal cross-entropies the language first in the alphabet wins; very long texts are scored whole, by their distinct words;
+repeated rows give repeated rows; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batched, bounded_sample, distinct_words, row_sums, slices
+from corvane.llm.common import batched, bounded_sample, distinct_words, mix, row_sums, slices
 
 ORDER = 5
-SAMPLE = 600
+SAMPLE, SAMPLE_BYTES = 600, 16 << 20
 CALIBRATION = 0.2
 SLACK = 1.5
 QUANTILE = 0.95
@@ -47,12 +49,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BOUNDARY = 10
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For a line of words between boundary marks: hashes of the k-gram that ends at each place for k from 0
     to ``ORDER``, the longest k that stays within the word, and the word's number (its closing mark included)."""
@@ -64,15 +60,15 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     before = np.concatenate([[0], last[:-1]])
     longest = np.minimum(at - before + 1, ORDER)
     longest[0] = 0
-    code = _mix(text.astype(np.uint64) + np.uint64(1))
+    code = mix(text.astype(np.uint64) + np.uint64(1))
     hashes, rolling, power = [np.zeros(n, np.uint64)], np.zeros(n, np.uint64), np.uint64(1)
     for k in range(1, ORDER + 1):
         moved = np.zeros(n, np.uint64)
-        moved[k - 1 :] = code[: n - k + 1]
+        moved[k - 1 :] = code[: max(n - k + 1, 0)]
         with np.errstate(over="ignore"):
             rolling = rolling + moved * power
             power = power * _BASE
-        hashes.append(_mix(rolling + np.uint64(k)))
+        hashes.append(mix(rolling + np.uint64(k)))
     return hashes, longest, np.maximum(np.cumsum(mark) - 1 - mark, 0)
 
 
@@ -231,7 +227,7 @@ class Models:
 def fit(training: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id") -> Models | None:
     """Models from the rows of ``training`` with a language; None if there is none."""
     usable = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(key_col, lang_col, text_col)
-    sample = bounded_sample(usable, lang_col, SAMPLE, key_col).withColumn(
+    sample = bounded_sample(usable, lang_col, SAMPLE, key_col, size=F.octet_length(text_col), most_bytes=SAMPLE_BYTES).withColumn(
         "_left_out", F.pmod(F.xxhash64(F.lit("calibrate"), key_col), F.lit(1000)) < int(1000 * CALIBRATION)
     )
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ASCII_LOWER, batched, slices, stored
+from corvane.llm.common import ASCII_LOWER, batched, mix, slices, stored
 from corvane.sources.records import numbered
 
 SHINGLE = 5
@@ -52,12 +52,6 @@ _ADD = np.random.Generator(np.random.PCG64(2)).integers(0, 1 << 63, BANDS * ROWS
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def sketch_limit(level: float, samples: int, bits: int, miss: float) -> int:
     """The XOR population count that a pair of similarity ``level`` exceeds with probability ``miss`` at most.
 
@@ -83,7 +77,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         for k in range(SHINGLE):
             rolling = rolling * _BASE + words[k : k + len(rolling)]
-        rolling = _mix(rolling)
+        rolling = mix(rolling)
         out, at = [], 0
         for own in cut:
             n = len(own)
@@ -93,7 +87,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
                 one = np.full(1, n, np.uint64)
                 for w in words[at : at + n]:
                     one = one * _BASE + w
-                out.append(_mix(one))
+                out.append(mix(one))
             else:
                 out.append(np.zeros(0, np.uint64))
             at += n
@@ -117,7 +111,7 @@ def samples(sets: list[np.ndarray], n: int) -> np.ndarray:
 def odd_sketches(least: np.ndarray, bits: int) -> np.ndarray:
     """The samples folded into ``bits`` parities, as rows of signed 64-bit words."""
     with np.errstate(over="ignore"):
-        bit = _mix(least + np.arange(least.shape[1], dtype=np.uint64) * _BASE) % np.uint64(bits)
+        bit = mix(least + np.arange(least.shape[1], dtype=np.uint64) * _BASE) % np.uint64(bits)
     place = np.arange(len(least))[:, None] * bits + bit.astype(np.int64)
     parity = np.bincount(place.ravel(), minlength=len(least) * bits).reshape(-1, bits) & 1
     return np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
@@ -129,10 +123,10 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     starts = np.cumsum([0, *map(len, sets[:-1])])
     least = samples(sets, BANDS * ROWS)
     with np.errstate(over="ignore"):
-        names = np.column_stack([np.add.reduceat(_mix(flat + np.uint64(s)), starts) for s in (11, 29)])
+        names = np.column_stack([np.add.reduceat(mix(flat + np.uint64(s)), starts) for s in (11, 29)])
         keys = np.zeros((len(sets), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for r in range(ROWS):
-            keys = _mix(keys * _BASE + least[:, r::ROWS])
+            keys = mix(keys * _BASE + least[:, r::ROWS])
     return names.view(np.int64), keys.view(np.int64), odd_sketches(least, BITS)
 
 
@@ -209,7 +203,7 @@ def set_parities(sets: DataFrame) -> DataFrame:
                 part = batch.slice(at, 64)
                 column = part.column("_set")
                 size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-                bit = (_mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(SET_BITS)).astype(np.int64)
+                bit = (mix(column.flatten().to_numpy().view(np.uint64)) % np.uint64(SET_BITS)).astype(np.int64)
                 parity = np.bincount(np.repeat(np.arange(len(size)), size) * SET_BITS + bit, minlength=len(size) * SET_BITS) & 1
                 words = np.packbits(parity.astype(np.uint8).reshape(-1, SET_BITS), axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(list(words), pa.list_(pa.int64()))], ["_id", "_parity"])
@@ -354,3 +348,18 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     single = stored(one.join(keys, ["_i", "_c0", "_c1"]).select("_number", "_row"))
     kept = near_duplicates(single.select("_number", F.col(f"_row.`{text_col}`").alias("_text")), "_number", "_text").where("kept").select("_number")
     return single.join(kept, "_number", "left_semi").select("_row.*").select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+#: The same rows by joining all shingles; ids must be unique.
+SQL = rf"""
+WITH RECURSIVE letters AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x20\x09-\x0D]+') AS w FROM documents, letters),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {SHINGLE - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {LEVEL} * (x.n + y.n - c)),
+linked AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS least FROM documents UNION SELECT linked.b, r.least FROM r JOIN linked ON linked.a = r.id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.least AS component_id, m.least = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT id, min(least) AS least FROM r GROUP BY 1) m ON m.id = d.doc_id
+"""

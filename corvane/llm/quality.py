@@ -9,7 +9,7 @@ sample, its offset then moved from the sample's class odds to those of all label
 Learning reads at most ``SAMPLE`` labelled rows a class, those of the smallest hashes.
 
 Defined results: null texts count as empty, and empty texts get a score as any other; without two learned classes the
-score is the share of label 1 (0.5 if there is no label); repeated rows give repeated rows; empty tables give empty
+score is the share of label 1 (0.5 if there is no label); very long texts are counted whole; repeated rows give repeated rows; empty tables give empty
 results; other columns are ignored.
 """
 
@@ -95,6 +95,8 @@ class Discriminant:
             shrunk = (1 - RIDGE) * shrunk + RIDGE * np.diag(np.diag(shrunk) + 0.05)
             self.factors.append(np.linalg.cholesky(shrunk))
         self.half_logs = [np.log(np.diag(f)).sum() for f in self.factors]
+        # Of a few columns, so the triangular factors' inverses are cached too, and scoring is a product.
+        self.inverses = [np.linalg.inv(f) for f in self.factors]
         slope, offset = _logistic(_squash(self._difference(x)), y)
         own = math.log(y.mean() / (1 - y.mean()))
         self.curve = slope, offset + ((own if odds is None else odds) - own)
@@ -103,9 +105,8 @@ class Discriminant:
         """Log-density of class 1 minus that of class 0."""
         z = (x - self.centre) / self.scale
         log = []
-        for mean, factor, half in zip(self.means, self.factors, self.half_logs, strict=True):
-            solved = np.linalg.solve(factor, (z - mean).T)
-            log.append(-0.5 * (solved**2).sum(axis=0) - half)
+        for mean, inverse, half in zip(self.means, self.inverses, self.half_logs, strict=True):
+            log.append(-0.5 * (((z - mean) @ inverse.T) ** 2).sum(axis=1) - half)
         return log[1] - log[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -135,16 +136,16 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float]:
-    """(text, label) of at most ``most`` labelled documents a class, and the log-odds of label 1 among all labels
-    (0 unless both occur); labels other than 0 and 1 are left out.
+    """(text, _label, _place) of at most ``most`` labelled documents a class, with their places in it, and the log-odds of label 1
+    among all labels (0 unless both occur); labels other than 0 and 1 are left out.
 
     The labels are cut to the bound before they meet the texts, so the side that is broadcast never grows.
     """
     usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label_col).cast("int").alias("_label"))
     counts = {r["_label"]: r["count"] for r in usable.groupBy("_label").count().collect()}
     odds = math.log(counts[1] / counts[0]) if len(counts) == 2 else 0.0
-    chosen = bounded_sample(usable, "_label", most, id_col)
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "_label"), odds
+    chosen = bounded_sample(usable, "_label", most, id_col, rank="_place")
+    return docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(text_col, "_label", "_place"), odds
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Discriminant:
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([flat, part.column("_label")], ["x", "_label"])
 
-    rows = sample.mapInArrow(run, "x array<double>, _label int").toArrow()
+    rows = batched(sample).mapInArrow(run, "x array<double>, _label int").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     y = np.array(rows.column("_label").to_pylist(), int)
     order = np.lexsort([*x.T, y])  # sums don't depend on the order in which rows came

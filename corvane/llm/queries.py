@@ -60,10 +60,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = toxicity.fit(docs, labels.where(~held_out("doc_id", 5, 0)), "toxic")
-    found = toxicity.score(docs, field)
-    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = toxicity.score(docs, field, with_spans=True)
+    offsets = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), offsets.alias("toxic_spans"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op9_suffix_dedup, op10_toxicity)}
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op7_minhash": neardup.SQL, "op9_suffix_dedup": suffix_dedup.SQL}

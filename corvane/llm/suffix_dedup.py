@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batched, slices, stored, text_bytes
+from corvane.llm.common import batched, mix, slices, stored, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Distinct blocks of a bucket, of 368 bytes at most, beyond which it is dealt out.
@@ -43,17 +43,11 @@ SEGMENT, TOGETHER = 1 << 16, 1 << 18
 _B = 0x9E3779B97F4A7C15
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _power(n: int) -> np.uint64:
     return np.uint64(pow(_B, n, 1 << 64))
 
 
-_BYTE = _mix(np.arange(256, dtype=np.uint64) + np.uint64(7))
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(7))
 
 
 def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +112,7 @@ def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     """Row, bucket, rank, first and last window start (in the row) of every block of the texts data[starts:ends]."""
     gram, whole = window_hashes(data)
     n, wide = len(whole), LENGTH - GRAM + 1
-    packed = (_mix(gram) >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
+    packed = (mix(gram) >> np.uint64(32) << np.uint64(32)) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while size * 2 <= wide:
         packed = np.minimum(packed[:-size], packed[size:])
@@ -134,8 +128,8 @@ def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     own = sample[valid]
     new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1) | (row_of[valid[1:]] != row_of[valid[:-1]])]))
     first, last = valid[new], valid[np.concatenate([new[1:] - 1, [len(valid) - 1]])]
-    bucket = _mix(gram[own[new]])
-    rank = _mix(_mix(whole[first]) + np.uint64(3) * whole[last] + (last - first).astype(np.uint64))
+    bucket = mix(gram[own[new]])
+    rank = mix(mix(whole[first]) + np.uint64(3) * whole[last] + (last - first).astype(np.uint64))
     row = row_of[first]
     return row, bucket.view(np.int64), rank.view(np.int64), first - starts[row], last - starts[row]
 
@@ -317,3 +311,18 @@ def _merged(spans: pa.Scalar) -> list[tuple[int, int]]:
     a, b = a[order], np.maximum.accumulate(b[order])
     new = np.flatnonzero(np.concatenate([[True], a[1:] > b[:-1]]))
     return list(zip(a[new].tolist(), b[np.concatenate([new[1:] - 1, [len(b) - 1]])].tolist(), strict=True))
+
+
+#: The same rows by counting all windows, in hexadecimal.
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT k, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT k, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM d)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+f AS (SELECT k, i, (i > lag(i) OVER (PARTITION BY k ORDER BY i) + {LENGTH})::INT AS new FROM w WHERE m IN (SELECT m FROM t)),
+g AS (SELECT k, i, sum(coalesce(new, 0)) OVER (PARTITION BY k ORDER BY i) AS part FROM f),
+s AS (SELECT k, min(i) AS a, max(i) + {LENGTH} AS b FROM g GROUP BY k, part),
+p AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS after FROM s),
+r AS (SELECT p.k, count(*) AS n, sum(b - a) AS removed, string_agg(substr(h, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM p JOIN d ON d.k = p.k GROUP BY p.k)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN r ON r.k = d.k
+"""

@@ -168,9 +168,119 @@ def test_forward_backward_equals_enumeration():
     assert a[-1] == pytest.approx(forward[-1][1])
 
 
-def test_toxic_spans_name_the_words(spark, docs, labels):
+def test_toxic_spans_are_offsets_of_words(spark, docs, labels):
     field = toxicity.fit(docs, labels.where(~held_out("doc_id", 5, 0)))
-    d = spark.createDataFrame([(1, "The idiot and the moron, stupid scum trash")], "doc_id long, text string")
-    row = toxicity.score(d, field, with_spans=True).first()
-    words, codes, _ = distinct_words(pa.array(["The idiot and the moron, stupid scum trash"]))
-    assert row.score > 0.5 and row.spans and all(words[codes[s.start]] == s.word for s in row.spans)
+    text = "İ — the Idiot, 12 and the moron; stupid SCUM trash"
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), field, with_spans=True).first()
+    assert row.score > 0.5 and {text[s.start : s.end] for s in row.spans} <= {"Idiot", "moron", "stupid", "SCUM", "trash"} and row.spans
+    assert all(s.score >= toxicity.SPAN_LEVEL for s in row.spans)
+    assert toxicity.score(docs, field, with_spans=True).where("size(spans) > 0").count() > 0
+
+
+def plain_gradient(texts, y, words, theta, places):
+    """By enumeration of all label rows: the log-likelihood of the labels that ``words`` give."""
+    total = 0.0
+    for t, label in zip(texts, y, strict=True):
+        own = t.split()
+        emission = [theta[-6] + sum(theta[places[f]] for f in toxicity.features(w) if f in places) for w in own]
+        move = theta[-4:].reshape(2, 2)
+
+        def weight(path):
+            return sum(e * s for e, s in zip(emission, path)) + theta[-5] * path[0] + sum(move[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, B905
+
+        truth = [int(label and w in words) for w in own]
+        total += weight(truth) - np.log(sum(np.exp(weight(path)) for path in np.ndindex(*[2] * len(own))))
+    return total
+
+
+def test_gradient_is_of_the_likelihood():
+    texts, y = ["bad words here", "bad badly", "a good text here", "words"], np.array([1, 1, 0, 1])
+    odds = {"=bad": 3.0, "badl": 2.0, "=words": 0.7, "=here": 0.6}
+    places = {f: i for i, f in enumerate(odds)}
+    assert toxicity.toxic_words(["bad", "badly", "words", ""], odds).tolist() == [True, True, False, False]
+    chains = toxicity.Chains(pa.array(texts), y, [odds], [places])
+    theta = np.random.default_rng(1).normal(size=len(odds) + 6)
+    got = chains.gradient(0, theta)
+    for i in range(len(theta)):
+        step = np.zeros(len(theta))
+        step[i] = 1e-5
+        up, down = (plain_gradient(texts, y, {"bad", "badly"}, theta + s, places) for s in (step, -step))
+        assert got[i] == pytest.approx((up - down) / 2e-5, abs=1e-6), i
+
+
+def test_toxicity_aggregates_and_score():
+    field = toxicity.Field()
+    field.weights, field.bias, field.curve = {"=bad": 6.0}, -3.0, np.array([1.0, 2.0, 0.5, -0.1, 0.0, -1.5])
+    texts = ["a bad bad text", None, "bad"]
+    value, (p, *_) = field.score(pa.array(texts))
+    at = 0
+    for v, t in zip(value, texts, strict=True):
+        n = max(len((t or "").split()), 1)
+        own = p[at : at + n]
+        at += n
+        total, share = sum(own), sum(own) / n
+        z = np.log1p(total) + 2 * max(own) + 0.5 * share**0.5 - 0.1 * np.log1p(n) / 5 - 1.5
+        assert v == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_quality_is_the_difference_of_plain_log_densities(docs, labels):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(60, len(quality.FEATURES))), rng.normal(0.7, 1.4, size=(60, len(quality.FEATURES)))])
+    model = quality.Discriminant(x, np.repeat([0, 1], 60), 0.0)
+    z = (x - model.centre) / model.scale
+    log = []
+    for mean, factor in zip(model.means, model.factors, strict=True):
+        covariance = factor @ factor.T
+        log.append([-0.5 * (r - mean) @ np.linalg.inv(covariance) @ (r - mean) - 0.5 * np.linalg.slogdet(covariance)[1] for r in z])
+    assert np.allclose(model._difference(x), np.array(log[1]) - np.array(log[0]))
+
+
+def plain_kneser_ney(words, counts, order):
+    """Probability of a character after a context, by the recursive definition over dictionaries."""
+    grams = [{} for _ in range(order + 1)]
+    for w, c in zip(words, counts, strict=True):
+        text = "\n" + w + "\n"
+        for i in range(1, len(text)):
+            for k in range(1, min(order, i + 1) + 1):
+                g = text[i - k + 1 : i + 1]
+                grams[k][g] = grams[k].get(g, 0) + c
+    for k in range(1, order):
+        left = {}
+        for g in grams[k + 1]:
+            left.setdefault(g[1:], set()).add(g[0])
+        grams[k] = {g: len(left[g]) if g in left else n for g, n in grams[k].items()}
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / langid.ALPHABET
+        n1, n2 = (sum(v == x for v in grams[k].values()) for x in (1, 2))
+        discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        same = [v for x, v in grams[k].items() if x[:-1] == g[:-1]]
+        if not same:
+            return p(g[1:])
+        return max(grams[k].get(g, 0) - discount, 0) / sum(same) + discount * sum(min(v, 1) for v in same) / sum(same) * p(g[1:])
+
+    return p
+
+
+def test_character_models_equal_the_definition():
+    words, counts = ["the", "then", "than", "a", "at", "tea", "thethe"], np.array([5, 2, 1, 7, 3, 1, 2])
+    model = langid.Models({"x": langid.train(words, counts)})
+    p = plain_kneser_ney(words, counts.tolist(), langid.ORDER)
+    for w in ("the", "that", "zeta", "nat", "a", "thethen"):
+        text = "\n" + w + "\n"
+        want = sum(np.log(p(text[max(0, i - langid.ORDER + 1) : i + 1])) for i in range(1, len(text)))
+        assert model.word_scores([w])[0][0, 0] == pytest.approx(want, rel=1e-4), w
+
+
+@pytest.mark.parametrize("module", [langid, quality, toxicity])
+def test_other_columns_may_clash(spark, docs, labels, module):
+    """Columns named as those that the operators make."""
+    more = docs.where("doc_id < 400 or doc_id is null").selectExpr("*", "'x' AS score", "1 AS spans", "2 AS _label", "'y' AS lang_pred", "3 AS rejected", "4 AS _place")
+    if module is langid:
+        found = langid.identify(more, langid.fit(more))
+    else:
+        column = "quality" if module is quality else "toxic"
+        found = module.score(more, module.fit(more, labels.withColumn("text", labels[column]).withColumn("score", labels[column]), column))
+    assert found.count() == more.count() and found.where("score between 0 and 1").count() == more.count()
