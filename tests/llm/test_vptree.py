@@ -38,7 +38,7 @@ def frame(spark, rows):
 
 
 def test_factor_one_is_exact(spark, rows, monkeypatch):
-    monkeypatch.setattr(vptree, "SHARD_ROWS", 400)
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 100)
     monkeypatch.setattr(vptree, "BLOCK", 20)
     got = vptree.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0, 5, factor=1.0).collect()
     want = brute(rows, lambda i: i % 50 == 0, 5)
@@ -55,6 +55,52 @@ def test_recall_of_the_production_factor(spark):
     assert len(want & got) / len(want) >= 0.95
 
 
+def clustered(n=6000, dim=24, centres=40):
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(centres, dim))
+    return middle[rng.integers(0, centres, n)] + rng.normal(size=(n, dim)) * 0.25
+
+
+def test_bounds_hold_and_prune():
+    """Leaves and sides are passed over where rows gather: exactly at factor 1, and far more at the tuned factor."""
+    v = clustered()
+    unit = vptree._unit(v)
+    queries = np.arange(0, len(v), 60)
+    chord = np.sqrt(np.maximum(2 - 2 * unit[queries] @ unit.T, 0))
+    top = vptree.TopTree(unit, 16)
+    leaf, bounds = top.leaf_of(unit), top.bounds(unit[queries])
+    assert (bounds[:, leaf] <= chord + 1e-9).all() and len(np.unique(leaf)) == 16
+    chord[np.arange(len(queries)), queries] = 9
+    want = [set(x) for x in np.argsort(chord, axis=1)[:, :5].tolist()]
+    factor = vptree.tuned_factor(v, 5)
+    assert factor > 1
+    recall, share, visited = {}, {}, {}
+    for f in (1.0, factor):
+        found, share[f], visited[f] = vptree.in_memory(v, queries, 5, f, 375)
+        recall[f] = np.mean([len(w & set(x)) / 5 for w, x in zip(want, found, strict=True)])
+    assert recall[1.0] == 1 and recall[factor] >= 0.93
+    assert share[factor] < 0.3 and share[factor] < 0.7 * share[1.0] and visited[factor] < 0.6
+
+
+@pytest.mark.parametrize("dim", [2, 8, 32])
+def test_the_factor_follows_the_vectors(dim):
+    v = np.random.default_rng(dim).normal(size=(4000, dim))
+    queries = np.arange(7, len(v), 40)
+    cosine = vptree._unit(v)[queries] @ vptree._unit(v).T
+    cosine[np.arange(len(queries)), queries] = -9
+    want = [set(x) for x in np.argsort(-cosine, axis=1)[:, :5].tolist()]
+    found, *_ = vptree.in_memory(v, queries, 5, vptree.tuned_factor(v, 5))
+    assert np.mean([len(w & set(x)) / 5 for w, x in zip(want, found, strict=True)]) >= 0.93
+
+
+def test_recall_on_gathered_rows(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 300)
+    rows = [(i, x) for i, x in enumerate(clustered(3000).astype(np.float32).tolist())]
+    want = {(q, j) for q, _, j, _ in brute(rows, lambda i: i % 50 == 0, 5)}
+    got = {(r.query_id, r.vec_id) for r in vptree.nearest(frame(spark, rows), F.col("vec_id") % 50 == 0).collect()}
+    assert len(want & got) / len(want) >= 0.9
+
+
 def test_few_or_no_rows(spark, rows):
     assert vptree.nearest(frame(spark, rows[:1]), F.lit(True)).count() == 0
     assert vptree.nearest(frame(spark, []), F.lit(True)).count() == 0
