@@ -1,27 +1,27 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
-1. Documents are packed into blocks of about ``BLOCK_BYTES`` of text, compressed, each named by a digest of its
-   content, and dealt out by that name. This exchange serves steps 2 and 4.
-2. Each block gives its distinct pre-tokens ("words") in the order of their first positions. They are exploded into
-   buckets by a hash of the word, so that a word crosses the network once a block at most, however often it
-   stands there.
+1. Documents are taken in blocks of about ``BLOCK_BYTES`` of text. Each text is cut into pre-tokens ("words") with their positions: a
+   block's distinct words are numbered, and a text is the row of its words' numbers. A block is named by a digest of what it holds.
+2. The distinct words are exploded into buckets by a hash of the word, so that a word crosses the network once a block at most, however
+   often it stands there. One exchange deals out the words by their buckets and the numbers by their blocks.
 3. The words of a bucket meet from all blocks; each distinct one is encoded once, and its ids go back to the
    blocks that hold it.
-4. Blocks meet the ids of their words again (both sides are dealt by block), and every document is put together by
+4. Numbers meet the ids of their words (both are dealt by block), ids are joined by number, and every document is put together by
    position. The ids' bytes come from the token-byte table, whose size is that of the vocabulary file.
 
 The number of buckets follows the input's size. Nothing is collected but that size.
 
-Defined results: null and empty texts give no ids and empty decoded bytes; repeated rows stay repeated; an empty
-table gives an empty result; columns besides id and text are ignored.
+Defined results: null and empty texts give no ids and empty decoded bytes; very long texts are blocks of their own, worked on in pieces;
+repeated rows stay repeated; an empty table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import batched, safe_pieces, slices, trim
+from corvane.llm.common import batched, lean, safe_pieces, slices, trim
 
-BLOCK_BYTES = 8 << 20
-#: Text bytes for each word bucket, and the fewest and most buckets.
-BUCKET_BYTES, BUCKETS = 32 << 20, (16, 4096)
-#: Words that a task remembers while it encodes buckets.
-_REMEMBERED = 600_000
+BLOCK_BYTES = 4 << 20
+#: Text bytes for each word bucket, and the fewest buckets.
+BUCKET_BYTES, BUCKETS = 32 << 20, 16
+#: Text bytes that are cut, and words that are put together, at once.
+_PART_BYTES, _PART_WORDS = 2 << 20, 1 << 17
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,6 +44,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@functools.lru_cache(2)
+def token_bytes(path: str) -> pa.Array:
+    """The token-byte table: each rank's bytes, null for ranks that no token has."""
+    table = {i: b for b, i in read_ranks(path).items()}
+    return pa.array([table.get(i) for i in range(max(table, default=-1) + 1)], pa.large_binary())
+
+
 def word_encoder(path: str, pattern: str):
     """The ids of one pre-token, by the library's merge loop on its bytes."""
     import tiktoken
@@ -55,168 +62,221 @@ def decode(ids: Iterable[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
-def _pack(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+def buckets_for(size: int) -> int:
+    """A bucket for each ``BUCKET_BYTES`` of text; from 4,096 on as the root of the size, for a block holds a bounded number of
+    distinct words, and each bucket makes a row of it."""
+    n = size / BUCKET_BYTES
+    return int(max(BUCKETS, min(n, 64 * n**0.5)))
 
 
-def _unpack(data: bytes) -> pa.Table:
-    return pa.ipc.open_stream(data).read_all()
+def _packed(values) -> bytes:
+    """Whole numbers from 0, byte by byte: the high bytes, which are mostly 0, then take next to nothing."""
+    planes = np.ascontiguousarray(np.asarray(values).astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
-def _own_words(texts: list[str | None], find) -> tuple[np.ndarray, np.ndarray, list[list[str]], dict[str, int]]:
-    """Each text's pieces as codes (with the texts' offsets), the words of each distinct piece, and the distinct
-    words' numbers, in the order of their first positions."""
-    cut = [safe_pieces(t) if t else [] for t in texts]
-    offsets = np.cumsum([0, *map(len, cut)])
-    coded = pa.array([p for own in cut for p in own], pa.large_string()).dictionary_encode()
-    pieces = [
-        [p] if p.isascii() and p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else find(p)
-        for p in coded.dictionary.to_pylist()
-    ]
-    words = dict.fromkeys(w for own in pieces for w in own)
-    return coded.indices.to_numpy(zero_copy_only=False), offsets, pieces, dict(zip(words, range(len(words)), strict=True))
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _bucketed(words: Iterable[str], n: int) -> dict[int, list[bytes]]:
-    out: dict[int, list[bytes]] = {}
-    for w in words:
-        raw = w.encode()
-        out.setdefault(zlib.crc32(raw) % n, []).append(raw)
-    return out
-
-
-def _ints(values) -> bytes:
-    return pa.compress(np.asarray(values, np.int32).tobytes(), "zstd", asbytes=True)
+def _ids_packed(column: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([column], ["id"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _read_ints(data: bytes, n: int) -> list[int]:
-    return np.frombuffer(pa.decompress(data, 4 * n, "zstd"), np.int32).tolist()
+class _Numbered:
+    """The words of a block: numbers in the order of their first positions, and texts as their words' numbers."""
+
+    def __init__(self, find) -> None:
+        self.find, self.number_of, self.words_of = find, {}, {}
+        self.sizes: list[np.ndarray] = []
+        self.codes: list[np.ndarray] = []
+
+    def _words(self, piece: str) -> list[int]:
+        known = self.words_of.get(piece)
+        if known is None:
+            plain = piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
+            number = self.number_of
+            known = self.words_of[piece] = [number.setdefault(w, len(number)) for w in ((piece,) if plain else self.find(piece))]
+        return known
+
+    def add(self, texts: list[str | None]) -> None:
+        cut = [safe_pieces(t) if t else [] for t in texts]
+        coded = pa.array([p for own in cut for p in own], pa.large_string()).dictionary_encode()
+        own = [self._words(p) for p in coded.dictionary.to_pylist()]
+        ends = np.cumsum([0, *map(len, own)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([w for x in own for w in x], pa.int32()))
+        index = coded.indices
+        place = index.to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(np.diff(ends)[place])])
+        offsets = np.cumsum([0, *map(len, cut)])
+        self.codes.append(lists.take(index).flatten().to_numpy(zero_copy_only=False))
+        self.sizes.append(np.diff(before[offsets]))
+
+    def finished(self) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Sizes of the texts in words, and words by number, with the most frequent ones first."""
+        codes = np.concatenate([np.zeros(0, np.int32), *self.codes])
+        words = list(self.number_of)
+        order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        return np.concatenate([np.zeros(0, np.int64), *self.sizes]), rank[codes], [words[i] for i in order.tolist()]
+
+
+_ROW = "_key string, _block string, _bucket int, _n int, _lengths binary, _size long, _words binary, _order binary, _ids binary"
+_NAMES = [x.split()[0] for x in _ROW.split(", ")]
+_KINDS = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate(_KINDS)], _NAMES)
+
+
+def _exploded(part: pa.RecordBatch, find, n_buckets: int, id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a block: one for the texts' numbers (bucket -1), and one for the words of each bucket."""
+    block = _Numbered(find)
+    for some in slices([part], text_col, _PART_BYTES, tidy=False):
+        block.add(some.column(text_col).to_pylist())
+    sizes, codes, words = block.finished()
+    raw = [w.encode() for w in words]
+    bucket = np.array([zlib.crc32(w) % n_buckets for w in raw], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ids, sizes_, codes_, order_ = _ids_packed(part.column(id_col)), _packed(sizes), _packed(codes), _packed(order)
+    digest = hashlib.blake2b(digest_size=16)
+    for x in (ids, sizes_, codes_, *raw):
+        digest.update(x)
+    name = digest.hexdigest()
+    n, size = len(sizes), len(codes)
+    del block, codes, sizes
+    rows = [(name, name, -1, n, sizes_, size, codes_, order_, ids)]
+    ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
+    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if len(order) else ():
+        own = [raw[i] for i in order[a:b].tolist()]
+        k = int(bucket[order[a]])
+        rows.append((f"w{k}", name, k, len(own), _packed(list(map(len, own))), sum(map(len, own)), pa.compress(b"".join(own), "zstd", asbytes=True), None, None))
+    yield _rows(rows)
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each row, and with ``with_ids`` also the array
     ``ids`` and the binary ``decoded``.
 
-    ``block_bytes`` bounds the text that a task puts together at once: less takes less memory and repeats more words.
+    ``block_bytes`` bounds the text of a block: less takes less memory and repeats more words.
     ``ids_sha256`` is of the decimal ids joined by one blank, ``decoded_sha256`` of the decoded bytes.
     Pre-tokens are the matches of ``pattern``; ``ranks_path`` must be readable on every executor.
     """
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_buckets = int(min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]))
+    n_buckets = buckets_for(size)
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def pack(batches):
-        for part in slices(batches, text_col, block_bytes):
-            data = _pack(part)
-            name = hashlib.blake2b(data, digest_size=16).hexdigest()
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.large_binary()).cast(pa.binary())], ["_block", "_data"])
-
-    blocks = batched(docs.select(id_col, text_col)).mapInArrow(pack, "_block string, _data binary").repartition("_block")
-
     def explode(batches):
         import regex
 
         find = regex.compile(pattern).findall
-        for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                *_, words = _own_words(_unpack(data.as_py()).column(text_col).to_pylist(), find)
-                rows = sorted(_bucketed(words, n_buckets).items())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name.as_py()] * len(rows), pa.string()),
-                        pa.array([k for k, _ in rows], pa.int32()),
-                        pa.array([len(w) for _, w in rows], pa.int32()),
-                        pa.array([_ints([len(x) for x in w]) for _, w in rows], pa.binary()),
-                        pa.array([sum(map(len, w)) for _, w in rows], pa.int32()),
-                        pa.array([pa.compress(b"".join(w), "zstd", asbytes=True) for _, w in rows], pa.binary()),
-                    ],
-                    ["_block", "_bucket", "_n", "_lengths", "_size", "_words"],
-                )
-
-    exploded = batched(blocks).mapInArrow(explode, "_block string, _bucket int, _n int, _lengths binary, _size int, _words binary")
+        for part in _blocks(batches, text_col, block_bytes):
+            yield from _exploded(part, find, n_buckets, id_col, text_col)
+
+    # One exchange for both: each of its readers drops the rows of the other. They tell them by a generated column, since a condition on a
+    # column of the exchange would be moved below it, and either reader would cut all texts for itself.
+    dealt = batched(docs.select(id_col, text_col)).mapInArrow(explode, _ROW).repartition("_key").select("*", F.explode(F.array("_bucket")).alias("_of"))
 
     def encode(batches):
-        one, known = word_encoder(ranks_path, pattern), {}
+        lean()
+        one, known, last = word_encoder(ranks_path, pattern), {}, None
         for batch in batches:
             for row in batch.to_pylist():
-                raw, ids, counts, at = pa.decompress(row["_words"], row["_size"], "zstd", asbytes=True), [], [], 0
-                for n in _read_ints(row["_lengths"], row["_n"]):
-                    word = raw[at : at + n]
+                if row["_bucket"] != last:
+                    known, last = {}, row["_bucket"]
+                words, ids, counts, at = pa.decompress(row["_words"], row["_size"], "zstd", asbytes=True), [], [], 0
+                for n in _unpacked(row["_lengths"], row["_n"]).tolist():
+                    word = words[at : at + n]
                     at += n
                     got = known.get(word)
                     if got is None:
                         got = known[word] = one(word)
                     ids += got
                     counts.append(len(got))
-                if len(known) > _REMEMBERED:
-                    known.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["_block"]]), pa.array([row["_bucket"]], pa.int32()), pa.array([row["_n"]], pa.int32()), pa.array([_ints(counts)], pa.binary()), pa.array([len(ids)], pa.int32()), pa.array([_ints(ids)], pa.binary())],
-                    ["_block", "_bucket", "_n", "_counts", "_size", "_ids"],
-                )
+                yield _rows([(row["_block"], row["_block"], row["_bucket"], row["_n"], _packed(counts), len(ids), _packed(ids), None, None)])
+        trim()
 
-    # All rows of a bucket are in one partition, so a word is encoded once however many blocks hold it.
-    back = batched(exploded.repartition("_bucket")).mapInArrow(encode, "_block string, _bucket int, _n int, _counts binary, _size int, _ids binary")
+    # A bucket's rows follow each other, so each of its distinct words is encoded once, whatever the number of blocks that hold it.
+    back = batched(dealt.where("_of >= 0").drop("_of").sortWithinPartitions("_bucket")).mapInArrow(encode, _ROW)
 
     def assemble(own: pa.Table, returned: pa.Table) -> pa.Table:
-        import regex
-
-        find = regex.compile(pattern).findall
-        table = {i: b for b, i in read_ranks(ranks_path).items()}
-        ids_of: dict[int, tuple[list[int], list[int]]] = {}
-        for row in returned.to_pylist():
-            ids_of[row["_bucket"]] = _read_ints(row["_counts"], row["_n"]), _read_ints(row["_ids"], row["_size"])
-        out = []
-        for data in own.column("_data").to_pylist():
-            block = _unpack(data)
-            out.append(_assembled(block, find, ids_of, table, n_buckets, id_col, text_col, with_ids))
-        del own, returned, ids_of
+        lean()
+        out = _assembled(own, returned, token_bytes(ranks_path), id_col, with_ids)
+        del own, returned
         trim()
-        return pa.concat_tables(out)
+        return out
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return blocks.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(assemble, schema)
-
-
-def _assembled(block: pa.Table, find, ids_of, table, n_buckets: int, id_col: str, text_col: str, with_ids: bool) -> pa.Table:
-    codes, offsets, pieces, words = _own_words(block.column(text_col).to_pylist(), find)
-    order: dict[int, list[str]] = {}
-    for w in words:
-        order.setdefault(zlib.crc32(w.encode()) % n_buckets, []).append(w)
-    number, written, raw, ids_by_word = {}, {}, {}, {}
-    for k, own in order.items():
-        counts, ids = ids_of[k]
-        names, at = list(map(str, ids)), 0
-        for w, n in zip(own, counts, strict=True):
-            number[w], written[w], raw[w] = n, " ".join(names[at : at + n]), decode(ids[at : at + n], table)
-            if with_ids:
-                ids_by_word[w] = ids[at : at + n]
-            at += n
-    sizes = np.array([sum(map(number.__getitem__, own)) for own in pieces], np.int64)
-    texts = pa.array([" ".join(map(written.__getitem__, own)) if len(own) > 1 else written[own[0]] for own in pieces], pa.large_string())
-    parts = pa.array([b"".join(map(raw.__getitem__, own)) if len(own) > 1 else raw[own[0]] for own in pieces], pa.large_binary())
-
-    def by_row(values: pa.Array, between):
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values.take(pa.array(codes)))
-        return pc.binary_join(lists, pa.scalar(between, values.type)).to_pylist()
-
-    before = np.concatenate([[0], np.cumsum(sizes[codes])])
-    joined, decoded = by_row(texts, " "), by_row(parts, b"")
-    out = {
-        id_col: block.column(id_col),
-        "n_tokens": pa.array(before[offsets[1:]] - before[offsets[:-1]], pa.int64()),
-        "ids_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in joined], pa.string()),
-        "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in decoded], pa.string()),
+    return dealt.where("_of < 0").drop("_of").groupBy("_key").cogroup(back.groupBy("_key")).applyInArrow(assemble, schema)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch], text_col: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``most`` bytes of text, over the borders of the batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, text_col, most):
+        own = int(pc.sum(pc.binary_length(part.column(text_col))).as_py() or 0)
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _assembled(own: pa.Table, returned: pa.Table, table: pa.Array, id_col: str, with_ids: bool) -> pa.Table:
+    """The documents of a block (several times if it comes several times), from numbers and the words' ids in the order of the buckets."""
+    first = own.slice(0, 1).to_pylist()[0]
+    found = {row["_bucket"]: row for row in returned.to_pylist()}
+    rows = [found[k] for k in sorted(found)]
+    counts = np.concatenate([np.zeros(0, np.int64), *(_unpacked(r["_lengths"], r["_n"]) for r in rows)]).astype(np.int64)
+    ids = np.concatenate([np.zeros(0, np.uint32), *(_unpacked(r["_words"], r["_size"]) for r in rows)]).astype(np.int32)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int64())
+    flat = pa.array(ids, pa.int32())
+    place = np.empty(len(counts), np.int64)  # of a word's number in the order of the buckets
+    place[_unpacked(first["_order"], len(counts))] = np.arange(len(counts))
+    written = pc.binary_join(pa.LargeListArray.from_arrays(ends, flat.cast(pa.large_string())), pa.scalar(" ", pa.large_string()))
+    raw = pc.binary_join(pa.LargeListArray.from_arrays(ends, table.take(flat)), pa.scalar(b"", pa.large_binary()))
+    lists = pa.LargeListArray.from_arrays(ends, flat)
+    sizes = _unpacked(first["_lengths"], first["_n"]).astype(np.int64)
+    codes = place[_unpacked(first["_words"], first["_size"])]
+    out: dict[str, list] = {"n": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
+    bounds, i = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _PART_WORDS, side="right")) - 1)
+        part = codes[bounds[i] : bounds[j]]
+        offsets = pa.array(bounds[i : j + 1] - bounds[i], pa.int64())
+        at = pa.array(part)
+        before = np.concatenate([[0], np.cumsum(counts[part])])
+        out["n"].append(np.diff(before[bounds[i : j + 1] - bounds[i]]))
+        for key, values, between in (("ids_sha256", written, " "), ("decoded_sha256", raw, b"")):
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(offsets, values.take(at)), pa.scalar(between, values.type)).cast(pa.large_binary())
+            out[key] += [hashlib.sha256(x.as_buffer()).hexdigest() for x in joined]
+            if with_ids and key == "decoded_sha256":
+                out["decoded"].append(joined.cast(pa.binary()))
+        if with_ids:
+            taken = lists.take(at).flatten()
+            out["ids"].append(pa.ListArray.from_arrays(pa.array(before[bounds[i : j + 1] - bounds[i]], pa.int32()), taken))
+        i = j
+    columns = {
+        "n_tokens": pa.array(np.concatenate([np.zeros(0, np.int64), *out["n"]]), pa.int64()),
+        "ids_sha256": pa.array(out["ids_sha256"], pa.string()),
+        "decoded_sha256": pa.array(out["decoded_sha256"], pa.string()),
     }
     if with_ids:
-        flat = pa.array([i for own in pieces for w in own for i in ids_by_word[w]], pa.int32())
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), flat)
-        taken = lists.take(pa.array(codes)).flatten()
-        out |= {"ids": pa.ListArray.from_arrays(pa.array(before[offsets], pa.int32()), taken), "decoded": pa.array(decoded, pa.binary())}
-    return pa.table(out)
+        columns |= {"ids": pa.chunked_array(out["ids"], pa.list_(pa.int32())), "decoded": pa.chunked_array(out["decoded"], pa.binary())}
+    tables = []
+    for data in own.column("_ids").to_pylist():
+        tables.append(pa.table({id_col: pa.ipc.open_stream(data).read_all().column("id"), **columns}))
+    return pa.concat_tables(tables)
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
