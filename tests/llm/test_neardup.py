@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import neardup as N
 
@@ -73,6 +74,62 @@ def test_texts_of_one_id_are_documents_of_their_own(spark):
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def near_copies(n, seed=2):
+    """Copies of 100 words with two or three random changes each: most pairs lie just below the level."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for k in r.sample(range(100), r.choice([2, 2, 3])):
+            own[k] = f"x{r.randrange(10**6)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+@pytest.mark.parametrize("growth", [2, 16])
+def test_unsettled_buckets(spark, growth, monkeypatch):
+    monkeypatch.setattr(N, "GROWTH", growth)
+    rows = near_copies(150)
+    want = brute(rows)
+    assert 5 < len({x[2] for x in want}) < 150
+    assert sorted(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+def test_shares_of_the_samples():
+    assert N._shares(0) == N._shares(16) == [1.0] and N._shares(17) == [1 / 16, 1.0] and N._shares(3000) == [1 / 256, 1 / 16, 1.0]
+
+
+def test_parities_lose_no_link(spark):
+    """Of pairs at and around the level, none that reaches it is refused, and few below it pass."""
+    rng = np.random.default_rng(6)
+    rows, wrong = [], 0
+    for i in range(200):
+        n = int(rng.integers(4, 1500))
+        shared = rng.integers(0, 1 << 62, n)
+        a, b = (np.unique(np.concatenate([shared, rng.integers(0, 1 << 62, int(n * rng.uniform(0, 0.33)))])) for _ in range(2))
+        rows += [(2 * i, a.tolist()), (2 * i + 1, b.tolist())]
+    sets = spark.createDataFrame(rows, "_id long, _set array<long>")
+    own = N.set_parities(sets).join(sets.selectExpr("_id", "size(_set) AS _n"), "_id")
+    x, y = own.alias("x"), own.alias("y")
+    passed = {r[0] for r in x.join(y, (F.col("x._id") % 2 == 0) & (F.col("y._id") == F.col("x._id") + 1) & N._reach("x", "y")).select(F.col("x._id")).collect()}
+    for i in range(0, 400, 2):
+        a, b = set(rows[i][1]), set(rows[i + 1][1])
+        c = len(a & b)
+        linked = 100 * c >= 75 * (len(a) + len(b) - c)
+        assert not linked or i in passed
+        wrong += not linked and i in passed
+    assert wrong <= 20 and 20 < len(passed) < 180
+
+
+def test_the_survivor_of_equal_texts_is_defined(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, "z", 1), (5, text, "a", 2), (5, text, "a", 2), (5, text, None, 3), (6, text, "q", 1)]
+    schema = "doc_id long, text string, source string, n_chars long"
+    got = [[tuple(x) for x in N.keep_representatives(spark.createDataFrame(part, schema).repartition(3)).collect()] for part in (rows, rows[::-1])]
+    assert len(got[0]) == 1 and got[0] == got[1] and got[0][0][0] == 5
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
