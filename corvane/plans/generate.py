@@ -248,11 +248,11 @@ def generate(slots: DataFrame, model: Model = stub_model, accepted_before: DataF
         passed = stored(good.join(verdict.where("accepted and sid > 0").select("sid"), "sid", "left_semi").select("sid", "facts", "h"))
         kept.append(passed)
         known = known.unionByName(passed.select("h"))
-        failed.append(good.join(passed.select("sid"), "sid", "left_anti").select("sid", F.lit("SimHash: near an accepted record").alias("error"), F.lit(attempt).alias("attempts")))
-        bad = judged.where(F.size("reasons") > 0)
-        if attempt == attempts:
-            failed.append(bad.select("sid", F.concat_ws("; ", "reasons", F.transform("issues", lambda x: x["code"])).alias("error"), F.lit(attempt).alias("attempts")))
-        waiting = stored(waiting.join(bad.select("sid"), "sid", "left_semi"))
+        near = good.join(passed.select("sid"), "sid", "left_anti").select("sid", F.lit("SimHash: near an accepted record").alias("error"))
+        bad = judged.where(F.size("reasons") > 0).select("sid", F.concat_ws("; ", "reasons", F.transform("issues", lambda x: x["code"])).alias("error"))
+        again, final = route_failures(near.unionByName(bad).withColumn("attempts", F.lit(attempt)), attempts)
+        failed.append(final)
+        waiting = stored(waiting.join(again.select("sid"), "sid", "left_semi"))
     return _outcome(slots, kept, failed)
 
 
