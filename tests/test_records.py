@@ -191,3 +191,17 @@ def test_evaluation_and_report(spark, tmp_path, profile):
     K.save_report(str(tmp_path / "out"), e.summary, e.items, e.near, e.suspicious, e.buckets)
     assert spark.read.json(str(tmp_path / "out" / "per_item.jsonl")).count() == 10
     assert "Dashboard" in spark.read.text(str(tmp_path / "out" / "dashboard.md")).first()[0]
+
+
+def test_reports_list_all_lines(spark, tmp_path):
+    buckets = spark.createDataFrame([("b", f"k{i:04d}", 1 + i % 3) for i in range(1500)], "bucket string, key string, count long")
+    none = spark.createDataFrame([], "a int")
+    K.save_report(str(tmp_path / "r"), {"n": 1500, "score": 0.12345}, none, none, none, buckets)
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "r" / "dashboard.md"), wholetext=False).collect()]
+    assert len(lines) == 1507 and sum(x.startswith("b k") for x in lines) == 1500 and "- score: 0.1235" in lines
+    parts = sorted(p for p in (tmp_path / "r" / "dashboard.md").iterdir() if p.name.startswith("part"))
+    text = "".join(p.read_text(encoding="utf-8") for p in parts).splitlines()
+    assert text[0] == "# Dashboard" and text[6].startswith("b k0002 ") and text[-1] == "```" and text[6:-1] == sorted(text[6:-1], key=lambda x: (-int(x.split()[-1]), x.split()[1]))
+    runs = spark.createDataFrame([(f"r{i:05d}", i) for i in range(1200)], "run_id string, records long")
+    K.save_index(runs, str(tmp_path / "i"))
+    assert spark.read.text(str(tmp_path / "i" / "overview.md")).count() == 1204 and spark.read.json(str(tmp_path / "i" / "_index.json")).count() == 1200
