@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -12,32 +11,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANKS = re.compile(r"\s+")
-_KNOWN = 200_000
+N = 3
+#: Characters of texts whose n-grams are looked up together.
+_TOGETHER = 1 << 20
+_POINT = 21  # bits of a code point, of which a gram has three
 
 
-def simhash64(text: Column, n: int = 3) -> Column:
-    """Bit b is 1 unless more of the n-grams' MD5 values (low 64 bits) have it 0; a text without n-grams gives -1.
+def _grams(text: str) -> np.ndarray:
+    """The 3-grams of a text as numbers, a code point behind the other."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < N:
+        return np.zeros(0, np.uint64)
+    return (c[:-2] << np.uint64(2 * _POINT)) | (c[1:-1] << np.uint64(_POINT)) | c[2:]
 
-    Digests of n-grams are remembered within a task, at most ``_KNOWN`` of them.
+
+def _bits(grams: np.ndarray) -> np.ndarray:
+    """The low 64 bits of each gram's MD5, the highest first; surrogates that no text can encode count as themselves."""
+    mask = np.uint64((1 << _POINT) - 1)
+    points = np.column_stack([grams >> np.uint64(2 * _POINT), (grams >> np.uint64(_POINT)) & mask, grams & mask]).astype("<u4")
+    texts = points.tobytes().decode("utf-32-le", "surrogatepass")
+    digests = b"".join(hashlib.md5(texts[i : i + N].encode("utf-8", "surrogatepass")).digest()[8:] for i in range(0, len(texts), N))
+    return np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+
+
+def _hashes(texts: list[str]) -> np.ndarray:
+    counted = [np.unique(_grams(t), return_counts=True) for t in texts]
+    known = np.unique(np.concatenate([g for g, _ in counted])) if counted else np.zeros(0, np.uint64)
+    bits = _bits(known)
+    out = np.full(len(texts), -1, np.int64)
+    for i, (grams, counts) in enumerate(counted):
+        if len(grams):
+            weight = counts.astype(np.float64)  # whole numbers, exact in double precision
+            out[i] = np.packbits(2 * (weight @ bits[np.searchsorted(known, grams)]) >= weight.sum()).view(">i8")[0]
+    return out
+
+
+def simhash64(text: Column) -> Column:
+    """Bit b is 1 unless more of the 3-grams' MD5 values (low 64 bits) have it 0; a text without 3-grams gives -1.
+
+    Blanks are left out, a null text reads as ``None``. Each distinct 3-gram of some texts is hashed once for all of them.
     """
-    known: dict[str, bytes] = {}
 
     @F.pandas_udf("long")
     def run(column: pd.Series) -> pd.Series:
-        out = np.empty(len(column), np.int64)
-        for i, t in enumerate(column):
-            t = _BLANKS.sub("", t) if t is not None else "None"
-            grams = Counter(t[k : k + n] for k in range(len(t) - n + 1))
-            if not grams:
-                out[i] = -1
-                continue
-            if len(known) > _KNOWN:
-                known.clear()
-            for g in grams.keys() - known.keys():
-                known[g] = hashlib.md5(g.encode()).digest()[8:]
-            bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, grams)), np.uint8).reshape(-1, 8), axis=1)
-            counts = np.fromiter(grams.values(), np.float64, len(grams))  # whole numbers, exact in double precision
-            out[i] = np.packbits(2 * (counts @ bits) >= counts.sum()).view(">i8")[0]
-        return pd.Series(out)
+        texts = [_BLANKS.sub("", t) if t is not None else "None" for t in column]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        out, at = [np.zeros(0, np.int64)], 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TOGETHER, side="right")))
+            out.append(_hashes(texts[at:stop]))
+            at = stop
+        return pd.Series(np.concatenate(out))
 
     return run(text)
