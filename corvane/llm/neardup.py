@@ -44,6 +44,8 @@ SKETCH_MISS = 1e-6
 SET_BITS = 8192
 #: Each sample of the pairs in unsettled buckets holds so many times the pairs of the one before.
 GROWTH = 16
+#: Pairs with one hub that a join takes together; the hub's row is sent as often as it needs more.
+TOGETHER = 256
 #: Logarithm of the most bits of the bitmap of wanted documents: 32 MB.
 MOST_BITS = 28
 
@@ -223,13 +225,21 @@ def _shares(widest: int) -> list[float]:
     return [float(GROWTH) ** -k for k in range(rounds, -1, -1)]
 
 
+def _on_hubs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...), which are stored, joined with ``rows`` (b, ...). A hub b of many pairs has several salts, and its row comes
+    with each of them, so that no task gets all pairs of a hub."""
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TOGETHER).select("b", F.ceil(F.col("_n") / TOGETHER).cast("int").alias("_parts"))
+    many = stored(many)
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = pairs.join(many, "b", "left").withColumn("_salt", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("_parts")
+    spread = rows.join(many, "b", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return salted.join(spread, ["b", "_salt"]).drop("_salt")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (a, b) among ``pairs`` whose full sets (_id, _set) reach the level."""
-    both = (
-        pairs.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a")
-        .join(sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")), "b")
-        .withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
-    )
+    """The (a, b) among ``pairs``, which are stored, whose full sets (_id, _set) reach the level."""
+    met = _on_hubs(pairs, sets.select(F.col("_id").alias("b"), F.col("_set").alias("_sb")))
+    both = met.join(sets.select(F.col("_id").alias("a"), F.col("_set").alias("_sa")), "a").withColumn("_common", F.size(F.array_intersect("_sa", "_sb")))
     union = F.size("_sa") + F.size("_sb") - F.col("_common")
     return both.where(F.col("_common") * 100 >= union * LEVEL).select("a", "b")
 
@@ -303,9 +313,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     none = own.sparkSession.createDataFrame([], "_id long, _component long")
 
     # Each member with the hub of each of its buckets: few different ones in a group of near copies, and never more than bands.
-    ra, rb = reps.alias("ra"), reps.alias("rb")
-    hubs = members.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b")).distinct()
-    near = stored(hubs.join(ra, hubs["a"] == F.col("ra._id")).join(rb, hubs["b"] == F.col("rb._id")).where(_close("ra", "rb")).select("a", "b"))
+    hubs = stored(members.where("_id != _hub").select(F.col("_id").alias("a"), F.col("_hub").alias("b")).distinct())
+    met = _on_hubs(hubs, reps.select(F.col("_id").alias("b"), F.struct("_n", "_sketch").alias("y")))
+    near = stored(met.join(reps.select(F.col("_id").alias("a"), F.struct("_n", "_sketch").alias("x")), "a").where(_close("x", "y")).select("a", "b"))
     label = none
     if _rows(near):
         ids = near.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
