@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from corvane.llm import langid, quality, toxicity
-from corvane.llm.common import distinct_words, held_out
+from corvane.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
 ODD = [(10**7, None, "en"), (10**7 + 1, "", None), (10**7 + 2, "12 %% 3", "fr"), (10**7 + 3, "漢字 かな カナ 漢字", None), (10**7 + 4, "a" * 50_000, None), (10**7 + 5, "the of " * 40_000, "en"), (None, "the and of", "en"), (10**7 + 5, "the of " * 40_000, "en")]
