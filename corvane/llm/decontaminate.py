@@ -26,7 +26,8 @@ from corvane.llm.common import ASCII_LOWER, batched, slices, stored
 
 WINDOW = 10
 BLOCK_BYTES = 1 << 20
-BLOCKS_A_PASS = 8
+#: A block makes tables of some 100 times its bytes, so few are searched at once.
+BLOCKS_A_PASS = 2
 
 _WORD_BYTES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in ASCII_LOWER)
 
@@ -82,6 +83,22 @@ def tables(items: list[tuple[str, list[bytes]]]) -> list[WuManber]:
     return [WuManber({w: frozenset(s) for w, s in windows.items()}) for windows in by_length.values()]
 
 
+class Search:
+    """A block of items, whose tables are built when they are first wanted and then kept for as long as the worker holds the block."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]]):
+        self.items = items
+        self.built: list[WuManber] | None = None
+
+    def __getstate__(self):
+        return {"items": self.items, "built": None}
+
+    def tables(self) -> list[WuManber]:
+        if self.built is None:
+            self.built = tables(self.items)
+        return self.built
+
+
 def occurrences(text: list[bytes], search: list[WuManber]) -> tuple[list[tuple[int, int]], set[str]]:
     """Disjoint ascending (start, end) runs of hit words, and the items that occur."""
     found: set[str] = set()
@@ -138,10 +155,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     state = docs.select(id_col, text_col)
 
     def step(chunk, first: bool, last: bool):
-        sent = [context.broadcast(b) for b in chunk]
+        sent = [context.broadcast(Search(b)) for b in chunk]
 
         def run(batches):
-            search = [t for b in sent for t in tables(b.value)]
+            search = [t for b in sent for t in b.value.tables()]
             for part in slices(batches, text_col):
                 kept = None if first else (part.column("hit_words").to_pylist(), part.column("items").to_pylist())
                 rows = []
@@ -172,10 +189,10 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     context = docs.sparkSession.sparkContext
 
     def without(kept: DataFrame, chunk: list) -> DataFrame:
-        sent = [context.broadcast(b) for b in chunk]
+        sent = [context.broadcast(Search(b)) for b in chunk]
 
         def run(batches):
-            search = [t for b in sent for t in tables(b.value)]
+            search = [t for b in sent for t in b.value.tables()]
             for part in slices(batches, text_col):
                 hit = [any(next(t.find(own), None) for t in search) for own in map(words, part.column(text_col).to_pylist())]
                 yield part.filter(pa.array([not x for x in hit], pa.bool_()))
