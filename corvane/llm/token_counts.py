@@ -2,15 +2,16 @@
 
 A text is cut at safe boundaries (:func:`corvane.llm.common.safe_pieces`), so that no call of the
 library gets more than one piece of a very long text, and the pieces of all texts in a byte-balanced
-slice are encoded in one batch. A piece that came before in the same worker isn't encoded again: its
-length is kept in a dictionary of at most ``CACHE`` entries, which is emptied when full.
+slice are encoded in one batch. A short piece that came before in the same worker, in whatever task, isn't encoded again: its
+length is kept in a dictionary of pieces of at most ``KEPT`` characters, which is emptied once it holds more than ``CACHE``.
 
-Defined results: null and empty texts have 0 tokens and 0 bytes; repeated rows give repeated rows;
+Defined results: null and empty texts have 0 tokens and 0 bytes; very long texts go in pieces; repeated rows give repeated rows;
 an empty table gives an empty result; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 
 import pyarrow as pa
@@ -18,19 +19,22 @@ from pyspark.sql import DataFrame
 
 from corvane.llm.common import batched, byte_lengths, safe_pieces, slices
 
-CACHE = 400_000
+CACHE, KEPT = 600_000, 64
 OVER = 512
 
 
 def _lengths(encode, texts: list[str | None], known: dict[str, int]) -> list[int]:
     """Token counts of ``texts``; ``encode`` gives the counts of a list of pieces."""
     cut = [safe_pieces(t) if t else () for t in texts]
-    new = list(set().union(*cut).difference(known))
-    if len(known) + len(new) > CACHE:
+    if len(known) > CACHE:
         known.clear()
-        new = list(set().union(*cut))
+    new = list(set().union(*cut).difference(known))
     known.update(zip(new, encode(new), strict=True))
-    return [sum(map(known.__getitem__, pieces)) for pieces in cut]
+    counts = [sum(map(known.__getitem__, pieces)) for pieces in cut]
+    for p in new:
+        if len(p) > KEPT:
+            del known[p]
+    return counts
 
 
 def _encoder(path: str):
@@ -46,6 +50,12 @@ def _encoder(path: str):
     return lambda texts: [len(x.ids) for x in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@functools.lru_cache(1)
+def _worker(path: str):
+    """The encoder of a vocabulary and the lengths it has found, for as long as the worker lives."""
+    return _encoder(path), {}
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", over: int = OVER) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row of ``docs``.
 
@@ -55,7 +65,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     id_type = docs.schema[id_col].dataType
 
     def run(batches):
-        encode, known, whole = _encoder(tokenizer), {}, not byte_level(tokenizer)
+        (encode, known), whole = _worker(tokenizer), not byte_level(tokenizer)
         for part in slices(batches, text_col, 1 << 20):
             texts = part.column(text_col).to_pylist()
             counts = encode([t or "" for t in texts]) if whole else _lengths(encode, texts, known)

@@ -15,6 +15,8 @@ from corvane.llm.token_counts import count_tokens
 random.seed(1)
 ODD = ["", None, "  a  b", "don't  '  x\x1c!\x1c\x85 y", "<|endoftext|> a<|endoftext|>", "x" * 3000, "abab" * 800 + " 12² Ⅷ", "\n\n a\r\n b \t", "漢字 かな　漢 字", "é é​ 👩‍👩‍👧 a", "'s'S 're  'll", "word " * 30_000]
 ODD += ["".join(random.choice(" \n\t\r\x0b\x1c 　ab'st12!.é漢́") for _ in range(random.randint(1, 40))) for _ in range(300)]
+ODD += ["word\xa0 next " * 2000, "漢字かな，한국。" * 4000, "漢" * 20_000, "a,b.c!(d)" * 3000, "x\xa0" * 3000 + " y", "don't," * 500, "\u0301a\u0301," * 400]
+ODD += ["".join(random.choice("ab漢，,.。!'(é\u0301\xa0　 \n1") for _ in range(2000)) for _ in range(30)]
 ODD += ODD[:12]
 
 
@@ -65,6 +67,11 @@ def test_empty_tables(spark):
     assert bpe.encode_decode(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_long_texts_are_cut():
+    assert len(safe_pieces("word\xa0 next " * 2000)) >= 2000 and len(safe_pieces("漢字かな，" * 4000)) >= 3999
+    assert max(map(len, safe_pieces("a\xa0 b " * 5000))) < 8
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_pieces_concatenate(text):
