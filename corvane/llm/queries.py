@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontaminate, langid, neardup, pii, quality, suffix_dedup, token_counts, toxicity, vptree
+from corvane.llm import alignment, bpe, decontaminate, langid, line_dedup, neardup, pii, quality, suffix_dedup, token_counts, toxicity, vptree, whitening
 from corvane.llm.common import documents, held_out
 
 
@@ -65,6 +65,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), offsets.alias("toxic_spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op9_suffix_dedup, op10_toxicity)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
-ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op7_minhash": neardup.SQL, "op9_suffix_dedup": suffix_dedup.SQL}
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_language, op4_nearest, op5_quality, op6_pii, op7_minhash, op8_byte_bpe, op9_suffix_dedup, op10_toxicity, op11_line_dedup, op12_whitening, op13_alignment)}
+
+ORACLE_SQL: dict[str, str] = {"op2_decontamination": decontaminate.SQL, "op7_minhash": neardup.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op11_line_dedup": line_dedup.SQL}
