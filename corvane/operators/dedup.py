@@ -27,6 +27,12 @@ def _edges(bits: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(ends, ends[1:], strict=False))
 
 
+def block_keys(h: Column, threshold: int) -> Column:
+    """Keys of which two hashes within ``threshold`` share one at least: a hash of each pair of ``threshold`` + 2 blocks of bits."""
+    parts = _edges(BITS, threshold + 2)
+    return F.array(*(F.xxhash64(F.lit(n), *(_block(h, *parts[i]) for i in c)) for n, c in enumerate(combinations(range(len(parts)), 2))))
+
+
 def near_values(values: DataFrame, threshold: int, mode: str) -> DataFrame:
     """(x, y) of the distinct hashes ``values`` (_h) at a distance of 1 to ``threshold``, x < y.
 

@@ -14,7 +14,7 @@ from corvane.operators import dedup, metrics
 from corvane.operators.rules import when
 from corvane.plans import quota
 from corvane.sources import records as R
-from corvane.streaming import limiter
+from corvane.streaming import compose, limiter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -356,7 +356,7 @@ _ORDER = ["ts", "event_type", "value"]
   {{'c': 6::BIGINT, 'k': 0::BIGINT, 'x': 0::BIGINT}}) AS s FROM l)""")
 def aimd_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").withColumn("bad", F.col("event_type") == "error")
-    return limiter.folded(e, "user_id", _ORDER, ["bad"], (6, 0, 0), limiter.aimd(180), limiter.AIMD)
+    return compose.composed(e, "user_id", _ORDER, ["bad"], (6, 0, 0), limiter.aimd(180), limiter.AIMD, compose.AimdRuns(6, 180))
 
 
 @query(f"""WITH {_ORDERED} SELECT user_id, s.n AS tokens, s.g::BIGINT AS granted FROM (SELECT user_id, list_reduce(l, lambda s, e:
@@ -371,7 +371,7 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_ORDERED} SELECT user_id, list_reduce(list_transform(l, lambda e: e.v::DOUBLE), lambda a, v: a * 0.8::DOUBLE + v * 0.2::DOUBLE) AS latency FROM l")
 def ewma_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select("user_id", *_ORDER)
-    return limiter.folded(e, "user_id", _ORDER, ["value"], (None,), lambda s, v: (limiter.ewma(s[0], v),), "latency double")
+    return compose.composed(e, "user_id", _ORDER, ["value"], (None,), compose.ewma_step, "latency double", compose.EwmaRuns())
 
 
 @query("""SELECT event_id, sum((event_type <> 'error')::INT) OVER w::BIGINT AS successes, sum((event_type = 'error')::INT) OVER w::BIGINT AS violations FROM events
