@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -25,6 +25,7 @@ from corvane.functions.text import key_text, normalised_level
 from corvane.operators import rules
 from corvane.operators.dedup import gate
 from corvane.operators.materialise import stored
+from corvane.plans import pool
 from corvane.sources.records import normalised
 from corvane.streaming.limiter import with_backoff
 
@@ -65,8 +66,10 @@ class Call:
     constraint: str = ""
 
 
-#: Text or a response body, or (status, text or body, seconds to wait or None) for with_backoff.
-Model = Callable[[Call], Any]
+#: Text or a response body, or (status, text or body, seconds to wait or None) for with_backoff; or a model for each provider's name.
+Model = Callable[[Call], Any] | Mapping[str, Callable[[Call], Any]]
+#: Columns that go with a record: the provider that answers its calls, and the faults of calls so far.
+_WITH = ("provider", "faults")
 
 
 def stub_model(call: Call) -> str:
@@ -107,14 +110,15 @@ def ask(rows: DataFrame, model: Model, agent: Agent, turn: int, to: str = "answe
     """``rows`` (sid, facts as JSON, issues, ...) with the string ``to``: the text in the model's response to ``agent``.
 
     With ``revise`` only rows with an issue that the agent owns are asked, the others get null, and the model sees the issues. Of a call that
-    fails the answer is empty. Seeds follow from the sid, the agent and ``turn``, so a task that runs again asks the same.
+    fails the answer is empty, and what it raised is added to ``faults``. With models by name, rows are asked of their ``provider``. Seeds follow from the sid, the agent and ``turn``, so a task that runs again asks the same.
     """
     schema = rows.select("*", F.lit(None).cast("string").alias("_body")).schema
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            bodies = []
-            for sid, facts, issues in zip(part["sid"], part["facts"], part["issues"], strict=True):
+            bodies, faults = [], [list(x) if x is not None else [] for x in part["faults"]]
+            providers = part["provider"] if "provider" in part.columns else [None] * len(part)
+            for n, (sid, facts, issues, provider) in enumerate(zip(part["sid"], part["facts"], part["issues"], providers, strict=True)):
                 own = [{k: list(v) if k == "fields" and v is not None else v for k, v in x.items()} for x in (issues if issues is not None else [])]
                 if revise and agent.name not in {x["owner"] for x in own}:
                     bodies.append(None)
@@ -122,10 +126,11 @@ def ask(rows: DataFrame, model: Model, agent: Agent, turn: int, to: str = "answe
                 seed = int(hashlib.md5(f"{sid}:{agent.name}:{turn}".encode()).hexdigest(), 16) % (9 * 10**16) + 10**16
                 call = Call(agent.name, json.loads(facts), f"SEED-{seed}", agent.temperature, agent.max_tokens, "revise" if revise else "propose", own if revise else [], constraint)
                 try:
-                    bodies.append(_reply(model, call))
-                except Exception:  # noqa: BLE001
+                    bodies.append(_reply(model if callable(model) else model[provider], call))
+                except Exception as e:  # noqa: BLE001  one call's fault is its record's, not the run's
                     bodies.append("")
-            yield part.assign(_body=bodies)
+                    faults[n].append(f"{agent.name}: {type(e).__name__}: {e}")
+            yield part.assign(_body=bodies, faults=faults)
 
     asked = rows.mapInPandas(run, schema)
     return asked.withColumn(to, J.response_content(F.col("_body"))).drop("_body")
@@ -159,15 +164,19 @@ _ISSUES = "array<struct<code:string,desc:string,owner:string,fields:array<string
 
 def _first(slots: DataFrame) -> DataFrame:
     facts = F.to_json(F.struct(F.col("sid").alias("id"), F.col("slot").alias("_采样约束")))
-    return slots.select("sid", facts.alias("facts"), F.array().cast(_ISSUES).alias("issues"))
+    return slots.select("sid", facts.alias("facts"), F.array().cast(_ISSUES).alias("issues"), F.array().cast("array<string>").alias("faults"), *(["provider"] if "provider" in slots.columns else []))
+
+
+def _with(rows: DataFrame) -> list[str]:
+    return [c for c in _WITH if c in rows.columns]
 
 
 def _judged(rows: DataFrame, model: Model, name: str, turn: int) -> DataFrame:
-    """(sid, facts, issues, ready): a validator's issues and word; the deep one's with those that need no model.
+    """(sid, facts, issues, ready) and what goes with them: a validator's issues and word; the deep one's with those that need no model.
 
     A validator whose answer holds no object has one issue of its own.
     """
-    answer = ask(rows.select("sid", "facts", "issues"), model, VALIDATORS[name], turn).withColumn("_v", J.repaired(F.col("answer")))
+    answer = ask(rows.select("sid", "facts", "issues", *_with(rows)), model, VALIDATORS[name], turn).withColumn("_v", J.repaired(F.col("answer")))
     told = J.field("_v", "issues")
     listed = F.coalesce(F.when(J.kind_of(told) == "array", F.from_json(F.to_json(told), _ISSUES)), F.array().cast(_ISSUES))
     lost = ("F_SYS", "按指令，仅返回含 issues 与 final_ready 的 JSON。") if name == "fast" else ("SYS", "重新完整给出。")
@@ -178,11 +187,11 @@ def _judged(rows: DataFrame, model: Model, name: str, turn: int) -> DataFrame:
     issues = F.concat(F.when(object_, listed).otherwise(none), local)
     said = J.field("_v", "final_ready")
     ready = object_ & F.coalesce(F.try_variant_get(said, "$", "boolean"), F.size(listed) == 0 if name == "fast" else F.lit(False))
-    return stored(record.select("sid", "facts", issues.alias("issues"), (ready & (F.size(issues) == 0)).alias("ready")))
+    return stored(record.select("sid", "facts", issues.alias("issues"), (ready & (F.size(issues) == 0)).alias("ready"), *_with(rows)))
 
 
 def orchestrate(slots: DataFrame, model: Model = stub_model, max_rounds: int = 3, turn: int = 0) -> DataFrame:
-    """(sid, facts, issues): proposals for ``slots`` (sid, slot), revised for at most ``max_rounds`` rounds.
+    """(sid, facts, issues) and what goes with them: proposals for ``slots`` (sid, slot), revised for at most ``max_rounds`` rounds.
 
     Records that the fast validator passes leave at once. The others go through rounds: the deep validator and the local checks, then the owners of
     issues, who see them, one after another. Records leave when they have none, or after the last round with those it found; the online
@@ -203,7 +212,7 @@ def orchestrate(slots: DataFrame, model: Model = stub_model, max_rounds: int = 3
         for agent in AGENTS:
             rows = merged(ask(rows, model, agent, turn * 100 + k, revise=True), agent)
         open_ = stored(rows.withColumn("ready", F.lit(False)))
-    return out.unionByName(open_).select("sid", "facts", "issues")
+    return out.unionByName(open_).drop("ready")
 
 
 @dataclass
@@ -225,9 +234,11 @@ def _outcome(slots: DataFrame, kept: list[DataFrame], failed: list[DataFrame]) -
     return Outcome(accepted, failures)
 
 
-def generate(slots: DataFrame, model: Model = stub_model, accepted_before: DataFrame | None = None, attempts: int = 4, max_rounds: int = 3, threshold: int = 3) -> Outcome:
+def generate(slots: DataFrame, model: Model = stub_model, accepted_before: DataFrame | None = None, attempts: int = 4, max_rounds: int = 3, threshold: int = 3, providers: DataFrame | None = None) -> Outcome:
     """Generate records for ``slots`` in at most ``attempts`` passes.
 
+    With ``providers`` (``pool.FIELDS``), ``model`` holds a model for each name, and each pass allots its slots to them; a provider whose records fail comes later in the next pass.
+
     What passes the online rules meets the similarity gate with all hashes accepted before (h); a near record fails at once, any other
     failure is tried again until the attempts are used up.
     """
@@ -237,10 +248,12 @@ def generate(slots: DataFrame, model: Model = stub_model, accepted_before: DataF
     for attempt in range(1, attempts + 1):
         if waiting.isEmpty():
             break
-        made = orchestrate(waiting, model, max_rounds, attempt)
+        made = orchestrate(pool.allot(waiting, providers) if providers is not None else waiting, model, max_rounds, attempt)
         record = normalised(made.withColumn("record", F.parse_json("facts"))).withColumn("reasons", rules.online_reasons())
         texts = [F.col(f"`{k}`") for k in S.KEY_TEXT_FIELDS]
-        judged = stored(record.select("sid", "facts", "issues", "reasons", simhash64(key_text(texts)).alias("h")))
+        judged = stored(record.select("sid", "facts", "issues", "reasons", simhash64(key_text(texts)).alias("h"), *_with(made)))
+        if providers is not None:
+            providers = stored(pool.updated(providers, judged.select("provider", (F.size("reasons") == 0).alias("ok"))))
         good = judged.where(F.size("reasons") == 0)
         # Ids below 1 stand for what was accepted before, so that it comes first.
         before = known.distinct().select(F.lit(0).cast("long").alias("sid"), "h")
@@ -249,7 +262,7 @@ def generate(slots: DataFrame, model: Model = stub_model, accepted_before: DataF
         kept.append(passed)
         known = known.unionByName(passed.select("h"))
         near = good.join(passed.select("sid"), "sid", "left_anti").select("sid", F.lit("SimHash: near an accepted record").alias("error"))
-        bad = judged.where(F.size("reasons") > 0).select("sid", F.concat_ws("; ", "reasons", F.transform("issues", lambda x: x["code"])).alias("error"))
+        bad = judged.where(F.size("reasons") > 0).select("sid", F.concat_ws("; ", "reasons", F.transform("issues", lambda x: x["code"]), "faults").alias("error"))
         again, final = route_failures(near.unionByName(bad).withColumn("attempts", F.lit(attempt)), attempts)
         failed.append(final)
         waiting = stored(waiting.join(again.select("sid"), "sid", "left_semi"))
@@ -277,10 +290,10 @@ def single_shot(slots: DataFrame, mode: str = "unconstrained", model: Model = st
         made = merged(ask(waiting, model, SINGLE, 0, constraint=MODES[mode]), Agent(SINGLE.name, (), SINGLE.temperature, SINGLE.max_tokens))
         record = normalised(made.withColumn("record", F.parse_json("facts")))
         ok = (F.size("reasons") == 0) & F.col("met")
-        judged = stored(record.select("sid", "facts", rules.baseline_reasons().alias("reasons"), rules.constraint(mode).alias("met")).withColumn("ok", ok))
+        judged = stored(record.select("sid", "facts", "faults", rules.baseline_reasons().alias("reasons"), rules.constraint(mode).alias("met")).withColumn("ok", ok))
         kept.append(judged.where("ok").select("sid", "facts", F.lit(0).cast("long").alias("h")))
         if attempt == retries:
-            why = F.concat_ws("; ", "reasons", F.when(~F.col("met"), F.lit(f"constraint {mode}")))
+            why = F.concat_ws("; ", "reasons", F.when(~F.col("met"), F.lit(f"constraint {mode}")), "faults")
             failed.append(judged.where("not ok").select("sid", why.alias("error"), F.lit(attempt).alias("attempts")))
         waiting = stored(waiting.join(judged.where("not ok").select("sid"), "sid", "left_semi"))
     return _outcome(slots, kept, failed)

@@ -12,7 +12,7 @@ from corvane.functions import text as X
 from corvane.functions.simhash import simhash64
 from corvane.operators import dedup, metrics
 from corvane.operators.rules import when
-from corvane.plans import quota
+from corvane.plans import pool, quota
 from corvane.sources import records as R
 from corvane.streaming import compose, limiter
 
@@ -343,6 +343,37 @@ def next_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.next_batch(resume_pending(spark, sf_dir), quota.batch_size(64, quota.concurrency(60)))
 
 
+_PROVIDERS = """p AS (SELECT event_type AS name, avg(value) + 0.8 * (1 - avg((user_id % 7 <> 0)::INT)) + 0.5 * greatest(0, avg((user_id % 2)::INT) - 0.8)
+  - sqrt(greatest(1, ln(greatest(2, (SELECT count(*) FROM events)))) / count(*)) AS score,
+  greatest(1, ceil(1.3 * (count(*) / 100.0) / 60 * least(greatest(avg(value), 0.2), 30) * CASE WHEN bool_or(user_id % 7 = 0 AND value < 1) THEN 0.7 ELSE 1 END))::BIGINT AS capacity FROM events GROUP BY event_type),
+r AS (SELECT name, capacity, sum(capacity) OVER (ORDER BY score, name) - capacity AS low, sum(capacity) OVER () AS total FROM p),
+c AS (SELECT o_orderkey AS sid, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders WHERE o_orderstatus = 'O')"""
+
+
+def _providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as providers: a user's number says which of their calls failed, and values are latencies."""
+    failed = F.col("user_id") % 7 == 0
+    of = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("name"))
+    rows = of.agg(F.avg("value").alias("latency"), F.avg((~failed).cast("double")).alias("success"), F.avg((F.col("user_id") % 2).cast("double")).alias("used"), F.count(F.lit(1)).alias("calls"), F.bool_or(failed & (F.col("value") < 1)).alias("violated"))
+    return rows.withColumn("capacity", pool.concurrency_of(F.col("calls") / 100, F.col("latency"), F.col("violated"))).drop("violated")
+
+
+@query(f"WITH {_PROVIDERS} SELECT sid, name AS provider FROM c, r WHERE n % total >= low AND n % total < low + capacity")
+def provider_allotment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which provider takes the call for each open order."""
+    calls = _table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("sid"))
+    return pool.allot(calls, _providers(spark, sf_dir))
+
+
+@query(f"WITH {_PROVIDERS} SELECT sid, name AS provider FROM c, r WHERE n < greatest(4, 2 * total) AND n % total >= low AND n % total < low + capacity")
+def provider_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next batch of open orders, as large as the providers' calls in flight allow, and who takes what."""
+    providers = _providers(spark, sf_dir)
+    in_flight = providers.agg(F.sum("capacity")).first()[0]
+    calls = _table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("sid"))
+    return pool.allot(quota.next_batch(calls, quota.batch_size(4, in_flight)), providers)
+
+
 # --- limiter state over events: a user's errors are violations, values are latencies -----------------------------------------------
 
 _ORDERED = "l AS (SELECT user_id, list({'t': epoch_us(ts), 'bad': event_type = 'error', 'v': value} ORDER BY ts, event_type, value) AS l FROM events GROUP BY user_id)"

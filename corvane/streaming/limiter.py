@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 RISE_AFTER, FALL = 20, 0.7
 EWMA_WEIGHT = 0.2
+#: Answers of busy servers.
+BUSY = (429, 503)
 
 
 def folded(events: DataFrame, key: str, order: list[str], values: list[str], start: tuple, step: Callable[..., tuple], state: str) -> DataFrame:
@@ -169,7 +171,7 @@ def with_backoff(call: Callable[[], tuple[int, Any, float | None]], tries: int =
     pause = first
     for attempt in range(1, tries + 1):
         status, result, after = call()
-        if status not in (429, 503):
+        if status not in BUSY:
             return result
         if attempt == tries:
             raise RuntimeError(f"status {status} after {tries} tries")

@@ -212,6 +212,33 @@ def test_gated_stream_writes_each_record_once(spark, tmp_path):
     assert sorted(r.sid for r in spark.read.parquet(table).collect()) == [1, 4]
 
 
+def test_calls_go_to_providers_by_score_and_capacity(spark):
+    from corvane.plans import pool as P
+
+    providers = spark.createDataFrame([("slow", 3.0, 0.9, 0.1, 50, 2), ("good", 0.5, 1.0, 0.1, 50, 3), ("full", 0.5, 1.0, 1.0, 50, 0)], P.FIELDS)
+    calls = spark.createDataFrame([(i * 3, "x") for i in range(40)], "sid long, provider string")
+    got = [r.provider for r in P.allot(calls, providers).orderBy("sid").collect()]
+    assert got == (["good"] * 3 + ["full"] + ["slow"] * 2) * 6 + ["good"] * 3 + ["full"]
+    after = {r.name: r for r in P.updated(providers, spark.createDataFrame([("good", False), ("good", True)], "provider string, ok boolean")).collect()}
+    assert after["good"].success == pytest.approx(0.9) and after["good"].calls == 52 and after["slow"].success == 0.9
+    assert P.allot(calls.limit(0), providers).collect() == []
+    f = spark.createDataFrame([(6.0, 1.0, False), (60.0, 1.0, True), (6000.0, 99.0, False), (60.0, 0.0, False)], "q double, l double, v boolean")
+    assert [r[0] for r in f.select(P.concurrency_of(F.col("q"), F.col("l"), F.col("v"))).collect()] == [Q.concurrency(6), Q.concurrency(60, 1.0, True), Q.concurrency(6000, 99.0), Q.concurrency(60, 0.0)]
+
+
+def test_generation_with_several_models(spark):
+    def broken(call):
+        raise ConnectionError("no route")
+
+    from corvane.plans import pool as P
+
+    providers = spark.createDataFrame([("a", 0.1, 1.0, 0.1, 50, 2), ("b", 0.5, 1.0, 0.1, 50, 2)], P.FIELDS)
+    out = G.generate(Q.schedule(spark, 6), {"a": broken, "b": G.stub_model}, attempts=1, providers=providers)
+    accepted, failures = {r.sid for r in out.accepted.collect()}, {r.sid: r.error for r in out.failures.collect()}
+    assert {sid for sid, e in failures.items() if "ConnectionError: no route" in e} == {1, 2, 5, 6} and accepted <= {3, 4} and accepted
+    assert all("SimHash" in e for sid, e in failures.items() if sid not in (1, 2, 5, 6))
+
+
 def test_backoff():
     calls, pauses = iter([(429, None, None), (503, None, 2.0), (200, "ok", None)]), []
     assert L.with_backoff(lambda: next(calls), sleep=pauses.append) == "ok" and pauses == pytest.approx([0.8, 0.8 * 1.8 + 2.0])

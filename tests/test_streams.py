@@ -12,6 +12,7 @@ from corvane.operators.dedup import gate
 from corvane.streaming import compose as C
 from corvane.streaming import gate as T
 from corvane.streaming import limiter as L
+from corvane.streaming import retry as R
 from corvane.streaming import window as W
 from corvane.streaming.state import committed
 
@@ -142,3 +143,45 @@ def test_runs_combine_in_any_grouping():
             for bad in events:
                 wanted = step(wanted, bad)
             assert runs.apply(state, runs.decode(runs.encode(summaries[0]))) == wanted
+
+
+def flaky(key, payload):
+    """Busy as often as the payload says, then a result; asks for a pause of its own the second time."""
+    n = FLAKY.get(key, 0) + 1
+    FLAKY[key] = n
+    return (429 if n % 2 else 503, None, 0.05 if n == 2 else None) if n <= int(payload) else (200, f"{key} after {n}", None)
+
+
+FLAKY: dict[str, int] = {}
+
+
+def test_busy_calls_are_asked_again_by_timers(spark, tmp_path):
+    calls = pd.DataFrame([("a", "0"), ("b", "1"), ("c", "2"), ("d", "3"), ("e", "4"), ("f", "9")], columns=["id", "payload"])
+    src = parts(tmp_path / "in", [calls[:4], calls[4:]])
+    stream = spark.readStream.schema("id string, payload string").parquet(src)
+
+    def counted(key, payload, folder=str(tmp_path)):
+        # Tries are counted in files, for workers may change between them.
+        with open(f"{folder}/{key}", "a+") as f:
+            f.write("x")
+            f.seek(0)
+            n = len(f.read())
+        return (429 if n % 2 else 503, None, 0.05 if n == 2 else None) if n <= int(payload) else (200, f"{key} after {n}", None)
+
+    found = []
+    q = R.retried(stream, counted, 4, 0.02, 1.8).writeStream.foreachBatch(lambda b, _: found.extend(b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    until = time.time() + 100
+    while len(found) < 6 and time.time() < until and q.isActive:
+        time.sleep(0.3)
+    q.stop()
+    got = {r.id: r for r in found}
+    assert len(found) == 6
+    for key, payload in calls.itertuples(index=False):
+        FLAKY.clear()
+        pauses, tries = [], [0]
+        try:
+            result = L.with_backoff(lambda: flaky(key, payload), 4, 0.02, 1.8, pauses.append)  # noqa: B023
+        except RuntimeError:
+            result = None
+        assert (got[key].result, got[key].tries) == (result, FLAKY[key]) and list(got[key].pauses) == pytest.approx(pauses)
+        assert (got[key].status == 200) == (result is not None)
