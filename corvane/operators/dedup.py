@@ -33,8 +33,8 @@ def block_keys(h: Column, threshold: int) -> Column:
     return F.array(*(F.xxhash64(F.lit(n), *(_block(h, *parts[i]) for i in c)) for n, c in enumerate(combinations(range(len(parts)), 2))))
 
 
-def near_values(values: DataFrame, threshold: int, mode: str) -> DataFrame:
-    """(x, y) of the distinct hashes ``values`` (_h) at a distance of 1 to ``threshold``, x < y.
+def near_values(values: DataFrame, threshold: int, mode: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(x, y) of the distinct hashes ``values`` (_h) at a distance of 1 to ``threshold``, x < y; with ``by``, of those that agree in these columns, which come out too.
 
     ``threshold`` + 2 blocks leave two of them equal in every such pair, so pairs of blocks are keys: 26 bits of 64 for a threshold
     of 3. A pair comes out of its first two equal blocks alone, so no distinct follows. In ``compat`` mode the top 16 bits must be equal and
@@ -46,8 +46,8 @@ def near_values(values: DataFrame, threshold: int, mode: str) -> DataFrame:
         parts, top, equal = _edges(BITS, threshold + 2), [], 2
     chosen = list(combinations(range(len(parts)), equal))
     blocks = F.array(*(_block(F.col("_h"), *p) for p in parts))
-    keys = F.array(*(F.xxhash64(F.lit(n), *top, *(_block(F.col("_h"), *parts[i]) for i in c)) for n, c in enumerate(chosen)))
-    keyed = values.select("_h", blocks.alias("_blocks"), F.posexplode(keys).alias("_n", "_key"))
+    keys = F.array(*(F.xxhash64(F.lit(n), *by, *top, *(_block(F.col("_h"), *parts[i]) for i in c)) for n, c in enumerate(chosen)))
+    keyed = values.select(*by, "_h", blocks.alias("_blocks"), F.posexplode(keys).alias("_n", "_key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     agree = F.zip_with("a._blocks", "b._blocks", lambda p, q: p == q)
     first = F.slice(F.filter(F.transform(agree, lambda same, i: F.when(same, i)), lambda i: i.isNotNull()), 1, equal)
@@ -55,7 +55,9 @@ def near_values(values: DataFrame, threshold: int, mode: str) -> DataFrame:
     on = (F.col("a._key") == F.col("b._key")) & (F.col("a._h") < F.col("b._h")) & (hamming(F.col("a._h"), F.col("b._h")) <= threshold) & (first == of_key)
     if mode == "compat":
         on = on & (F.shiftrightunsigned("a._h", 48) == F.shiftrightunsigned("b._h", 48))
-    return a.join(b, on).select(F.col("a._h").alias("x"), F.col("b._h").alias("y"))
+    for c in by:
+        on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, on).select(*(f"a.{c}" for c in by), F.col("a._h").alias("x"), F.col("b._h").alias("y"))
 
 
 def near_pairs(hashed: DataFrame, threshold: int = 3, mode: str = "compat", id_col: str = "doc_id", hash_col: str = "h", first: int | None = None) -> DataFrame:
@@ -77,6 +79,16 @@ def near_pairs(hashed: DataFrame, threshold: int = 3, mode: str = "compat", id_c
     return pairs
 
 
+def pair_numbers(hashed: DataFrame, by: str, threshold: int = 3, mode: str = "compat", hash_col: str = "h") -> DataFrame:
+    """(by, pairs): how many near pairs the rows of each value of ``by`` have, in one job for all. Rows of equal hashes are counted, not paired."""
+    own = stored(hashed.where(F.col(hash_col).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(hash_col).alias("_h")).agg(F.count(F.lit(1)).alias("_c")))
+    same = own.select("_by", (F.col("_c") * (F.col("_c") - 1) / 2).cast("long").alias("pairs"))
+    near = near_values(own.select("_by", "_h"), threshold, mode, ("_by",))
+    of = lambda name: own.select("_by", F.col("_h").alias(name), F.col("_c").alias(f"_c{name}"))
+    unequal = near.join(of("x"), ["_by", "x"]).join(of("y"), ["_by", "y"]).select("_by", (F.col("_cx") * F.col("_cy")).alias("pairs"))
+    return same.unionByName(unequal).groupBy(F.col("_by").alias(by)).agg(F.sum("pairs").alias("pairs"))
+
+
 def first_pairs(hashed: DataFrame, k: int, threshold: int = 3, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
     """The first ``k`` compat pairs in the order in which buckets first occur, then by the ids; ids are distinct."""
     pairs = near_pairs(hashed, threshold, "compat", id_col, hash_col, first=k)

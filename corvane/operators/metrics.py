@@ -16,10 +16,10 @@ def bucket_counts(df: DataFrame, *columns: str) -> DataFrame:
     return stacked.groupBy("x.bucket", "x.key").agg(F.count(F.lit(1)).alias("count"))
 
 
-def rates(items: DataFrame) -> DataFrame:
-    """One row of shares: items with an error, with a warning, and with errors of a kind."""
+def rates(items: DataFrame, *by: str) -> DataFrame:
+    """One row of shares, or one for each value of ``by``: items with an error, with a warning, and with errors of a kind."""
     has = lambda column, word: F.avg(F.exists(column, lambda m: F.contains(m, F.lit(word))).cast("double"))
-    return items.agg(
+    return items.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg((F.size("errors") > 0).cast("double")).alias("error_rate"), F.avg((F.size("warnings") > 0).cast("double")).alias("warning_rate"),
         has("errors", "缺失或为空").alias("missing_rate"), has("errors", "非单段体裁").alias("paragraph_rate"), has("warnings", "年龄").alias("age_rate"), has("errors", "学术水平").alias("level_rate"),
     )
@@ -31,24 +31,26 @@ def distinct_n(df: DataFrame, tokens: Column, n: int) -> DataFrame:
     return df.select(X.bound(X.array_ngrams(tokens, n), share).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias(f"distinct_{n}"))
 
 
-def distinct_n_corpus(df: DataFrame, text: str, order: str, n: int) -> DataFrame:
-    """(distinct_n): share of distinct n-grams of blank-separated tokens over all rows joined in ``order``.
+def distinct_n_corpus(df: DataFrame, text: str, order: str, n: int, by: str | None = None) -> DataFrame:
+    """(distinct_n): share of distinct n-grams of blank-separated tokens over all rows joined in ``order``; with ``by``, (by, distinct_n) of the rows of each of its values.
 
     N-grams run on from row to row: rows are numbered and joined with the heads (first n - 1 tokens) of those after them.
     """
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
-    own = df.select(F.col(order).alias("_o"), tokens.alias("_t")).where(F.size("_t") > 0)
+    of = F.col(by) if by else F.lit(0)
+    own = df.select(of.alias("_of"), F.struct(of, F.col(order)).alias("_o"), tokens.alias("_t")).where(F.size("_t") > 0)
     if n > 1:
         own = numbered(own, "_o", "_row")
-        heads = own.select("_row", F.slice("_t", 1, n - 1).alias("_head"))
-        joined = own.select("_row", F.col("_t").alias("_all"))
+        heads = own.select("_of", "_row", F.slice("_t", 1, n - 1).alias("_head"))
+        joined = own.select("_of", "_row", F.col("_t").alias("_all"))
         for s in range(1, n):
-            joined = joined.join(heads.select((F.col("_row") - s).alias("_row"), F.col("_head").alias(f"_h{s}")), "_row", "left")
+            joined = joined.join(heads.select("_of", (F.col("_row") - s).alias("_row"), F.col("_head").alias(f"_h{s}")), ["_row", "_of"], "left")
         none = F.array().cast("array<string>")
         after = F.slice(F.concat(*(F.coalesce(f"_h{s}", none) for s in range(1, n))), 1, n - 1)
-        own = joined.select(F.concat("_all", after).alias("_t"))
-    grams = own.select(F.explode(X.array_ngrams(F.col("_t"), n)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
-    return grams.agg(F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("c")), F.lit(0.0)).alias(f"distinct_{n}"))
+        own = joined.select("_of", F.concat("_all", after).alias("_t"))
+    grams = own.select("_of", F.explode(X.array_ngrams(F.col("_t"), n)).alias("g")).groupBy("_of", "g").agg(F.count(F.lit(1)).alias("c"))
+    share = F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("c")), F.lit(0.0)).alias(f"distinct_{n}")
+    return grams.groupBy(F.col("_of").alias(by)).agg(share) if by else grams.agg(share)
 
 
 def hamming_moments(hashed: DataFrame, hash_col: str = "h") -> DataFrame:
@@ -60,22 +62,32 @@ def hamming_moments(hashed: DataFrame, hash_col: str = "h") -> DataFrame:
     return bits.select(pairs.alias("pairs"), F.coalesce(F.try_divide(differing.cast("double"), pairs), F.lit(0.0)).alias("mean"))
 
 
-def hamming_stats(hashed: DataFrame, max_pairs: int = 50_000, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
-    """(pairs, mean, std, mean_normalized, std_normalized) of distances: of all pairs if there are at most ``max_pairs``, else of
-    as many pairs of a row with the one that follows it in one of several hash orders (a sample, as the limit asks).
+def drawn_pairs(spark: SparkSession, n: int, most: int) -> DataFrame:
+    """(i, j): ``most`` different pairs of the numbers below ``n``, or all of them if there are no more.
+
+    All pairs are numbered and cut into as many runs of numbers as pairs are wanted, and one is drawn from each run by a hash of the run's number, so every
+    pair is as likely as any other up to the roundings of runs' lengths. Number p is the pair of p mod n and the number p div n + 1 places after it, around the end.
     """
-    own = hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h"))
-    n = own.count()
-    if n * (n - 1) // 2 <= max_pairs:
-        a, b = own.toDF("_i", "_x"), own.toDF("_j", "_y")
-        distances = a.join(b, F.col("_i") < F.col("_j")).select(X.hamming(F.col("_x"), F.col("_y")).alias("d"))
-    else:
-        rounds = max(1, -(-max_pairs // n))
-        keep = own.where(F.pmod(F.xxhash64("_id", F.lit("pairs")), F.lit(n)) < max_pairs // rounds)
-        spread = keep.select("_id", "_h", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r"))
-        order = Window.partitionBy("_r").orderBy(F.xxhash64("_id", "_r"), "_id")
-        distances = spread.select(X.hamming(F.col("_h"), F.lead("_h").over(order)).alias("d")).where("d is not null")
-    out = distances.agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std"))
+    total = n * (n - 1) // 2
+    wanted = min(most, total)
+    if not wanted:
+        return spark.createDataFrame([], "i long, j long")
+    each, rest = divmod(total, wanted)
+    low = lambda k: f"(cast({k} as decimal(10,0)) * {each}BD + cast(({k} * {rest}L) div {wanted}L as decimal(19,0)))"
+    hashed = "cast(conv(substring(md5(cast(id as string)), 1, 8), 16, 10) as decimal(10,0))"
+    runs = spark.range(wanted).select("id", F.expr(low("id")).cast("decimal(27,0)").alias("low"), F.expr(f"{low('(id + 1)')} - {low('id')}").cast("decimal(25,0)").alias("width"))
+    number = runs.select((F.col("low") + F.expr(f"({hashed} * width) div 4294967296BD").cast("decimal(19,0)")).cast("decimal(28,0)").alias("p"))
+    placed = number.select(F.expr(f"cast(p % {n}BD as bigint)").alias("i"), F.expr(f"p div {n}BD").alias("d"))
+    return placed.select("i", F.expr(f"(i + d + 1) % {n}L").alias("j"))
+
+
+def hamming_stats(hashed: DataFrame, max_pairs: int = 50_000, id_col: str = "doc_id", hash_col: str = "h") -> DataFrame:
+    """(pairs, mean, std, mean_normalized, std_normalized) of distances: of all pairs if there are at most ``max_pairs``, else of as many pairs
+    drawn from all (:func:`drawn_pairs`), which are joined with the rows by their ranks. Null hashes take no part."""
+    own = numbered(hashed.select(F.struct(F.col(id_col), F.col(hash_col)).alias("_o"), F.col(hash_col).alias("_h")).where("_h is not null"), "_o", "_r")
+    drawn = drawn_pairs(hashed.sparkSession, own.count(), max_pairs)
+    met = drawn.join(own.select(F.col("_r").alias("i"), F.col("_h").alias("_x")), "i").join(own.select(F.col("_r").alias("j"), F.col("_h").alias("_y")), "j")
+    out = met.select(X.hamming(F.col("_x"), F.col("_y")).alias("d")).agg(F.count(F.lit(1)).alias("pairs"), F.coalesce(F.avg("d"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("d"), F.lit(0.0)).alias("std"))
     return out.select("*", (F.col("mean") / 64).alias("mean_normalized"), (F.col("std") / 64).alias("std_normalized"))
 
 

@@ -12,7 +12,7 @@ from corvane.functions import text as X
 from corvane.functions.simhash import simhash64
 from corvane.operators import dedup, metrics, rules
 from corvane.operators.materialise import stored
-from corvane.sources.records import list_runs, normalised, numbered, read_records
+from corvane.sources.records import normalised, numbered, read_records, read_run_records
 from corvane.sources.sinks import save_report
 
 
@@ -83,14 +83,33 @@ def evaluate(spark: SparkSession, directory: str, profile: str = "full", thresho
     return Evaluation(summary, items, near_named, metrics.suspicious(items, "row_idx", top), buckets)
 
 
+def run_index(records: DataFrame, threshold: int = 3, top: int = 100) -> DataFrame:
+    """The index of all runs in ``records`` (run_id, path, place, record): every measure of the chunk evaluator for each run, in as many jobs for many runs as for one.
+
+    Rows are numbered once over all runs, whose paths keep their rows together; near pairs are sought by keys that hold the run, n-grams go on from record to record
+    within a run alone, and everything else is grouped by run.
+    """
+    own = numbered(records, "place")
+    f = stored(features(own, "chunk").join(own.select("row_idx", "run_id"), "row_idx"))
+    joined = f.withColumn("_text", F.concat_ws(" ", *(F.col(f"`{k}`") for k in S.PARAGRAPHS)))
+    index = metrics.rates(f, "run_id").join(dedup.pair_numbers(f, "run_id", threshold), "run_id", "left")
+    for n in (1, 2):
+        index = index.join(metrics.distinct_n_corpus(joined, "_text", "row_idx", n, "run_id"), "run_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    shares = [zero(F.col(k)) for k in ("missing_rate", "age_rate", "paragraph_rate", "level_rate", "distinct_1", "distinct_2")]
+    return index.select(
+        "run_id", F.col("n").alias("records"), "error_rate", "warning_rate", zero("distinct_1").alias("distinct_1"), zero("distinct_2").alias("distinct_2"),
+        F.least(F.coalesce("pairs", F.lit(0)), F.lit(top)).cast("long").alias("near_duplicate_pairs"), metrics.quality_score(*shares).alias("score_overall_0_100"),
+    )
+
+
 def evaluate_runs(spark: SparkSession, root: str, reports: str | None = None, threshold: int = 3, top: int = 100) -> DataFrame:
-    """The index of all runs below ``root`` that hold records, a run after the other; each one's report set goes below
-    ``reports``, if that is given."""
-    rows = []
-    for (run,) in list_runs(spark, root).collect():
-        e = evaluate(spark, f"{root}/{run}", "chunk", threshold, top, limit=None)
-        if e.summary["n"]:
-            if reports:
-                save_report(f"{reports}/{run}", e.summary, e.items, e.near, e.suspicious, e.buckets)
-            rows.append((run, *(e.summary[k] for k in ("n", "error_rate", "warning_rate", "distinct_1", "distinct_2", "near_duplicate_pairs", "score"))))
-    return spark.createDataFrame(rows, "run_id string, records long, error_rate double, warning_rate double, distinct_1 double, distinct_2 double, near_duplicate_pairs long, score_overall_0_100 double")
+    """The index of all runs below ``root`` that hold records. With ``reports``, each run's report set is written below it besides, which takes a run after
+    the other."""
+    index = run_index(read_run_records(spark, root), threshold, top)
+    if reports:
+        index = stored(index)
+        for (run,) in index.select("run_id").orderBy("run_id").collect():
+            e = evaluate(spark, f"{root}/{run}", "chunk", threshold, top, limit=None)
+            save_report(f"{reports}/{run}", e.summary, e.items, e.near, e.suspicious, e.buckets)
+    return index

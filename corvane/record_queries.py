@@ -19,7 +19,7 @@ from corvane.functions import text as X
 from corvane.functions.simhash import simhash64
 from corvane.operators import dedup, metrics, rules
 from corvane.operators.materialise import shared_folder, stored
-from corvane.plans import quota
+from corvane.plans import evaluate, quota
 from corvane.queries import _DISTANCE, _HASHES, _hashed, _table, query
 from corvane.sources import records as R
 from corvane.sources import sinks as K
@@ -521,7 +521,7 @@ def run_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH c AS (SELECT (c_custkey - 1) // 100 + 1 AS chunk_no, count(*) AS records FROM customer WHERE c_custkey > 0 GROUP BY 1) SELECT chunk_no::BIGINT AS chunk_no, records::BIGINT AS records FROM c ORDER BY 1 DESC LIMIT 1")
 def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.progress(R.read_records(spark, _run_of(spark, sf_dir), chunked=True))
+    return R.progress(R.read_last_chunk(spark, _run_of(spark, sf_dir)))
 
 
 @query("SELECT min(i)::BIGINT AS next_sid FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 100)) AS i) WHERE i NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 < 2)")
@@ -561,18 +561,60 @@ def merged_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.preview(R.read_records(spark, _merged(spark, sf_dir))).select(J.field("record", "id", "long").alias("id"))
 
 
-_SCHEDULE = [(1, "初一", "男"), (2, "高一", "女"), (None, "初一", "男"), (2, "高三", "女"), (7, "二年级", "男")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, '初一', '男'), (2::BIGINT, '高三', '女'), (7::BIGINT, '二年级', '男')) s(sid, grade, gender)")
+@query("""WITH e AS (SELECT c_custkey AS pos, c_custkey % 9 AS kind, CASE WHEN c_custkey % 9 = 4 THEN c_custkey // 2 ELSE c_custkey END AS sid, 'N' || c_nationkey AS grade, c_mktsegment AS gender FROM customer WHERE c_custkey > 0)
+SELECT sid::BIGINT AS sid, arg_max(grade, pos) AS grade, arg_max(gender, pos) AS gender FROM e WHERE kind NOT IN (1, 2, 3) GROUP BY sid""")
 def schedule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A schedule file with an element without sid, one that is no object, and a sid that comes twice."""
-    items = [{"sid": s, "slot": {"年级": g, "性别": x}} for s, g, x in _SCHEDULE] + [5, {"sid": "9", "slot": {"年级": "初一"}}, {"sid": 8, "slot": None}]
+    """A schedule file with a slot for each customer, among them elements that are no objects, sids that are no numbers, slots that are none, and sids that come twice."""
+    c, kind = F.col("c_custkey"), F.col("c_custkey") % 9
+    slot = F.to_json(F.struct(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("年级"), F.col("c_mktsegment").alias("性别")))
+    of = lambda sid, what: F.concat(F.lit('{"sid":'), sid, F.lit(',"slot":'), what, F.lit("}"))
+    item = F.when(kind == 1, F.lit("5")).when(kind == 2, of(F.concat(F.lit('"'), c.cast("string"), F.lit('"')), slot)).when(kind == 3, of(c.cast("string"), F.lit("null")))
+    item = item.when(kind == 4, of(F.floor(c / 2).cast("string"), slot)).otherwise(of(c.cast("string"), slot))
+    # A schedule is one JSON array, which is one row whoever writes it.
+    items = _table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.struct(c.alias("c"), item.alias("item")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("l"))
     path = f"{_folder(spark)}/schedule.json"
-    spark.createDataFrame([(json.dumps(items, ensure_ascii=False),)], "value string").coalesce(1).write.text(path)
+    items.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["item"]), ","), F.lit("]"))).write.text(path)
     return R.read_schedule(spark, path).select("sid", F.col("slot.`年级`").alias("grade"), F.col("slot.`性别`").alias("gender"))
 
 
+_ERRORS_CHUNK = f"list_concat(list_concat({_required(S.REQUIRED, '缺失或为空：')}, {_ACADEMIC}), list_concat({_messages(_case(f'NOT {_NAME_CHUNK}', _NAME_MESSAGE))}, {_PARAGRAPHS}))"
+_WARNINGS_CHUNK = f"list_concat(list_concat({_VALUE_WORDS}, {_CREATIVITY_WORDS}), list_concat({_PSYCHOLOGY_WORDS}, {_age_grade(S.GRADE_AGES_CHUNK)}))"
+_RUN_HASHES = _HASHES.replace("documents", "keyed")
+
+
+def _run_distinct(n: int) -> str:
+    gram = "w" if n == 1 else "w || chr(1) || lead(w) OVER o"
+    return f"(SELECT run_id, count(DISTINCT g)::DOUBLE / count(g) AS distinct_{n} FROM (SELECT run_id, {gram} AS g FROM words_of WINDOW o AS (PARTITION BY run_id ORDER BY key, i)) WHERE g IS NOT NULL GROUP BY run_id)"
+
+
+@query(f"""WITH {_RECORDS}, items AS MATERIALIZED (SELECT key, 'run=' || (key % 4) AS run_id, {_ERRORS_CHUNK} AS errors, {_WARNINGS_CHUNK} AS warnings, {_KEY_TEXT} AS text, {_V} || ' ' || {_C} || ' ' || {_P} AS joined FROM texts),
+keyed AS MATERIALIZED (SELECT key AS doc_id, text FROM items), {_RUN_HASHES.strip()},
+h AS (SELECT i.run_id, hashed.h FROM hashed JOIN items i ON i.key = hashed.doc_id), c AS (SELECT run_id, h, count(*) AS c FROM h GROUP BY 1, 2),
+near AS (SELECT run_id, sum(p) AS p FROM (SELECT run_id, c * (c - 1) // 2 AS p FROM c UNION ALL SELECT a.run_id, a.c * b.c FROM c a JOIN c b ON a.run_id = b.run_id AND a.h < b.h AND (a.h >> 48) = (b.h >> 48) AND bit_count(xor(a.h, b.h)) <= 3) GROUP BY 1),
+words_of AS MATERIALIZED (SELECT run_id, key, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT run_id, key, list_filter(regexp_split_to_array(joined, '{_BLANK}+'), lambda x: x <> '') AS l FROM items)),
+r AS (SELECT run_id, count(*)::BIGINT AS records, avg((len(errors) > 0)::INT)::DOUBLE AS error_rate, avg((len(warnings) > 0)::INT)::DOUBLE AS warning_rate, {_share('errors', '缺失或为空')} AS m, {_share('errors', '非单段体裁')} AS p,
+  {_share('warnings', '年龄')} AS a, {_share('errors', '学术水平')} AS l FROM items GROUP BY 1)
+SELECT run_id, records, error_rate, warning_rate, distinct_1, distinct_2, least(100, near.p)::BIGINT AS near_duplicate_pairs,
+  25 * (1 - m) + 25 * (1 - a) + 15 * (1 - r.p) + 20 * least(greatest(distinct_1 / 0.4 * 0.5 + distinct_2 / 0.6 * 0.5, 0), 1) + 15 * (1 - l) AS score_overall_0_100
+FROM r JOIN near USING (run_id) JOIN {_run_distinct(1)} d1 USING (run_id) JOIN {_run_distinct(2)} d2 USING (run_id)""")
+def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index over four runs that hold the customers' records in the order of their keys."""
+    root = _folder(spark)
+    lines = _lines(spark, sf_dir).select((F.col("key") % 4).alias("run"), F.lit("students_chunk_1.jsonl").alias("chunk"), "key", F.col("line").alias("value"))
+    # Ranges of keys, each sorted: files are named by range, and their names' order is that of the keys.
+    lines.repartitionByRange(3, "key").sortWithinPartitions("run", "key").drop("key").write.partitionBy("run", "chunk").text(root)
+    return evaluate.run_index(R.read_run_records(spark, root))
+
+
+@query(f"""WITH {_HASHES}, r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS r, h FROM hashed), s AS (SELECT count(*)::HUGEINT AS n, count(*)::HUGEINT * (count(*) - 1) // 2 AS t FROM hashed),
+k AS (SELECT k::HUGEINT AS k, n, t, least(50000, t) AS m FROM (SELECT unnest(range(50000)) AS k), s), p AS (SELECT n, k * t // m + (('0x' || substr(md5(k::VARCHAR), 1, 8))::UBIGINT::HUGEINT * ((k + 1) * t // m - k * t // m)) // 4294967296 AS p FROM k WHERE k < m),
+ij AS (SELECT (p % n)::BIGINT AS i, ((p % n + p // n + 1) % n)::BIGINT AS j FROM p), d AS (SELECT {_DISTANCE} AS d FROM ij JOIN r a ON a.r = i JOIN r b ON b.r = j)
+SELECT count(*)::BIGINT AS pairs, avg(d)::DOUBLE AS mean, stddev_pop(d)::DOUBLE AS std, avg(d)::DOUBLE / 64 AS mean_normalized, stddev_pop(d)::DOUBLE / 64 AS std_normalized FROM d""")
+def hamming_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 50,000 pairs of documents drawn from all, for the table has more."""
+    return metrics.hamming_stats(stored(_hashed(spark, sf_dir)))
+
+
 # --- plans -----------------------------------------------------------------------------------------------------------------------
 
 _QUOTA = [("初一", "男", "理科向"), ("初二", "女", "文社向"), ("高一", "男", "艺体向")]

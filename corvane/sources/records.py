@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,11 +18,12 @@ from corvane import schema as S
 from corvane.functions import json_text as J
 from corvane.functions.text import stripped
 from corvane.operators.materialise import stored
+from corvane.sources.files import Files
 
 #: Chunks are files, or directories of parts that the append sink writes.
 MERGED, CHUNKS = "merged_students.jsonl", "*students_chunk_*.jsonl"
-#: Most names of providers: failures are matched against each of them.
-MOST_NAMES = 10_000
+#: Bytes of the providers' names that are searched for in one pass over failures.
+NAME_BYTES = 4 << 20
 _RUN = r"([^/]+)/[^/]*students_chunk_\d+\.jsonl"
 
 
@@ -61,9 +65,10 @@ def line_counts(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def list_runs(spark: SparkSession, root: str) -> DataFrame:
-    """(run_id) of the directories below ``root`` that hold chunks, by name."""
-    files = spark.read.format("binaryFile").load(f"{root}/*/{CHUNKS}").select("path")
-    return files.select(F.regexp_extract("path", _RUN, 1).alias("run_id")).distinct().orderBy("run_id")
+    """(run_id) of the directories below ``root`` that hold chunks, by name; directories are listed, no file is opened."""
+    files = Files(spark, root)
+    runs = [(n,) for n in files.names() if any(re.search(r"students_chunk_\d+\.jsonl$", c) for c in files.names(n))]
+    return spark.createDataFrame(runs, "run_id string").orderBy("run_id")
 
 
 def read_run_records(spark: SparkSession, root: str) -> DataFrame:
@@ -111,15 +116,30 @@ def chunk_number(path: str = "path"):
     return F.regexp_extract(path, r"students_chunk_(\d+)\.jsonl", 1).try_cast("long")
 
 
+def last_chunk(spark: SparkSession, directory: str) -> str | None:
+    """The path of the chunk of the largest number, from the directory's listing alone."""
+    found = [(int(m.group(1)), n) for n in Files(spark, directory).names() if (m := re.search(r"students_chunk_(\d+)\.jsonl$", n))]
+    return f"{directory}/{max(found)[1]}" if found else None
+
+
+def read_last_chunk(spark: SparkSession, directory: str) -> DataFrame:
+    """(path, place, record) of the last chunk's objects; nothing else is read."""
+    path = last_chunk(spark, directory)
+    if path is None:
+        return read_records(spark, directory, chunked=True)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return parsed(read_lines(spark, path)).where(J.kind_of(F.col("record")) == "object")
+
+
 def progress(records: DataFrame) -> DataFrame:
-    """(chunk_no, records) of the chunk of the largest number; one row, or none without chunks."""
+    """(chunk_no, records) of the chunk of the largest number; one row, or none without chunks. Given :func:`read_last_chunk`, it reads that one alone."""
     counts = records.groupBy(chunk_number().alias("chunk_no")).agg(F.count(F.lit(1)).alias("records"))
     best = counts.agg(F.max(F.struct("chunk_no", "records")).alias("b")).where("b is not null")
     return best.select("b.chunk_no", "b.records")
 
 
 def preview(records: DataFrame, n: int = 6) -> DataFrame:
-    """The last ``n`` records in their order."""
+    """The last ``n`` records in their order, of :func:`read_last_chunk` or of a whole run."""
     return records.orderBy(F.desc("place")).limit(n).orderBy("place")
 
 
@@ -134,16 +154,54 @@ def read_meta(spark: SparkSession, directory: str) -> dict:
         raise
 
 
+@functools.lru_cache(2)
+def _automaton(names: tuple[str, ...]):
+    """Finds all names in one pass over a text; kept for a worker's next tasks."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for n, name in enumerate(names):
+        found.add_word(name, n)
+    found.make_automaton()
+    return found
+
+
+def rows_with_names(rows: DataFrame, names: list[str], text: str) -> DataFrame:
+    """(name, rows): in how many rows' ``text`` each of the ``names`` stands; partial counts of a task, one row for each name that it found."""
+    some = tuple(names)
+
+    def run(batches):
+        automaton, counts = _automaton(some), {}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for n in {n for _, n in automaton.iter(t)} if t else ():
+                    counts[n] = counts.get(n, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([some[n] for n in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["name", "rows"])
+
+    return rows.select(text).mapInArrow(run, "name string, rows long")
+
+
 def failures_by_provider(failures: DataFrame, names: DataFrame, error: str = "error") -> DataFrame:
     """(name, failures): rows of ``failures`` whose text holds a provider's name in any case, most first; names without failures have 0.
 
-    ``names`` is a configured list and is broadcast; one of more than ``MOST_NAMES`` names is refused.
+    Texts are searched by an automaton of all names, so time grows with the texts and not with texts times names. Names are taken in blocks of ``NAME_BYTES``,
+    each of which is one pass. An empty name is in every text; a null name or text in none.
     """
-    if len(names.select("name").take(MOST_NAMES + 1)) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} provider names")
-    hit = failures.join(F.broadcast(names.select("name")), F.contains(F.lower(F.col(error)), F.lower(F.col("name"))))
-    counts = hit.groupBy("name").agg(F.count(F.lit(1)).alias("failures"))
-    return names.select("name").join(counts, "name", "left").select("name", F.coalesce("failures", F.lit(0)).cast("long").alias("failures")).orderBy(F.desc("failures"), "name")
+    rows = failures.select(F.lower(F.col(error)).alias("_text")).where("_text is not null")
+    lowered = names.select(F.lower("name").alias("_name")).where("_name <> ''").distinct()
+    parts = [rows.agg(F.lit("").alias("name"), F.count(F.lit(1)).alias("rows"))]
+    block, size = [], 0
+    for (name,) in lowered.toLocalIterator():
+        block.append(name)
+        size += len(name.encode())
+        if size >= NAME_BYTES:
+            parts.append(rows_with_names(rows, sorted(block), "_text"))
+            block, size = [], 0
+    if block:
+        parts.append(rows_with_names(rows, sorted(block), "_text"))
+    found = functools.reduce(DataFrame.unionByName, parts).groupBy(F.col("name").alias("_name")).agg(F.sum("rows").alias("failures"))
+    own = names.select("name", F.lower("name").alias("_name"))
+    return own.join(found, "_name", "left").select("name", F.coalesce("failures", F.lit(0)).cast("long").alias("failures")).orderBy(F.desc("failures"), "name")
 
 
 @dataclass

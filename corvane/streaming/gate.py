@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulP
 
 from corvane.functions.text import hamming
 from corvane.operators.dedup import block_keys, gate
-from corvane.streaming.state import Files, keyed_state, write_batch
+from corvane.streaming.state import keyed_state, write_batch
 
 #: Groups that the state's keys are dealt to. It is part of a stream's state: a stream goes on with the number it began with.
 SHARDS = 64

@@ -1,9 +1,11 @@
-"""What streams of several modules share: the state store, files of a stream's own, committed batches."""
+"""What streams of several modules share: the state store and committed batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.sources.files import Files
+
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -13,35 +15,6 @@ def keyed_state(spark: SparkSession) -> None:
     spark.conf.set(_PROVIDER, ROCKS)
 
 
-class Files:
-    """A folder in any store that Spark reads."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self._jvm = spark.sparkContext._jvm
-        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.path = path
-
-    def _at(self, name: str):
-        path = self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        return path.getFileSystem(self._conf), path
-
-    def exists(self, name: str = "") -> bool:
-        fs, path = self._at(name)
-        return fs.exists(path)
-
-    def make(self, name: str = "") -> None:
-        fs, path = self._at(name)
-        fs.mkdirs(path)
-
-    def names(self, name: str = "") -> list[str]:
-        fs, path = self._at(name)
-        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-
-    def delete(self, name: str) -> None:
-        fs, path = self._at(name)
-        fs.delete(path, True)
-
-
 def write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
     """Write a batch so that it counts as a whole or not at all: its directory first, then the mark that it is complete. A batch that is run again
     takes its mark away first and replaces the directory."""

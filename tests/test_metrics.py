@@ -90,6 +90,21 @@ def test_hamming(spark, hashes):
     assert metrics.hamming_stats(frame(spark, [])).first()["mean"] == 0.0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 25, 26])
+def test_drawn_pairs_are_different_and_all_there(spark, n):
+    pairs = lambda most: [frozenset(r) for r in metrics.drawn_pairs(spark, n, most).collect()]
+    assert sorted(map(sorted, pairs(10_000))) == [[i, j] for i in range(n) for j in range(i + 1, n)]
+    some = pairs(20)
+    assert len(set(some)) == len(some) == min(20, n * (n - 1) // 2) and all(len(p) == 2 for p in some)
+
+
+def test_drawn_pairs_of_many_rows(spark):
+    n = 6 * 10**9
+    rows = metrics.drawn_pairs(spark, n, 2000).collect()
+    assert len({frozenset(r) for r in rows}) == 2000 and all(0 <= r.i < n and 0 <= r.j < n and r.i != r.j for r in rows)
+    assert 0.45 < sum(r.i for r in rows) / 2000 / n < 0.55 and 0.45 < sum(r.j for r in rows) / 2000 / n < 0.55
+
+
 def test_distinct_n(spark):
     texts = ["a b", "abab", "", "c"]
     df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")

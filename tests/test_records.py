@@ -69,6 +69,50 @@ def test_index_of_runs_has_all_measures(spark, tmp_path):
         assert spark.read.json(str(tmp_path / "eval" / run / "per_item.jsonl")).count() == r.records
 
 
+def test_index_of_many_runs_takes_no_more_jobs(spark, tmp_path):
+    for run in range(6):
+        write(tmp_path / f"r{run}" / "students_chunk_1.jsonl", [good(1), good(2, 姓名="x" * (run + 1)), good(1), good(3, 价值观="另一段 文字 " * 9), good(4, 价值观=f"第 {run} 段 话")])
+        write(tmp_path / f"r{run}" / "students_chunk_2.jsonl", [good(5), good(6)][: run % 3])
+    tracker, taken = spark.sparkContext.statusTracker(), []
+    for n in (2, 6):
+        spark.sparkContext.setJobGroup(f"runs{n}", "index")
+        records = R.read_run_records(spark, str(tmp_path)).where(F.col("run_id") < f"r{n}")
+        rows = {r.run_id: r for r in evaluate.run_index(records).collect()}
+        taken.append(len(tracker.getJobIdsForGroup(f"runs{n}")))
+        assert len(rows) == n
+    spark.sparkContext.setJobGroup("", "")
+    assert abs(taken[1] - taken[0]) <= 3
+    for run in (0, 5):
+        s = evaluate.evaluate(spark, str(tmp_path / f"r{run}"), "chunk", limit=None).summary
+        r = rows[f"r{run}"]
+        assert (r.records, r.error_rate, r.warning_rate, r.near_duplicate_pairs) == tuple(s[k] for k in ("n", "error_rate", "warning_rate", "near_duplicate_pairs"))
+        assert (r.distinct_1, r.distinct_2, r.score_overall_0_100) == pytest.approx((s["distinct_1"], s["distinct_2"], s["score"]))
+
+
+def test_last_chunk_alone_is_read(spark, tmp_path):
+    for n in (1, 9, 10):
+        write(tmp_path / f"students_chunk_{n}.jsonl", [good(n * 10 + k) for k in range(n)])
+    last = R.read_last_chunk(spark, str(tmp_path))
+    assert [f.rsplit("/", 1)[1] for f in last.inputFiles()] == ["students_chunk_10.jsonl"]
+    assert tuple(R.progress(last).first()) == tuple(R.progress(R.read_records(spark, str(tmp_path), chunked=True)).first()) == (10, 10)
+    assert [json.loads(r[0])["id"] for r in R.preview(last, 2).select(F.to_json("record")).collect()] == [108, 109]
+    (tmp_path / "none").mkdir()
+    assert R.last_chunk(spark, str(tmp_path / "none")) is None
+
+
+def test_names_in_failures_by_automaton(spark, monkeypatch):
+    names = ["QWEN-1", "qwen-12", "", None, "a", "QWEN-2", "nobody", "Ä.B|*"]
+    texts = ["x qwen-12 QWEN-12", "QWEN-1", None, "", "ä.b|* qwen-2", "b"] * 3
+    frames = spark.createDataFrame([(t,) for t in texts], "error string"), spark.createDataFrame([(n,) for n in names], "name string")
+    wanted = {n: sum(n is not None and t is not None and n.lower() in t.lower() for t in texts) for n in names}
+    for most in (R.NAME_BYTES, 8):  # several passes
+        monkeypatch.setattr(R, "NAME_BYTES", most)
+        rows = R.failures_by_provider(*frames).collect()
+        assert {r.name: r.failures for r in rows} == wanted and [r.failures for r in rows] == sorted(wanted.values(), reverse=True)
+    many = spark.range(12_000).select(F.format_string("name%dx", "id").alias("name"))
+    assert R.failures_by_provider(frames[0].limit(1).select(F.lit("Name77x name11999x").alias("error")), many).where("failures > 0").count() == 2
+
+
 def test_schedules(spark, tmp_path):
     slot = {"年级": "初一", "性别": "男", "优势学科偏向": ["理科向"], "目标学术水平": S.LEVELS[0]}
     write(tmp_path / "ui.json", [json.dumps([{"sid": 1, "slot": slot}, {"sid": "2", "slot": slot}, {"sid": 3, "slot": None}, 5, {"sid": 1, "slot": slot | {"年级": "初二"}}])])
