@@ -138,15 +138,19 @@ def paragraph_lengths(shortest: int = S.SHORTEST, longest: int = S.LONGEST) -> C
     return when(*cases)
 
 
+def _similarities(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column]:
+    return X.jaccard(a, b), X.jaccard(a, c), X.jaccard(b, c)
+
+
 def paragraph_similarities() -> dict[str, Column]:
     """Character-set similarity of the three paragraphs, pair by pair."""
-    sets = {k: X.char_set(_col(k)) for k in S.PARAGRAPHS}
-    a, b, c = S.PARAGRAPHS
-    return {"val_cre": X.jaccard(sets[a], sets[b]), "val_psy": X.jaccard(sets[a], sets[c]), "cre_psy": X.jaccard(sets[b], sets[c])}
+    return dict(zip(("val_cre", "val_psy", "cre_psy"), _similarities(*(X.char_set(_col(k)) for k in S.PARAGRAPHS)), strict=True))
 
 
 def template_like() -> Column:
-    return when((F.greatest(*paragraph_similarities().values()) >= S.TEMPLATE_SIMILARITY, "价值观/创造力/心理健康文本高度相似，疑似模板化"))
+    # The three sets are built once for the three pairs.
+    most = X.bound(F.array(*(X.char_set(_col(k)) for k in S.PARAGRAPHS)), lambda sets: F.greatest(*_similarities(*(F.get(sets, F.lit(i)) for i in range(3)))))
+    return when((most >= S.TEMPLATE_SIMILARITY, "价值观/创造力/心理健康文本高度相似，疑似模板化"))
 
 
 def profile(name: str) -> list[Rule]:

@@ -109,6 +109,7 @@ def test_names_in_failures_by_automaton(spark, monkeypatch):
         monkeypatch.setattr(R, "NAME_BYTES", most)
         rows = R.failures_by_provider(*frames).collect()
         assert {r.name: r.failures for r in rows} == wanted and [r.failures for r in rows] == sorted(wanted.values(), reverse=True)
+    monkeypatch.undo()
     many = spark.range(12_000).select(F.format_string("name%dx", "id").alias("name"))
     assert R.failures_by_provider(frames[0].limit(1).select(F.lit("Name77x name11999x").alias("error")), many).where("failures > 0").count() == 2
 

@@ -12,6 +12,7 @@ from corvane.operators.dedup import gate
 from corvane.streaming import compose as C
 from corvane.streaming import gate as T
 from corvane.streaming import limiter as L
+from corvane.streaming import monitor as M
 from corvane.streaming import retry as R
 from corvane.streaming import window as W
 from corvane.streaming.state import committed
@@ -185,3 +186,28 @@ def test_busy_calls_are_asked_again_by_timers(spark, tmp_path):
             result = None
         assert (got[key].result, got[key].tries) == (result, FLAKY[key]) and list(got[key].pauses) == pytest.approx(pauses)
         assert (got[key].status == 200) == (result is not None)
+
+
+def test_monitor_shows_limiters_while_they_run(spark, tmp_path):
+    frames = [pd.DataFrame([(f"p{p}", float(b * 10 + i), (i + p) % 5 == 0, float(p)) for p in range(3) for i in range(10)], columns=["provider", "seconds", "violation", "latency"]) for b in range(3)]
+    src = parts(tmp_path / "in", frames)
+    stream = spark.readStream.schema("provider string, seconds double, violation boolean, latency double").option("maxFilesPerTrigger", 1).parquet(src)
+    from corvane.streaming.state import keyed_state
+
+    keyed_state(spark)
+    monitor = M.Monitor(spark)
+    try:
+        q = monitor.watched(L.limiter_stream(stream)).queryName("limits").option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        now = {r.provider: r for r in monitor.snapshots().collect()}  # while it runs
+        assert q.isActive and sorted(now) == ["p0", "p1", "p2"] and all((r.batch, r.calls) == (2, 30) for r in now.values())
+        assert [r.provider for r in monitor.worst(2).collect()] == sorted(now, key=lambda p: (-now[p].score, p))[:2]
+        q.stop()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        rows = monitor.reports().where("name = 'limits' and rows > 0").collect()
+        assert [(r.batch, r.rows, r.state) for r in rows] == [(0, 30, "ended"), (1, 30, "ended"), (2, 30, "ended")] and rows[-1].state_rows == 3
+        for _ in range(M.REPORTS + 5):
+            monitor._reports[rows[0].query].append(monitor._reports[rows[0].query][0])
+        assert len(monitor._reports[rows[0].query]) == M.REPORTS
+    finally:
+        monitor.stop()
