@@ -43,7 +43,9 @@ def append_records(records: DataFrame, completed: DataFrame, directory: str, chu
     line = F.to_json("record") if keep_as_is else canonical("record")
     fresh = records.select("sid", line.alias("value")).dropDuplicates(["sid"]).join(completed.select("sid"), "sid", "left_anti")
     fresh = stored(fresh.withColumn("chunk", F.format_string("students_chunk_%d.jsonl", chunk_no(F.col("sid"), chunk_size))))
-    fresh.repartition("chunk").select("chunk", "value").write.mode("append").partitionBy("chunk").text(directory)
+    # As many writers as the session's shuffles have, for each opens a file for every chunk that it gets.
+    writers = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fresh.repartition(writers, "chunk").select("chunk", "value").write.mode("append").partitionBy("chunk").text(directory)
     return fresh.select("sid")
 
 
