@@ -25,17 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, which :func:`clear` deletes."""
+    path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and prunes columns."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
-    """Delete all that :func:`stored` has written in this process, once results that depend on it are written; gives the number of tables."""
+    """Delete all that :func:`stored` has written in this process, and the other folders of :func:`new_folder`, once results that depend on it are written; gives the number of tables."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     n = len(_written)
     while _written:

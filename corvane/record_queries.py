@@ -8,7 +8,6 @@ functions of JSON and text.
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from corvane.functions import json_text as J
 from corvane.functions import text as X
 from corvane.functions.simhash import simhash64
 from corvane.operators import dedup, metrics, rules
-from corvane.operators.materialise import shared_folder, stored
+from corvane.operators.materialise import new_folder, stored
 from corvane.plans import evaluate, quota
 from corvane.queries import _DISTANCE, _HASHES, _hashed, _table, query
 from corvane.sources import records as R
@@ -495,13 +494,9 @@ def record_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sources and sinks, through files in the shared folder ---------------------------------------------------------------------------
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/corvane-{uuid.uuid4().hex}"
-
-
 def _run_of(spark: SparkSession, sf_dir: str) -> str:
     """A run whose first two thirds of the customers' records were appended, and then all of them."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     records = _records(spark, sf_dir).where("key > 0").select(F.col("key").alias("sid"), "record")
     none = spark.createDataFrame([], "sid long")
     K.append_records(records.where("sid % 3 < 2"), none, folder, 100)
@@ -529,7 +524,7 @@ def run_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT min(i)::BIGINT AS next_sid FROM (SELECT unnest(range(1, (SELECT count(*) FROM customer) + 100)) AS i) WHERE i NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 < 2)")
 def run_next_sid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest sid that a run lacks, from the ids in its files."""
-    folder = _folder(spark)
+    folder = new_folder(spark)
     K.append_records(_records(spark, sf_dir).where("key % 3 < 2").select(F.col("key").alias("sid"), "record"), spark.createDataFrame([], "sid long"), folder, 100)
     done = R.completed_ids(R.read_records(spark, folder, chunked=True))
     return spark.createDataFrame([(K.next_sid(done, _table(spark, sf_dir, "customer").count() + 99),)], "next_sid long")
@@ -540,7 +535,7 @@ _MERGED = f"{_LINES}, m AS (SELECT key, CASE key % 5 WHEN 1 THEN '   ' WHEN 2 TH
 
 def _merged(spark: SparkSession, sf_dir: str) -> str:
     """A merged file with blank lines, lines that are no objects and broken ones, in the order of the keys."""
-    folder, key = _folder(spark), F.col("key") % 5
+    folder, key = new_folder(spark), F.col("key") % 5
     odd = F.when(key == 1, "   ").when(key == 2, "[1]").when(key == 3, F.expr("substring(line, 3)")).otherwise(F.col("line"))
     _lines(spark, sf_dir).orderBy("key").select(odd.alias("value")).coalesce(1).write.text(f"{folder}/{R.MERGED}")
     return folder
@@ -574,7 +569,7 @@ def schedule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = item.when(kind == 4, of(F.floor(c / 2).cast("string"), slot)).otherwise(of(c.cast("string"), slot))
     # A schedule is one JSON array, which is one row whoever writes it.
     items = _table(spark, sf_dir, "customer").where("c_custkey > 0").select(F.struct(c.alias("c"), item.alias("item")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("l"))
-    path = f"{_folder(spark)}/schedule.json"
+    path = f"{new_folder(spark)}/schedule.json"
     items.select(F.concat(F.lit("["), F.array_join(F.transform("l", lambda x: x["item"]), ","), F.lit("]"))).write.text(path)
     return R.read_schedule(spark, path).select("sid", F.col("slot.`年级`").alias("grade"), F.col("slot.`性别`").alias("gender"))
 
@@ -601,7 +596,7 @@ SELECT run_id, records, error_rate, warning_rate, distinct_1, distinct_2, least(
 FROM r JOIN near USING (run_id) JOIN {_run_distinct(1)} d1 USING (run_id) JOIN {_run_distinct(2)} d2 USING (run_id)""")
 def run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index over four runs that hold the customers' records in the order of their keys."""
-    root = _folder(spark)
+    root = new_folder(spark)
     lines = _lines(spark, sf_dir).select((F.col("key") % 4).alias("run"), F.lit("students_chunk_1.jsonl").alias("chunk"), "key", F.col("line").alias("value"))
     # Ranges of keys, each sorted: files are named by range, and their names' order is that of the keys.
     lines.repartitionByRange(3, "key").sortWithinPartitions("run", "key").drop("key").write.partitionBy("run", "chunk").text(root)
