@@ -7,13 +7,17 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
 1. Documents of equal sets fold into the one of smallest id, by counting sums that combine before the shuffle.
 2. Each member of a band bucket is compared with the smallest id, the hub, of each of its buckets. Sizes and sketches filter, full sets
    confirm; connected components follow.
-3. Buckets whose members are then all in one component are done: no link between them could change it. In the others,
-   members of different components are compared inside the join. There the parities of whole sets decide: the population count
-   of their XOR never exceeds the number of shingles in one set alone, so no link is lost, and of ``SET_BITS`` parities few are
-   hit twice, so what comes out of the join is links and next to nothing else.
-   A sample of the pairs, chosen by a hash of the pair, shows how many links there are. Where they are more than ``GROWTH`` a
-   member, those found are contracted first, then those of a sample ``GROWTH`` times as large, and so on; by the sampling lemma
-   for spanning forests about ``GROWTH`` links a member at most are left for any round to find, however many a bucket holds.
+3. Buckets whose members are then all in one component are done: no link between them could change it. Members of the others
+   are compared across components, in buckets of at most ``WIDE`` members as they are. Members of wider ones, which a text that many pages
+   share may fill, get finer keys instead, if these take fewer comparisons: two sets at the level must share one of the rarest quarter of their shingles, in any order that is
+   the same for all. The order is by counts of the shingles in these documents, so what many share comes last and makes no key, and
+   shingles of one document alone make none either. Sets of 512 shingles or more are thinned by hash to 256 to 512 first, alike for all sets of
+   about one size, and a larger share makes keys, so that a link is missed with probability ``THIN_MISS`` at most.
+4. Inside the joins the parities of whole sets decide: the population count of their XOR never exceeds the number of shingles
+   in one set alone, so no link is lost, and of ``SET_BITS`` parities few are hit twice, so what comes out is links and next to nothing else.
+   First members are dealt into groups by a hash, and only pairs within a group are compared, about ``GROWTH`` a member. Where that finds
+   more than ``GROWTH`` links a member for its share of the pairs, they are contracted and a sample ``GROWTH`` times as large follows. At
+   last all pairs across components are compared, but for settled buckets; those over ``TILE`` members are dealt out in tiles of two blocks.
 
 A pair at the level is missed by all bands with probability (1 - level^ROWS)^BANDS, 6e-6 for 0.75, and by its sketches with at
 most ``SKETCH_MISS``; above the level both fall fast. Nothing is collected to the driver but counts.
@@ -46,6 +50,15 @@ SET_BITS = 8192
 GROWTH = 16
 #: Pairs with one hub that a join takes together; the hub's row is sent as often as it needs more.
 TOGETHER = 256
+#: Unsettled buckets with more members get finer keys.
+WIDE = 64
+#: Least size of a thinned set; sets of less than twice as many shingles aren't thinned.
+THIN = 256
+THIN_MISS = 1e-6
+#: Logarithm of the most counters that order the shingles, a byte each when they are sent; fewer than shingles cost time only.
+MOST_COUNTERS = 24
+#: Members of a bucket in one block; a task compares two blocks at most.
+TILE = 4096
 #: Logarithm of the most bits of the bitmap of wanted documents: 32 MB.
 MOST_BITS = 28
 
@@ -155,6 +168,33 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return batched(docs.select(id_col, text_col)).mapInArrow(run, "_id long, _n long, _k1 long, _k2 long, _keys array<long>, _sketch array<long>")
 
 
+def thinning(n: int) -> int:
+    """How often sets of ``n`` shingles are halved by hash: to ``THIN`` shingles or a little more, sets of less than twice as many never."""
+    return 0 if n < 2 * THIN else (n // THIN).bit_length() - 1
+
+
+def key_share(size: int, thinned: bool) -> int:
+    """How many of the first shingles, in an order that all sets share, must hold one of any other set that reaches the level.
+
+    Of a thinned set of ``size`` the common share is by Hoeffding's bound, with probability ``THIN_MISS``, no smaller than taken here.
+    """
+    common = -(-LEVEL * size // 100)
+    if thinned and size:
+        common = max(0, math.ceil(size * (LEVEL / 100 - math.sqrt(-math.log(THIN_MISS / 2) / (2 * size)))))
+    return min(size, size - common + 1)
+
+
+def thinned_tokens(own: np.ndarray) -> list[tuple[bool, np.ndarray]]:
+    """The sorted set ``own`` thinned for its own size, and for the next size too if a set at the level may be that large: whether it is
+    thinned, and hashes of its shingles and the thinning."""
+    out = []
+    for k in sorted({thinning(len(own)), thinning(-(-100 * len(own) // LEVEL))}):
+        part = own[: np.searchsorted(own, np.uint64(1 << (64 - k)))] if k else own
+        with np.errstate(over="ignore"):
+            out.append((k > 0, mix(part + np.uint64(k) * _BASE)))
+    return out
+
+
 def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
     """A bitmap with a set bit for each id's hash, of at most 2^``MOST_BITS`` bits whatever the number of ids, and its size in bits."""
     wanted = min(1 << MOST_BITS, max(1 << 18, 1 << (16 * ids.count()).bit_length()))
@@ -219,6 +259,52 @@ def _reach(a: str, b: str) -> Column:
     return F.aggregate(each, F.lit(0), lambda n, c: n + c) * (100 + LEVEL) <= (F.col(f"{a}._n") + F.col(f"{b}._n")) * (100 - LEVEL)
 
 
+def fine_keys(full: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, _key) for the documents of ``ids`` (_id), and perhaps a few others, by their sets in ``full`` (_id, _set): two of
+    them that reach the level have a key in common. Each key comes with two documents or more."""
+    wanted, bits = _bitmap(ids)
+    context = full.sparkSession.sparkContext
+    sent = context.broadcast(bits)
+
+    def tokens(batches):
+        own = sent.value
+        for batch in batches:
+            place = batch.column("_place").to_numpy()
+            batch = batch.filter(pa.array((own[place >> 3] >> (place & 7)) & 1 == 1))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [(i, *x) for i, s in zip(part.column("_id").to_pylist(), part.column("_set"), strict=True) for x in thinned_tokens(np.sort(s.values.to_numpy().view(np.uint64)))]
+                columns = pa.array([i for i, _, _ in found], pa.int64()), pa.array([t for _, t, _ in found], pa.bool_()), pa.array([x.view(np.int64) for *_, x in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(list(columns), ["_id", "_thinned", "_tokens"])
+
+    placed = full.select("_id", "_set", F.pmod(F.xxhash64("_id"), F.lit(wanted)).alias("_place"))
+    made = stored(batched(placed).mapInArrow(tokens, "_id long, _thinned boolean, _tokens array<long>"))
+    total = made.agg(F.sum(F.size("_tokens"))).first()[0] or 0
+    counters = 1 << min(MOST_COUNTERS, max(16, (2 * total).bit_length()))
+    counts = made.select(F.explode("_tokens").alias("_t")).groupBy(F.col("_t").bitwiseAND(counters - 1).cast("int").alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+    # Counts by quarters of a doubling; 0 stands for a shingle of one document.
+    counts = counts.where("_n > 1").select("_slot", F.least(F.lit(127), F.floor(F.log2("_n") * 4)).cast("byte").alias("_rank")).toArrow()
+    rank = np.zeros(counters, np.int8)
+    rank[counts.column("_slot").to_numpy()] = counts.column("_rank").to_numpy()
+    ranks = context.broadcast(rank)
+
+    def keys(batches):
+        rank = ranks.value
+        for batch in batches:
+            ids, out = [], [np.zeros(0, np.int64)]
+            for i, thinned, own in zip(batch.column("_id").to_pylist(), batch.column("_thinned").to_pylist(), batch.column("_tokens"), strict=True):
+                own = own.values.to_numpy()
+                r = rank[own & (len(rank) - 1)]
+                first = np.lexsort((own, r))[: key_share(len(own), thinned)]
+                out.append(own[first[r[first] > 0]])
+                ids.append(np.full(len(out[-1]), i, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*ids, out[0]])), pa.array(np.concatenate(out))], ["_id", "_key"])
+
+    own = stored(batched(made).mapInArrow(keys, "_id long, _key long"))
+    several = own.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_key")
+    return own.join(several, "_key").select("_id", "_key")
+
+
 def _shares(widest: int) -> list[float]:
     """The shares of pairs in the samples, and 1: the first one holds ``GROWTH`` pairs a member of the widest bucket at most."""
     rounds = max(math.ceil(math.log(max(widest, 1), GROWTH) - 1e-9) - 1, 0)
@@ -272,33 +358,67 @@ def _rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-def _contracted(rest: DataFrame, widest: int, members: int, full: DataFrame, label: DataFrame) -> DataFrame:
-    """``label`` (_id, _component) once all links between different components in the buckets of ``rest`` are contracted."""
-    # A pair comes out of the first of its common bands alone.
-    first_band = F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1
-    low, high = F.least("x._id", "y._id"), F.greatest("x._id", "y._id")
-    place = F.pmod(F.xxhash64(low, high), F.lit(1 << 40)) / float(1 << 40)
-    same = (F.col("x._key") == F.col("y._key")) & (F.col("x._component") < F.col("y._component"))
+def _unsettled(rest: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``rest`` (_key, _band, _id) the rows, with their components, in buckets of several components, and (_key, _c) of these buckets."""
+    now = stored(rest.join(label, "_id", "left").withColumn("_component", F.coalesce("_component", "_id")))
+    buckets = now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c"))
+    return now, stored(buckets.where("_low < _high").select("_key", "_c"))
+
 
-    def links(share: float) -> DataFrame:
-        now = rest.join(label, "_id", "left").withColumn("_component", F.coalesce("_component", "_id"))
-        near = now.alias("x").join(now.alias("y"), same & (place < share) & _close("x", "y") & first_band & _reach("x", "y"))
-        return stored(near.select(high.alias("a"), low.alias("b")))
+def _contracted(rest: DataFrame, own: DataFrame, members: int, full: DataFrame, label: DataFrame) -> DataFrame:
+    """``label`` (_id, _component) once all links between different components in the buckets of ``rest`` (_key, _band, _id) are
+    contracted; the band of finer keys is -1. ``own`` has (_id, _n, _sketch, _keys, _parity)."""
+    # A pair comes out of the first of its common bands alone, and out of any of its finer keys.
+    once = (F.col("x._band") < 0) | (F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1)
+    ends = F.greatest("x._id", "y._id").alias("a"), F.least("x._id", "y._id").alias("b")
+
+    def links(dealt: DataFrame, by: list[str], wanted: Column) -> DataFrame:
+        x, y = (dealt.join(own, "_id").alias(name) for name in "xy")
+        same = F.col("x._component") < F.col("y._component")
+        for c in ["_key", *by]:
+            same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        return stored(x.join(y, same & wanted & _close("x", "y") & once & _reach("x", "y")).select(*ends).distinct())
 
     def added(pairs: DataFrame) -> DataFrame:
         return components(_confirmed(pairs, full).unionByName(label.select(F.col("_id").alias("a"), F.col("_component").alias("b"))))
 
-    *samples, whole = _shares(widest)
+    now, buckets = _unsettled(rest, label)
+    *samples, _ = _shares(buckets.agg(F.max("_c")).first()[0] or 0)
     for share in samples:
-        found = links(share)
+        group = F.pmod(F.xxhash64(F.lit(share), "_id"), F.lit(round(1 / share))).alias("_group")
+        found = links(now.join(buckets.select("_key"), "_key").select("*", group), ["_group"], F.lit(True))
         n = _rows(found)
+        if n:
+            label = added(found)
+            now, buckets = _unsettled(rest, label)
         if n <= share * GROWTH * members:
             break
-        label = added(found)
-    found = links(whole)
+    blocks = F.ceil(F.col("_c") / TILE).cast("int")
+    block = now.join(buckets, "_key").withColumn("_block", F.pmod(F.xxhash64("_id"), blocks).cast("int"))
+    tiles = block.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = tiles.select("_key", "_band", "_id", "_component", "_block", F.least("_block", "_other").alias("_row"), F.greatest("_block", "_other").alias("_column"))
+    found = links(tiles, ["_row", "_column"], (F.col("x._block") != F.col("y._block")) | (F.col("x._row") == F.col("x._column")))
     return added(found) if _rows(found) else label
 
 
+def finer(rest: DataFrame, full: DataFrame) -> DataFrame:
+    """(_key, _band, _id) of ``rest`` (_key, _band, _id, _c), with finer keys, of band -1, in place of those buckets of more than ``WIDE``
+    members in which they take fewer comparisons, so that all together never take more than the buckets do.
+
+    A bucket is replaced as a whole: all its members get their finer keys, or none does for its sake.
+    """
+    wide = stored(rest.where(F.col("_c") > WIDE).select("_key", "_id", "_c"))
+    if wide.isEmpty():
+        return rest.select("_key", "_band", "_id")
+    fine = stored(fine_keys(full, wide.select("_id").distinct()))
+    met = fine.join(fine.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")), "_key").groupBy("_id").agg(F.sum("_c").alias("_met"))
+    costs = wide.join(met, "_id", "left").groupBy("_key").agg(F.sum("_met").alias("_met"), F.first("_c").alias("_c"))
+    replaced = stored(costs.where(F.coalesce("_met", F.lit(0)) < F.col("_c") * F.col("_c")).select("_key"))
+    ids = wide.join(replaced, "_key", "left_semi").select("_id").distinct()
+    kept = rest.join(replaced, "_key", "left_anti").select("_key", "_band", "_id")
+    return stored(kept.unionByName(fine.join(ids, "_id", "left_semi").select("_key", F.lit(-1).alias("_band"), "_id")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row. Ids are whole numbers."""
     own = stored(features(docs, id_col, text_col))
@@ -324,12 +444,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # What is left: buckets of three or more whose members aren't in one component.
     now = stored(members.join(label, "_id", "left").select("_key", "_band", "_id", "_hub", F.coalesce("_component", "_id").alias("_component")))
     parted = stored(now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key", "_c"))
-    rest = stored(now.where("_id != _hub").join(parted.select("_key"), "_key").select("_key", "_band", "_id"))
+    rest = stored(now.where("_id != _hub").join(parted, "_key").select("_key", "_band", "_id", "_c"))
     apart = stored(rest.select("_id").distinct())
     if _rows(apart):
         full = stored(full_sets(docs, apart, id_col, text_col))
-        rest = stored(rest.join(whole.select("_id", "_n", "_sketch", "_keys"), "_id").join(set_parities(full), "_id"))
-        label = _contracted(rest, parted.agg(F.max("_c")).first()[0], _rows(apart), full, label)
+        each = stored(whole.select("_id", "_n", "_sketch", "_keys").join(apart, "_id").join(set_parities(full), "_id"))
+        label = _contracted(finer(rest, full), each, _rows(apart), full, label)
 
     by_set = sets.join(label.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_k1", "_k2", "_n", F.coalesce("_component", "_rep").alias("_c"))
     out = own.select("_id", "_k1", "_k2", "_n").join(by_set, ["_k1", "_k2", "_n"], "left")

@@ -158,3 +158,71 @@ def test_components(spark):
             for i in x:
                 want[i] = x
     assert got == {i: min(x) for i, x in want.items()}
+
+
+def of_one_template(n, seed=3):
+    """Documents that share 100 words and have 45 of their own, and now and then a copy with a change: one wide bucket, few links."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    out = []
+    for i in range(n):
+        own = out[-1][1].split() if i % 25 == 7 else base + [f"x{r.randrange(10**6)}" for _ in range(45)]
+        if i % 25 == 7:
+            own[-20] = "changed"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_wide_buckets_of_unlinked_documents(spark):
+    rows = of_one_template(200)
+    want = brute(rows)
+    assert 180 < len({x[2] for x in want}) < 200
+    assert sorted(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+
+
+@pytest.mark.parametrize(("wide", "tile"), [(0, 8), (2, 4096)])
+def test_all_buckets_by_finer_keys_and_tiles(spark, rows, monkeypatch, wide, tile):
+    monkeypatch.setattr(N, "WIDE", wide)
+    monkeypatch.setattr(N, "TILE", tile)
+    own = rows[-60:] + near_copies(40)[::2]
+    d = spark.createDataFrame(own, "doc_id long, text string")
+    assert sorted(map(tuple, N.near_duplicates(d).collect()), key=str) == brute(own)
+
+
+def compared(keys):
+    """Pairs within the buckets of (_id, _key)."""
+    return sum(r["count"] * (r["count"] - 1) // 2 for r in keys.groupBy("_key").count().collect())
+
+
+def test_comparisons_of_a_template_grow_with_the_documents(spark):
+    got = []
+    for n in (1500, 3000):
+        d = spark.createDataFrame([(i, t) for i, t in of_one_template(n)], "_id long, text string")
+        sets = N.full_sets(d, d.select("_id"), "_id", "text")
+        got.append(compared(N.fine_keys(sets, d.select("_id"))))
+    assert 0 < got[0] <= 100 * 1500 and got[1] <= 2.5 * got[0]
+
+
+def test_finer_keys_lose_no_link(spark):
+    """Pairs just above the level, of all sizes, also at the bounds of thinning, among documents that share much."""
+    rng = np.random.default_rng(8)
+    common = np.unique(rng.integers(0, 1 << 63, 3000, np.uint64) * np.uint64(2))
+    sets, i = [], 0
+    for n in [1, 2, 3, 4, 7, 20, 100, 383, 384, 385, 500, 511, 512, 513, 682, 683, 684, 1023, 1024, 1025, 1500, 2047, 2048, 5000] * 5:
+        shared = np.unique(np.concatenate([common[: n // 2], rng.integers(0, 1 << 63, n - n // 2, np.uint64)]))
+        extra = rng.integers(0, 1 << 63, len(shared) // 3, np.uint64)  # the larger set holds the smaller one and a third more
+        for s in (shared, np.unique(np.concatenate([shared, extra]))):
+            sets.append((i, s.view(np.int64).tolist()))
+            i += 1
+    full = spark.createDataFrame(sets, "_id long, _set array<long>")
+    of = {}
+    for r in N.fine_keys(full, full.select("_id")).collect():
+        of.setdefault(r._id, set()).add(r._key)
+    linked = [k for k in range(0, i, 2) if 100 * len(sets[k][1]) >= 75 * len(sets[k + 1][1]) and sets[k][1] != sets[k + 1][1]]
+    assert len(linked) > 80 and all(of.get(k, set()) & of.get(k + 1, set()) for k in linked)
+
+
+def test_key_shares():
+    assert [N.thinning(n) for n in (0, 1, 511, 512, 1023, 1024, 5000)] == [0, 0, 0, 1, 1, 2, 4]
+    assert [N.key_share(n, False) for n in (0, 1, 4, 100, 101)] == [0, 1, 2, 26, 26] and N.key_share(0, True) == 0
+    assert 26 < 100 * N.key_share(300, True) / 300 < 42
