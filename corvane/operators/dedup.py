@@ -27,6 +27,12 @@ def _edges(bits: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(ends, ends[1:], strict=False))
 
 
+def _large(df: DataFrame) -> DataFrame:
+    """``df`` for joins that shuffle and sort. Hashes and their links are so small in a file that Spark would take them for a table to broadcast,
+    and the keys made of them, which are ten times as many, would all pass through the driver."""
+    return df.hint("merge")
+
+
 def block_keys(h: Column, threshold: int) -> Column:
     """Keys of which two hashes within ``threshold`` share one at least: a hash of each pair of ``threshold`` + 2 blocks of bits."""
     parts = _edges(BITS, threshold + 2)
@@ -48,7 +54,7 @@ def near_values(values: DataFrame, threshold: int, mode: str, by: tuple[str, ...
     blocks = F.array(*(_block(F.col("_h"), *p) for p in parts))
     keys = F.array(*(F.xxhash64(F.lit(n), *by, *top, *(_block(F.col("_h"), *parts[i]) for i in c)) for n, c in enumerate(chosen)))
     keyed = values.select(*by, "_h", blocks.alias("_blocks"), F.posexplode(keys).alias("_n", "_key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
+    a, b = _large(keyed.alias("a")), keyed.alias("b")
     agree = F.zip_with("a._blocks", "b._blocks", lambda p, q: p == q)
     first = F.slice(F.filter(F.transform(agree, lambda same, i: F.when(same, i)), lambda i: i.isNotNull()), 1, equal)
     of_key = F.element_at(F.array(*(F.array(*map(F.lit, c)) for c in chosen)), F.col("a._n") + 1)
@@ -72,7 +78,7 @@ def near_pairs(hashed: DataFrame, threshold: int = 3, mode: str = "compat", id_c
     if first is not None:
         own = own.withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("_id"))).where(F.col("_r") <= first + 1).drop("_r")
     values = own.select("_h").distinct()
-    left, right = own.toDF("_i", "x"), own.toDF("_j", "y")
+    left, right = _large(own.toDF("_i", "x")), _large(own.toDF("_j", "y"))
     unequal = near_values(values, threshold, mode).join(left, "x").join(right, "y").where("_i != _j")
     same = left.join(right, (F.col("x") == F.col("y")) & (F.col("_i") < F.col("_j")))
     pairs = unequal.unionByName(same).select(F.least("_i", "_j").alias("id_i"), F.greatest("_i", "_j").alias("id_j"), hamming(F.col("x"), F.col("y")).alias("distance"))
@@ -84,7 +90,7 @@ def pair_numbers(hashed: DataFrame, by: str, threshold: int = 3, mode: str = "co
     own = stored(hashed.where(F.col(hash_col).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(hash_col).alias("_h")).agg(F.count(F.lit(1)).alias("_c")))
     same = own.select("_by", (F.col("_c") * (F.col("_c") - 1) / 2).cast("long").alias("pairs"))
     near = near_values(own.select("_by", "_h"), threshold, mode, ("_by",))
-    of = lambda name: own.select("_by", F.col("_h").alias(name), F.col("_c").alias(f"_c{name}"))
+    of = lambda name: _large(own.select("_by", F.col("_h").alias(name), F.col("_c").alias(f"_c{name}")))
     unequal = near.join(of("x"), ["_by", "x"]).join(of("y"), ["_by", "y"]).select("_by", (F.col("_cx") * F.col("_cy")).alias("pairs"))
     return same.unionByName(unequal).groupBy(F.col("_by").alias(by)).agg(F.sum("pairs").alias("pairs"))
 
@@ -94,7 +100,7 @@ def first_pairs(hashed: DataFrame, k: int, threshold: int = 3, id_col: str = "do
     pairs = near_pairs(hashed, threshold, "compat", id_col, hash_col, first=k)
     buckets = hashed.select(F.col(id_col).alias("id_i"), F.shiftrightunsigned(hash_col, 48).alias("_key"))
     order = buckets.groupBy("_key").agg(F.min("id_i").alias("_first"))
-    keyed = pairs.join(buckets, "id_i").join(order, "_key")
+    keyed = pairs.join(_large(buckets), "id_i").join(_large(order), "_key")
     return keyed.orderBy("_first", "id_i", "id_j").limit(k).select("id_i", "id_j", "distance")
 
 
@@ -110,20 +116,20 @@ def gate(hashed: DataFrame, threshold: int = 3, id_col: str = "doc_id", hash_col
     own = stored(hashed.select(F.col(id_col).alias("_id"), F.col(hash_col).alias("_h")).groupBy("_id", "_h").agg(F.count(F.lit(1)).alias("_c")))
     firsts = stored(own.where("_h is not null").groupBy("_h").agg(F.min(F.struct("_id"))["_id"].alias("_first")))
     near = near_values(firsts.select("_h"), threshold, "exact")
-    met = near.join(firsts.toDF("x", "_i"), "x").join(firsts.toDF("y", "_j"), "y")
+    met = near.join(_large(firsts.toDF("x", "_i")), "x").join(_large(firsts.toDF("y", "_j")), "y")
     a, b = F.struct(F.col("_i"), F.col("x")), F.struct(F.col("_j"), F.col("y"))
     edges = stored(met.select(F.when(a < b, F.col("x")).otherwise(F.col("y")).alias("early"), F.when(a < b, F.col("y")).otherwise(F.col("x")).alias("late")))
     rejected = None
     while not edges.isEmpty():
-        accepted = edges.select("early").distinct().join(edges.select(F.col("late").alias("early")).distinct(), "early", "left_anti")
-        gone = stored(edges.join(accepted, "early", "left_semi").select("late").distinct())
+        accepted = edges.select("early").distinct().join(_large(edges.select(F.col("late").alias("early")).distinct()), "early", "left_anti")
+        gone = stored(edges.join(_large(accepted), "early", "left_semi").select("late").distinct())
         rejected = gone if rejected is None else rejected.unionByName(gone)
-        left = edges.join(gone, "late", "left_anti").join(gone.withColumnRenamed("late", "early"), "early", "left_anti")
+        left = edges.join(_large(gone), "late", "left_anti").join(_large(gone.withColumnRenamed("late", "early")), "early", "left_anti")
         # Edges of accepted hashes have gone with their later ends.
         edges = stored(left)
-    verdict = own.join(firsts, "_h", "left")
+    verdict = own.join(_large(firsts), "_h", "left")
     if rejected is not None:
-        verdict = verdict.join(rejected.select(F.col("late").alias("_h"), F.lit(True).alias("_near")), "_h", "left")
+        verdict = verdict.join(_large(rejected.select(F.col("late").alias("_h"), F.lit(True).alias("_near"))), "_h", "left")
     else:
         verdict = verdict.withColumn("_near", F.lit(None).cast("boolean"))
     ok = F.col("_h").isNull() | (F.col("_near").isNull() & F.col("_id").eqNullSafe(F.col("_first")))

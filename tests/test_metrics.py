@@ -182,3 +182,14 @@ def test_ranked_and_mentions(spark):
     assert [r.o for r in metrics.suspicious(items, "o", 3).collect()] == [3, 0, 2]
     df = spark.createDataFrame([(["数学"], "爱数学"), (["语文"], "x"), ([], "y")], "s array<string>, t string")
     assert metrics.mention_ratio(df, F.col("s"), F.col("t")).first()[0] == 0.5
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashes_are_not_broadcast(spark, hashes):
+    """Ten keys are made of each hash, so tables that are small in their files pass no driver."""
+    own = frame(spark, hashes)
+    for mode in ("exact", "compat"):
+        assert "Broadcast" not in _plan(dedup.near_pairs(own, 3, mode))
