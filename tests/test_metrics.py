@@ -193,3 +193,7 @@ def test_hashes_are_not_broadcast(spark, hashes):
     own = frame(spark, hashes)
     for mode in ("exact", "compat"):
         assert "Broadcast" not in _plan(dedup.near_pairs(own, 3, mode))
+
+
+def test_gate_broadcasts_no_hashes(spark, hashes):
+    assert "Broadcast" not in _plan(dedup.gate(frame(spark, hashes), 3))
