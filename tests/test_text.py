@@ -50,6 +50,22 @@ def test_simhash_equals_a_plain_restatement(spark):
     assert one(spark, [""], simhash64(T)) == [-1]
 
 
+def test_simhash_is_computed_once_in_batches_of_bounded_bytes(spark):
+    hashed = spark.createDataFrame([(1, "some text")], "i int, t string").select("i", simhash64(T).alias("h")).where("h is not null")
+    assert hashed._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").lower().rstrip("b")) <= 4 << 20
+
+
+def test_simhash_keeps_a_bounded_number_of_grams(monkeypatch):
+    from corvane.functions import simhash
+
+    texts = ["".join(chr(97 + (i * k * k) % 26) for i in range(60)) for k in range(1, 9)]
+    want = list(simhash._hashes(texts))
+    monkeypatch.setattr(simhash, "_KEPT", 20)
+    monkeypatch.setattr(simhash, "_ROWS", 7)
+    assert [simhash._hashes([t])[0] for t in texts] == want and len(simhash._kept[0]) <= 20
+
+
 def test_polarities(spark):
     def plain(t):
         c = {w: len(re.findall(w, t)) for w in S.POLARITY}
