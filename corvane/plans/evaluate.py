@@ -25,12 +25,12 @@ class Evaluation:
     buckets: DataFrame
 
 
-def features(records: DataFrame, profile: str = "full") -> DataFrame:
-    """Normalised records with rule messages, paragraph lengths, similarities, scores, hash and token count."""
+def features(records: DataFrame, profile: str = "full", *kept: str) -> DataFrame:
+    """Normalised records with rule messages, paragraph lengths, similarities, scores, hash and token count, and the columns ``kept`` of the records."""
     n = normalised(records)
     similar = rules.paragraph_similarities()
     return rules.per_item(n, profile).select(
-        "row_idx", "id", *(F.col(f"`{k}`") for k in ("姓名", "年级", "性别", "学术水平", "擅长科目", "薄弱科目", *S.PARAGRAPHS, "社交关系")), "errors", "warnings",
+        *kept, "row_idx", "id", *(F.col(f"`{k}`") for k in ("姓名", "年级", "性别", "学术水平", "擅长科目", "薄弱科目", *S.PARAGRAPHS, "社交关系")), "errors", "warnings",
         *(F.char_length(X.without_blanks(F.col(f"`{k}`"))).alias(f"len_{k}") for k in S.PARAGRAPHS), *(v.alias(k) for k, v in similar.items()),
         F.element_at(F.create_map(*[F.lit(x) for kv in S.LEVEL_NUMBER.items() for x in kv]), F.col("`学术水平`")).cast("double").alias("level_number"),
         X.polarity(F.col("`价值观`")).alias("value_score"), X.polarity(F.col("`创造力`")).alias("creativity_score"), X.psychology_polarity(F.col("`心理健康`")).alias("psychology_score"),
@@ -90,7 +90,7 @@ def run_index(records: DataFrame, threshold: int = 3, top: int = 100) -> DataFra
     within a run alone, and everything else is grouped by run.
     """
     own = numbered(records, "place")
-    f = stored(features(own, "chunk").join(own.select("row_idx", "run_id"), "row_idx"))
+    f = stored(features(own, "chunk", "run_id"))
     joined = f.withColumn("_text", F.concat_ws(" ", *(F.col(f"`{k}`") for k in S.PARAGRAPHS)))
     index = metrics.rates(f, "run_id").join(dedup.pair_numbers(f, "run_id", threshold), "run_id", "left")
     for n in (1, 2):
