@@ -257,3 +257,23 @@ def test_reports_list_all_lines(spark, tmp_path):
     runs = spark.createDataFrame([(f"r{i:05d}", i) for i in range(1200)], "run_id string, records long")
     K.save_index(runs, str(tmp_path / "i"))
     assert spark.read.text(str(tmp_path / "i" / "overview.md")).count() == 1204 and spark.read.json(str(tmp_path / "i" / "_index.json")).count() == 1200
+
+
+def test_required_fields_are_tested_once_each(spark):
+    """The test of all fields isn't put into the test of each, and the index joins its features with nothing."""
+    from corvane import record_queries as Q
+
+    keys = spark.range(3).select(F.col("id").alias("key"), F.lit('{"id":1,"姓名":" "}').alias("line")).withColumn("record", F.try_parse_json("line")).drop("line")
+    told = R.normalised(keys).select(F.array_join(Q.rules.required(["姓名", "id", "年龄"], "-"), "|").alias("m"))
+    assert [r.m for r in told.collect()] == ["-姓名|-年龄"] * 3
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_from_entries" not in plan and len(plan) < 200_000
+
+
+def test_index_features_are_not_joined(spark, tmp_path, monkeypatch):
+    spark.range(4).select(F.lit('{"id":1}').alias("value"), F.lit("a").alias("run"), F.lit("students_chunk_1.jsonl").alias("chunk")).write.partitionBy("run", "chunk").text(str(tmp_path / "runs"))
+    written, keep = [], evaluate.stored
+    monkeypatch.setattr(evaluate, "stored", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    (row,) = evaluate.run_index(R.read_run_records(spark, str(tmp_path / "runs"))).collect()
+    # One join: the rows with their partition's first rank.
+    assert row.records == 4 and written[0].count("Join") == 1
