@@ -73,8 +73,8 @@ def _step(i: int) -> tuple[int, int]:
     return 2 * i + 1, 3 * i + 7
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, line)."""
+def _lines(spark: SparkSession, sf_dir: str, in_order: bool = False) -> DataFrame:
+    """(key, line); with ``in_order`` in the order of the keys, partition behind partition."""
     c = F.col("c_custkey")
     parts = [F.concat(F.lit('"id":'), c.cast("string"))]
     for i, (k, values) in enumerate(_VARIANTS.items()):
@@ -84,7 +84,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(F.concat(F.lit(f'"{k}":'), chosen))
     line = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull()), ","), F.lit("}"))
     # A few bytes a key become a record whose rules cost a thousand times as much as reading it, so a small file's keys are dealt out first, to a number of tasks that small rows would else be gathered from.
-    keys = _table(spark, sf_dir, "customer").select("c_custkey").repartition(spark.sparkContext.defaultParallelism, "c_custkey")
+    keys, tasks = _table(spark, sf_dir, "customer").select("c_custkey"), spark.sparkContext.defaultParallelism
+    keys = keys.repartitionByRange(tasks, "c_custkey").sortWithinPartitions("c_custkey") if in_order else keys.repartition(tasks, "c_custkey")
     return keys.select(c.alias("key"), line.alias("line"))
 
 
@@ -534,10 +535,11 @@ _MERGED = f"{_LINES}, m AS (SELECT key, CASE key % 5 WHEN 1 THEN '   ' WHEN 2 TH
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> str:
-    """A merged file with blank lines, lines that are no objects and broken ones, in the order of the keys."""
+    """A merged file, as a directory of parts in the order of the keys, with blank lines, lines that are no objects and broken ones. The keys are sorted before lines are
+    made of them, and each range is written by a task of its own."""
     folder, key = new_folder(spark), F.col("key") % 5
     odd = F.when(key == 1, "   ").when(key == 2, "[1]").when(key == 3, F.expr("substring(line, 3)")).otherwise(F.col("line"))
-    _lines(spark, sf_dir).orderBy("key").select(odd.alias("value")).coalesce(1).write.text(f"{folder}/{R.MERGED}")
+    _lines(spark, sf_dir, in_order=True).select(odd.alias("value")).write.text(f"{folder}/{R.MERGED}")
     return folder
 
 

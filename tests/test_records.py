@@ -277,3 +277,13 @@ def test_index_features_are_not_joined(spark, tmp_path, monkeypatch):
     (row,) = evaluate.run_index(R.read_run_records(spark, str(tmp_path / "runs"))).collect()
     # One join: the rows with their partition's first rank.
     assert row.records == 4 and written[0].count("Join") == 1
+
+
+def test_merged_file_is_written_in_ranges(spark, tmp_path):
+    """Several parts, whose names' order is that of the keys."""
+    from corvane import record_queries as Q
+
+    spark.range(1, 301).toDF("c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    lines = R.read_lines(spark, f"{Q._merged(spark, str(tmp_path))}/{R.MERGED}").where("line like '{%'").orderBy("place")
+    got = lines.select("place.file", F.get_json_object("line", "$.id").cast("long").alias("id")).collect()
+    assert [r.id for r in got] == [i for i in range(1, 301) if i % 5 in (0, 4)] and len({r.file for r in got}) > 1
