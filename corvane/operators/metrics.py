@@ -31,23 +31,31 @@ def distinct_n(df: DataFrame, tokens: Column, n: int) -> DataFrame:
     return df.select(X.bound(X.array_ngrams(tokens, n), share).alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias(f"distinct_{n}"))
 
 
+def distinct_chars(df: DataFrame, text: Column, *lengths: int) -> DataFrame:
+    """(distinct_1, ...): :func:`distinct_n` of the characters of ``text`` without blanks and punctuation for all ``lengths`` in one pass."""
+    shares = df.select(X.char_shares(text, lengths).alias("r"))
+    return shares.agg(*(F.coalesce(F.avg(F.get("r", F.lit(i))), F.lit(0.0)).alias(f"distinct_{n}") for i, n in enumerate(lengths)))
+
+
 def distinct_n_corpus(df: DataFrame, text: str, order: str, n: int, by: str | None = None) -> DataFrame:
     """(distinct_n): share of distinct n-grams of blank-separated tokens over all rows joined in ``order``; with ``by``, (by, distinct_n) of the rows of each of its values.
 
-    N-grams run on from row to row: rows are numbered and joined with the heads (first n - 1 tokens) of those after them.
+    N-grams run on from row to row. Those within a row are counted where it is read; for the others the first and last n - 1 tokens of each row, and nothing else, are
+    numbered and joined with the heads of the rows after them.
     """
     tokens = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
     of = F.col(by) if by else F.lit(0)
     own = df.select(of.alias("_of"), F.struct(of, F.col(order)).alias("_o"), tokens.alias("_t")).where(F.size("_t") > 0)
     if n > 1:
-        own = numbered(own, "_o", "_row")
-        heads = own.select("_of", "_row", F.slice("_t", 1, n - 1).alias("_head"))
-        joined = own.select("_of", "_row", F.col("_t").alias("_all"))
+        ends = numbered(own.select("_of", "_o", F.slice("_t", 1, n - 1).alias("_head"), F.slice("_t", F.greatest(F.size("_t") - n + 2, F.lit(1)), n - 1).alias("_tail")), "_o", "_row")
+        # Small as they are in their file, they are as many as the rows and pass no driver.
+        heads, joined = ends.select("_of", "_row", "_head").hint("merge"), ends.select("_of", "_row", "_tail")
         for s in range(1, n):
             joined = joined.join(heads.select("_of", (F.col("_row") - s).alias("_row"), F.col("_head").alias(f"_h{s}")), ["_row", "_of"], "left")
         none = F.array().cast("array<string>")
         after = F.slice(F.concat(*(F.coalesce(f"_h{s}", none) for s in range(1, n))), 1, n - 1)
-        own = joined.select("_of", F.concat("_all", after).alias("_t"))
+        # Dealt out in parts of moderate bytes whatever the file's splits are, so that a task's n-grams combine in its memory.
+        own = own.select("_of", "_t").hint("rebalance").unionByName(joined.select("_of", F.concat("_tail", after).alias("_t")))
     grams = own.select("_of", F.explode(X.array_ngrams(F.col("_t"), n)).alias("g")).groupBy("_of", "g").agg(F.count(F.lit(1)).alias("c"))
     share = F.coalesce(F.try_divide(F.count(F.lit(1)).cast("double"), F.sum("c")), F.lit(0.0)).alias(f"distinct_{n}")
     return grams.groupBy(F.col("_of").alias(by)).agg(share) if by else grams.agg(share)

@@ -197,3 +197,16 @@ def test_hashes_are_not_broadcast(spark, hashes):
 
 def test_gate_broadcasts_no_hashes(spark, hashes):
     assert "Broadcast" not in _plan(dedup.gate(frame(spark, hashes), 3))
+
+
+def test_whole_texts_are_not_numbered_for_ngrams(spark, monkeypatch):
+    """Only the ends of rows go through the numbering, and n-grams over short rows still run on."""
+    seen, number = [], metrics.numbered
+    monkeypatch.setattr(metrics, "numbered", lambda df, *more: seen.append(df) or number(df, *more))
+    rows = [(1, "a b c d a b"), (2, "c"), (3, None), (4, "d a"), (5, "b c d")]
+    words = [w for _, t in rows for w in (t or "").split()]
+    for n in (2, 3, 4):
+        grams = list(zip(*(words[k:] for k in range(n)), strict=False))
+        got = metrics.distinct_n_corpus(spark.createDataFrame(rows, "i long, t string"), "t", "i", n).first()[0]
+        assert got == pytest.approx(len(set(grams)) / len(grams))
+        assert seen[-1].agg(F.max(F.greatest(F.size("_head"), F.size("_tail")))).first()[0] <= n - 1 and "_t" not in seen[-1].columns
