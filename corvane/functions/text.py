@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,30 @@ def _punctuation() -> str:
     return "".join(f"\\x{{{ord(c):x}}}" for c in dict.fromkeys(S.PUNCTUATION))
 
 
+def char_shares(text: Column, lengths: tuple[int, ...]) -> Column:
+    """For each of ``lengths``, at most 3, the share of distinct ones among the n-grams of :func:`char_tokens`, null if there are none; an array of doubles.
+
+    N-grams are numbers, a code point behind the other, so a text costs a sort of its numbers and no strings are made.
+    """
+
+    signs = dict.fromkeys(map(ord, S.PUNCTUATION))
+
+    @F.pandas_udf("array<double>")
+    def run(column: pd.Series) -> pd.Series:
+        out = []
+        for t in column:
+            c = np.frombuffer("".join((t or "").split()).translate(signs).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            found: list[float | None] = []
+            for n in lengths:
+                size = len(c) - n + 1
+                grams = sum((c[k : k + size] << np.uint64(21 * k) for k in range(n)), np.zeros(max(size, 0), np.uint64)) if size > 0 else c[:0]
+                found.append(len(np.unique(grams)) / size if size > 0 else None)
+            out.append(found)
+        return pd.Series(out, dtype=object)
+
+    return run(text)
+
+
 def char_tokens(text: Column) -> Column:
     """The characters in order, without blanks and punctuation."""
     t = F.regexp_replace(without_blanks(text), f"[{_punctuation()}]", "")

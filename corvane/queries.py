@@ -111,12 +111,12 @@ SELECT coalesce(count(DISTINCT g)::DOUBLE / nullif(count(*), 0), 0) AS distinct_
 
 @query(_distinct_chars_sql(1))
 def distinct1_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.distinct_n(_table(spark, sf_dir, "documents"), X.char_tokens(F.coalesce("text", F.lit(""))), 1)
+    return metrics.distinct_chars(_table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")), 1)
 
 
 @query(_distinct_chars_sql(2))
 def distinct2_char(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.distinct_n(_table(spark, sf_dir, "documents"), X.char_tokens(F.coalesce("text", F.lit(""))), 2)
+    return metrics.distinct_chars(_table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")), 2)
 
 
 @query(_distinct_corpus_sql(1))
@@ -219,8 +219,8 @@ _RULES = rf"""items AS (SELECT doc_id, {_LENGTH} AS n, list_filter([CASE WHEN co
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents under rules like those of records: presence, vocabulary and paragraph errors, length and word warnings."""
-    docs, text = _table(spark, sf_dir, "documents"), F.col("text")
-    n = F.char_length(X.without_blanks(text))
+    text, n = F.col("text"), F.col("_n")
+    docs = _table(spark, sf_dir, "documents").withColumn("_n", F.char_length(X.without_blanks(text)))  # a column of its own, so that two rules measure once
     blank = lambda c: X.stripped(F.coalesce(c, F.lit(""))) == ""
     errors = when((blank(F.col("source")), "missing source"), (F.coalesce(text, F.lit("")) == "", "missing text"), (F.coalesce(~F.col("lang").isin("en", "fr", "de"), F.lit(True)), "language"), (~X.is_single_paragraph(F.coalesce(text, F.lit(""))), "paragraph"))
     warnings = when((n < 80, "short"), (n > 800, "long"), (X.contains_any(text, ["%%%", "!!"]), "junk"))
@@ -249,7 +249,7 @@ SELECT 25 * (1 - m) + 25 * (1 - a) + 15 * (1 - p) + 20 * least(greatest(distinct
 def quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = lambda *names: F.avg(F.arrays_overlap("errors", F.array(*map(F.lit, names))).cast("double"))
     r = _items(spark, sf_dir).agg(share("missing source", "missing text").alias("m"), share("paragraph").alias("p"), share("language").alias("l"), F.avg((F.size("warnings") > 0).cast("double")).alias("a"))
-    d = [F.lit(QUERIES[f"distinct{n}_char"](spark, sf_dir).first()[0]) for n in (1, 2)]
+    d = map(F.lit, metrics.distinct_chars(_table(spark, sf_dir, "documents"), F.coalesce("text", F.lit("")), 1, 2).first())
     return r.select(metrics.quality_score(F.col("m"), F.col("a"), F.col("p"), F.col("l"), *d).alias("score"))
 
 

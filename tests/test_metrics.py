@@ -199,6 +199,14 @@ def test_gate_broadcasts_no_hashes(spark, hashes):
     assert "Broadcast" not in _plan(dedup.gate(frame(spark, hashes), 3))
 
 
+def test_shares_of_characters_in_one_pass(spark):
+    texts = ["", "a", "aa", "abab，ab", "漢字😀漢字😀x", " \t", "x" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = metrics.distinct_chars(df, F.col("t"), 1, 2, 3).first()
+    want = [metrics.distinct_n(df, X.char_tokens(F.col("t")), n).first()[0] for n in (1, 2, 3)]
+    assert list(got) == pytest.approx(want) and 0 < got[1] < 1
+
+
 def test_whole_texts_are_not_numbered_for_ngrams(spark, monkeypatch):
     """Only the ends of rows go through the numbering, and n-grams over short rows still run on."""
     seen, number = [], metrics.numbered
