@@ -41,7 +41,8 @@ def append_records(records: DataFrame, completed: DataFrame, directory: str, chu
     from corvane.operators.materialise import stored
 
     line = F.to_json("record") if keep_as_is else canonical("record")
-    fresh = records.select("sid", line.alias("value")).dropDuplicates(["sid"]).join(completed.select("sid"), "sid", "left_anti")
+    # Lines cost most, so they are made of the records that are left.
+    fresh = records.select("sid", "record").join(completed.select("sid"), "sid", "left_anti").dropDuplicates(["sid"]).select("sid", line.alias("value"))
     fresh = stored(fresh.withColumn("chunk", F.format_string("students_chunk_%d.jsonl", chunk_no(F.col("sid"), chunk_size))))
     # As many writers as the session's shuffles have, for each opens a file for every chunk that it gets.
     writers = int(fresh.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -287,3 +287,14 @@ def test_merged_file_is_written_in_ranges(spark, tmp_path):
     lines = R.read_lines(spark, f"{Q._merged(spark, str(tmp_path))}/{R.MERGED}").where("line like '{%'").orderBy("place")
     got = lines.select("place.file", F.get_json_object("line", "$.id").cast("long").alias("id")).collect()
     assert [r.id for r in got] == [i for i in range(1, 301) if i % 5 in (0, 4)] and len({r.file for r in got}) > 1
+
+
+def test_append_makes_lines_of_new_records_alone(spark, tmp_path, monkeypatch):
+    from corvane.operators import materialise
+
+    plans, keep = [], materialise.stored
+    monkeypatch.setattr(materialise, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df))
+    records = spark.range(1, 6).select(F.col("id").alias("sid"), F.try_parse_json(F.format_string('{"id":%d}', "id")).alias("record"))
+    done = spark.createDataFrame([(2,), (3,)], "sid long")
+    assert sorted(r.sid for r in K.append_records(records, done, str(tmp_path / "run"), 100).collect()) == [1, 4, 5]
+    assert plans[0].index("array_join") < plans[0].index("LeftAnti")
