@@ -9,8 +9,10 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
    confirm; connected components follow.
 3. Buckets whose members are then all in one component are done: no link between them could change it. Members of the others
    are compared across components, in buckets of at most ``WIDE`` members as they are. Members of wider ones, which a text that many pages
-   share may fill, get finer keys instead, if these take fewer comparisons: two sets at the level must share one of the rarest quarter of their shingles, in any order that is
-   the same for all. The order is by counts of the shingles in these documents, so what many share comes last and makes no key, and
+   share may fill, get finer keys instead, if these take fewer comparisons. Keys are made only where a bucket's members squared are more than ``COST``
+   times their shingles, which are to be counted for it, and where no member has more than ``ALIKE`` of the others close by: alike members
+   meet in finer keys anyway, in many of them. So the comparisons of any other unlike bucket grow with its members' shingles. Two sets at the
+   level must share one of the rarest quarter of their shingles, in any order that is the same for all. The order is by counts of the shingles in these documents, so what many share comes last and makes no key, and
    shingles of one document alone make none either. Sets of 512 shingles or more are thinned by hash to 256 to 512 first, alike for all sets of
    about one size, and a larger share makes keys, so that a link is missed with probability ``THIN_MISS`` at most.
 4. Inside the joins the parities of whole sets decide: the population count of their XOR never exceeds the number of shingles
@@ -52,6 +54,10 @@ GROWTH = 16
 TOGETHER = 256
 #: Unsettled buckets with more members get finer keys.
 WIDE = 64
+#: Comparisons that take as long as a shingle's way through the finer keys: 3.2 us a shingle and 0.3 us a comparison on eight cores.
+COST = 10
+#: Greatest share of a bucket's members that may be close to one of ``TRIED`` of them, if finer keys are made.
+ALIKE, TRIED, ALIKE_MISS = 0.5, 4, 1e-3
 #: Least size of a thinned set; sets of less than twice as many shingles aren't thinned.
 THIN = 256
 THIN_MISS = 1e-6
@@ -229,11 +235,11 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Da
     return batched(own).mapInArrow(run, "_id long, _set array<long>")
 
 
-def _close(a: str, b: str) -> Column:
-    """Whether sizes and sketches of two rows (aliases a and b) leave the level possible."""
+def _close(a: str, b: str, miss: float = SKETCH_MISS) -> Column:
+    """Whether sizes and sketches of two rows (aliases a and b) leave the level possible; a pair at it is refused with probability ``miss`` at most."""
     small, large = F.least(f"{a}._n", f"{b}._n"), F.greatest(f"{a}._n", f"{b}._n")
     differing = sum((F.bit_count(F.col(f"{a}._sketch")[i].bitwiseXOR(F.col(f"{b}._sketch")[i])) for i in range(BITS // 64)), F.lit(0))
-    return (small * 100 >= large * LEVEL) & (differing <= sketch_limit(LEVEL / 100, BANDS * ROWS, BITS, SKETCH_MISS))
+    return (small * 100 >= large * LEVEL) & (differing <= sketch_limit(LEVEL / 100, BANDS * ROWS, BITS, miss))
 
 
 def set_parities(sets: DataFrame) -> DataFrame:
@@ -401,13 +407,29 @@ def _contracted(rest: DataFrame, own: DataFrame, members: int, full: DataFrame,
     return added(found) if _rows(found) else label
 
 
-def finer(rest: DataFrame, full: DataFrame) -> DataFrame:
+def _unlike(wide: DataFrame, near: DataFrame) -> DataFrame:
+    """The (_key) of ``wide`` (_key, _id) where of ``TRIED`` members none has more than ``ALIKE`` of the bucket close by, by sizes and
+    sketches in ``near`` (_id, _n, _sketch): ``TRIED`` comparisons a member, whatever the size of a bucket."""
+    tried = [F.min_by("_id", F.xxhash64(F.lit(k), "_id")) for k in range(TRIED)]
+    some = wide.groupBy("_key").agg(F.array_distinct(F.array(*tried)).alias("_tried"))
+    pairs = stored(wide.join(some, "_key").select("_key", F.col("_id").alias("a"), F.explode("_tried").alias("b")))
+    met = _on_hubs(pairs, near.select(F.col("_id").alias("b"), F.struct("_n", "_sketch").alias("y")))
+    met = met.join(near.select(F.col("_id").alias("a"), F.struct("_n", "_sketch").alias("x")), "a")
+    shares = met.groupBy("_key", "b").agg(F.avg(_close("x", "y", ALIKE_MISS).cast("int")).alias("_share"))
+    return shares.groupBy("_key").agg(F.max("_share").alias("_share")).where(F.col("_share") <= ALIKE).select("_key")
+
+
+def finer(rest: DataFrame, full: DataFrame, near: DataFrame) -> DataFrame:
     """(_key, _band, _id) of ``rest`` (_key, _band, _id, _c), with finer keys, of band -1, in place of those buckets of more than ``WIDE``
-    members in which they take fewer comparisons, so that all together never take more than the buckets do.
+    members in which they take fewer comparisons, so that all together never take more than the buckets do. ``near`` has (_id, _n, _sketch).
 
     A bucket is replaced as a whole: all its members get their finer keys, or none does for its sake.
     """
-    wide = stored(rest.where(F.col("_c") > WIDE).select("_key", "_id", "_c"))
+    wide = rest.where(F.col("_c") > WIDE).select("_key", "_id", "_c").join(near.select("_id", "_n"), "_id")
+    costly = wide.groupBy("_key").agg(F.first("_c").alias("_c"), F.sum("_n").alias("_n")).where(F.col("_c") * F.col("_c") > F.col("_n") * COST)
+    wide = stored(wide.select("_key", "_id", "_c").join(costly.select("_key"), "_key"))
+    if not wide.isEmpty():
+        wide = stored(wide.join(_unlike(wide, near), "_key"))
     if wide.isEmpty():
         return rest.select("_key", "_band", "_id")
     fine = stored(fine_keys(full, wide.select("_id").distinct()))
@@ -449,7 +471,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if _rows(apart):
         full = stored(full_sets(docs, apart, id_col, text_col))
         each = stored(whole.select("_id", "_n", "_sketch", "_keys").join(apart, "_id").join(set_parities(full), "_id"))
-        label = _contracted(finer(rest, full), each, _rows(apart), full, label)
+        fine = finer(rest, full, each.select("_id", "_n", "_sketch"))
+        label = _contracted(fine, each, _rows(apart), full, label)
 
     by_set = sets.join(label.withColumnRenamed("_id", "_rep"), "_rep", "left").select("_k1", "_k2", "_n", F.coalesce("_component", "_rep").alias("_c"))
     out = own.select("_id", "_k1", "_k2", "_n").join(by_set, ["_k1", "_k2", "_n"], "left")

@@ -226,3 +226,22 @@ def test_key_shares():
     assert [N.thinning(n) for n in (0, 1, 511, 512, 1023, 1024, 5000)] == [0, 0, 0, 1, 1, 2, 4]
     assert [N.key_share(n, False) for n in (0, 1, 4, 100, 101)] == [0, 1, 2, 26, 26] and N.key_share(0, True) == 0
     assert 26 < 100 * N.key_share(300, True) / 300 < 42
+
+
+def test_finer_keys_only_where_they_can_pay(spark, monkeypatch):
+    """Shingles are counted only for wide buckets of unlike members, and only where these are more than their shingles are worth."""
+    asked, made = [], N.fine_keys
+    monkeypatch.setattr(N, "fine_keys", lambda full, ids: asked.append(sorted(r._id for r in ids.collect())) or made(full, ids))
+    r = random.Random(5)
+    base, alike = [f"w{r.randrange(10**6)}" for _ in range(100)], []
+    for i in range(120):
+        own = list(base)
+        for k in r.sample(range(100), 2):
+            own[k] = f"x{r.randrange(10**6)}"
+        alike.append((i, " ".join(own)))
+    rows = alike + [(1000 + i, t) for i, t in of_one_template(200)]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    assert sorted(map(tuple, N.near_duplicates(docs).collect()), key=str) == want and not asked
+    monkeypatch.setattr(N, "COST", 0)
+    assert sorted(map(tuple, N.near_duplicates(docs).collect()), key=str) == want
+    assert len(asked) == 1 and len(asked[0]) > N.WIDE and min(asked[0]) >= 1000
