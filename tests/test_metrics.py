@@ -199,6 +199,14 @@ def test_gate_broadcasts_no_hashes(spark, hashes):
     assert "Broadcast" not in _plan(dedup.gate(frame(spark, hashes), 3))
 
 
+def test_no_round_of_the_gate_broadcasts(spark, hashes, monkeypatch):
+    """The keys and edges are made in tables that the gate stores, which its last plan doesn't show."""
+    plans, write = [], dedup.stored
+    monkeypatch.setattr(dedup, "stored", lambda df: plans.append(_plan(df)) or write(df))
+    dedup.gate(frame(spark, hashes), 3)
+    assert len(plans) >= 5 and any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_shares_of_characters_in_one_pass(spark):
     texts = ["", "a", "aa", "abab，ab", "漢字😀漢字😀x", " \t", "x" * 50]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
