@@ -8,9 +8,10 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
 2. Each member of a band bucket is compared with the smallest id, the hub, of each of its buckets. Sizes and sketches filter, full sets
    confirm; connected components follow.
 3. Buckets whose members are then all in one component are done: no link between them could change it. Members of the others
-   are compared across components, in buckets of at most ``WIDE`` members as they are. Members of wider ones, which a text that many pages
-   share may fill, get finer keys instead, if these take fewer comparisons. Keys are made only where a bucket's members squared are more than ``COST``
-   times their shingles, which are to be counted for it, and where no member has more than ``ALIKE`` of the others close by: alike members
+   are compared across components: those outside of the bucket's largest component, the outsiders, with all members. Buckets of at most ``WIDE``
+   members are left as they are. Members of wider ones, which a text that many pages
+   share may fill, get finer keys instead, if these take fewer comparisons. Keys are made only where a bucket's members times its outsiders are more than ``COST``
+   times its members' shingles, which are to be counted for it, and where no member has more than ``ALIKE`` of the others close by: alike members
    meet in finer keys anyway, in many of them. So the comparisons of any other unlike bucket grow with its members' shingles. Two sets at the
    level must share one of the rarest quarter of their shingles, in any order that is the same for all. The order is by counts of the shingles in these documents, so what many share comes last and makes no key, and
    shingles of one document alone make none either. Sets of 512 shingles or more are thinned by hash to 256 to 512 first, alike for all sets of
@@ -19,7 +20,9 @@ A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word runs (
    in one set alone, so no link is lost, and of ``SET_BITS`` parities few are hit twice, so what comes out is links and next to nothing else.
    First members are dealt into groups by a hash, and only pairs within a group are compared, about ``GROWTH`` a member. Where that finds
    more than ``GROWTH`` links a member for its share of the pairs, they are contracted and a sample ``GROWTH`` times as large follows. At
-   last all pairs across components are compared, but for settled buckets; those over ``TILE`` members are dealt out in tiles of two blocks.
+   last all pairs across components are compared, but for settled buckets, in tiles of a block of outsiders and a block of outsiders or of the
+   largest component, of about ``TILE`` members each. So the rows that are compared are a bucket's members and outsiders, once each, as long as
+   the outsiders fill one block, and each of its outsiders and blocks of members once more at most.
 
 A pair at the level is missed by all bands with probability (1 - level^ROWS)^BANDS, 6e-6 for 0.75, and by its sketches with at
 most ``SKETCH_MISS``; above the level both fall fast. Nothing is collected to the driver but counts.
@@ -364,11 +367,28 @@ def _rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
-def _unsettled(rest: DataFrame, label: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of ``rest`` (_key, _band, _id) the rows, with their components, in buckets of several components, and (_key, _c) of these buckets."""
+def _parted(rows: DataFrame) -> DataFrame:
+    """(_key, _main, _inner, _outer) of those buckets of ``rows`` (_key, _component) that hold several components: the one of most members,
+    how many these are, and how many the outsiders."""
+    each = rows.groupBy("_key", "_component").agg(F.count(F.lit(1)).alias("_m"))
+    buckets = each.groupBy("_key").agg(F.max(F.struct("_m", "_component")).alias("_most"), F.sum("_m").alias("_c")).where("_c > _most._m")
+    return stored(buckets.select("_key", F.col("_most._component").alias("_main"), F.col("_most._m").alias("_inner"), (F.col("_c") - F.col("_most._m")).alias("_outer")))
+
+
+def _unsettled(rest: DataFrame, label: DataFrame) -> DataFrame:
+    """Of ``rest`` (_key, _band, _id) the rows in buckets of several components, with their component, whether they are outsiders (_out), and
+    the bucket's _inner and _outer."""
     now = stored(rest.join(label, "_id", "left").withColumn("_component", F.coalesce("_component", "_id")))
-    buckets = now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c"))
-    return now, stored(buckets.where("_low < _high").select("_key", "_c"))
+    return stored(now.join(_parted(now), "_key").withColumn("_out", F.col("_component") != F.col("_main")).drop("_main"))
+
+
+def _tiles(now: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The outsiders of ``now`` and all its rows, by tiles (_row, _column) of a block of outsiders and a block of outsiders or of the largest component."""
+    inner, outer = (F.ceil(F.col(c) / TILE).cast("int") for c in ("_inner", "_outer"))
+    block = F.pmod(F.xxhash64("_id"), F.when(F.col("_out"), outer).otherwise(inner)).cast("int")
+    x = now.where("_out").withColumns({"_row": block, "_column": F.explode(F.sequence(F.lit(0), inner + outer - 1))})
+    y = now.withColumns({"_row": F.explode(F.sequence(F.lit(0), outer - 1)), "_column": block + F.when(F.col("_out"), inner).otherwise(0)})
+    return x, y
 
 
 def _contracted(rest: DataFrame, own: DataFrame, members: int, full: DataFrame, label: DataFrame) -> DataFrame:
@@ -378,32 +398,31 @@ def _contracted(rest: DataFrame, own: DataFrame, members: int, full: DataFrame,
     once = (F.col("x._band") < 0) | (F.array_position(F.zip_with("x._keys", "y._keys", lambda p, q: p == q), True) == F.col("x._band") + 1)
     ends = F.greatest("x._id", "y._id").alias("a"), F.least("x._id", "y._id").alias("b")
 
-    def links(dealt: DataFrame, by: list[str], wanted: Column) -> DataFrame:
-        x, y = (dealt.join(own, "_id").alias(name) for name in "xy")
-        same = F.col("x._component") < F.col("y._component")
+    def links(outsiders: DataFrame, all_rows: DataFrame, by: list[str]) -> DataFrame:
+        x, y = (rows.select("_key", "_band", "_id", "_component", "_out", *by).join(own, "_id").alias(name) for rows, name in ((outsiders, "x"), (all_rows, "y")))
+        across = ~F.col("y._out") | (F.col("x._component") < F.col("y._component"))
         for c in ["_key", *by]:
-            same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-        return stored(x.join(y, same & wanted & _close("x", "y") & once & _reach("x", "y")).select(*ends).distinct())
+            across = across & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+        return stored(x.join(y, across & _close("x", "y") & once & _reach("x", "y")).select(*ends).distinct())
 
     def added(pairs: DataFrame) -> DataFrame:
         return components(_confirmed(pairs, full).unionByName(label.select(F.col("_id").alias("a"), F.col("_component").alias("b"))))
 
-    now, buckets = _unsettled(rest, label)
-    *samples, _ = _shares(buckets.agg(F.max("_c")).first()[0] or 0)
+    now = _unsettled(rest, label)
+    *samples, _ = _shares(now.agg(F.max("_outer")).first()[0] or 0)
     for share in samples:
-        group = F.pmod(F.xxhash64(F.lit(share), "_id"), F.lit(round(1 / share))).alias("_group")
-        found = links(now.join(buckets.select("_key"), "_key").select("*", group), ["_group"], F.lit(True))
+        dealt = now.withColumn("_group", F.pmod(F.xxhash64(F.lit(share), "_id"), F.lit(round(1 / share))))
+        # Groups of one component have nothing to compare.
+        several = dealt.groupBy("_key", "_group").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high")).where("_low < _high")
+        dealt = dealt.join(stored(several.select("_key", "_group")), ["_key", "_group"])
+        found = links(dealt.where("_out"), dealt, ["_group"])
         n = _rows(found)
         if n:
             label = added(found)
-            now, buckets = _unsettled(rest, label)
+            now = _unsettled(rest, label)
         if n <= share * GROWTH * members:
             break
-    blocks = F.ceil(F.col("_c") / TILE).cast("int")
-    block = now.join(buckets, "_key").withColumn("_block", F.pmod(F.xxhash64("_id"), blocks).cast("int"))
-    tiles = block.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = tiles.select("_key", "_band", "_id", "_component", "_block", F.least("_block", "_other").alias("_row"), F.greatest("_block", "_other").alias("_column"))
-    found = links(tiles, ["_row", "_column"], (F.col("x._block") != F.col("y._block")) | (F.col("x._row") == F.col("x._column")))
+    found = links(*_tiles(now), ["_row", "_column"])
     return added(found) if _rows(found) else label
 
 
@@ -420,22 +439,23 @@ def _unlike(wide: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def finer(rest: DataFrame, full: DataFrame, near: DataFrame) -> DataFrame:
-    """(_key, _band, _id) of ``rest`` (_key, _band, _id, _c), with finer keys, of band -1, in place of those buckets of more than ``WIDE``
-    members in which they take fewer comparisons, so that all together never take more than the buckets do. ``near`` has (_id, _n, _sketch).
+    """(_key, _band, _id) of ``rest`` (_key, _band, _id, _n, _c, _outer), with finer keys, of band -1, in place of those buckets of more than
+    ``WIDE`` members in which they take fewer comparisons, so that all together never take more than the buckets do. ``near`` has (_id, _n, _sketch).
 
     A bucket is replaced as a whole: all its members get their finer keys, or none does for its sake.
     """
-    wide = rest.where(F.col("_c") > WIDE).select("_key", "_id", "_c").join(near.select("_id", "_n"), "_id")
-    costly = wide.groupBy("_key").agg(F.first("_c").alias("_c"), F.sum("_n").alias("_n")).where(F.col("_c") * F.col("_c") > F.col("_n") * COST)
-    wide = stored(wide.select("_key", "_id", "_c").join(costly.select("_key"), "_key"))
+    wide = rest.where(F.col("_c") > WIDE)
+    pairs = F.col("_c") * F.col("_outer")
+    costly = wide.groupBy("_key").agg(F.first("_c").alias("_c"), F.first("_outer").alias("_outer"), F.sum("_n").alias("_n")).where(pairs > F.col("_n") * COST)
+    wide = stored(wide.select("_key", "_id", "_c", "_outer").join(costly.select("_key"), "_key"))
     if not wide.isEmpty():
         wide = stored(wide.join(_unlike(wide, near), "_key"))
     if wide.isEmpty():
         return rest.select("_key", "_band", "_id")
     fine = stored(fine_keys(full, wide.select("_id").distinct()))
     met = fine.join(fine.groupBy("_key").agg(F.count(F.lit(1)).alias("_c")), "_key").groupBy("_id").agg(F.sum("_c").alias("_met"))
-    costs = wide.join(met, "_id", "left").groupBy("_key").agg(F.sum("_met").alias("_met"), F.first("_c").alias("_c"))
-    replaced = stored(costs.where(F.coalesce("_met", F.lit(0)) < F.col("_c") * F.col("_c")).select("_key"))
+    costs = wide.join(met, "_id", "left").groupBy("_key").agg(F.sum("_met").alias("_met"), F.first("_c").alias("_c"), F.first("_outer").alias("_outer"))
+    replaced = stored(costs.where(F.coalesce("_met", F.lit(0)) < pairs).select("_key"))
     ids = wide.join(replaced, "_key", "left_semi").select("_id").distinct()
     kept = rest.join(replaced, "_key", "left_anti").select("_key", "_band", "_id")
     return stored(kept.unionByName(fine.join(ids, "_id", "left_semi").select("_key", F.lit(-1).alias("_band"), "_id")))
@@ -447,7 +467,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stored(own.where("_n > 0 and _id is not null").groupBy("_k1", "_k2", "_n").agg(F.min("_id").alias("_rep")))
     whole = own.join(sets.select(F.col("_rep").alias("_id")).distinct(), "_id", "left_semi").where("_n > 0")
     reps = whole.select("_id", "_n", "_sketch")
-    band = whole.select("_id", F.posexplode("_keys").alias("_band", "_key"))
+    band = whole.select("_id", "_n", F.posexplode("_keys").alias("_band", "_key"))
     shared = stored(band.groupBy("_key").agg(F.min("_id").alias("_hub"), F.max("_id").alias("_last")).where("_hub < _last").select("_key", "_hub"))
     # Members of the buckets that hold two documents or more, with the bucket's smallest id.
     members = stored(band.join(shared, "_key"))
@@ -464,9 +484,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         label = components(_confirmed(near, stored(full_sets(docs, ids, id_col, text_col))))
 
     # What is left: buckets of three or more whose members aren't in one component.
-    now = stored(members.join(label, "_id", "left").select("_key", "_band", "_id", "_hub", F.coalesce("_component", "_id").alias("_component")))
-    parted = stored(now.groupBy("_key").agg(F.min("_component").alias("_low"), F.max("_component").alias("_high"), F.count(F.lit(1)).alias("_c")).where("_low < _high and _c > 2").select("_key", "_c"))
-    rest = stored(now.where("_id != _hub").join(parted, "_key").select("_key", "_band", "_id", "_c"))
+    now = stored(members.join(label, "_id", "left").select("_key", "_band", "_id", "_n", "_hub", F.coalesce("_component", "_id").alias("_component")))
+    parted = _parted(now).select("_key", (F.col("_inner") + F.col("_outer")).alias("_c"), "_outer").where("_c > 2")
+    rest = stored(now.where("_id != _hub").join(parted, "_key").select("_key", "_band", "_id", "_n", "_c", "_outer"))
     apart = stored(rest.select("_id").distinct())
     if _rows(apart):
         full = stored(full_sets(docs, apart, id_col, text_col))

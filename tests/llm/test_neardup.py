@@ -245,3 +245,66 @@ def test_finer_keys_only_where_they_can_pay(spark, monkeypatch):
     monkeypatch.setattr(N, "COST", 0)
     assert sorted(map(tuple, N.near_duplicates(docs).collect()), key=str) == want
     assert len(asked) == 1 and len(asked[0]) > N.WIDE and min(asked[0]) >= 1000
+
+
+def rows_joined(spark, run):
+    """Rows that come out of inner joins on _id, where rows of bucket members meet their sketches, while ``run`` runs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    listed = lambda: (lambda found: [found.apply(i).executionId() for i in range(found.size())])(store.executionsList())
+    last = max(listed(), default=-1)
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    total = 0
+    for k in listed():
+        if k > last:
+            nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                metrics = node.metrics()
+                if re.search(r"Join \[_id#\d+L?\], \[_id#\d+L?\], Inner", node.desc()):
+                    ids = [metrics.apply(i).accumulatorId() for i in range(metrics.size()) if metrics.apply(i).name() == "number of output rows"]
+                    total += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return total
+
+
+def linked_and_outsiders(linked, outsiders, seed=4):
+    """Copies of 100 words with one change, which are one component, and others with three, of which most stand alone."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    out = []
+    for i in range(linked + outsiders):
+        own = list(base)
+        for k in r.sample(range(10, 90), 1 if i < linked else 3):
+            own[k] = f"x{r.randrange(10**6)}"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_members_meet_their_sketches_once(spark):
+    """In unsettled buckets all members come once and the outsiders once more, not all members twice a round."""
+    rows = linked_and_outsiders(150, 12)
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), brute(rows)
+    assert 5 < len({x[2] for x in want}) <= 13
+    got = []
+    joined = rows_joined(spark, lambda: got.extend(N.near_duplicates(docs).collect()))
+    assert sorted(map(tuple, got), key=str) == want
+    keys = N.features(docs, "doc_id", "text").select(F.explode("_keys").alias("_key")).groupBy("_key").count().where("count > 2")
+    members = keys.agg(F.sum("count")).first()[0]
+    assert len(rows) < joined < 2 * members
+
+
+def test_tiles_hold_each_pair_across_components_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "TILE", 8)
+    component = {i: 0 if i < 70 else i for i in range(100)}
+    buckets = {7: range(90), 8: range(60, 100), 9: range(5)}
+    rest = spark.createDataFrame([(k, 0, i) for k, own in buckets.items() for i in own], "_key long, _band int, _id long")
+    now = N._unsettled(rest, spark.createDataFrame([(i, 0) for i in range(70)], "_id long, _component long"))
+    x, y = (part.collect() for part in N._tiles(now))
+    sides = {}
+    for side, part in ((0, x), (1, y)):
+        for r in part:
+            sides.setdefault((r._key, r._row, r._column), ([], []))[side].append(r)
+    pairs = [(k[0], *sorted((p._id, q._id))) for k, (a, b) in sides.items() for p in a for q in b if not q._out or p._component < q._component]
+    want = [(k, i, j) for k in (7, 8) for i in buckets[k] for j in buckets[k] if i < j and component[i] != component[j]]
+    assert sorted(pairs) == want
+    # Bucket 7 has 3 blocks of outsiders and 9 of its largest component, bucket 8 has 4 and 2, bucket 9 is settled.
+    assert len(x) == 20 * 12 + 30 * 6 and len(y) == 90 * 3 + 40 * 4
