@@ -5,7 +5,8 @@
    to each 3, whose counts of labels give the tokens of a group. Every label but 0 closes a stretch of bytes that lies in exactly one token of A and one of
    B: the stretches are the links.
 2. Documents go into blocks of about ``BLOCK_BYTES`` of text. A block is one row: its documents' counts and digests, its distinct id pairs with the
-   number of its documents that hold them, and each document's pairs as places in that list with their numbers of links.
+   number of its documents that hold them, and each document's pairs as places in that list with their numbers of links, packed. What a worker
+   keeps of pieces is dropped with the task, and a file of blocks holds few of them, since Spark reads the rows of a file together.
 3. Pair counts are summed over blocks (partial sums first), the highest of each A id is found beside them, and the blocks' pairs are joined with both. A block asks for
    each of its pairs once, so the most frequent pair is as many rows as there are blocks.
 4. The answers meet their block, and every document sums them over its links.
@@ -39,7 +40,9 @@ from corvane.llm.token_counts import byte_level
 
 BLOCK_BYTES = 8 << 20
 #: Characters that are aligned together, and about the bytes that a worker keeps of pieces it has aligned, each taking PIECE_BYTES besides its text and groups.
-PART, KEPT_BYTES, PIECE_BYTES = 1 << 20, 200 << 20, 300
+PART, KEPT_BYTES, PIECE_BYTES = 1 << 20, 64 << 20, 300
+#: Blocks in a stored file.
+FILE_BLOCKS = 8
 #: New pieces that go to a tokenizer in one text.
 TOGETHER = 200
 
@@ -372,12 +375,29 @@ def _counted(keys: np.ndarray, weights: np.ndarray | None) -> tuple[np.ndarray,
     return keys[first], np.add.reduceat(weights, first) if len(first) else weights[:0]
 
 
+def _packed(places: np.ndarray, links: np.ndarray) -> bytes:
+    """Places as differences, then links, both by planes of bytes and compressed; they are as many as a block's documents have pairs."""
+    if not len(places):
+        return b""
+    both = np.concatenate([np.diff(places, prepend=0), links]).astype("<i4")
+    return pa.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``n`` places and links."""
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(packed, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<i4")[:, 0].astype(np.int64)
+    return np.cumsum(both[:n]), both[n:]
+
+
 _SUMS = ("n_a", "n_b", "n_groups", "n_links")
 
 
 def _block_type(id_type: T.DataType) -> T.StructType:
-    lists = {"ids": id_type, **{c: T.LongType() for c in _SUMS}, "sha": T.StringType(), "groups": T.StringType(), "sizes": T.IntegerType(), "places": T.IntegerType(), "links": T.IntegerType(), "pairs": T.LongType(), "held": T.IntegerType()}
-    return T.StructType([T.StructField("block", T.StringType()), *(T.StructField(n, T.ArrayType(t)) for n, t in lists.items())])
+    lists = {"ids": id_type, **{c: T.LongType() for c in _SUMS}, "sha": T.StringType(), "groups": T.StringType(), "sizes": T.IntegerType(), "pairs": T.LongType(), "held": T.IntegerType()}
+    return T.StructType([T.StructField("block", T.StringType()), T.StructField("packed", T.BinaryType()), *(T.StructField(n, T.ArrayType(t)) for n, t in lists.items())])
 
 
 def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -394,10 +414,10 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
             pairs, places = np.unique(np.concatenate(found.pairs), return_inverse=True)
             sums = np.stack([r[0] for r in found.rows])
             values = [pa.concat_arrays(ids), *(pa.array(sums[:, i]) for i in range(4)), pa.array([r[1] for r in found.rows]), pa.array([r[2] for r in found.rows], pa.string())]
-            values += [pa.array(np.concatenate(found.sizes).astype(np.int32)), pa.array(places.astype(np.int32)), pa.array(np.concatenate(found.links))]
-            values += [pa.array(pairs), pa.array(np.bincount(places, minlength=len(pairs)).astype(np.int32))]
+            values += [pa.array(np.concatenate(found.sizes).astype(np.int32)), pa.array(pairs), pa.array(np.bincount(places, minlength=len(pairs)).astype(np.int32))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
-            return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{number}"]), *lists], out.names)
+            packed = _packed(places, np.concatenate(found.links))
+            return pa.RecordBatch.from_arrays([pa.array([f"{TaskContext.get().partitionId()}-{number}"]), pa.array([packed], pa.binary()), *lists], out.names)
 
         for part in slices(batches, text_col, PART):
             own.tidy()
@@ -413,6 +433,10 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
                 ids, found, size, number = [], _Documents(with_groups), 0, number + 1
         if ids:
             yield row()
+        # Workers live on beside the stages that follow.
+        ids, found = [], _Documents(with_groups)
+        own.clear()
+        trim()
 
     return batched(docs.select(id_col, text_col)).mapInArrow(run, out)
 
@@ -437,24 +461,25 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
     id_type = docs.schema[id_col].dataType
     # Written once: names of blocks hold for everything that reads them.
-    held = stored(blocks(docs, path_a, path_b, id_col, text_col, with_groups, block_bytes))
+    held = stored(blocks(docs, path_a, path_b, id_col, text_col, with_groups, block_bytes), FILE_BLOCKS)
     asked = held.select("block", F.posexplode("pairs").alias("place", "pair"))
     answers = asked.join(pair_counts(held, _size(path_b)), "pair").groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("answers"))
-    whole = held.select("block", "ids", *_SUMS, "sha", "groups", "sizes", "places", "links").join(answers, "block", "left")
+    whole = held.select("block", "ids", *_SUMS, "sha", "groups", "sizes", "packed").join(answers, "block", "left")
     names = [id_col, *_SUMS, "n_best", "count_sum", "groups_sha256", *(["groups"] if with_groups else [])]
 
     def run(batches):
         lean()
         for batch in batches:
             for i in range(batch.num_rows):
-                of = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("block", "answers")}
+                of = {c: batch.column(c)[i].values for c in batch.schema.names if c not in ("block", "answers", "packed")}
                 count, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 answer = batch.column("answers")[i].values
                 if answer is not None and len(answer):
                     place, n, b = (answer.field(k) for k in range(3))
                     order = np.argsort(place.to_numpy())
                     count, best = n.to_numpy()[order], b.to_numpy(zero_copy_only=False)[order].astype(np.int64)
-                places, links, sizes = of["places"].to_numpy(), of["links"].to_numpy().astype(np.int64), of["sizes"].to_numpy().astype(np.int64)
+                sizes = of["sizes"].to_numpy().astype(np.int64)
+                places, links = _unpacked(batch.column("packed")[i].as_py(), int(sizes.sum()))
                 found = [pa.array(_sums(links * best[places], sizes)), pa.array(_sums(links * count[places], sizes)), of["sha"], *([of["groups"]] if with_groups else [])]
                 yield pa.RecordBatch.from_arrays([of["ids"], *(of[c] for c in _SUMS), *found], names)
         trim()

@@ -32,11 +32,11 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and prunes columns."""
+def stored(df: DataFrame, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts its lineage and prunes columns; ``file_rows`` bounds the rows of a file."""
     spark = df.sparkSession
     path = new_folder(spark)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -103,3 +103,44 @@ def test_empty_table_and_other_id_types(spark):
 def test_unfit_vocabulary_is_refused(spark):
     with pytest.raises(ValueError):
         alignment.Aligner(P.path("word_bpe_49k.json"), B)
+
+
+def test_workers_keep_no_pieces_after_a_task(docs, spark):
+    alignment.blocks(docs, A, B).write.format("noop").mode("overwrite").save()
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = alignment._worker(A, B)
+            yield pa.RecordBatch.from_arrays([pa.array([len(own.index) + len(own.groups) + own.held] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 400, 1, 40).mapInArrow(kept, "n long").collect()} == {0}
+
+
+def test_a_file_holds_few_blocks_and_no_array_of_all_pairs(docs, spark, monkeypatch):
+    kept, real = [], alignment.stored
+    monkeypatch.setattr(alignment, "stored", lambda *a, **b: kept.append(real(*a, **b)) or kept[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {r[0]: tuple(r)[1:] for r in alignment.align(docs.coalesce(1), A, B, with_groups=True, block_bytes=1).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[i] for i in range(len(ODD))] == WANTED
+    blocks = [r.asDict() for r in kept[0].selectExpr("input_file_name() AS file", "*").collect()]
+    files = [r["file"] for r in blocks]
+    assert len(blocks) > 20 and max(map(files.count, files)) <= 8
+    own = alignment.Aligner(A, B)
+    found = alignment._Documents(False)
+    found.add(own, [own.pieces(t) if t else [] for t in ODD])
+    n_pairs = sum(map(sum, found.sizes))
+    assert sum(sum(r["sizes"]) for r in blocks) == n_pairs
+    for column in blocks[0]:
+        assert isinstance(blocks[0][column], (str, bytes, bytearray)) or sum(len(r[column] or ()) for r in blocks) < n_pairs, column
+
+
+def test_packed_pairs_come_back():
+    for places, links in (([], []), ([0], [1]), ([5, 2**31 - 1, 0, 7], [1, 2**31 - 1, 300, 70_000]), (list(range(0, 9000, 3)), [1, 2, 257] * 1000)):
+        got = alignment._unpacked(alignment._packed(alignment.np.array(places, int), alignment.np.array(links, int)), len(places))
+        assert [x.tolist() for x in got] == [places, links]
+    assert len(alignment._packed(alignment.np.arange(0, 9000, 3), alignment.np.ones(3000, int))) < 3000
